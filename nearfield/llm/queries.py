@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe
+from nearfield.llm import bpe, jaccard
 from nearfield.llm._io import table
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingle sets are similar by 0.9 at least."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of what they decode to."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokens=False, digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
 
