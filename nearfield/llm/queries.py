@@ -5,24 +5,203 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, jaccard
+from nearfield.llm import bpe, chat, fingerprint, jaccard, linededup, mixing, quality, sharding, topk, urlfilter
 from nearfield.llm._io import table
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as chosen, against itself with its neighbour's last answer as rejected."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    swapped = chat.with_swapped_answer(turns.withColumnRenamed("pair_id", "conv_id")).withColumnRenamed("conv_id", "pair_id")
+    return chat.formatted(turns, swapped)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets are similar by 0.9 at least."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    out = sharding.sharded(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of what they decode to."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokens=False, digests=True)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries that were active on its day."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(urlfilter.dated_captures(pages), urlfilter.sample_entries(pages))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade and tail probability, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_rated(docs, quality.grades(table(spark, sf_dir, "labels")), n_grades=quality.N_GRADES)
+    out = quality.scored(docs, model)
+    return out.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= quality.MIN_TAIL).alias("keep"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_later_copies(docs, counts=True)
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of half of all tokens takes, at most twice each, by domain, language and source weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    weights = {"domain": mixing.DOMAIN_WEIGHTS, "lang": mixing.LANG_WEIGHTS}
+    out = mixing.mixed(docs, levels, weights, percent=50, max_epochs=2, copies="copies", tokens="n_tokens")
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_jaccard_join": op2_jaccard_join,
-    "op5_bpe_round_trip": op5_bpe_round_trip,
+    f.__name__: f
+    for f in (op1_preference_format, op2_jaccard_join, op3_slot_sharding, op4_exact_topk, op5_bpe_round_trip, op6_order_minhash, op7_temporal_url_filter, op8_ordinal_quality, op9_line_dedup, op10_mix_sources)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+swapped AS (
+  SELECT t.conv_id, t.turn, t.role, CASE WHEN t.role = 'assistant' AND t.turn = l.last_turn AND o.answer IS NOT NULL THEN o.answer ELSE t.text END AS text
+  FROM turns t LEFT JOIN last l ON l.conv_id = t.conv_id LEFT JOIN last o ON o.conv_id = xor(t.conv_id, 1)),
+sides AS (
+  SELECT conv_id, 0 AS side, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM turns
+  UNION ALL
+  SELECT conv_id, 1, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) FROM swapped),
+differ AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.pos, b.pos)) AS pos
+  FROM (SELECT * FROM sides WHERE side = 0) a FULL JOIN (SELECT * FROM sides WHERE side = 1) b ON a.conv_id = b.conv_id AND a.pos = b.pos
+  WHERE a.text IS NULL OR b.text IS NULL OR a.role <> b.role OR a.text <> b.text GROUP BY 1),
+sizes AS (SELECT conv_id, count(*) AS n FROM sides WHERE side = 0 GROUP BY conv_id),
+prefix AS (SELECT s.conv_id, coalesce(d.pos - 1, s.n) AS n, d.pos IS NULL AS tie FROM sizes s LEFT JOIN differ d USING (conv_id)),
+shown AS (
+  SELECT s.*, p.n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS whole, length('<|im_start|>' || role || chr(10)) AS head
+  FROM sides s JOIN prefix p USING (conv_id)),
+ends AS (SELECT *, sum(length(whole)) OVER (PARTITION BY conv_id, side ORDER BY pos) AS upto FROM shown WHERE pos > n)
+SELECT p.conv_id AS pair_id, CAST(p.n AS INTEGER) AS prompt_turns,
+  coalesce((SELECT string_agg(whole, '' ORDER BY pos) FROM shown s WHERE s.conv_id = p.conv_id AND side = 0 AND pos <= s.n), '') AS prompt,
+  coalesce(e.chosen, '') AS chosen, coalesce(e.rejected, '') AS rejected, coalesce(e.chosen_mask, '') AS chosen_mask, coalesce(e.rejected_mask, '') AS rejected_mask, p.tie
+FROM prefix p LEFT JOIN (
+  SELECT conv_id,
+    string_agg(whole, '' ORDER BY pos) FILTER (side = 0) AS chosen, string_agg(whole, '' ORDER BY pos) FILTER (side = 1) AS rejected,
+    string_agg(CAST(upto - length(whole) + head AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ',' ORDER BY pos) FILTER (side = 0 AND role = 'assistant') AS chosen_mask,
+    string_agg(CAST(upto - length(whole) + head AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ',' ORDER BY pos) FILTER (side = 1 AND role = 'assistant') AS rejected_mask
+  FROM ends GROUP BY conv_id) e USING (conv_id)
+"""
+
+_OP2 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+classes AS MATERIALIZED (SELECT md5(array_to_string(list_sort(s), chr(10))) AS c, min(doc_id) AS rep, any_value(len(s)) AS n, any_value(s) AS s FROM sets WHERE len(s) > 0 GROUP BY 1),
+grams AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM classes),
+pairs AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT rep AS node, rep AS other FROM classes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON len(s.s) > 0 AND md5(array_to_string(list_sort(s.s), chr(10))) = c.c
+LEFT JOIN (SELECT node, min(other) AS component FROM reach GROUP BY node) m ON m.node = c.rep
+"""
+
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+scores AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0) AS BIGINT) AS score FROM q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+_OP7 = r"""
+WITH parts AS (
+  SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS day,
+    lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
+  FROM pages),
+named AS (
+  SELECT DISTINCT *, md5(list || '|' || pattern) AS m FROM (
+    SELECT 'unsafe' AS list, 'domain' AS kind, host AS pattern FROM parts WHERE host <> ''
+    UNION ALL SELECT 'parked', 'domain', array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') FROM parts WHERE len(string_split(host, '.')) > 2
+    UNION ALL SELECT 'spam', 'prefix', host || '/' || segs[1] FROM parts WHERE host <> '' AND len(segs) > 0)),
+listed AS (SELECT *, DATE '2023-01-01' + CAST(CAST('0x' || substr(m, 2, 3) AS INTEGER) % 600 AS INTEGER) AS day FROM named WHERE CAST('0x' || substr(m, 1, 1) AS INTEGER) < 6),
+entries AS (
+  SELECT list, kind, pattern, 'add' AS action, day FROM listed
+  UNION SELECT list, kind, pattern, 'remove', day + CAST('0x' || substr(m, 6, 2) AS INTEGER) FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 8
+  UNION SELECT list, kind, pattern, 'add', day + CAST('0x' || substr(m, 6, 2) AS INTEGER) + 90 FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 3),
+hits AS (
+  SELECT DISTINCT p.page_id, e.list
+  FROM parts p JOIN entries e ON (e.kind = 'domain' AND ('.' || p.host) LIKE ('%.' || e.pattern)) OR (e.kind = 'prefix' AND starts_with(p.host || '/' || array_to_string(p.segs, '/') || '/', e.pattern || '/'))
+  WHERE e.day <= p.day AND p.host <> ''
+  GROUP BY p.page_id, e.list, e.kind, e.pattern
+  HAVING arg_max(e.action, strftime(e.day, '%Y-%m-%d') || e.action) = 'add')
+SELECT p.page_id, p.url, p.day, count(h.list) > 0 AS blocked, coalesce(string_agg(h.list, ',' ORDER BY h.list), '') AS lists
+FROM parts p LEFT JOIN hits h USING (page_id) GROUP BY p.page_id, p.url, p.day
+"""
+
+_OP9 = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+lines AS MATERIALIZED (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w FROM split)),
+runs AS MATERIALIZED (
+  SELECT a.doc_id, a.line AS s, min(b.line) AS e FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.line >= a.line AND b.upto - a.upto + a.w >= 50 GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.line), b.line FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.line >= a.line AND b.upto - a.upto + a.w >= 50 GROUP BY b.doc_id, b.line),
+texts AS (SELECT r.doc_id, r.s, r.e, md5(string_agg(l.l, chr(10) ORDER BY l.line)) AS t FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.line BETWEEN r.s AND r.e GROUP BY 1, 2, 3),
+later AS (SELECT *, row_number() OVER (PARTITION BY t, e - s ORDER BY doc_id, s) AS nth FROM texts),
+gone AS (SELECT DISTINCT l.doc_id, l.line FROM lines l JOIN later r ON r.doc_id = l.doc_id AND l.line BETWEEN r.s AND r.e WHERE r.nth > 1)
+SELECT l.doc_id, coalesce(string_agg(l.l, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.line) AS INTEGER) AS n_removed
+FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+_OP10 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(coalesce(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1), '') AS BIGINT), 0) % 4 AS VARCHAR) AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM d GROUP BY ALL),
+b0 AS (SELECT floor(sum(supply) * 50 / 100) AS budget FROM leaf),
+n1 AS (SELECT domain, CAST(sum(supply) * 2 AS DOUBLE) AS cap, CASE domain WHEN '0' THEN 4.0 WHEN '1' THEN 3.0 WHEN '2' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM leaf GROUP BY domain),
+f1 AS (SELECT *, (b.budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM n1, b0 b),
+b1 AS (SELECT domain, CASE WHEN lv < cap / w THEN greatest(0, w * max(CASE WHEN lv < cap / w THEN lv END) OVER ()) ELSE cap END AS budget FROM f1),
+n2 AS (SELECT l.domain, lang, CAST(sum(supply) * 2 AS DOUBLE) AS cap, CASE lang WHEN 'en' THEN 5.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, any_value(budget) AS budget FROM leaf l JOIN b1 USING (domain) GROUP BY l.domain, lang),
+f2 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM n2),
+b2 AS (SELECT domain, lang, CASE WHEN lv < cap / w THEN greatest(0, w * max(CASE WHEN lv < cap / w THEN lv END) OVER (PARTITION BY domain)) ELSE cap END AS budget FROM f2),
+n3 AS (SELECT l.domain, l.lang, source, CAST(supply * 2 AS DOUBLE) AS cap, 1.0::DOUBLE AS w, budget, supply FROM leaf l JOIN b2 ON l.domain = b2.domain AND l.lang = b2.lang),
+f3 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM n3),
+b3 AS (SELECT domain, lang, source, supply, CAST(round(CASE WHEN lv < cap / w THEN greatest(0, w * max(CASE WHEN lv < cap / w THEN lv END) OVER (PARTITION BY domain, lang)) ELSE cap END) AS BIGINT) AS own FROM f3),
+plan AS (SELECT *, CASE WHEN supply > 0 THEN own // supply ELSE 0 END AS full_epochs FROM b3),
+ordered AS (
+  SELECT d.*, p.full_epochs, p.own - p.full_epochs * p.supply AS rest,
+    coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('7:' || CAST(p.full_epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN plan p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM ordered WHERE full_epochs > 0 OR (rest > 0 AND before < rest)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_preference_format": _OP1, "op2_jaccard_join": _OP2, "op4_exact_topk": _OP4, "op7_temporal_url_filter": _OP7, "op9_line_dedup": _OP9, "op10_mix_sources": _OP10}
