@@ -9,14 +9,16 @@ k-word shingles (64-bit hashes).  The join works on distinct sets only:
 2. each set posts the shingles of its prefix, ``n - ceil(percent * n) + 1`` of
    them, and shingles that one set alone posts are dropped;
 3. first round: neighbours by size in each posting list are candidates if the
-   length and positional filters pass; the suffix filter compares how the two
-   sets fall into fixed ranges; what is left is verified once per pair, and
-   links are contracted to components;
-4. second round: all candidate pairs of the posting lists that lie in different
-   components, in blocks of bounded size, with the same filters.  A group of
-   copies that the first round has joined makes no more pairs, so its cost is
-   linear in its size, and no pair that could still join two components is left
-   out.
+   length and positional filters pass; each pair is verified once, and links are
+   contracted to components;
+4. further rounds: candidate pairs of the posting lists that lie in different
+   components, in blocks of bounded size, with the length and positional filters
+   and a suffix filter, which compares how two sets fall into fixed ranges: what
+   falls apart there is a lower bound of their difference.  Two rounds take
+   one of them for each posting, at random, which joins most of a group of near
+   copies; the last takes all that are left.  A group that is joined makes no
+   more pairs, so its cost is about linear in its size, and no pair that could
+   still join two components is left out.
 
 Nothing is collected but the count table, whose size is a constant, and a filter
 of needed documents, likewise.
@@ -208,19 +210,20 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "token long, class long, n int, pos int, prev long")
 
 
-def _crossing(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one posting list in different components that pass the length and positional filters.
+def _crossing(lists: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Pairs (a, b) of classes of one posting list in different components that pass the length, positional and suffix filters; with a seed, one for each posting.
 
-    lists: token, class, n, pos, comp, size.  A list of over BLOCK postings is cut into blocks, and each pair of blocks is a group of its own.
+    lists: token, class, n, pos, spread, comp, size.  A list of over BLOCK postings is cut into blocks, and each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "spread")
 
     def pairs_of(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j, own, cls, n, pos, comp = g
+        token, i, j, own, cls, n, pos, comp, spread = g
         n, pos = n.astype(np.int64), pos.astype(np.int64)
+        spread = np.frombuffer(b"".join(spread.tolist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
         top = np.searchsorted(n, (100 * n) // percent, side="right")
         left, right = [], []
         for x in range(len(n) - 1):
@@ -228,8 +231,14 @@ def _crossing(lists: DataFrame, percent: int) -> DataFrame:
             ok = (comp[y] != comp[x]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _least_overlap(n[x], n[y], percent))
             if i[x] != j[x]:
                 ok &= own[y] != own[x]
-            if ok.any():
-                right.append(cls[y][ok])
+            near = np.flatnonzero(ok) + x + 1
+            if len(near):
+                near = near[np.abs(spread[near] - spread[x]).sum(axis=1) <= n[x] + n[near] - 2 * _least_overlap(n[x], n[near], percent)]
+            if len(near):
+                others = cls[near]
+                if seed is not None and len(others) > 1:
+                    others = others[[np.argmin(_text.mix((others ^ cls[x] ^ token[x]).view(np.uint64) + np.uint64(seed)))]]
+                right.append(others)
                 left.append(np.full(len(right[-1]), cls[x]))
         if not left:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -240,7 +249,7 @@ def _crossing(lists: DataFrame, percent: int) -> DataFrame:
         rest: list[np.ndarray] | None = None
         out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(9)]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -268,22 +277,10 @@ def _filter_of(needed: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link, as (u, v), their first documents; the suffix filter goes before sets are read."""
-
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int32) for c in ("sa", "sb"))
-            ok = np.abs(sa - sb).sum(axis=1) <= na + nb - 2 * _least_overlap(na, nb, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b", "u", "v")], ["a", "b", "u", "v"])
-
-    side = lambda x, y: classes.select(F.col("class").alias(x), F.col("doc").alias(y), F.col("n").alias(f"n{x}"), F.col("spread").alias(f"s{x}"))
-    todo = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").select("a", "b", "u", "v", "na", "nb", "sa", "sb")
-    todo = stored(todo.mapInArrow(suffix, "a long, b long, u long, v long"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(todo.select(F.explode(F.array("u", "v")).alias("doc")).distinct()))
+def _sets_of(docs: DataFrame, classes: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+    """(class, doc, tokens): the sets of all classes that share a token of their prefixes; other texts are not read again."""
+    needed = stored(shared.select("class").distinct().join(classes.select("class", "doc"), "class"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed.select("doc")))
     wanted = docs.withColumns({f"_b{seed}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 64 - FILTER_BITS) for seed in (1, 2)})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +295,11 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "tokens"])
 
     sets = wanted.mapInArrow(read, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    return sets.join(needed, "class")
+
+
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes that link, as (u, v), their first documents."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,10 +313,9 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
             if any(ok):
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("u", "v")], ["u", "v"])
 
-    both = todo.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
-    out = stored(both.select("u", "v", "ta", "tb").mapInArrow(verify, "u long, v long"))
-    dropped(todo)
-    return out
+    side = lambda x, y: sets.select(F.col("class").alias(x), F.col("doc").alias(y), F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b")
+    return stored(both.select("u", "v", "ta", "tb").mapInArrow(verify, "u long, v long"))
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -327,18 +328,20 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k
     classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("spread").alias("spread")))
     shared = stored(_shared(_postings(docs, k, percent, place), percent))
 
-    first = shared.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct()
-    links = _links(docs, classes, first, k, percent)
-    joined = stored(components(links))
-
-    comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", F.coalesce("component", "doc").alias("comp"))
-    lists = shared.drop("prev").join(comp, "class")
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
-    second = stored(_crossing(lists.join(mixed, "token"), percent).join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = _links(docs, classes, second, k, percent)
-        joined = stored(components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
-    dropped(shared, second)
+    sets = stored(_sets_of(docs, classes, shared, k))
+
+    tested = stored(shared.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct())
+    joined = stored(components(_links(sets, tested, percent)))
+    for seed in (1, 2, None):
+        comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "spread", F.coalesce("component", "doc").alias("comp"))
+        lists = shared.drop("prev").join(comp, "class")
+        mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+        pairs = stored(_crossing(lists.join(mixed, "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            continue
+        links = _links(sets, pairs, percent)
+        tested, joined = tested.unionByName(pairs), stored(components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)))
+    dropped(shared, sets)
 
     comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "class2", "n", F.coalesce("component", "doc").alias("component"))
     out = profiles.select("doc", "n", "class", "class2").join(comp, ["class", "class2", "n"], "left")
