@@ -1,10 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from nearfield.plans import ingesting, intervals, listing, models, ranking, scalars, stateful, vectors  # noqa: F401  each registers its queries
+from nearfield.plans._registry import COVERS, ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["COVERS", "ORACLE_SQL", "QUERIES"]
