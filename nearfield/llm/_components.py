@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from nearfield.llm._io import dropped, stored
 
 
+#: Edges that one task may hold: about 200 MB while it contracts them.
+ONE_TASK = 1 << 21
+
+
 def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges' components as stars: every node but the least of its component, and that least node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -62,9 +66,10 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges, two long columns; a component is named by its least node.
 
-    Partitions first contract their own edges to stars; then large-star and
-    small-star rounds, which end after a number of rounds that grows with the
-    logarithm of the longest path.  A hub's edges are never gathered: minima are
+    Partitions first contract their own edges to stars.  If a count shows that
+    what is left fits one task, that task contracts it; else large-star and
+    small-star rounds follow, whose number grows with the logarithm of the longest
+    path, until it fits or is done.  A hub's edges are never gathered: minima are
     pre-aggregated and the join that follows them may be split.  Self-loops keep
     their node; repeated edges change nothing; no edges give no rows.
     """
@@ -73,6 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     loops = edges.where("u = v").select("u")
     e = stored(edges.where("u <> v").mapInArrow(_local, "u long, v long"))
     while True:
+        if e.count() <= ONE_TASK:
+            before, e = e, stored(e.coalesce(1).mapInArrow(_local, "u long, v long"))
+            dropped(before)
+            break
         tail = e.select(F.col("v").alias("u"))
         unfinished = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").unionByName(e.select("u").join(tail, "u", "left_semi")).limit(1)
         if not unfinished.count():

@@ -14,9 +14,9 @@ k-word shingles (64-bit hashes).  The join works on distinct sets only:
 4. further rounds: candidate pairs of the posting lists that lie in different
    components, in blocks of bounded size, with the length and positional filters
    and a suffix filter, which compares how two sets fall into fixed ranges: what
-   falls apart there is a lower bound of their difference.  Two rounds take
-   one of them for each posting, at random, which joins most of a group of near
-   copies; the last takes all that are left.  A group that is joined makes no
+   falls apart there is a lower bound of their difference.  The second round
+   takes one of them for each posting, at random, which joins most of a group of
+   near copies; the third takes all that are left.  A group that is joined makes no
    more pairs, so its cost is about linear in its size, and no pair that could
    still join two components is left out.
 
@@ -277,9 +277,9 @@ def _filter_of(needed: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, shared: DataFrame, k: int) -> DataFrame:
-    """(class, doc, tokens): the sets of all classes that share a token of their prefixes; other texts are not read again."""
-    needed = stored(shared.select("class").distinct().join(classes.select("class", "doc"), "class"))
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes that link, as (u, v), their first documents.  Only texts that the pairs name are cut into sets again."""
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed.select("doc")))
     wanted = docs.withColumns({f"_b{seed}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 64 - FILTER_BITS) for seed in (1, 2)})
 
@@ -294,12 +294,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, shared: DataFrame, k: int) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "tokens"])
 
-    sets = wanted.mapInArrow(read, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    return sets.join(needed, "class")
-
-
-def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link, as (u, v), their first documents."""
+    sets = wanted.mapInArrow(read, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens")).join(needed, "class")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +310,9 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x, y: sets.select(F.col("class").alias(x), F.col("doc").alias(y), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b")
-    return stored(both.select("u", "v", "ta", "tb").mapInArrow(verify, "u long, v long"))
+    out = stored(both.select("u", "v", "ta", "tb").mapInArrow(verify, "u long, v long"))
+    dropped(needed)
+    return out
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -328,20 +325,19 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k
     classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("spread").alias("spread")))
     shared = stored(_shared(_postings(docs, k, percent, place), percent))
 
-    sets = stored(_sets_of(docs, classes, shared, k))
 
     tested = stored(shared.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct())
-    joined = stored(components(_links(sets, tested, percent)))
-    for seed in (1, 2, None):
+    joined = stored(components(_links(docs, classes, tested, k, percent)))
+    for seed in (1, None):
         comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "spread", F.coalesce("component", "doc").alias("comp"))
         lists = shared.drop("prev").join(comp, "class")
         mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
         pairs = stored(_crossing(lists.join(mixed, "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue
-        links = _links(sets, pairs, percent)
+        links = _links(docs, classes, pairs, k, percent)
         tested, joined = tested.unionByName(pairs), stored(components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)))
-    dropped(shared, sets)
+    dropped(shared)
 
     comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "class2", "n", F.coalesce("component", "doc").alias("component"))
     out = profiles.select("doc", "n", "class", "class2").join(comp, ["class", "class2", "n"], "left")
