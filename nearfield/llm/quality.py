@@ -5,8 +5,10 @@ t_1 < t_2 < .. order them: P(grade >= j) = sigmoid(w.x - t_j).  From these come
 the expected grade and the tail probability P(grade = best) that selection uses.
 
 Features are presences: words (runs of letters, digits and other non-ASCII
-signs, A-Z lower-cased), runs of punctuation, and coarse levels of the shares
-of words in capitals, words that repeat the one before, and punctuation.
+signs, A-Z lower-cased), beginnings of words of 5 to 8 bytes, which stand for
+stems of languages that compound, once more for each if it occurs twice or four
+times at least, runs of punctuation, and coarse levels of the shares of words in
+capitals, words that repeat the one before, and punctuation.
 
 The fit reads a bounded sample of rated rows, those of least hash of doc_id
 (`max_train` at most, so the driver holds max_train rows of hashed features);
@@ -36,7 +38,10 @@ BITS = 18
 #: Rated rows in a fit, at most.
 MAX_TRAIN = 6000
 #: Documents whose tail probability is less are rejected.
-MIN_TAIL = 0.5
+MIN_TAIL = 0.7
+
+#: Bytes of the beginnings of words.
+BEGINNINGS = (5, 6, 7, 8)
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -56,6 +61,16 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
     shift = np.uint64(64 - BITS)
     words = _text.hash_spans(low, ws, we)
     word_at, marks_at = (words >> shift).astype(np.int64), (_text.hash_spans(low, ps, pe, seed=1) >> shift).astype(np.int64)
+    # a word's beginning is one masked load of eight bytes
+    padded = np.concatenate([low, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(low) + 1,), dtype="<u8", buffer=padded, strides=(1,))[ws]
+    length = we - ws
+    begins, begins_of = [], []
+    for n in BEGINNINGS:
+        long = np.flatnonzero(length > n)
+        part = eight[long] & np.uint64((1 << (8 * n)) - 1) if n < 8 else eight[long]
+        begins.append((_text.mix(part + np.uint64(n)) >> shift).astype(np.int64))
+        begins_of.append(np.searchsorted(long, wf))
     small, big = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_SMALL, _BIG))
     caps = (small[we] == small[ws]) & (big[we] - big[ws] >= 2)
     same = np.zeros(len(words), dtype=bool)
@@ -65,7 +80,9 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         n = max(1, b - a)
         levels = (int(caps[a:b].sum() / n * 8), int(same[a + 1 : b].sum() / n * 8), min(16, int((pe[c:d] - ps[c:d]).sum() / n * 8)))
         shape = [(1 << BITS) + 32 * i + x for i, x in enumerate(levels)]
-        yield np.concatenate([np.unique(np.concatenate([word_at[a:b], marks_at[c:d]])), shape])
+        found, count = np.unique(np.concatenate([x[y[r] : y[r + 1]] for x, y in zip(begins, begins_of, strict=True)]), return_counts=True)
+        often = [(found[count >= n] * m + n) & ((1 << BITS) - 1) for n, m in ((2, 40503), (4, 60493))]
+        yield np.concatenate([np.unique(np.concatenate([word_at[a:b], marks_at[c:d], found, *often])), shape])
 
 
 WIDTH = (1 << BITS) + 96
@@ -83,50 +100,56 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.02, steps: int = 200, rate: float = 0.03) -> CumulativeLink:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model."""
+def _negative_slopes(z: np.ndarray, t: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of -log P(grade) by z (a number for each row) and by the thresholds (a row for each row), where P(grade = j) = p_j - p_(j+1)."""
+    p = 1 / (1 + np.exp(-np.clip(z[:, None] - t, -40, 40)))
+    i = np.arange(len(z))
+    hi = np.concatenate([np.ones((len(z), 1)), p], axis=1)[i, grades]
+    lo = np.concatenate([p, np.zeros((len(z), 1))], axis=1)[i, grades]
+    chance, dhi, dlo = np.maximum(hi - lo, 1e-12), hi * (1 - hi), lo * (1 - lo)
+    gt = np.stack([((grades == j + 1) * dhi - (grades == j) * dlo) / chance for j in range(len(t))], axis=1)
+    return -(dhi - dlo) / chance, gt
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.3, least_z: float = 3.5, least_r: float = 0.08, steps: int = 300, rate: float = 0.05) -> CumulativeLink:
+    """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model.
+
+    Only features that the score test against a model of thresholds alone finds
+    far from chance (`least_z` standard deviations) and not too weak (a
+    correlation of `least_r`) get weights: of a hundred thousand beginnings of
+    words a few hundred tell grades apart, and the others would only learn the
+    sample by heart.
+    """
     if not len(grades) or grades.min() == grades.max():
         return CumulativeLink(np.zeros(WIDTH), np.full(n_grades - 1, -40.0))
     size = np.array([len(x) for x in rows])
     used, at = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), size)
-    # a feature of one row alone can only tell that row apart
-    often = np.bincount(at) > 1
-    keep = often[at]
-    at, row = at[keep], row[keep]
-    w = np.zeros(len(used))
-    share = np.array([(grades >= j).mean() for j in range(1, n_grades)])
-    start = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
+    share = np.clip([(grades >= j).mean() for j in range(1, n_grades)], 1e-3, 1 - 1e-3)
+    start = -np.log(share / (1 - share))
+    null, _ = _negative_slopes(np.zeros(len(rows)), start, grades)
+    df = np.bincount(at)
+    # the sum of a feature's slopes has, by chance, the variance of a sample without replacement
+    spread = null.var() * df * (1 - df / len(rows)) + 1e-9
+    told = np.abs(np.bincount(at, weights=(null - null.mean())[row])) / np.sqrt(spread) >= max(least_z, least_r * len(rows) ** 0.5)
+    keep = told[at]
+    index = np.cumsum(told) - 1
+    at, row, w = index[at[keep]], row[keep], np.zeros(int(told.sum()))
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    reached = (grades[:, None] >= np.arange(1, n_grades)).astype(float)
     state = [[np.zeros_like(w), np.zeros_like(w)], [0.0, 0.0], [np.zeros_like(gaps), np.zeros_like(gaps)]]
     for step in range(1, steps + 1):
         t = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-        z = np.bincount(row, weights=w[at], minlength=len(rows))
-        p = 1 / (1 + np.exp(-np.clip(z[:, None] - t, -40, 40)))
-        # d(-log P(grade)) / dz and / dt, where P(grade = j) = p_j - p_(j+1)
-        up = np.concatenate([np.ones((len(z), 1)), p], axis=1)
-        down = np.concatenate([p, np.zeros((len(z), 1))], axis=1)
-        i = np.arange(len(z))
-        hi, lo = up[i, grades], down[i, grades]
-        chance = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        gz = -(dhi - dlo) / chance
-        gt = np.zeros_like(reached)
-        for j in range(n_grades - 1):
-            gt[:, j] = (grades == j + 1) * dhi / chance - (grades == j) * dlo / chance
-        gw = np.bincount(at, weights=gz[row], minlength=len(w)) + l2 * w
-        gt = gt.sum(axis=0)
+        gz, gt = _negative_slopes(np.bincount(row, weights=w[at], minlength=len(rows)), t, grades)
+        gw, gt = np.bincount(at, weights=gz[row], minlength=len(w)) + l2 * w, gt.sum(axis=0)
         ggaps = np.array([gt[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
         new = []
         for value, grad, (m, v), n in zip((w, first, gaps), (gw, gt.sum(), ggaps), state, range(3), strict=True):
-            m = 0.9 * m + 0.1 * grad
-            v = 0.99 * v + 0.01 * grad**2
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             state[n] = [m, v]
             new.append(value - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8))
         w, first, gaps = new
     full = np.zeros(WIDTH)
-    full[used] = w * often
+    full[used[told]] = w
     return CumulativeLink(full, np.concatenate([[first], first + np.cumsum(np.exp(gaps))]))
 
 
