@@ -122,6 +122,15 @@ def best_local_peak(correlation: DataFrame, key: str) -> DataFrame:
     return peaks.groupBy(key).agg(F.max(F.struct("r", (-F.col("lag")).alias("l"))).alias("m")).select(key, (-F.col("m.l")).alias("lag"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m.r"))).alias("confidence"))
 
 
+def backtracked(rows: DataFrame, key: str, order: str, value: str, reach: int = 2) -> DataFrame:
+    """Rows with `onset`: the last local minimum at or before each, `reach` rows back at most, else the row itself; an as-of lookup by window."""
+    w = Window.partitionBy(key).orderBy(order)
+    low = (F.col(value) <= F.coalesce(F.lag(value).over(w), F.col(value))) & (F.col(value) <= F.coalesce(F.lead(value).over(w), F.col(value)))
+    marked = rows.withColumn("_m", F.when(low, F.col(order)))
+    near = F.last("_m", ignorenulls=True).over(w.rowsBetween(-reach, 0))
+    return marked.withColumn("onset", F.coalesce(near, F.col(order))).drop("_m")
+
+
 def window_spans(n: Column, limit: int, least: int, most: int = 24) -> Column:
     """Array of (start, end): one window up to `limit`, adjoining ones up to `most`, beyond that `most` spread evenly; a tail below `least` goes if others stay."""
     count = F.ceil(n / limit).cast("int")

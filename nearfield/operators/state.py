@@ -124,6 +124,25 @@ def edited_segment(segments: DataFrame, vectors: DataFrame, item: int, start: in
     return out, vectors.where(F.col("segment_id") != item)
 
 
+def added_segment(segments: DataFrame, parent: int, start: int, end: int, next_id: int) -> DataFrame:
+    """A user's new segment: manual and confirmed, exempt from the rules of automatic ones."""
+    if end <= start:
+        raise ValueError("a segment has a length")
+    new = segments.sparkSession.createDataFrame([(next_id, parent, start, end, "manual", True, False)], "id long, sample_id long, start_ms long, end_ms long, detection_method string, is_user_confirmed boolean, needs_review boolean")
+    return segments.unionByName(new, allowMissingColumns=True)
+
+
+def removed_segment(segments: DataFrame, vectors: DataFrame, item: int) -> tuple[DataFrame, DataFrame]:
+    """A segment and its vector, taken away; windows of the encoder stay."""
+    gone = segments.where((F.col("id") == item) & (F.col("detection_method") != "window")).select(F.col("id").alias("_g"))
+    return segments.join(gone, F.col("id") == F.col("_g"), "left_anti"), vectors.join(gone, F.col("segment_id") == F.col("_g"), "left_anti")
+
+
+def targets(current: int | None, selected: list[int], all_selected: bool) -> list[int]:
+    """What a correction goes to: the selection if it is more than one and asked for, else the current item."""
+    return selected if all_selected and len(selected) > 1 else [current] if current is not None else []
+
+
 # Folders
 
 

@@ -170,3 +170,8 @@ def circular_phase(t: Tables) -> DataFrame:
     mean = lambda f: F.avg(f(p * 2 * F.pi()))
     m = F.atan2(mean(F.sin), mean(F.cos)) / (2 * F.pi())
     return t.events.groupBy("user_id").agg(F.round(F.when(m < 0, m + 1).otherwise(m), 6).alias("phase"))
+
+
+@query("backtracked_onsets", "C25", _FRAMES + ", m AS (SELECT *, CASE WHEN value <= coalesce(lag(value) OVER w, value) AND value <= coalesce(lead(value) OVER w, value) THEN frame END AS m FROM f WINDOW w AS (PARTITION BY user_id ORDER BY frame)) SELECT user_id, CAST(frame AS INTEGER) AS frame, CAST(coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), frame) AS INTEGER) AS onset FROM m")
+def backtracked_onsets(t: Tables) -> DataFrame:
+    return I.backtracked(_events(t), "user_id", "frame", "value").select("user_id", "frame", "onset")

@@ -164,3 +164,15 @@ def one_root(t: Tables) -> DataFrame:
 def current_layout(t: Tables) -> DataFrame:
     old = t.supplier.where("s_suppkey < 50").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("is_current"))
     return state.layout_added(old, t.spark.createDataFrame([(99,)], "id long"))
+
+
+@query("manual_edits", "K5 M10", "SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_orderkey * 100 + l_linenumber = (SELECT min(l_orderkey * 100 + l_linenumber) FROM lineitem) THEN 'manual' ELSE 'auto' END AS detection_method, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT -1, 'manual', 1")
+def manual_edits(t: Tables) -> DataFrame:
+    """The first segment moved, one added, and one that was added taken away again."""
+    s = t.lineitem.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("sample_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(9).cast("long").alias("end_ms"), F.lit("auto").alias("detection_method"), F.lit(False).alias("is_user_confirmed"), F.lit(False).alias("needs_review"), F.lit("x").alias("cache_path"))
+    vectors = s.select(F.col("id").alias("segment_id"))
+    first = t.lineitem.agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber"))).first()[0]
+    s, vectors = state.edited_segment(s, vectors, first, 3, 7)
+    s = state.added_segment(state.added_segment(s, 1, 5, 6, -1), 1, 7, 8, -2)
+    s, vectors = state.removed_segment(s, vectors, -2)
+    return s.groupBy("id", "detection_method").agg(F.count("*").alias("n"))
