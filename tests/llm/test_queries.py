@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from nearfield.llm import jaccard, linededup
+from nearfield.llm import jaccard
 from nearfield.llm.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -38,10 +38,8 @@ def test_pipeline_stages(spark):
     columns, sizes = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stage(spark, docs, DIR).localCheckpoint() if False else stage(spark, docs, DIR).persist()
+        docs = stage(spark, docs, DIR).persist()
         sizes.append(docs.count())
-        if name == "line dedup":
-            assert linededup.later_copies(docs).join(docs, docs.doc_id == linededup.later_copies(docs).doc).count() <= before.count()
         if name == "n-gram Jaccard join":
             groups = jaccard.near_duplicates(before, k=5, percent=80)
             assert docs.count() == groups.select("component_id").distinct().count()
