@@ -11,7 +11,7 @@ AUDIO = [".wav", ".flac", ".aif", ".aiff", ".mp3", ".ogg"]
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, folder, filename, ext, file_size, file_mtime) of all files below a folder; contents aren't read."""
+    """(path, folder, filename, ext, file_size, file_mtime) of all files below a folder; contents aren't read, and hidden names (with a leading dot or underscore) aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.col("path")
     return files.select(path, folder_of(path).alias("folder"), base_name(path).alias("filename"), extension(path).alias("ext"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
@@ -76,19 +77,24 @@ class NewestWins:
     """One query at a time: a newer one interrupts the running one, whose result is None."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self._n, self._lock = spark, 0, threading.Lock()
+        self.spark, self._n, self._lock, self._last = spark, 0, threading.Lock(), None
         self._threads = ThreadPoolExecutor(max_workers=4)
 
     def submit(self, query: Callable[[], Any]) -> Future:
         with self._lock:
-            before, self._n = self._n, self._n + 1
-            mine = self._n
-        if before:
-            self.spark.interruptTag(f"query-{before}")
+            self._n += 1
+            mine, last = self._n, self._last
+
+        sc = self.spark.sparkContext
 
         def work() -> Any:
-            self.spark.addTag(f"query-{mine}")
+            sc.addJobTag(f"query-{mine}")
+            sc.setInterruptOnCancel(True)
             try:
+                # again and again, as a job that hasn't begun can't be interrupted
+                while last is not None and not last.done():
+                    self.spark.sparkContext.cancelJobsWithTag(f"query-{mine - 1}")
+                    time.sleep(0.05)
                 if mine != self._n:
                     return None
                 out = query()
@@ -98,6 +104,8 @@ class NewestWins:
                     return None
                 raise
             finally:
-                self.spark.removeTag(f"query-{mine}")
+                sc.removeJobTag(f"query-{mine}")
 
-        return self._threads.submit(work)
+        with self._lock:
+            future = self._last = self._threads.submit(work)
+        return future

@@ -53,7 +53,7 @@ def test_statistics_ignore_missing_and_nan(spark):
 def test_scale_of_nothing_leaves_distances(spark):
     d = frame(spark, [(0.0, None), (0.0, 2.0), (0.0, 4.0)], "d_a double, d_b double")
     assert rows_of(similarity.scaled(d, ["a", "b"]))[0][0] == 0.0
-    assert {r.d_b for r in similarity.scaled(d, ["a", "b"]).collect()} == {None, pytest.approx(2 / 3.9), 1.0}
+    assert [r.d_b for r in similarity.scaled(d, ["a", "b"]).orderBy("d_b").collect()] == [None, pytest.approx(2 / 3.9), 1.0]
 
 
 def test_search_normalises_the_query_alone(spark):
@@ -281,8 +281,8 @@ def test_listing(spark, tmp_path):
     for p in ("a.wav", "sub/b.WAV", "sub/c.flac", "loop.rx2", "._x.wav", "readme"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_bytes(b"x")
-    files = ingest.listing(spark, str(tmp_path))
-    assert rows_of(ingest.kinds_of(files)) == [("._*", 1), (".flac", 1), (".rx2", 1), (".wav", 2), ("<no-ext>", 1)]
+    files = ingest.listing(spark, str(tmp_path))  # Spark's sources leave hidden names out
+    assert rows_of(ingest.kinds_of(files)) == [(".flac", 1), (".rx2", 1), (".wav", 2), ("<no-ext>", 1)]
 
 
 def test_catalogue_parts(spark):
