@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dot
 from nearfield.functions.scalars import clip, known
+from nearfield.operators.quantiles import quantiles
 
 MAD_FACTOR, Z_LIMIT, SPREAD_FLOOR, SCALE_SHARE = 1.4826, 4.0, 1e-9, 0.95
 
@@ -41,9 +42,9 @@ class Axes:
 
     def fitted(self, items: DataFrame) -> Axes:
         """Medians, then median absolute deviations times 1.4826 (1 where that is nothing), over all items."""
-        first = items.agg(*(F.median(known(F.col(c).cast("double"))).alias(c) for c in self.features)).first().asDict()
-        away = [F.median(F.abs(known(F.col(c).cast("double")) - F.lit(first[c]).cast("double"))).alias(c) for c in self.features]
-        second = items.agg(*away).first().asDict()
+        value = {c: known(F.col(c).cast("double")) for c in self.features}
+        first = quantiles(items, value, 0.5)
+        second = quantiles(items, {c: F.abs(v - F.lit(first[c]).cast("double")) for c, v in value.items()}, 0.5)
         spread = {c: second[c] * MAD_FACTOR if second[c] is not None and second[c] * MAD_FACTOR > SPREAD_FLOOR else 1.0 for c in self.features}
         return Axes(self.columns, first, spread)
 
@@ -74,7 +75,7 @@ def vector_distance(vector: Column, anchor: Column) -> Column:
 
 def scaled(distances: DataFrame, axes: list[str]) -> DataFrame:
     """Each axis over its 95th percentile over all items, within 0..1; as it is where that is 0."""
-    p = distances.agg(*(F.percentile(f"d_{a}", F.lit(SCALE_SHARE)).alias(a) for a in axes)).first().asDict()
+    p = quantiles(distances, {a: F.col(f"d_{a}") for a in axes}, SCALE_SHARE)
     return distances.withColumns({f"d_{a}": clip(F.col(f"d_{a}") / p[a], 0.0, 1.0) if p[a] is not None and p[a] > 0 else F.col(f"d_{a}") for a in axes})
 
 
@@ -110,9 +111,17 @@ class Ranker:
 
     def __post_init__(self) -> None:
         self.axes = self.axes.fitted(self.items)
-        self.z = self.axes.standardised(self.items)
+        # every ranking reads it, and it depends on the population alone
+        self.z = self.axes.standardised(self.items).persist()
+        self._anchor: tuple[tuple[str, int], DataFrame] | None = None
 
     def distances(self, kind: str, item: int) -> DataFrame:
+        """All items with their distances from an anchor; those of the last anchor are kept, so that other weights only blend anew."""
+        if self._anchor is None or self._anchor[0] != (kind, item):
+            self._anchor = (kind, item), self._distances(kind, item)
+        return self._anchor[1]
+
+    def _distances(self, kind: str, item: int) -> DataFrame:
         row = self.z.where((F.col("kind") == kind) & (F.col("id") == item)).select(*self.axes.features).first()
         if row is None:
             raise ValueError(f"no {kind} {item}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dot, norm, softmax, unit
+from nearfield.operators.quantiles import quantiles
 
 TIE_MARGIN, MELODIC_SHARE, RHYTHMIC_SHARE, CLASS_CONFIDENCE = 0.15, 0.7, 0.3, 0.5
 #: Rows of a block of the all-pairs product.
@@ -127,10 +128,10 @@ def zero_shot(scores: DataFrame, id_: str, classes: list[str], scale: float, *,
 
 def stretched(values: DataFrame, value: str, out: str = "t") -> DataFrame:
     """A value between its 5th and 95th percentile as 0..1; missing stays missing."""
-    p = values.agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("p")).first()["p"]
-    if p is None:
+    low, high = (quantiles(values, {"v": F.col(value)}, share)["v"] for share in (0.05, 0.95))
+    if low is None:
         return values.withColumn(out, F.lit(None).cast("double"))
-    low, span = p[0], max(p[1] - p[0], 1e-9)
+    span = max(high - low, 1e-9)
     x = (F.col(value) - low) / span
     return values.withColumn(out, F.when(x.isNull(), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
 

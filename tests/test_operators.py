@@ -56,6 +56,19 @@ def test_scale_of_nothing_leaves_distances(spark):
     assert [r.d_b for r in similarity.scaled(d, ["a", "b"]).orderBy("d_b").collect()] == [None, pytest.approx(2 / 3.9), 1.0]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.95, 1.0])
+def test_quantiles_of_many_values_are_exact(spark, share):
+    import numpy as np
+
+    from nearfield.operators.quantiles import quantiles
+
+    df = spark.range(40_000).selectExpr("id", "cast(hash(id) as double) x", "case when id % 3 > 0 then 7.0 else id * 1.0 end y", "cast(null as double) z", "case when id < 9 then sqrt(id) end w")
+    got = quantiles(df, {c: F.col(c) for c in "xyzw"}, share, small=50)
+    want = quantiles(df, {c: F.col(c) for c in "xyzw"}, share)
+    assert got == pytest.approx(want) and got["z"] is None
+    assert want["x"] == pytest.approx(np.quantile(df.toPandas()["x"], share))
+
+
 def test_search_normalises_the_query_alone(spark):
     items = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0])], "id long, vector array<double>")
     assert rows_of(similarity.searched(items, [0.0, 5.0], 2).select("id", "score")) == [(1, 0.0), (2, 2.0)]
