@@ -13,8 +13,9 @@ k-word shingles (64-bit hashes).  The join works on distinct sets only:
    contracted to components;
 4. further rounds: candidate pairs of the posting lists that lie in different
    components, in blocks of bounded size, with the length and positional filters
-   and a suffix filter, which compares how two sets fall into fixed ranges: what
-   falls apart there is a lower bound of their difference.  The second round
+   and a suffix filter, which compares how two sets fall into 128 fixed ranges: as
+   many ranges as hold an odd number of one set and an even one of the other, so
+   many shingles differ at least.  The second round
    takes one of them for each posting, at random, which joins most of a group of
    near copies; the third takes all that are left.  A group that is joined makes no
    more pairs, so its cost is about linear in its size, and no pair that could
@@ -48,8 +49,6 @@ from nearfield.llm._io import dropped, stored
 COUNT_BITS = 20
 #: Rows of the count table in one piece of the sum.
 PIECE = 1 << 14
-#: Ranges of hashes that the suffix filter counts.
-RANGES = 64
 #: Bits of the filter of needed documents: 4 MB.
 FILTER_BITS = 25
 #: Postings in one block of a long posting list.
@@ -114,19 +113,19 @@ def _rare_first(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """By document: its set's size, the set's class (two longs), and how the set falls into fixed ranges."""
+    """By document: its set's size, the set's class (two longs), and the parities of its counts in 128 fixed ranges (two longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for i, s in _sets(iter([batch]), k):
-                spread = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8)
-                rows.append((i, len(s), *_class_of(s), spread.tobytes()))
+                odd = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+                rows.append((i, len(s), *_class_of(s), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
             if rows:
-                a, b, c, d, e = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.binary())], ["doc", "n", "class", "class2", "spread"])
+                names = ["doc", "n", "class", "class2", "odd1", "odd2"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc long, n long, class long, class2 long, spread binary")
+    return docs.mapInArrow(run, "doc long, n long, class long, class2 long, odd1 long, odd2 long")
 
 
 def _postings(docs: DataFrame, k: int, percent: int, place: np.ndarray) -> DataFrame:
@@ -170,42 +169,54 @@ def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _shared(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of tokens that two classes at least post, each with `prev`: the class before it by size in its list, if the length and positional filters let the pair pass."""
+    """Postings of which another class's in the same list may be a partner, each with `prev`: the class before it by size, if the pair passes the length and positional filters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] | None = None  # the row before this batch, which may be the first of a list
-        last_shared = False
+    Lists are read in order of size, so a posting whose neighbours fail the
+    length filter has no partner at all, and of two that stand alone the
+    positional filter decides, too.
+    """
+    names = ["token", "class", "n", "pos", "prev"]
+
+    def judged(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """By posting: whether it stays, and whether it pairs with the one before."""
+        token, _, n, pos = cols
+        n = n.astype(np.int64)
+        a, b = n[:-1], n[1:]
+        near = np.zeros(len(n) + 1, dtype=bool)
+        near[1:-1] = (token[1:] == token[:-1]) & (100 * a >= percent * b)
+        pairs = np.zeros(len(n) + 1, dtype=bool)
+        pairs[1:-1] = near[1:-1] & (np.minimum(a - pos[:-1], b - pos[1:]) >= _least_overlap(a, b, percent))
+        alone = np.zeros(len(n) + 1, dtype=bool)
+        alone[1:-1] = ~near[:-2] & ~near[2:]
+        live = near & ~(alone & ~pairs)
+        return live[:-1] | live[1:], pairs[:-1]
 
-        def rows(cols: list[np.ndarray], prev: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(prev, mask=~has)], ["token", "class", "n", "pos", "prev"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last four rows are read again with the next ones: two are out, two wait for what follows
+        held: list[np.ndarray] | None = None
+        out = 0
+
+        def rows(cols: list[np.ndarray], begin: int, end: int) -> Iterator[pa.RecordBatch]:
+            stay, pairs = judged(cols)
+            stay[:begin] = False
+            stay[end:] = False
+            at = np.flatnonzero(stay)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols), pa.array(cols[1][np.maximum(at - 1, 0)], mask=~pairs[at])], names)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if last is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(last, cols, strict=True)]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
             fresh = np.ones(len(cols[0]), dtype=bool)
             fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [c[fresh] for c in cols]
-            token, own, n, pos = cols
-            same = token[1:] == token[:-1]
-            shared = np.zeros(len(token), dtype=bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            if last is not None:
-                shared[0] |= last_shared
-            prev, has = np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=bool)
-            a, b = n[:-1].astype(np.int64), n[1:].astype(np.int64)
-            prev[1:] = own[:-1]
-            has[1:] = same & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[:-1], b - pos[1:]) >= _least_overlap(a, b, percent))
-            keep = shared.copy()
-            if last is not None:
-                keep[0] &= not last_shared  # else it is out already
-            keep[-1:] &= shared[-1:]
-            if keep.any():
-                yield rows([c[keep] for c in cols], prev[keep], has[keep])
-            last, last_shared = [c[-1:].copy() for c in cols], bool(shared[-1])
+            end = max(out, len(cols[0]) - 2)
+            yield from rows(cols, out, end)
+            keep = max(0, len(cols[0]) - 4)
+            held, out = [c[keep:].copy() for c in cols], end - keep
+        if held is not None and len(held[0]):
+            yield from rows(held, out, len(held[0]))
 
     return postings.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "token long, class long, n int, pos int, prev long")
 
@@ -213,17 +224,17 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
 def _crossing(lists: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs (a, b) of classes of one posting list in different components that pass the length, positional and suffix filters; with a seed, one for each posting.
 
-    lists: token, class, n, pos, spread, comp, size.  A list of over BLOCK postings is cut into blocks, and each pair of blocks is a group of its own.
+    lists: token, class, n, pos, odd1, odd2, comp, size.  A list of over BLOCK postings is cut into blocks, and each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "spread")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "odd1", "odd2")
 
     def pairs_of(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        token, i, j, own, cls, n, pos, comp, spread = g
+        token, i, j, own, cls, n, pos, comp, odd1, odd2 = g
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        spread = np.frombuffer(b"".join(spread.tolist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
+        odd1, odd2 = odd1.view(np.uint64), odd2.view(np.uint64)
         top = np.searchsorted(n, (100 * n) // percent, side="right")
         left, right = [], []
         for x in range(len(n) - 1):
@@ -233,7 +244,8 @@ def _crossing(lists: DataFrame, percent: int, seed: int | None) -> DataFrame:
                 ok &= own[y] != own[x]
             near = np.flatnonzero(ok) + x + 1
             if len(near):
-                near = near[np.abs(spread[near] - spread[x]).sum(axis=1) <= n[x] + n[near] - 2 * _least_overlap(n[x], n[near], percent)]
+                apart = np.bitwise_count(odd1[near] ^ odd1[x]).astype(np.int64) + np.bitwise_count(odd2[near] ^ odd2[x])
+                near = near[apart <= n[x] + n[near] - 2 * _least_overlap(n[x], n[near], percent)]
             if len(near):
                 others = cls[near]
                 if seed is not None and len(others) > 1:
@@ -249,7 +261,7 @@ def _crossing(lists: DataFrame, percent: int, seed: int | None) -> DataFrame:
         rest: list[np.ndarray] | None = None
         out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
         for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(9)]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(10)]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -322,14 +334,14 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k
     docs = df.select(df[doc].cast("long").alias("id"), df[text].cast("string").alias("text")).where("id is not null")
     place = _rare_first(docs, k)
     profiles = stored(_profiles(docs, k))
-    classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("spread").alias("spread")))
+    classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("odd1").alias("odd1"), F.first("odd2").alias("odd2")))
     shared = stored(_shared(_postings(docs, k, percent, place), percent))
 
 
     tested = stored(shared.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct())
     joined = stored(components(_links(docs, classes, tested, k, percent)))
     for seed in (1, None):
-        comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "spread", F.coalesce("component", "doc").alias("comp"))
+        comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "odd1", "odd2", F.coalesce("component", "doc").alias("comp"))
         lists = shared.drop("prev").join(comp, "class")
         mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
         pairs = stored(_crossing(lists.join(mixed, "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
