@@ -302,27 +302,20 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
             for c in ("_b1", "_b2"):
                 bit = batch.column(c).to_numpy()
                 ok &= (held[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) > 0
-            rows = [(_class_of(s)[0], s.tobytes()) for _, s in _sets(iter([batch.filter(pa.array(ok))]), k)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "tokens"])
-
-    sets = wanted.mapInArrow(read, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens")).join(needed, "class")
+            for part in _text.slices(batch.filter(pa.array(ok)), "text"):
+                own = list(_text.shingle_sets(part.column("text"), k))
+                at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(at), _signed(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s)[0] for s in own], pa.int64()), tokens], ["class", "tokens"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = np.concatenate([s, t])
-                both.sort()
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * inter >= percent * (len(s) + len(t) - inter))
-            if any(ok):
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("u", "v")], ["u", "v"])
+    sets = wanted.mapInArrow(read, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens")).join(needed, "class")
 
     side = lambda x, y: sets.select(F.col("class").alias(x), F.col("doc").alias(y), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b")
-    out = stored(both.select("u", "v", "ta", "tb").mapInArrow(verify, "u long, v long"))
+    # rows of two whole sets stay in the JVM, where they spill; a batch of them for Python would have no bound
+    # 100 * inter >= percent * (a + b - inter), written so that the intersection is made once
+    links = F.size(F.array_intersect("ta", "tb")) * F.lit(100 + percent).cast("long") >= (F.size("ta") + F.size("tb")) * F.lit(percent).cast("long")
+    out = stored(both.where(links).select("u", "v"))
     dropped(needed)
     return out
 
