@@ -52,7 +52,7 @@ def counts_under(folders: DataFrame, rows: DataFrame, folder: str = "path", path
 
 @dataclass(frozen=True)
 class Criteria:
-    """Filters of list rows; a missing value fails each bound that is set."""
+    """Filters of list rows; a missing value fails each bound that is set: the condition is NULL then, which a filter drops, and bounds stay plain comparisons that reach the scan."""
 
     types: frozenset[str] | None = None
     class_minima: dict[str, float] = field(default_factory=dict)
@@ -63,11 +63,11 @@ class Criteria:
         out = []
         if self.types is not None:
             out.append(F.coalesce(F.col(type_col), F.lit("")).isin(*self.types) if self.types else F.lit(False))
-        out += [F.coalesce(F.element_at(F.col(scores_col), F.lit(k)) >= v, F.lit(False)) for k, v in self.class_minima.items()]
+        out += [F.element_at(F.col(scores_col), F.lit(k)) >= v for k, v in self.class_minima.items()]
         for name, (low, high) in self.ranges.items():
-            out += [F.coalesce(F.col(name) >= low, F.lit(False))] if low is not None else []
-            out += [F.coalesce(F.col(name) <= high, F.lit(False))] if high is not None else []
-        out += [F.coalesce(F.col(f"d_{a}").between(low, high), F.lit(False)) for a, (low, high) in self.axis_ranges.items()]
+            out += [F.col(name) >= low] if low is not None else []
+            out += [F.col(name) <= high] if high is not None else []
+        out += [F.col(f"d_{a}").between(low, high) for a, (low, high) in self.axis_ranges.items()]
         return all_of(out)
 
 
@@ -98,7 +98,7 @@ class ColumnFilter:
         if self.values is not None:
             out.append(shown.isin(*self.values) if self.values else F.lit(False))
         if self.low is not None or self.high is not None:
-            out.append(F.coalesce(raw >= 0, F.lit(False)))
+            out.append(raw >= 0)
             out += [raw >= self.low] if self.low is not None else []
             out += [raw <= self.high] if self.high is not None else []
         return all_of(out)
