@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from nearfield.llm._io import dropped, stored
 
-
 #: Edges that one task may hold: about 200 MB while it contracts them.
 ONE_TASK = 1 << 21
 

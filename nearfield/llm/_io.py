@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset a temporary one, in local mode only (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.nearfield.shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.nearfield.shared", folder)
     return folder

@@ -22,7 +22,6 @@ rows; scaled components of 2^26 and more are refused, as scores must fit a long.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +137,3 @@ def search(df: DataFrame, is_query: Column, vec: str = "vec_id", embedding: str
     met = candidates.groupBy("g", "c").cogroup(queries.groupBy("g", "c")).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-
