@@ -13,9 +13,9 @@ k-word shingles (64-bit hashes).  The join works on distinct sets only:
    contracted to components;
 4. further rounds: candidate pairs of the posting lists that lie in different
    components, in blocks of bounded size, with the length and positional filters
-   and a suffix filter, which compares how two sets fall into 128 fixed ranges: as
+   and a suffix filter, which compares how two sets fall into fixed ranges: as
    many ranges as hold an odd number of one set and an even one of the other, so
-   many shingles differ at least.  The second round
+   many shingles differ at least (128 ranges in the lists, 1024 for each pair).  The second round
    takes one of them for each posting, at random, which joins most of a group of
    near copies; the third takes all that are left.  A group that is joined makes no
    more pairs, so its cost is about linear in its size, and no pair that could
@@ -49,6 +49,8 @@ from nearfield.llm._io import dropped, stored
 COUNT_BITS = 20
 #: Rows of the count table in one piece of the sum.
 PIECE = 1 << 14
+#: Ranges of the suffix filter that reads a pair before its sets are.
+FINE = 1024
 #: Bits of the filter of needed documents: 4 MB.
 FILTER_BITS = 25
 #: Postings in one block of a long posting list.
@@ -113,19 +115,20 @@ def _rare_first(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """By document: its set's size, the set's class (two longs), and the parities of its counts in 128 fixed ranges (two longs)."""
+    """By document: its set's size, the set's class (two longs), and the parities of its counts in 128 fixed ranges (two longs) and in FINE ones (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for i, s in _sets(iter([batch]), k):
-                odd = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-                rows.append((i, len(s), *_class_of(s), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+                odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE) & 1).astype(np.uint8)
+                few = np.packbits(odd.reshape(128, -1).sum(axis=1) & 1).view(np.int64)
+                rows.append((i, len(s), *_class_of(s), *few.tolist(), np.packbits(odd).tobytes()))
             if rows:
-                names = ["doc", "n", "class", "class2", "odd1", "odd2"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                names = ["doc", "n", "class", "class2", "odd1", "odd2", "odd"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "odd" else pa.int64()) for c, name in zip(zip(*rows, strict=True), names, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc long, n long, class long, class2 long, odd1 long, odd2 long")
+    return docs.mapInArrow(run, "doc long, n long, class long, class2 long, odd1 long, odd2 long, odd binary")
 
 
 def _postings(docs: DataFrame, k: int, percent: int, place: np.ndarray) -> DataFrame:
@@ -290,7 +293,18 @@ def _filter_of(needed: DataFrame) -> np.ndarray:
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link, as (u, v), their first documents.  Only texts that the pairs name are cut into sets again."""
+    """Those pairs (a, b) of classes that link, as (u, v), their first documents.  Only texts of pairs that pass the finer suffix filter are cut into sets again."""
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("oa", "ob"))
+                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= na + nb - 2 * _least_overlap(na, nb, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+    whose = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
+    pairs = stored(pairs.join(whose("a"), "a").join(whose("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(finer, "a long, b long"))
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed.select("doc")))
     wanted = docs.withColumns({f"_b{seed}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 64 - FILTER_BITS) for seed in (1, 2)})
@@ -316,7 +330,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     # 100 * inter >= percent * (a + b - inter), written so that the intersection is made once
     links = F.size(F.array_intersect("ta", "tb")) * F.lit(100 + percent).cast("long") >= (F.size("ta") + F.size("tb")) * F.lit(percent).cast("long")
     out = stored(both.where(links).select("u", "v"))
-    dropped(needed)
+    dropped(needed, pairs)
     return out
 
 
@@ -327,7 +341,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k
     docs = df.select(df[doc].cast("long").alias("id"), df[text].cast("string").alias("text")).where("id is not null")
     place = _rare_first(docs, k)
     profiles = stored(_profiles(docs, k))
-    classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("odd1").alias("odd1"), F.first("odd2").alias("odd2")))
+    classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("odd1").alias("odd1"), F.first("odd2").alias("odd2"), F.first("odd").alias("odd")))
     shared = stored(_shared(_postings(docs, k, percent, place), percent))
 
 
