@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many values a column's value-count map is small enough for one aggregation.
-SMALL = 2_000_000
+SMALL = 1_000_000
 #: Accuracy of the sketches that narrow the range: they are off by a ten-thousandth of the rows at most.
 ACCURACY = 10_000
 

@@ -110,9 +110,10 @@ class Ranker:
     axes: Axes
 
     def __post_init__(self) -> None:
+        # every pass over statistics and every ranking reads it
+        self.items = self.items.persist()
         self.axes = self.axes.fitted(self.items)
-        # every ranking reads it, and it depends on the population alone
-        self.z = self.axes.standardised(self.items).persist()
+        self.z = self.axes.standardised(self.items)
         self._anchor: tuple[tuple[str, int], DataFrame] | None = None
 
     def distances(self, kind: str, item: int) -> DataFrame:
