@@ -30,6 +30,8 @@ from nearfield.llm import _text
 
 #: Code points of a leaf.
 LEAF = 8192
+#: Bytes of text whose tokens a worker holds as Python numbers at once.
+SLICE_BYTES = 1 << 20
 #: Code points on each side of a boundary that the first window takes.
 WINDOW = 64
 
@@ -146,7 +148,7 @@ def encode(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] = ("doc_i
         codec = Codec(path, pattern)
         decimal = [str(i) for i in range(codec.bpe.max_token_value + 1)]
         for batch in batches:
-            for part in _text.slices(batch, "_text"):
+            for part in _text.slices(batch, "_text", SLICE_BYTES):
                 ids = [codec.encode(t or "") for t in part.column("_text").to_pylist()]
                 out = [part.column(c) for c in inner] + [pa.array([len(x) for x in ids], pa.int64())]
                 if tokens:
