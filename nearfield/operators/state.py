@@ -92,6 +92,9 @@ def pruned(tags: DataFrame, uses: DataFrame) -> DataFrame:
 
 # Segments
 
+#: Parents whose counts are summed in one task.
+_RANGE = 4096
+
 
 def replaced_segments(stored: DataFrame, found: DataFrame, parents: list[int] | None, next_id: int) -> DataFrame:
     """Automatic, unconfirmed segments of the parents give way to new ones; those of no length, or equal to one that stays, are left out."""
@@ -99,11 +102,13 @@ def replaced_segments(stored: DataFrame, found: DataFrame, parents: list[int] |
     stay = stored.where(~(mine & (F.col("detection_method") == "auto") & ~F.col("is_user_confirmed")))
     keys = ["sample_id", "start_ms", "end_ms", "detection_method"]
     fresh = found.where("end_ms > start_ms").dropDuplicates(keys).join(stay.select(*keys), keys, "left_anti")
-    # ids by rank within parents, and parents by running count: no sort of all rows in one task but of one count by parent
-    per = fresh.groupBy("sample_id").agg(F.count("*").alias("_n"))
-    base = per.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("sample_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # ids by rank within parents, parents by running count within ranges of _RANGE ids, and ranges by running count: one task sorts a row for each range alone
+    per = fresh.groupBy("sample_id").agg(F.count("*").alias("_n")).withColumn("_g", F.floor(F.col("sample_id") / _RANGE))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = per.groupBy("_g").agg(F.sum("_n").alias("_n")).select("_g", before(Window.orderBy("_g")).alias("_f"))
+    base = per.withColumn("_b", before(Window.partitionBy("_g").orderBy("sample_id"))).join(ranges, "_g").select("sample_id", (F.col("_f") + F.col("_b")).alias("_b"))
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("start_ms", "end_ms"))
-    fresh = fresh.withColumn("_r", rank).join(base, "sample_id").withColumn("id", F.lit(next_id - 1) + F.col("_b") + F.col("_r")).drop("_r", "_b", "_n")
+    fresh = fresh.withColumn("_r", rank).join(base, "sample_id").withColumn("id", F.lit(next_id - 1) + F.col("_b") + F.col("_r")).drop("_r", "_b")
     return stay.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -113,6 +113,16 @@ def segments_replaced(t: Tables) -> DataFrame:
     return state.replaced_segments(stored, found, None, 1).agg(F.count("*").alias("n"))
 
 
+@query("segments_replaced_rows", "K2 K4", "WITH s AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber * 100 AS a, CAST(l_quantity AS BIGINT) AS q, l_returnflag = 'A' AS manual FROM lineitem), n AS (SELECT DISTINCT sample_id, a + 50 AS a, a + q + 50 AS b FROM s WHERE q > 0) SELECT sample_id, a AS start_ms, a + q AS end_ms, 'manual' AS detection_method, -(sample_id * 1000000 + a * 100 + q) AS id FROM s WHERE manual UNION ALL SELECT sample_id, a, b, 'auto', row_number() OVER (ORDER BY sample_id, a, b) FROM n")
+def segments_replaced_rows(t: Tables) -> DataFrame:
+    """The segments of all orders after their replacement, with old and new ids; segments_replaced counts those of the first orders alone, as its SQL does."""
+    start, length = F.col("l_linenumber").cast("long") * 100, F.col("l_quantity").cast("long")
+    s = t.lineitem.select(F.col("l_orderkey").alias("sample_id"), start.alias("start_ms"), (start + length).alias("end_ms"), F.when(F.col("l_returnflag") == "A", "manual").otherwise("auto").alias("detection_method")).distinct()
+    stored = s.withColumn("id", -(F.col("sample_id") * 1000000 + F.col("start_ms") * 100 + F.col("end_ms") - F.col("start_ms"))).withColumn("is_user_confirmed", F.lit(False))
+    found = s.select("sample_id", (F.col("start_ms") + 50).alias("start_ms"), (F.col("end_ms") + 50).alias("end_ms"), F.lit("auto").alias("detection_method"), F.lit(False).alias("is_user_confirmed"))
+    return state.replaced_segments(stored, found, None, 1).drop("is_user_confirmed")
+
+
 @query("manual_refresh", "K3", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN l_linenumber * 1000 >= 3500 OR l_linenumber * 1000 + 700 > 3500 ELSE FALSE END AS needs_review FROM lineitem")
 def manual_refresh(t: Tables) -> DataFrame:
     start = (F.col("l_linenumber") * 1000).cast("long")
