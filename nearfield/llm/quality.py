@@ -111,12 +111,13 @@ def _negative_slopes(z: np.ndarray, t: np.ndarray, grades: np.ndarray) -> tuple[
     return -(dhi - dlo) / chance, gt
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.3, least_z: float = 3.5, least_r: float = 0.08, steps: int = 300, rate: float = 0.05) -> CumulativeLink:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.3, least_z: float = 3.5, least_r: float = 0.08, least_effect: float = 1.0, steps: int = 300, rate: float = 0.05) -> CumulativeLink:
     """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model.
 
     Only features that the score test against a model of thresholds alone finds
     far from chance (`least_z` standard deviations) and not too weak (a
-    correlation of `least_r`) get weights: of a hundred thousand beginnings of
+    correlation of `least_r`, or a mean slope by occurrence of `least_effect`
+    standard deviations, which a rare but pure feature has) get weights: of a hundred thousand beginnings of
     words a few hundred tell grades apart, and the others would only learn the
     sample by heart.
     """
@@ -131,7 +132,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float
     df = np.bincount(at)
     # the sum of a feature's slopes has, by chance, the variance of a sample without replacement
     spread = null.var() * df * (1 - df / len(rows)) + 1e-9
-    told = np.abs(np.bincount(at, weights=(null - null.mean())[row])) / np.sqrt(spread) >= max(least_z, least_r * len(rows) ** 0.5)
+    z = np.abs(np.bincount(at, weights=(null - null.mean())[row])) / np.sqrt(spread)
+    # by a correlation alone a feature would need a fixed share of the rows, however many there are; its effect by occurrence doesn't depend on that
+    effect = z * np.sqrt((1 - df / len(rows)) / df)
+    told = (z >= least_z) & ((z >= least_r * len(rows) ** 0.5) | (effect >= least_effect))
     keep = told[at]
     index = np.cumsum(told) - 1
     at, row, w = index[at[keep]], row[keep], np.zeros(int(told.sum()))
