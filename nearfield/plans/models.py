@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import encoders, signal
 from nearfield.io import Tables
 from nearfield.plans._registry import query
+from nearfield.sources import ingest
 from nearfield.streaming import incremental
 
 
@@ -32,29 +33,48 @@ def latent_variants(t: Tables) -> DataFrame:
     return layers.select("layer", F.explode(F.array(F.lit("mean"), F.lit("mean-std"))).alias("pooling"))
 
 
-def _tones(t: Tables) -> DataFrame:
+#: Files in a batch of rows, at most.
+_FILES = 64
+
+
+def _tones(suppliers: DataFrame) -> DataFrame:
     """A second of a tone for each supplier, as a WAVE file; pitch by key."""
 
     def make(batches):
         for b in batches:
             time = np.arange(signal.RATE) / signal.RATE
-            b = b.copy()
-            b["content"] = [signal.wave_bytes(0.5 * np.sin(2 * np.pi * (220 + 10 * (k % 20)) * time), signal.RATE) for k in b["k"]]
-            b["path"] = [f"/tones/{k}.wav" for k in b["k"]]
-            yield b[["path", "content"]]
+            for i in range(0, len(b), _FILES):
+                part = b[i : i + _FILES].copy()
+                part["content"] = [signal.wave_bytes(0.5 * np.sin(2 * np.pi * (220 + 10 * (k % 20)) * time), signal.RATE) for k in part["k"]]
+                part["path"] = [f"/tones/{k}.wav" for k in part["k"]]
+                yield part[["path", "content"]]
 
-    return t.supplier.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("k")).mapInPandas(make, "path string, content binary")
+    # keys are few bytes and files are not: as many tasks as a shuffle has, and not those of the keys' one small file
+    tasks = int(suppliers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return suppliers.select(F.col("s_suppkey").alias("k")).repartition(tasks).mapInPandas(make, "path string, content binary")
 
 
-@query("described_tones", "A4 A5 A7 A8 A9 I1 I3 I4 I5 I6 I7 I8 I9 E11 E13 K11")
+@query("described_tones", "A5 A7 A8 A9 I1 I3 I4 I5 I6 I7 I8 I9 E11 E13 K11")
 def described_tones(t: Tables) -> DataFrame:
-    d = signal.described_files(_tones(t))
+    d = signal.described_files(_tones(t.supplier))
     return d.select("path", "duration_s", "sample_rate", "channels", F.round("d.f0_hz", 1).alias("f0_hz"), F.round("d.harmonic_ratio", 3).alias("harmonic_ratio"), "error")
 
 
+@query("described_changes", "A4")
+def described_changes(t: Tables) -> DataFrame:
+    """Of the tones, those that a walk found new or changed; others, touched ones too, aren't read."""
+    k = F.col("s_suppkey")
+    rows = t.supplier.select(k, F.concat(F.lit("/tones/"), k.cast("string"), F.lit(".wav")).alias("path"))
+    found = rows.select("path", F.lit(1).alias("size"), F.when((k % 10).isin(4, 5), 2).otherwise(1).alias("mtime"), F.when(k % 10 == 4, "new").otherwise("old").alias("hash"))
+    known = rows.where(k % 10 != 1).select(k.alias("id"), "path", F.lit(1).alias("size"), F.lit(1).alias("mtime"), F.lit("old").alias("hash"))
+    due = ingest.compared(found, known).where("change in ('added', 'changed')").select("path", "change")
+    d = signal.described_files(_tones(rows.join(due, "path", "left_semi")))
+    return d.join(due, "path").select("path", "change", F.round("d.f0_hz", 1).alias("f0_hz"), "error")
+
+
 @query("rendered_cuts", "A15")
 def rendered_cuts(t: Tables) -> DataFrame:
-    files = _tones(t)
+    files = _tones(t.supplier)
     segments = files.select("path", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("id")).select("id", "path", F.lit(100).alias("start_ms"), F.lit(300).alias("end_ms"))
     return signal.rendered_segments(segments, files).select("id", F.length("wave").alias("bytes"), "error")
 

@@ -176,6 +176,13 @@ def current_layout(t: Tables) -> DataFrame:
     return state.layout_added(old, t.spark.createDataFrame([(99,)], "id long"))
 
 
+@query("current_layout_whole", "J10", "SELECT s_suppkey AS id, FALSE AS is_current FROM supplier UNION ALL SELECT max(s_suppkey) + 1, TRUE FROM supplier")
+def current_layout_whole(t: Tables) -> DataFrame:
+    """All layouts and a new one; current_layout has the first of them alone, as its SQL has."""
+    old = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(True).alias("is_current"))
+    return state.layout_added(old, t.supplier.agg((F.max("s_suppkey") + 1).alias("id")))
+
+
 @query("manual_edits", "K5 M10", "SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_orderkey * 100 + l_linenumber = (SELECT min(l_orderkey * 100 + l_linenumber) FROM lineitem) THEN 'manual' ELSE 'auto' END AS detection_method, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT -1, 'manual', 1")
 def manual_edits(t: Tables) -> DataFrame:
     """The first segment moved, one added, and one that was added taken away again."""

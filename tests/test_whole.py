@@ -23,3 +23,29 @@ def test_every_segment_has_a_label(spark, lines):
 def test_every_segment_is_replaced(spark, lines):
     got = catalogue.QUERIES["segments_replaced_rows"](spark, lines).select("sample_id", "start_ms", "end_ms", "detection_method", "id").collect()
     assert sorted(map(tuple, got)) == [(1, 100, 110, "manual", -1_010_010), (1, 150, 160, "auto", 1), (1, 250, 270, "auto", 2), (9_000_000, 150, 180, "auto", 3)]
+
+
+@pytest.fixture(scope="module")
+def suppliers(spark, tmp_path_factory):
+    """A folder with suppliers of keys 15 to 34 and 70."""
+    folder = str(tmp_path_factory.mktemp("suppliers"))
+    spark.createDataFrame([(k,) for k in [*range(15, 35), 70]], "s_suppkey long").write.parquet(f"{folder}/supplier.parquet")
+    return folder
+
+
+def test_every_supplier_has_a_tone(spark, suppliers):
+    want = {f"/tones/{k}.wav" for k in [*range(15, 35), 70]}
+    rows = catalogue.QUERIES["described_tones"](spark, suppliers).select("path", "error").collect()
+    assert len(rows) == len(want) and {r.path for r in rows if r.error is None} == want
+    cuts = catalogue.QUERIES["rendered_cuts"](spark, suppliers).collect()
+    assert sorted(r.id for r in cuts) == [*range(15, 35), 70] and all(r.bytes > 0 and r.error is None for r in cuts)
+
+
+def test_only_changed_files_are_described(spark, suppliers):
+    rows = catalogue.QUERIES["described_changes"](spark, suppliers).select("path", "change").collect()
+    assert sorted(map(tuple, rows)) == [("/tones/21.wav", "added"), ("/tones/24.wav", "changed"), ("/tones/31.wav", "added"), ("/tones/34.wav", "changed")]
+
+
+def test_every_layout_stays(spark, suppliers):
+    rows = catalogue.QUERIES["current_layout_whole"](spark, suppliers).collect()
+    assert sorted(map(tuple, rows)) == [*((k, False) for k in [*range(15, 35), 70]), (71, True)]
