@@ -49,3 +49,10 @@ def test_only_changed_files_are_described(spark, suppliers):
 def test_every_layout_stays(spark, suppliers):
     rows = catalogue.QUERIES["current_layout_whole"](spark, suppliers).collect()
     assert sorted(map(tuple, rows)) == [*((k, False) for k in [*range(15, 35), 70]), (71, True)]
+
+
+def test_every_events_point_is_asked_for(spark, tmp_path):
+    rows = spark.sql("select id as event_id, 7L as user_id, timestamp_seconds(id * 86400) as ts, 'x' as event_type, 2.5D as value from range(6)")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["segment_at_every_event"](spark, str(tmp_path)).select("t").collect()
+    assert sorted(r.t for r in got) == [i * 86400 + 1800 for i in range(6)]
