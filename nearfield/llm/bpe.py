@@ -1,18 +1,34 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text's encoding is the reduction of a binary tree: its leaves are encoded
-alone, and two neighbours are joined by re-encoding a window round their
-boundary.  The window grows on both sides, by doubling, until each of its ends
-is a *sync point*: a place where white space follows something else.  No match
-of the split pattern holds white space behind another character, so every
-encoding of any text that holds both characters has a match boundary there, and
-the match before it ends there whatever follows.  Tokens outside the window are
-therefore final; where a side has no sync point, the window takes all of it.
-Decoding concatenates the leaves' bytes up the same tree.
+A text's encoding is the reduction of a binary tree: its halves are encoded, down
+to leaves of a few words, and two neighbours are joined by re-encoding a window
+round their boundary, which grows until the tokens outside provably stand.
+
+*Across matches of the split pattern* a window ends at sync points: places where
+the kind of character (letter, number, space, other) changes, but for a space or
+an apostrophe before another character.  No match of PATTERN holds two characters
+with such a place between them, so every encoding of any text that holds both has
+a match boundary there, and what it makes of either side doesn't depend on the
+other.  Tokens outside of two sync points are final.
+
+*Inside one match* there are no such points.  A stretch of more than LONG code
+points without any (a run of spaces, of letters, ...) is cut out of its text at
+its sync points, split into matches by rule, and each match is the reduction of
+a tree of its own: a window of tokens round the boundary is merged again, and
+stands as soon as each token next to it keeps apart from the window's token
+beside it, if these two alone are encoded.  Merges within a token come in the
+same order whatever surrounds it, so neighbours that keep apart in pairs keep
+apart in the whole.  The window grows, or moves on to where two tokens don't
+keep apart, so neither the library's regular expression nor a merge ever takes
+in a long run at once.
+
+Decoding concatenates the leaves' bytes up a tree of the same kind.
 
 Null texts count as empty; an empty text has no tokens.  Rows are independent:
 repeated rows and ties change nothing, further columns are ignored.  A worker
-holds one slice of a batch and, within it, one text's tokens at a time.
+holds one slice of a batch and, within it, one text's tokens at a time.  Ranks
+are those of a trained vocabulary, in which every token is what its own bytes
+merge to.  The pattern is fixed, since the sync points follow from it.
 """
 
 from __future__ import annotations
@@ -20,123 +36,198 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nearfield.llm import _text
 
-#: Code points of a leaf.
-LEAF = 8192
+#: Code points of a leaf of a text's tree, bytes of a leaf of a match's tree, tokens of a leaf in decoding.
+LEAF, PIECE_LEAF, DECODED_LEAF = 64, 256, 64
+#: Code points without a sync point from which on a stretch has a tree of its own.
+LONG = 1024
 #: Bytes of text whose tokens a worker holds as Python numbers at once.
 SLICE_BYTES = 1 << 20
-#: Code points on each side of a boundary that the first window takes.
-WINDOW = 64
+
+# The pattern that splits texts before merges, and the contractions it names.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
 @functools.lru_cache(maxsize=4)
-def tokenizer(path: str, pattern: str):
+def tokenizer(path: str):
     """A tiktoken encoding of a rank file, kept by worker process."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(f"ranks:{path}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(f"ranks:{path}", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def default_tokenizer() -> tuple[str, str]:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    bpe = tokenizer(path)
+    return {bpe.encode_single_token(b): b for b in bpe.token_byte_values()}
 
 
-def _is_sync(text: str, i: int) -> bool:
-    return text[i].isspace() and not text[i - 1].isspace() and text[i] not in "\x1c\x1d\x1e\x1f"
+@functools.lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point, as the library's own regular expressions see it."""
+    import tiktoken
 
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([i]): i for i in range(256)}
+    out = np.full(0x110000, _OTHER, dtype=np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+        found = bytes(tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
+        out[np.frombuffer(found.decode().encode("utf-32-le"), dtype=np.uint32)] = kind
+    return out
 
-def _sync_before(text: str, lo: int, hi: int, window: int) -> int:
-    """The last sync point in (lo, hi), or lo; looked for in windows that double."""
-    end, width = hi, window
-    while end > lo + 1:
-        begin = max(lo + 1, hi - width)
-        for i in range(end - 1, begin - 1, -1):
-            if _is_sync(text, i):
-                return i
-        end, width = begin, width * 2
-    return lo
 
+def default_path() -> str:
+    import public_tokenizers
 
-def _sync_after(text: str, lo: int, hi: int, window: int) -> int:
-    """The first sync point in (lo, hi), or hi; looked for in windows that double."""
-    begin, width = lo + 1, window
-    while begin < hi:
-        end = min(hi, lo + width)
-        for i in range(begin, end):
-            if _is_sync(text, i):
-                return i
-        begin, width = max(begin, end), width * 2
-    return hi
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def sync_points(text: str) -> np.ndarray:
+    """Places i at which text[:i] and text[i:] are encoded apart, whatever surrounds the two characters."""
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    kind = kinds()[code]
+    before, after = kind[:-1], kind[1:]
+    return np.flatnonzero((before != after) & (before != _SPACE) & ~((code[:-1] == ord("'")) & (after == _LETTER))) + 1
+
+
+def matches(stretch: str) -> list[str]:
+    """The matches of the pattern in a stretch without sync points: spaces, then one run (or apostrophes and letters)."""
+    kind = kinds()[np.frombuffer(stretch.encode("utf-32-le"), dtype=np.uint32)]
+    n, spaces = len(kind), int(np.argmax(kind != _SPACE)) if (kind != _SPACE).any() else len(kind)
+    if spaces == n:
+        return [stretch]
+    out, at = [], spaces
+    if spaces > 1:
+        out.append(stretch[: spaces - 1])
+    if spaces and stretch[spaces - 1] == " ":
+        at -= 1
+    elif spaces:
+        out.append(stretch[spaces - 1])
+    letters = int(np.argmax(kind == _LETTER)) if kind[spaces] == _OTHER and kind[-1] == _LETTER else n
+    short = next((c for c in _CONTRACTIONS if stretch.startswith(c, at)), None)
+    if short and letters < n:
+        letters = at + len(short)
+    return [*out, stretch[at:letters], *([stretch[letters:]] if letters < n else [])]
 
 
-@dataclass
 class Codec:
-    """Tree encoding of texts by one tokenizer."""
+    """Tree encoding of texts by one rank file."""
 
-    path: str
-    pattern: str
-    leaf: int = LEAF
-    window: int = WINDOW
-
-    def __post_init__(self) -> None:
-        self.bpe = tokenizer(self.path, self.pattern)
-        self.size = self.bpe.decode_single_token_bytes
+    def __init__(self, path: str, leaf: int = LEAF, piece_leaf: int = PIECE_LEAF, long: int = LONG) -> None:
+        self.bpe, self.leaf, self.piece_leaf, self.long = tokenizer(path), leaf, piece_leaf, long
+        self.bytes = token_bytes(path)
+        self.merged = self.bpe._encode_single_piece
+        self.apart: dict[tuple[int, int], bool] = {}
+        #: Joins of neighbours so far, across matches and inside them.
+        self.joins = self.piece_joins = 0
 
     def encode(self, text: str) -> list[int]:
-        return self._encode(text, 0, len(text))
-
-    def _encode(self, text: str, lo: int, hi: int) -> list[int]:
+        if not text:
+            return []
+        sync = sync_points(text)
+        edges = np.concatenate([[0], sync, [len(text)]])
+        far = np.flatnonzero(np.diff(edges) > self.long)
+        syncs, out, at = sync.tolist(), [], 0
+        for begin, end in zip(edges[far].tolist(), edges[far + 1].tolist(), strict=True):
+            out += self._tree(text, at, begin, syncs)
+            for match in matches(text[begin:end]):
+                out += self._piece(match.encode())
+            at = end
+        return out + self._tree(text, at, len(text), syncs)
+
+    def _tree(self, text: str, lo: int, hi: int, syncs: list[int]) -> list[int]:
         if hi - lo <= self.leaf:
             return self.bpe.encode_ordinary(text[lo:hi])
         mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        a, b = _sync_before(text, lo, mid, self.window), _sync_after(text, mid, hi, self.window)
-        keep = self._tokens_off(reversed(left), len(text[a:mid].encode()))
-        skip = self._tokens_off(right, len(text[mid:b].encode()))
-        del left[len(left) - keep :]
-        left += self.bpe.encode_ordinary(text[a:b])
-        left += right[skip:]
-        return left
-
-    def _tokens_off(self, ids: Iterable[int], size: int) -> int:
-        """How many tokens, from the start of `ids`, hold exactly `size` bytes."""
-        count = 0
-        for i in ids if size else ():
-            size -= len(self.size(i))
+        left, right = self._tree(text, lo, mid, syncs), self._tree(text, mid, hi, syncs)
+        self.joins += 1
+        x, y = bisect_right(syncs, mid) - 1, bisect_left(syncs, mid)
+        a = max(lo, syncs[x]) if x >= 0 else lo
+        b = min(hi, syncs[y]) if y < len(syncs) else hi
+        if a == b:
+            return left + right
+        return self._without(left, text[a:mid], -1) + self.bpe.encode_ordinary(text[a:b]) + self._without(right, text[mid:b], 1)
+
+    def _without(self, ids: list[int], text: str, step: int) -> list[int]:
+        """ids without the tokens of `text`, which they begin (step 1) or end (-1) with."""
+        left, count = len(text.encode()), 0
+        while left > 0:
+            left -= len(self.bytes[ids[count if step > 0 else -1 - count]])
             count += 1
-            if size <= 0:
-                break
-        if size:
+        if left:
             raise AssertionError("a sync point isn't a token boundary")
-        return count
+        return ids[count:] if step > 0 else ids[: len(ids) - count]
+
+    def _piece(self, data: bytes) -> list[int]:
+        """The tokens of one match."""
+        if len(data) <= self.piece_leaf:
+            return self.merged(data)
+        mid = len(data) // 2
+        self.piece_joins += 1
+        return self._met(self._piece(data[:mid]), self._piece(data[mid:]))
+
+    def _keep_apart(self, a: int, b: int) -> bool:
+        found = self.apart.get((a, b))
+        if found is None:
+            if len(self.apart) > 1 << 16:
+                self.apart.clear()
+            found = self.apart[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+        return found
+
+    def _met(self, left: list[int], right: list[int]) -> list[int]:
+        """Two matches' tokens as those of one match."""
+        right.reverse()
+        least, way = 1, 0
+        while left and right and not self._keep_apart(left[-1], right[-1]):
+            window, width = [], least
+            while True:
+                width = min(width, max(len(left), len(right)))
+                window = left[-width:] + window + right[: -width - 1 : -1]
+                del left[-width:], right[-width:]
+                inner = self.merged(b"".join([self.bytes[i] for i in window]))
+                on_left = not left or self._keep_apart(left[-1], inner[0])
+                on_right = not right or self._keep_apart(inner[-1], right[-1])
+                if on_left or on_right:
+                    break
+                width *= 2
+            # what stands on one side joins it; the search goes on at the other
+            if on_left:
+                left += inner
+            else:
+                right += reversed(inner)
+            turn = 1 if on_left else -1
+            if way not in (0, turn):
+                least *= 2
+            way = turn
+        return left + right[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= self.leaf:
-            return self.bpe.decode_bytes(ids)
+        if len(ids) <= DECODED_LEAF:
+            return b"".join([self.bytes[i] for i in ids])
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-def encode(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] = ("doc_id",), tokens: bool = True, digests: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] = ("doc_id",), tokens: bool = True, digests: bool = False, path: str | None = None) -> DataFrame:
     """Rows of `df` with `keep`, n_tokens and, as asked for, the tokens (array<int>) or digests of ids and of the decoded bytes.
 
-    path, pattern: the rank file, which every machine has, and the pattern that splits texts.
+    path: the rank file, which every machine has.
     """
     if path is None:
-        path, pattern = default_tokenizer()
+        path = default_path()
     kept = df.select(*keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long"
     schema += ", tokens array<int>" if tokens else ""
@@ -145,7 +236,7 @@ def encode(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] = ("doc_i
     inner = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = Codec(path)
         decimal = [str(i) for i in range(codec.bpe.max_token_value + 1)]
         for batch in batches:
             for part in _text.slices(batch, "_text", SLICE_BYTES):
@@ -161,17 +252,17 @@ def encode(df: DataFrame, text: str = "text", *, keep: tuple[str, ...] = ("doc_i
     return df.select(*(df[c].alias(i) for c, i in zip(keep, inner, strict=True)), df[text].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, tokens: str = "tokens", *, keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(df: DataFrame, tokens: str = "tokens", *, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """Rows of `df` with `keep` and `text`, the decoded tokens; null tokens give a null text, bytes that aren't UTF-8 are replaced."""
     if path is None:
-        path, pattern = default_tokenizer()
+        path = default_path()
     kept = df.select(*keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string"
     names = [f.name for f in kept]
     inner = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = Codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
