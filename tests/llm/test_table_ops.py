@@ -115,6 +115,35 @@ def test_blocks_are_left_out():
     assert blocks.scored < 0.5 * 8000 * 20
 
 
+@pytest.mark.parametrize("bits", [5, 20, 26, 30, 31, 40, 52, 60, 100, 1000])
+def test_scores_are_exact_at_every_size(bits):
+    """Against Python's integers; beyond the longs, the nearest long."""
+    rng = np.random.default_rng(bits)
+    x = np.trunc(rng.uniform(-1, 1, (300, 64)) * 2.0**bits)
+    x[::7] = np.trunc(x[::7] * 2.0 ** -(bits - 3))
+    x[10:14] = x[10]
+    ids, qids, q = np.arange(300), np.arange(0, 300, 9), x[::9]
+    got = list(zip(*(a.tolist() for a in topk.Blocks(ids, x, 16).top(qids, q, 5)), strict=True))
+    whole = [[int(c) for c in row] for row in x]
+    want = []
+    for n in qids.tolist():
+        s = {j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[n], whole[j], strict=True)))) for j in range(300) if j != n}
+        want += [(n, j, s[j]) for j in sorted(s, key=lambda j: (-s[j], j))[:5]]
+    assert got == want
+
+
+def test_odd_vectors_take_part(spark):
+    """Large, very large, very long, short and empty finite vectors: none stands aside, none ends the query."""
+    rows = [(0, [300000.0, 1.0]), (1, [300000.0, 2.0]), (2, [1e300, 0.0]), (3, [-1e308, 1e308]), (4, []), (5, [1.0]), (50, [0.5] * 5000), (51, [0.25] * 5000), (52, [2.0**40, 2.0**-9])]
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=8).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == {0, 50} and all(len(v) == 8 for v in got.values())
+    top, low = 2**63 - 1, -(2**63)
+    assert got[0] == {1: 76800000**2 + 256 * 512, 2: top, 3: low, 4: 0, 5: 76800000 * 256, 50: 76800000 * 128 + 256 * 128, 51: 76800000 * 64 + 256 * 64, 52: top if 76800000 * 2**48 > top else 76800000 * 2**48}
+    assert got[50] == {0: 128 * (76800000 + 256), 1: 128 * (76800000 + 512), 2: top, 3: 0, 4: 0, 5: 128 * 256, 51: 128 * 64 * 5000, 52: 128 * 2**48}
+
+
 # URL filters
 
 
