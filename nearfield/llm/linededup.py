@@ -5,24 +5,39 @@ of one document counts if it holds `min_words` words at least.  A line goes if
 it lies in such a run that also begins at an earlier place; what is decided is
 decided on the texts as they came, so the first copy of every line stays.
 
-Suffixes are sorted by prefix doubling, spread over the cluster: round k gives
-each suffix its rank among all suffixes by their first 2^k lines, from the ranks
-of round k-1 at its own place and 2^(k-1) lines on.  A rank is (line id, offset
-in the order of the suffixes that begin with this line), so that a round only
-sorts within groups that are still tied, on counts that are aggregated before;
-suffixes whose first 2^k lines occur nowhere else are left out from then on,
-and with them all unique lines at once.  Suffixes that share their first L lines
-form one interval of longest common prefixes >= L of the suffix array; with
-2^k <= L < 2^(k+1) that interval is named by the ranks of round k at the run's
-start and at 2^k lines before its end.  Every maximal repeated run is covered by
-the shortest runs that count from its lines on and back, so only these look
-their intervals up, and doubling ends with the longest of them.
-
-Defined cases: a null text stays null; lines end at "\\n" only; empty lines are
-lines without words; rows equal in doc_id and text are one document and share
-its result; rows of one doc_id with other texts are documents of their own,
-ordered by a hash of the text; an empty table stays empty; all other columns
-pass through untouched, whatever their names.
+*Suffix array.*  Suffixes are sorted by prefix doubling, spread over the cluster:
+round k gives each suffix its rank among all suffixes by their first 2^k lines,
+from the ranks of round k-1 at its own place and 2^(k-1) lines on.  A rank is
+(line id, offset in the order of the suffixes that begin with this line), so a
+round only sorts within groups that are still tied, on counts that are aggregated
+before; suffixes whose first 2^k lines occur nowhere else are left out from then
+on, and with them all unique lines at once.  Those left are in the order of the
+suffix array.
+
+*Intervals of longest common prefixes.*  Suffixes that share their first L lines
+stand next to each other in the array: an interval of common prefixes >= L.  With
+2^k <= L < 2^(k+1) all of them, and no other, have the same two ranks of round k:
+at their own place and at L - 2^k lines on.  So intervals are read off from the
+ranks of one round, whatever L, with their size and their earliest suffix.
+
+*Maximal runs.*  The shortest counted runs from each line on and back to each
+line tell all: a maximal repeated run that counts is the union of those in it, as
+any line of it begins or ends one of them.  Each looks its interval up; those
+whose interval begins earlier are later copies, and those of a document that
+overlap are joined to maximal runs, which are deleted.  Doubling ends with the
+longest of the shortest runs, since longer common prefixes decide nothing.
+
+One line, or one run, may make up a third of the corpus: keys that hold more
+than a HOT-th of the rows are found by their counts, are HOT at most, and meet
+their tables by broadcast; so no task gathers their rows.
+
+Defined cases: a null text stays null; rows with a null doc_id have no place in
+the order, so they pass through as they are and make nothing else a copy; lines
+end at "\\n" only; empty lines are lines without words; rows equal in doc_id and
+text are one document and share its result; rows of one doc_id with other texts
+are documents of their own, ordered by a hash of the text; an empty table stays
+empty; all other columns pass through untouched, whatever their names, but for
+those named like a count that is asked for, which the count replaces.
 """
 
 from __future__ import annotations
@@ -40,6 +55,8 @@ from nearfield.llm._io import dropped, stored
 
 #: A run of fewer words is left alone.
 MIN_WORDS = 50
+#: Keys with more than a HOT-th of all rows are joined by broadcast: HOT of them at most.
+HOT = 4096
 _RANK = ["h", "g", "o"]
 _PLACE = ["doc", "th", "line"]
 
@@ -81,58 +98,101 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, th long, line int, h long, g long, on int, back int")
 
 
+def _looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined to `keyed`, a stored table with one row for each key and `count`, how many of the rows it has."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.where(F.col(count) > total / HOT)
+    if not hot.limit(1).count():
+        return rows.join(keyed.drop(count), keys)
+    # fewer than HOT keys hold more than a HOT-th each
+    hot = F.broadcast(hot.drop(count))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(keyed.where(F.col(count) <= total / HOT).drop(count), keys))
+
+
+def _less(counts: DataFrame) -> DataFrame:
+    """counts with `less`: rows of the same rank with a smaller continuation. Sums go over parts of the order first, so that the many continuations of one line are dealt over tasks."""
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("p1", F.shiftright("h2", 52)).withColumn("p2", F.shiftright("o2", 12))
+    by1, by2 = [*_RANK, "p1"], [*_RANK, "p1", "h2", "g2", "p2"]
+    whole = counts.groupBy(*by2).agg(F.sum("c").alias("c2"))
+    first = whole.groupBy(*by1).agg(F.sum("c2").alias("c1")).select(*by1, F.coalesce(F.sum("c1").over(upto(_RANK, ["p1"])), F.lit(0)).alias("l1"))
+    second = whole.select(*by2, F.coalesce(F.sum("c2").over(upto(by1, ["h2", "g2", "p2"])), F.lit(0)).alias("l2"))
+    third = counts.withColumn("l3", F.coalesce(F.sum("c").over(upto(by2, ["o2"])), F.lit(0)))
+    return third.join(second, by2).join(first, by1).select(*_RANK, "h2", "g2", "o2", "c", (F.col("l1") + F.col("l2") + F.col("l3")).alias("less"))
+
+
 def _doubled(ranks: DataFrame, step: int) -> DataFrame:
     """The ranks by twice `step` lines, of those suffixes that still share them with another."""
     after = ranks.select("doc", "th", (F.col("line") - step).alias("line"), *(F.col(c).alias(f"{c}2") for c in _RANK))
-    pairs = ranks.join(after, _PLACE)
+    pairs = stored(ranks.join(after, _PLACE))
     keys = [*_RANK, *(f"{c}2" for c in _RANK)]
-    counts = pairs.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1")
-    before = Window.partitionBy(*_RANK).orderBy(*keys[3:]).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("less", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    return pairs.join(counts.drop("c"), keys).select(*_PLACE, "h", "g", (F.col("o") + F.col("less")).alias("o"))
+    counts = stored(_less(stored(pairs.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))))
+    out = stored(_looked_up(pairs, counts, keys, "c").select(*_PLACE, "h", "g", (F.col("o") + F.col("less")).alias("o")))
+    dropped(pairs, counts)
+    return out
 
 
 def suffix_ranks(lines: DataFrame, rounds: int) -> list[DataFrame]:
     """Round by round, (doc, th, line, h, g, o) of suffixes whose first 1, 2, 4 .. lines occur elsewhere too; (h, g, o) orders them as a suffix array does."""
-    again = lines.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
-    out = [stored(lines.select(*_PLACE, "h", "g").join(again, ["h", "g"]).select(*_PLACE, "h", "g", F.lit(0).cast("long").alias("o")))]
+    again = stored(lines.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1"))
+    out = [stored(_looked_up(lines.select(*_PLACE, "h", "g"), again, ["h", "g"], "c").select(*_PLACE, "h", "g", F.lit(0).cast("long").alias("o")))]
+    dropped(again)
     for k in range(rounds):
-        out.append(stored(_doubled(out[-1], 1 << k)))
+        out.append(_doubled(out[-1], 1 << k))
     return out
 
 
+_INTERVAL = ["length", *_RANK, *(f"{c}2" for c in _RANK)]
+
+
+def in_intervals(runs: DataFrame, ranks: list[DataFrame]) -> DataFrame:
+    """runs (doc, th, start, length) with the name of their interval of common prefixes >= length; those without a second copy are left out."""
+    found = None
+    for k, rank in enumerate(ranks):
+        own = runs.where(F.col("length").between(1 << k, (2 << k) - 1))
+        head = rank.select("doc", "th", F.col("line").alias("start"), *_RANK)
+        tail = rank.select("doc", "th", F.col("line").alias("last"), *(F.col(c).alias(f"{c}2") for c in _RANK))
+        own = own.join(head, ["doc", "th", "start"]).withColumn("last", F.col("start") + F.col("length") - (1 << k)).join(tail, ["doc", "th", "last"]).drop("last")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def maximal(runs: DataFrame) -> DataFrame:
+    """runs (doc, th, start, length) with overlapping ones of a document joined."""
+    by = Window.partitionBy("doc", "th").orderBy("start", "length")
+    end = F.col("start") + F.col("length")
+    before = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before >= F.col("start"), 0).otherwise(1)
+    numbered = runs.withColumn("begins", begins).withColumn("nth", F.sum("begins").over(by))
+    return numbered.groupBy("doc", "th", "nth").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("length")).drop("nth")
+
+
 def later_copies(df: DataFrame, doc: str = "doc_id", text: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, th, start, length): runs of lines that begin at an earlier place too; th is xxhash64 of the text."""
+    """(doc, th, start, length): maximal runs of lines that lie in runs that begin at an earlier place too; th is xxhash64 of the text."""
     docs = df.select(df[doc].cast("long").alias("doc"), F.xxhash64(df[text]).alias("th"), df[text].alias("text")).where("text is not null and doc is not null")
     lines = stored(_lines(docs, min_words).dropDuplicates(_PLACE))
     on = F.struct(F.col("line").alias("start"), F.col("on").alias("length"))
     back = F.struct((F.col("line") - F.col("back") + 1).alias("start"), F.col("back").alias("length"))
-    first = suffix_ranks(lines, 0)
-    runs = lines.join(first[0].select(*_PLACE), _PLACE, "left_semi").select("doc", "th", F.explode(F.array(on, back)).alias("run")).select("doc", "th", "run.*").where("length > 0").distinct()
+    ranks = suffix_ranks(lines, 0)
+    runs = lines.join(ranks[0].select(*_PLACE), _PLACE, "left_semi").select("doc", "th", F.explode(F.array(on, back)).alias("run")).select("doc", "th", "run.*").where("length > 0").distinct()
     runs = stored(runs)
     longest = runs.agg(F.max("length")).first()[0] or 1
-    ranks = first
     for k in range(int(math.log2(longest))):
-        ranks.append(stored(_doubled(ranks[-1], 1 << k)))
-    found = None
-    for k, rank in enumerate(ranks):
-        own = runs.where(F.col("length").between(1 << k, (2 << k) - 1))
-        head = rank.select("doc", "th", F.col("line").alias("start"), *_RANK)
-        tail = rank.select("doc", "th", F.col("line").alias("last"), *(F.col(c).alias(f"{c}2") for c in _RANK))
-        own = own.join(head, ["doc", "th", "start"]).withColumn("last", F.col("start") + F.col("length") - (1 << k)).join(tail, ["doc", "th", "last"]).drop("last")
-        found = own if found is None else found.unionByName(own)
-    interval = ["length", *_RANK, *(f"{c}2" for c in _RANK)]
-    found = stored(found)
-    firsts = found.groupBy(*interval).agg(F.min(F.struct("doc", "th", "start")).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
-    out = stored(found.join(firsts, interval).where(F.struct("doc", "th", "start") != F.col("earliest")).select("doc", "th", "start", "length"))
-    dropped(lines, runs, found, *ranks)
+        ranks.append(_doubled(ranks[-1], 1 << k))
+    found = stored(in_intervals(runs, ranks))
+    place = F.struct("doc", "th", "start")
+    intervals = stored(found.groupBy(*_INTERVAL).agg(F.min(place).alias("earliest"), F.count("*").alias("size")).where("size > 1"))
+    later = _looked_up(found, intervals, _INTERVAL, "size").where(place != F.col("earliest")).select("doc", "th", "start", "length")
+    out = stored(maximal(later))
+    dropped(lines, runs, found, intervals, *ranks)
     return out
 
 
 def without_later_copies(df: DataFrame, doc: str = "doc_id", text: str = "text", *, min_words: int = MIN_WORDS, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """`df` with later copies of repeated line runs deleted from `text`.
 
-    counts: two more columns, n_lines and n_removed (0 for a null text).
+    counts: two more columns, n_lines and n_removed (0 for a null text), in place of any of these names.
     drop_emptied: rows go whose lines have all been deleted.
     """
     runs = later_copies(df, doc, text, min_words=min_words)
@@ -142,7 +202,7 @@ def without_later_copies(df: DataFrame, doc: str = "doc_id", text: str = "text",
     whole = df.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index(doc)}"
     whole = whole.withColumn("_h", F.xxhash64(f"c{at}"))
-    both = whole.join(marks.hint("shuffle_hash"), (whole[key].cast("long") == marks["_doc"]) & (whole["_h"] == marks["_th"]), "left").drop("_doc", "_th", "_h")
+    both = whole.join(marks, (whole[key].cast("long") == marks["_doc"]) & (whole["_h"] == marks["_th"]), "left").drop("_doc", "_th", "_h")
     kinds = [f.dataType.simpleString() for f in df.schema]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate(kinds)) + ", n_lines int, n_removed int"
 
@@ -172,5 +232,5 @@ def without_later_copies(df: DataFrame, doc: str = "doc_id", text: str = "text",
     out = both.mapInArrow(run, schema)
     if drop_emptied:
         out = out.where("n_removed = 0 or n_removed < n_lines")
-    cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    return out.select(*cols, *["n_lines", "n_removed"] * counts)
+    added = ["n_lines", "n_removed"] * counts
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in added), *added)

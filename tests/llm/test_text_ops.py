@@ -141,19 +141,43 @@ def test_odd_documents_of_line_dedup(spark):
     assert linededup.without_later_copies(odd(spark, rows).where("false")).count() == 0
 
 
-def test_suffix_ranks_order_as_a_suffix_array_does(spark):
-    rows = [(1, "a\nb\na\nb\nc"), (2, "b\na\nb\nc\na")]
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_ranks_order_as_a_suffix_array_does(spark, monkeypatch, hot):
+    """Against sorted lists of line ids; hot lines by broadcast, too."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice("aaab") for _ in range(12))) for i in range(6)] + [(7, "\n".join("xyxyxyz")), (8, "\n".join("yxyxyw"))]
     docs = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "xxhash64(text) as th", "text")
-    ranks = linededup.suffix_ranks(linededup._lines(docs, 1), 1)[1].collect()
-    texts = {d: t.split("\n") for d, t in rows}
-    pairs = {(r.doc, r.line): (r.h, r.g, r.o) for r in ranks}
-    block = lambda d, i: tuple(texts[d][i : i + 2])
-    all_blocks = [(d, i) for d in texts for i in range(4)]
-    repeated = [x for x in all_blocks if sum(block(*x) == block(*y) for y in all_blocks) > 1]
-    assert set(pairs) == set(repeated)
-    for x in repeated:
-        for y in repeated:
-            assert (pairs[x] == pairs[y]) == (block(*x) == block(*y))
+    lines = linededup._lines(docs, 1)
+    ids = {(r.doc, r.line): (r.h, r.g) for r in lines.collect()}
+    texts = {d: [ids[d, i] for i in range(t.count("\n") + 1)] for d, t in rows}
+    for k, ranks in enumerate(linededup.suffix_ranks(lines, 3)):
+        block = lambda d, i: texts[d][i : i + 2**k]  # noqa: B023, E731
+        got = {(r.doc, r.line): (r.h, r.g, r.o) for r in ranks.collect()}
+        full = [(d, i) for d, t in texts.items() for i in range(len(t) - 2**k + 1)]
+        again = [x for x in full if sum(block(*x) == block(*y) for y in full) > 1]
+        assert set(got) == set(again)
+        # the suffix array by the first 2^k lines, and the places at which a common prefix of that length ends
+        array = sorted(again, key=lambda x: (block(*x), x))
+        for x, y in zip(array, array[1:], strict=False):
+            assert got[x] <= got[y] and (got[x] == got[y]) == (block(*x) == block(*y))
+
+
+def test_runs_are_maximal(spark):
+    w = lambda c: " ".join([c] * 20)
+    run = [w(c) for c in "abcdefg"]
+    rows = [(1, "\n".join(["head", *run, "x"])), (2, "\n".join(["y", *run[:5], "z", *run[2:], "end"])), (3, "\n".join([*run[:2], "odd", *run[5:]]))]
+    got = {(r.doc, r.start, r.length) for r in linededup.later_copies(odd(spark, rows)).collect()}
+    assert got == {(2, 1, 5), (2, 7, 5)}
+
+
+def test_rows_without_an_id_and_names_of_counts(spark):
+    line = " ".join(["w"] * 60)
+    df = spark.createDataFrame([(None, line, "a", "b"), (None, line, "a", "b"), (1, line, "a", "b"), (2, f"x\n{line}", "a", "b")], "doc_id long, text string, n_lines string, n_removed string")
+    out = linededup.without_later_copies(df, counts=True)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in out.collect()) == [(0, line, 1, 0), (0, line, 1, 0), (1, line, 1, 0), (2, "x", 2, 1)]
+    assert linededup.without_later_copies(df).columns == df.columns
 
 
 # BPE
