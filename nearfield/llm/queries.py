@@ -45,9 +45,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page judged by the list entries that were active on its day."""
+    """Every page judged by the list entries that were active at its fetch time."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judged(urlfilter.dated_captures(pages), urlfilter.sample_entries(pages))
+    out = urlfilter.judged(urlfilter.dated_captures(pages), urlfilter.sample_entries(pages), day="fetched_at", entry_time="at")
+    return out.withColumn("fetched_at", F.unix_seconds("fetched_at"))
 
 
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +140,7 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 _OP7 = r"""
 WITH parts AS (
-  SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS day,
+  SELECT page_id, url, CAST(1672531200 + (page_id * 37) % 730 * 86400 + (page_id * 7919) % 86400 AS BIGINT) AS fetched_at,
     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
   FROM pages),
@@ -148,19 +149,19 @@ named AS (
     SELECT 'unsafe' AS list, 'domain' AS kind, host AS pattern FROM parts WHERE host <> ''
     UNION ALL SELECT 'parked', 'domain', array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') FROM parts WHERE len(string_split(host, '.')) > 2
     UNION ALL SELECT 'spam', 'prefix', host || '/' || segs[1] FROM parts WHERE host <> '' AND len(segs) > 0)),
-listed AS (SELECT *, DATE '2023-01-01' + CAST(CAST('0x' || substr(m, 2, 3) AS INTEGER) % 600 AS INTEGER) AS day FROM named WHERE CAST('0x' || substr(m, 1, 1) AS INTEGER) < 6),
+listed AS (SELECT *, 1672531200 + CAST('0x' || substr(m, 2, 3) AS BIGINT) % 600 * 86400 + CAST('0x' || substr(m, 9, 4) AS BIGINT) AS sec FROM named WHERE CAST('0x' || substr(m, 1, 1) AS INTEGER) < 6),
 entries AS (
-  SELECT list, kind, pattern, 'add' AS action, day FROM listed
-  UNION SELECT list, kind, pattern, 'remove', day + CAST('0x' || substr(m, 6, 2) AS INTEGER) FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 8
-  UNION SELECT list, kind, pattern, 'add', day + CAST('0x' || substr(m, 6, 2) AS INTEGER) + 90 FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 3),
+  SELECT list, kind, pattern, 'add' AS action, sec FROM listed
+  UNION SELECT list, kind, pattern, 'remove', sec + 86400 * CAST('0x' || substr(m, 6, 2) AS BIGINT) FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 8
+  UNION SELECT list, kind, pattern, 'add', sec + 86400 * (CAST('0x' || substr(m, 6, 2) AS BIGINT) + 90) FROM listed WHERE CAST('0x' || substr(m, 5, 1) AS INTEGER) < 3),
 hits AS (
   SELECT DISTINCT p.page_id, e.list
   FROM parts p JOIN entries e ON (e.kind = 'domain' AND ('.' || p.host) LIKE ('%.' || e.pattern)) OR (e.kind = 'prefix' AND starts_with(p.host || '/' || array_to_string(p.segs, '/') || '/', e.pattern || '/'))
-  WHERE e.day <= p.day AND p.host <> ''
+  WHERE e.sec <= p.fetched_at AND p.host <> ''
   GROUP BY p.page_id, e.list, e.kind, e.pattern
-  HAVING arg_max(e.action, strftime(e.day, '%Y-%m-%d') || e.action) = 'add')
-SELECT p.page_id, p.url, p.day, count(h.list) > 0 AS blocked, coalesce(string_agg(h.list, ',' ORDER BY h.list), '') AS lists
-FROM parts p LEFT JOIN hits h USING (page_id) GROUP BY p.page_id, p.url, p.day
+  HAVING arg_max(e.action, CAST(e.sec AS VARCHAR) || e.action) = 'add')
+SELECT p.page_id, p.url, p.fetched_at, count(h.list) > 0 AS blocked, coalesce(string_agg(h.list, ',' ORDER BY h.list), '') AS lists
+FROM parts p LEFT JOIN hits h USING (page_id) GROUP BY p.page_id, p.url, p.fetched_at
 """
 
 _OP9 = r"""

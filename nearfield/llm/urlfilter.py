@@ -1,21 +1,26 @@
 """URL filters by a temporal list join.
 
-Lists change: each entry is dated, and adds a pattern to a list or removes it.
-The entries of a pattern become validity intervals [from, to), and a capture is
-judged by the entries that were active when it was fetched: an as-of join.
+Lists change: each entry has a time, and adds a pattern to a list or removes it.
+The entries of a pattern become validity intervals [since, until), and a capture
+is judged by those that were active when it was fetched, to the microsecond: an
+as-of join.
 
 Patterns are of two kinds.  `domain` holds for a host and all hosts below it;
-`prefix` (host/path) holds for paths that begin with the same segments.  A URL
-is looked up by equality: its host's parents and its path's prefixes, of only
-those depths that the list has.  Equal questions (pattern, day) are asked once,
-which also spreads a host that holds much of the captures over its days.
+`prefix` (host/path) holds for paths of just this host that begin with the same
+segments, and without a path for all of them.  A URL is parsed once, and looked
+up by equality: its host's parents and its path's prefixes, of those lengths that
+the list has.  A pattern that holds much of the captures meets its intervals by
+broadcast (at most HOT patterns, found by their counts).  Between the tables go
+two hashes of a URL (128 bits) and the time, not the URL.
 
 Defined cases: a null URL, a null time, or a URL without a scheme and host is
-never blocked; scheme, host, port and user are compared in lower case or left
-out, query and fragment are left out; on one day a removal comes after an
-addition; entries that repeat change nothing; entries with a null field are left
-out; rows repeat as they came, and all their columns pass through; empty tables
-block nothing.
+never blocked; scheme, port and user are left out, of captures and of patterns;
+hosts are compared in lower case, without a dot at either end or "*." before
+them; empty segments, query and fragment are left out; a date is the midnight it
+begins with; at one time a removal comes after an addition; entries that repeat
+change nothing; entries with a null field, of another kind or without a host are
+left out; rows repeat as they came, and all their columns pass through, but for
+those named `blocked` and `lists`, which are replaced; empty tables block nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm._io import dropped, stored
+
+#: Patterns that meet more than a HOT-th of all questions: HOT of them at most.
+HOT = 4096
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
@@ -37,54 +46,86 @@ def segments_of(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, _SCHEME + "[^/?#]*([^?#]*)", 1), "/"), lambda s: s != "")
 
 
-def validity(entries: DataFrame) -> DataFrame:
-    """Dated entries (list, kind, pattern, action, day) as intervals (list, kind, pattern, since, until); until is null while it holds."""
-    sound = entries.dropna(subset=["list", "kind", "pattern", "action", "day"]).select("list", "kind", "pattern", "action", "day").distinct()
-    by = Window.partitionBy("list", "kind", "pattern").orderBy("day", "action")
-    ended = sound.withColumn("until", F.lead("day").over(by))
-    return ended.where("action = 'add' and (until is null or until > day)").select("list", "kind", "pattern", F.col("day").alias("since"), "until")
+def normalised(kind: Column, pattern: Column) -> Column:
+    """A pattern as URLs are compared with it: a host, or host/segments; null for none."""
+    url = F.concat(F.lit("x://"), F.regexp_replace(F.trim(pattern), _SCHEME, ""))
+    host = _bare(F.regexp_replace(host_of(url), r"^\*", ""))
+    path = F.concat(host, F.lit("/"), F.array_join(segments_of(url), "/"))
+    return F.when(host != "", F.when(kind == "domain", host).when(kind == "prefix", path))
+
+
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(host, r"^\.+|\.+$", "")
+
+
+def validity(entries: DataFrame, at: str = "day") -> DataFrame:
+    """Timed entries (list, kind, pattern, action, `at`) as intervals (list, kind, pattern, since, until); until is null while it holds."""
+    own = entries.select("list", "kind", normalised(F.col("kind"), F.col("pattern")).alias("pattern"), "action", F.col(at).cast("timestamp").alias("at"))
+    sound = own.dropna().distinct()
+    by = Window.partitionBy("list", "kind", "pattern").orderBy("at", "action")
+    ended = sound.withColumn("until", F.lead("at").over(by))
+    return ended.where("action = 'add' and (until is null or until > at)").select("list", "kind", "pattern", F.col("at").alias("since"), "until")
 
 
-def _depths(intervals: DataFrame) -> tuple[list[int], list[int]]:
-    """Numbers of labels of domains and of segments of prefixes in the list."""
-    count = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\."))).otherwise(F.size(F.split("pattern", "/")) - 1)
-    rows = intervals.select("kind", count.alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows if r["kind"] == "domain"), sorted(r["n"] for r in rows if r["kind"] == "prefix")
+def _depths(patterns: DataFrame) -> tuple[Column, Column]:
+    """Numbers of labels of domains and of segments of prefixes in the list, as two constant arrays."""
+    path = F.element_at(F.split("pattern", "/", 2), 2)
+    count = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\."))).otherwise(F.when(path == "", 0).otherwise(F.size(F.split(path, "/"))))
+    found = {r["kind"]: sorted(r["n"]) for r in patterns.groupBy("kind").agg(F.collect_set(count).alias("n")).collect()}
+    return tuple(F.lit(found.get(kind, [])).cast("array<int>") for kind in ("domain", "prefix"))
 
 
-def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
-    """`captures` with `blocked` and `lists`, the names of the lists that had the URL on its day, sorted and joined by commas."""
-    intervals = validity(entries)
-    domains, prefixes = _depths(intervals)
-    asked = captures.select(captures[url].alias("url"), captures[day].cast("date").alias("day")).where("url is not null and day is not null").distinct()
-    parts = asked.withColumn("host", host_of(F.col("url"))).where("host <> ''").withColumn("segs", segments_of(F.col("url")))
+def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day", *, entry_time: str = "day") -> DataFrame:
+    """`captures` with `blocked` and `lists`, the names of the lists that had the URL at its time (column `day`: a time or a date), sorted and joined by commas."""
+    one = F.struct("list", "since", "until")
+    patterns = stored(validity(entries, entry_time).groupBy("kind", "pattern").agg(F.collect_list(one).alias("spans")))
+    domains, prefixes = _depths(patterns)
+    address, at = captures[url].cast("string"), captures[day].cast("timestamp")
+    # rows that ask nothing are dealt by their other columns
+    asks = address.isNotNull() & at.isNotNull()
+    everything = [captures[c] for c in captures.columns]
+    key = [F.when(asks, F.xxhash64(F.lit(seed), address)).otherwise(F.xxhash64(F.lit(seed), *everything)).alias(f"_h{seed}") for seed in (1, 2)]
+    asked = captures.where(asks).select(*key, at.alias("_at"), _bare(host_of(address)).alias("host"), segments_of(address).alias("segs")).where("host <> ''").dropDuplicates(["_h1", "_h2", "_at"])
     labels = F.split("host", r"\.")
-    keys = [F.when(F.size(labels) >= n, F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("pattern"))) for n in domains]
-    keys += [F.when(F.size("segs") >= n, F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice("segs", 1, n), "/")).alias("pattern"))) for n in prefixes]
-    none = F.lit(None).cast("struct<kind:string,pattern:string>")
-    keyed = parts.select("url", "day", F.explode(F.array_compact(F.array(*(keys or [none])))).alias("key")).select("url", "day", "key.*")
-    questions = keyed.select("kind", "pattern", "day").distinct()
-    active = questions.join(intervals, ["kind", "pattern"]).where("since <= day and (until is null or day < until)").select("kind", "pattern", "day", "list").distinct()
-    verdicts = keyed.join(active, ["kind", "pattern", "day"]).groupBy("url", "day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("_lists")).select(F.col("url").alias("_url"), F.col("day").alias("_day"), "_lists")
-    out = captures.join(verdicts, (captures[url] == verdicts["_url"]) & (captures[day].cast("date") == verdicts["_day"]), "left")
-    return out.select(*(captures[c] for c in captures.columns), F.col("_lists").isNotNull().alias("blocked"), F.coalesce("_lists", F.lit("")).alias("lists"))
+    hosts = F.transform(F.filter(domains, lambda n: n <= F.size(labels)), lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("pattern")))
+    paths = F.transform(F.filter(prefixes, lambda n: n <= F.size("segs")), lambda n: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice("segs", 1, n), "/")).alias("pattern")))
+    keyed = stored(asked.select("_h1", "_h2", "_at", F.explode(F.concat(hosts, paths)).alias("key")).select("_h1", "_h2", "_at", "key.*"))
+    counts = keyed.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
+    often = stored(counts.where(F.col("n") > keyed.count() / HOT).select("kind", "pattern"))
+    hot = F.broadcast(often)
+    met = keyed.join(F.broadcast(patterns.join(hot, ["kind", "pattern"])), ["kind", "pattern"]).unionByName(keyed.join(hot, ["kind", "pattern"], "left_anti").join(patterns, ["kind", "pattern"]))
+    active = F.filter("spans", lambda s: (s["since"] <= F.col("_at")) & (s["until"].isNull() | (F.col("_at") < s["until"])))
+    hits = met.select("_h1", "_h2", "_at", F.explode(F.transform(active, lambda s: s["list"])).alias("list"))
+    verdicts = stored(hits.groupBy("_h1", "_h2", "_at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("_lists")))
+    dropped(patterns, keyed, often)
+    kept = [c for c in captures.columns if c not in ("blocked", "lists")]
+    inner = captures.select(*(captures[c].alias(f"c{i}") for i, c in enumerate(kept)), *key, at.alias("_at"))
+    out = inner.join(verdicts, ["_h1", "_h2", "_at"], "left")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("_lists").isNotNull().alias("blocked"), F.coalesce("_lists", F.lit("")).alias("lists"))
+
+
+#: The first second of 2023 (UTC), from which the made times count, and a day.
+_BEGIN, _DAY = 1_672_531_200, 86_400
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
-    """pages with a fetch day, of two years from 2023 on, that follows from the page's number."""
-    return pages.select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(730)).cast("int")).alias("day"))
+    """pages with a fetch time, of two years from 2023 on, that follows from the page's number."""
+    second = F.pmod(F.col("page_id") * 37, F.lit(730)) * _DAY + F.pmod(F.col("page_id") * 7919, F.lit(_DAY))
+    return pages.select("page_id", "url", F.timestamp_seconds(second + _BEGIN).alias("fetched_at"))
 
 
 def sample_entries(pages: DataFrame) -> DataFrame:
-    """A dated list made from the hosts of pages: digits of their MD5 say which are listed, when, and for how long."""
+    """A timed list made from the hosts of pages: digits of their MD5 say which are listed, when, and for how long."""
     parts = pages.where("url is not null").select(host_of(F.col("url")).alias("host"), segments_of(F.col("url")).alias("segs")).where("host <> ''")
-    hosts = parts.select(F.lit("unsafe").alias("list"), F.lit("domain").alias("kind"), F.col("host").alias("pattern"))
-    parents = parts.where("size(split(host, '[.]')) > 2").select(F.lit("parked"), F.lit("domain"), F.array_join(F.slice(F.split("host", r"\."), -3, 3), "."))
-    paths = parts.where("size(segs) > 0").select(F.lit("spam"), F.lit("prefix"), F.concat("host", F.lit("/"), F.col("segs")[0]))
-    named = hosts.union(parents).union(paths).distinct().withColumn("m", F.md5(F.concat_ws("|", "list", "pattern")))
+    entry = lambda name, kind, pattern: F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"))
+    host, labels = F.col("host"), F.split("host", r"\.")
+    own = entry("unsafe", "domain", host)
+    parent = F.when(F.size(labels) > 2, entry("parked", "domain", F.array_join(F.slice(labels, -3, 3), ".")))
+    path = F.when(F.size("segs") > 0, entry("spam", "prefix", F.concat(host, F.lit("/"), F.try_element_at("segs", F.lit(1)))))
+    named = parts.select(F.explode(F.array_compact(F.array(own, parent, path))).alias("e")).select("e.*").distinct().withColumn("m", F.md5(F.concat_ws("|", "list", "pattern")))
     number = lambda a, n: F.conv(F.substring("m", a, n), 16, 10).cast("int")
-    listed = named.where(number(1, 1) < 6).withColumn("day", F.date_add(F.lit("2023-01-01").cast("date"), number(2, 3) % 600))
-    added = listed.select("list", "kind", "pattern", F.lit("add").alias("action"), "day")
-    removed = listed.where(number(5, 1) < 8).select("list", "kind", "pattern", F.lit("remove"), F.date_add("day", number(6, 2)))
-    again = listed.where(number(5, 1) < 3).select("list", "kind", "pattern", F.lit("add"), F.date_add("day", number(6, 2) + 90))
-    return added.union(removed).union(again)
+    listed = named.where(number(1, 1) < 6).withColumn("begin", number(2, 3) % 600 * _DAY + number(9, 4) + _BEGIN)
+    gap = number(6, 2) * _DAY
+    act = lambda action, second: F.struct(F.lit(action).alias("action"), F.timestamp_seconds(second).alias("at"))
+    acts = F.array_compact(F.array(act("add", F.col("begin")), F.when(number(5, 1) < 8, act("remove", F.col("begin") + gap)), F.when(number(5, 1) < 3, act("add", F.col("begin") + gap + 90 * _DAY))))
+    return listed.select("list", "kind", "pattern", F.explode(acts).alias("a")).select("list", "kind", "pattern", "a.*")

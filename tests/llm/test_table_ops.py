@@ -182,6 +182,20 @@ def test_url_verdicts_as_by_brute_force(spark):
     assert urlfilter.judged(captures.where("false"), listed).count() == 0
 
 
+def test_times_of_one_day_and_odd_patterns(spark, monkeypatch):
+    at = lambda hour, minute=0: datetime.datetime(2024, 5, 1, hour, minute, 0, 1)
+    entries = [("p", "domain", " *.A.com. ", "add", at(18)), ("p", "domain", "a.com", "remove", at(20)), ("q", "prefix", "http://B.com:80//x/", "add", at(18)), ("r", "prefix", "C.org", "add", at(18)), ("s", "other", "a.com", "add", at(0)), ("s", "domain", "/", "add", at(0))]
+    listed = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, at timestamp")
+    rows = [("http://a.com/", at(17, 59), ""), ("http://www.a.com/", at(18), "p"), ("http://a.com", at(19), "p"), ("http://a.com/", at(20), ""), ("http://b.com/x/y", at(19), "q"), ("http://b.com/", at(19), ""), ("http://c.org", at(19), "r"), ("http://c.org/z", at(19), "r"), ("http://d.c.org/z", at(19), "")]
+    captures = spark.createDataFrame([(u, t, w, False, "x") for u, t, w in rows], "url string, fetched timestamp, want string, blocked boolean, lists string")
+    for hot in (4096, 2):
+        monkeypatch.setattr(urlfilter, "HOT", hot)
+        out = urlfilter.judged(captures, listed, day="fetched", entry_time="at")
+        assert out.columns == ["url", "fetched", "want", "blocked", "lists"]
+        got = out.collect()
+        assert len(got) == len(rows) and all(r.lists == r.want and r.blocked == (r.want != "") for r in got)
+
+
 # Quality
 
 
