@@ -70,7 +70,8 @@ def components(edges: DataFrame) -> DataFrame:
     small-star rounds follow, whose number grows with the logarithm of the longest
     path, until it fits or is done.  A hub's edges are never gathered: minima are
     pre-aggregated and the join that follows them may be split.  Self-loops keep
-    their node; repeated edges change nothing; no edges give no rows.
+    their node; repeated edges change nothing; no edges give no rows.  The result is
+    a stored table, which the caller drops.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
@@ -89,4 +90,6 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(before)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     alone = e.select(F.col("v").alias("node"), F.col("v").alias("component")).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(stars, "node", "left_anti"))
-    return stars.unionByName(alone.distinct())
+    out = stored(stars.unionByName(alone.distinct()))
+    dropped(e)
+    return out

@@ -21,14 +21,16 @@ k-word shingles (64-bit hashes).  The join works on distinct sets only:
    more pairs, so its cost is about linear in its size, and no pair that could
    still join two components is left out.
 
-Nothing is collected but the count table, whose size is a constant, and a filter
-of needed documents, likewise.
+Nothing is collected but the count table, whose size is a constant, a filter of
+needed documents, likewise, and those 64-bit names of sets that two sets have
+(their 128 bits differ; some n^2 / 2^65 of n sets): such sets get other names
+before anything is joined by them.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and
 is linked with nothing; fewer than k words make one shingle of the whole
 sequence; equal sets always link; a repeated doc_id is one document, linked by
-each of its texts; a null doc_id is dropped; an empty table gives an empty
-result; further columns are ignored.
+each of its texts, and has a row for each row, with one component; a null doc_id
+is dropped; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import _text
 from nearfield.llm._components import components
-from nearfield.llm._io import dropped, stored
+from nearfield.llm._io import dropped, shuffle_parts, stored
 
 #: Bits of a shingle's hash that choose its counter: the count table has 4 MB whatever the corpus.
 COUNT_BITS = 20
@@ -69,32 +72,62 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.n
             yield from zip(part.column("id").to_pylist(), _text.shingle_sets(part.column("text"), k), strict=True)
 
 
-def _class_of(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
+def _class_of(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """128 bits that stand for a set, as two longs; of the first only `bits` count."""
     import xxhash
 
     h = xxhash.xxh3_128_intdigest(s.tobytes())
-    return (h & (2**64 - 1)) - 2**63, (h >> 64) - 2**63
+    return ((h & (2**64 - 1)) >> (64 - bits)) - 2**63, (h >> 64) - 2**63
 
 
-def _rare_first(docs: DataFrame, k: int) -> np.ndarray:
-    """For each value of a hash's top bits, its place among them by how often it occurs."""
+def _name_of(s: np.ndarray, bits: int, shared: frozenset[int]) -> int:
+    """The long that names a set; `shared`: those that more than one set would have."""
+    first, second = _class_of(s, bits)
+    return second if first in shared else first
+
+
+_COUNTED = ["piece", "part", "counts"]
+_PROFILE = ["doc", "n", "class", "class2", "odd1", "odd2", "odd"]
+
+
+def _profiles(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """By document: its set's size, the set's class (two longs), and the parities of its counts in 128 fixed ranges (two longs) and in FINE ones (binary).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each task adds its count table in rows of their own: how often each value of
+    a hash's top bits occurs, in pieces; `part` spreads the tasks over the sums.
+    """
+    kinds = {"odd": pa.binary(), "counts": pa.binary(), "piece": pa.int32(), "part": pa.int32()}
+    schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in [*_PROFILE, *_COUNTED]])
+    parts = shuffle_parts(docs.sparkSession)
+
+    def rows_of(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+        given = dict(zip(names, zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        waiting, held = [], 0
-        for _, s in _sets(batches, k):
-            waiting.append((s >> _SHIFT).astype(np.int32))
-            held += len(s)
-            if held > 1 << 20:
-                seen += np.bincount(np.concatenate(waiting), minlength=len(seen))
-                waiting, held = [], 0
-        if waiting:
-            seen += np.bincount(np.concatenate(waiting), minlength=len(seen))
-        for piece in range(len(seen) // PIECE):
-            own = seen[piece * PIECE : (piece + 1) * PIECE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            rows: list[tuple] = []
+            waiting = []
+            for i, s in _sets(iter([batch]), k):
+                odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE) & 1).astype(np.uint8)
+                few = np.packbits(odd.reshape(128, -1).sum(axis=1) & 1).view(np.int64)
+                rows.append((i, len(s), *_class_of(s, bits), *few.tolist(), np.packbits(odd).tobytes()))
+                waiting.append((s >> _SHIFT).astype(np.int32))
+            if rows:
+                np.add.at(seen, np.concatenate(waiting), 1)
+                yield rows_of(_PROFILE, rows)
+        pieces = seen.reshape(-1, PIECE)
+        counted = [(i, task % parts, zlib.compress(own.tobytes(), 1)) for i, own in enumerate(pieces) if own.any()]
+        if counted:
+            yield rows_of(_COUNTED, counted)
+
+    return docs.mapInArrow(run, ", ".join(f"{f.name} { {pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary'}[f.type]}" for f in schema))
+
+
+def _rare_first(counted: DataFrame) -> np.ndarray:
+    """For each value of a hash's top bits, its place among them by how often it occurs."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -106,32 +139,16 @@ def _rare_first(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
+    parts = counted.repartition("piece", "part").select("piece", "counts").mapInArrow(total, schema)
     seen = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for row in docs.mapInArrow(count, schema).repartition(8, "piece").mapInArrow(total, schema).collect():
+    for row in parts.repartition("piece").mapInArrow(total, schema).collect():
         seen[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
     place = np.empty(len(seen), dtype=np.uint32)
     place[np.argsort(seen, kind="stable")] = np.arange(len(seen), dtype=np.uint32)
     return place
 
 
-def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """By document: its set's size, the set's class (two longs), and the parities of its counts in 128 fixed ranges (two longs) and in FINE ones (binary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, s in _sets(iter([batch]), k):
-                odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE) & 1).astype(np.uint8)
-                few = np.packbits(odd.reshape(128, -1).sum(axis=1) & 1).view(np.int64)
-                rows.append((i, len(s), *_class_of(s), *few.tolist(), np.packbits(odd).tobytes()))
-            if rows:
-                names = ["doc", "n", "class", "class2", "odd1", "odd2", "odd"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "odd" else pa.int64()) for c, name in zip(zip(*rows, strict=True), names, strict=True)], names)
-
-    return docs.mapInArrow(run, "doc long, n long, class long, class2 long, odd1 long, odd2 long, odd binary")
-
-
-def _postings(docs: DataFrame, k: int, percent: int, place: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, k: int, percent: int, place: np.ndarray, bits: int, shared: frozenset[int]) -> DataFrame:
     """(token, class, n, pos): the prefix of each distinct set; a task posts a set once."""
     order = docs.sparkSession.sparkContext.broadcast(place)
 
@@ -150,7 +167,7 @@ def _postings(docs: DataFrame, k: int, percent: int, place: np.ndarray) -> DataF
 
         for _, s in _sets(batches, k):
             n = len(s)
-            if not n or (own := _class_of(s)[0]) in posted:
+            if not n or (own := _name_of(s, bits, shared)) in posted:
                 continue
             posted.add(own)
             most = n - (percent * n + 99) // 100 + 1
@@ -292,7 +309,7 @@ def _filter_of(needed: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, bits: int, shared: frozenset[int]) -> DataFrame:
     """Those pairs (a, b) of classes that link, as (u, v), their first documents.  Only texts of pairs that pass the finer suffix filter are cut into sets again."""
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +323,11 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     whose = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
     pairs = stored(pairs.join(whose("a"), "a").join(whose("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(finer, "a long, b long"))
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed.select("doc")))
+    needed_bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed.select("doc")))
     wanted = docs.withColumns({f"_b{seed}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 64 - FILTER_BITS) for seed in (1, 2)})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
+        held = needed_bits.value
         for batch in batches:
             ok = np.ones(batch.num_rows, dtype=bool)
             for c in ("_b1", "_b2"):
@@ -320,7 +337,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
                 own = list(_text.shingle_sets(part.column("text"), k))
                 at = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(at), _signed(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s)[0] for s in own], pa.int64()), tokens], ["class", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name_of(s, bits, shared) for s in own], pa.int64()), tokens], ["class", "tokens"])
 
     sets = wanted.mapInArrow(read, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens")).join(needed, "class")
 
@@ -334,33 +351,49 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     return out
 
 
-def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; component_id is the least doc_id reachable by links."""
+def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, name_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; component_id is the least doc_id reachable by links.
+
+    name_bits: bits of the first names of sets; sets that share one get another.
+    """
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in 1 to 100")
     docs = df.select(df[doc].cast("long").alias("id"), df[text].cast("string").alias("text")).where("id is not null")
-    place = _rare_first(docs, k)
-    profiles = stored(_profiles(docs, k))
+    read = stored(_profiles(docs, k, name_bits))
+    place = _rare_first(read.where("piece is not null").select(*_COUNTED))
+    profiles = read.where("piece is null").select(*_PROFILE)
     classes = stored(profiles.where("n > 0").groupBy("n", "class", "class2").agg(F.min("doc").alias("doc"), F.first("odd1").alias("odd1"), F.first("odd2").alias("odd2"), F.first("odd").alias("odd")))
-    shared = stored(_shared(_postings(docs, k, percent, place), percent))
-
-
-    tested = stored(shared.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct())
-    joined = stored(components(_links(docs, classes, tested, k, percent)))
+    shared = frozenset(r["class"] for r in classes.groupBy("class").agg(F.count("*").alias("c")).where("c > 1").select("class").collect())
+    named = lambda df: df.withColumn("class", F.when(F.col("class").isin(*shared), F.col("class2")).otherwise(F.col("class"))) if shared else df
+    profiles, sets = named(profiles), named(classes).drop("class2")
+    lists_of = stored(_shared(_postings(docs, k, percent, place, name_bits, shared), percent))
+
+    # a document of several texts ties their classes
+    several = profiles.groupBy("doc").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("doc")
+    ties = profiles.where("n > 0").join(several, "doc", "left_semi").select("class", F.col("doc").alias("u")).join(sets.select("class", F.col("doc").alias("v")), "class").select("u", "v")
+    tested = stored(lists_of.where("prev is not null").select(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b")).distinct())
+    links = _links(docs, sets, tested, k, percent, name_bits, shared)
+    joined = components(links.unionByName(ties))
+    used = [read, classes, lists_of, tested, links, joined]
     for seed in (1, None):
-        comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "odd1", "odd2", F.coalesce("component", "doc").alias("comp"))
-        lists = shared.drop("prev").join(comp, "class")
+        comp = sets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "odd1", "odd2", F.coalesce("component", "doc").alias("comp"))
+        lists = lists_of.drop("prev").join(comp, "class")
         mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
         pairs = stored(_crossing(lists.join(mixed, "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
+        used.append(pairs)
         if not pairs.limit(1).count():
             continue
-        links = _links(docs, classes, pairs, k, percent)
-        tested, joined = tested.unionByName(pairs), stored(components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)))
-    dropped(shared)
-
-    comp = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "class2", "n", F.coalesce("component", "doc").alias("component"))
-    out = profiles.select("doc", "n", "class", "class2").join(comp, ["class", "class2", "n"], "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+        links = _links(docs, sets, pairs, k, percent, name_bits, shared)
+        tested, joined = tested.unionByName(pairs), components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        used += [links, joined]
+
+    comp = sets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", F.coalesce("component", "doc").alias("component"))
+    texts = profiles.select("doc", F.col("n").alias("n_shingles"), "class").join(comp, "class", "left")
+    # a text without words has no class; its document may have other texts
+    own = joined.select(F.col("node").alias("doc"), F.col("component").alias("own"))
+    out = stored(texts.join(own, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "own", "doc").alias("component_id")))
+    dropped(*used)
+    return out
 
 
 def representatives(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:

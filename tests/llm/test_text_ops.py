@@ -77,6 +77,19 @@ def test_odd_documents_of_the_join(spark):
     assert sorted((r.doc_id or 0) for r in kept.select("doc_id").collect()) == [0, 2, 3, 5, 6, 7, 8, 10]
 
 
+def test_a_document_of_several_texts_ties_their_groups(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (9, y + " end"), (7, z), (2, z + " end"), (7, ""), (8, None), (8, z), (11, "other words here")]
+    want = sorted([(3, 3), (5, 3), (5, 3), (9, 3), (7, 2), (2, 2), (7, 2), (8, 2), (8, 2), (11, 11)])
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(odd(spark, rows), k=3, percent=90).collect()) == want
+
+
+def test_sets_that_share_a_name_get_another(spark):
+    rows = near_copies(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd(spark, rows), k=3, percent=90, name_bits=3).collect()}
+    assert got == plain_groups(rows, 3, 90) and len({c for _, c in got.values()}) < len(rows)
+
+
 def test_blocks_of_long_lists_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     rows = near_copies(9, groups=2, size=30, words=20)
