@@ -202,7 +202,7 @@ def without_later_copies(df: DataFrame, doc: str = "doc_id", text: str = "text",
     whole = df.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index(doc)}"
     whole = whole.withColumn("_h", F.xxhash64(f"c{at}"))
-    both = whole.join(marks, (whole[key].cast("long") == marks["_doc"]) & (whole["_h"] == marks["_th"]), "left").drop("_doc", "_th", "_h")
+    both = whole.join(marks.hint("merge"), (whole[key].cast("long") == marks["_doc"]) & (whole["_h"] == marks["_th"]), "left").drop("_doc", "_th", "_h")
     kinds = [f.dataType.simpleString() for f in df.schema]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate(kinds)) + ", n_lines int, n_removed int"
 
