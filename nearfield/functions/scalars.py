@@ -84,8 +84,8 @@ def extension(path: Column) -> Column:
 
 
 def bpm_in_name(name: Column) -> Column:
-    """A number of 2 or 3 digits before 'bpm' in a name, if it is a tempo."""
-    number = F.regexp_extract(F.lower(name), r"(?<![0-9])([0-9]{2,3})[ _-]?bpm", 1)
+    """A number of 2 or 3 digits before 'bpm' in a name, if it is a tempo; one of '-', '_' and white space may stand between."""
+    number = F.regexp_extract(F.lower(name), r"(?<![0-9])([0-9]{2,3})\s*[-_ ]?\s*bpm", 1)
     value = F.nullif(number, F.lit("")).cast("double")
     return F.when(value.between(TEMPO_MIN, TEMPO_MAX), value)
 

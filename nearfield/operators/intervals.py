@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +66,58 @@ def boundaries(events: DataFrame, key: str, start: str, strength: str, whole: Co
     return kept.select(key, F.col(start).alias("start"), "end", F.col(strength).alias("strength"), "found", "capped", "effective")
 
 
-def merged_close(times: Column, gap: float) -> Column:
-    """Events (array of struct t, s in order) nearer than `gap` to the *first* of a run become one: its time, the run's greatest strength."""
-    kind = "array<struct<t:double,s:double>>"
+#: Numbers of a time axis in a part: parts deal a key that holds much of the events over tasks.
+PART = 1 << 16
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (e["t"] - last["t"] < gap)
-        stronger = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["t"].alias("t"), F.greatest(last["s"], e["s"]).alias("s"))))
-        return F.when(joins, stronger).otherwise(F.concat(acc, F.array(F.struct(e["t"].alias("t"), e["s"].alias("s"))))).cast(kind)
 
-    return F.aggregate(times, F.array().cast(kind), step)
+def _stretches(events: DataFrame, key: str, time: str, gap: float) -> DataFrame:
+    """events with `_from`, the time of the last event at or before each that no earlier one is nearer to than `gap`.
+
+    Times are cut into parts of many gaps.  Only the last event of each part goes
+    over the parts' order, so that a key's events are sorted within parts alone.
+    """
+    rows = events.withColumn("_part", F.floor(F.col(time) / F.lit(float(gap) * 256)))
+    by, parts = Window.partitionBy(key, "_part").orderBy(time), Window.partitionBy(key).orderBy("_part")
+    last = rows.groupBy(key, "_part").agg(F.max(time).alias("_end")).withColumn("_before", F.lag("_end").over(parts)).drop("_end")
+    rows = rows.join(last, [key, "_part"])
+    before = F.coalesce(F.lag(time).over(by), F.col("_before"))
+    rows = rows.withColumn("_begin", F.when(before.isNull() | (F.col(time) - before >= gap), F.col(time)))
+    begun = rows.groupBy(key, "_part").agg(F.max("_begin").alias("_latest"))
+    begun = begun.withColumn("_open", F.last("_latest", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1))).drop("_latest")
+    rows = rows.join(begun, [key, "_part"])
+    return rows.withColumn("_from", F.coalesce(F.last("_begin", ignorenulls=True).over(by), F.col("_open"))).drop("_part", "_before", "_begin", "_open")
+
+
+def merged_close(events: DataFrame, key: str, time: str, strength: str, gap: float) -> DataFrame:
+    """(key, t, s): events nearer than `gap` to the *first* of a run become one: its time, the run's greatest strength.
+
+    A pause of `gap` begins a run whatever came before, so the stretches between
+    pauses are dealt over tasks; each is read once in order of time, with nothing
+    held but the run that is open.  Events without key or time are left out.
+    """
+    own = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key), F.col(time).cast("double").alias("t"), F.col(strength).cast("double").alias("s"))
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held, at, top = None, 0.0, None
+        for batch in batches:
+            out = []
+            for k, begin, t, s in zip(*(batch.column(c).to_pylist() for c in ("k", "b", "t", "s")), strict=True):
+                if held != (k, begin) or t - at >= gap:
+                    if held is not None:
+                        out.append((held[0], at, top))
+                    held, at, top = (k, begin), t, s
+                elif s is not None and (top is None or s > top):
+                    top = s
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field("k").type, pa.float64(), pa.float64()), strict=True)], ["k", "t", "s"])
+            kept = batch.schema.field("k").type
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], kept), pa.array([at], pa.float64()), pa.array([top], pa.float64())], ["k", "t", "s"])
+
+    rows = _stretches(own, key, "t", gap).select(F.col(key).alias("k"), F.col("_from").alias("b"), "t", "s")
+    runs = rows.repartition("k", "b").sortWithinPartitions("k", "b", "t").mapInArrow(run, f"k {kind}, t double, s double")
+    return runs.withColumnRenamed("k", key)
 
 
 def dominant(rows: DataFrame, key: str, order: str, strength: str, loudness: str, *, share: float = 0.3, loud_share: float = 0.2, reach: int = 2) -> DataFrame:
@@ -107,12 +150,38 @@ def detrended(rows: DataFrame, key: str, order: str, value: str, reach: int, out
 
 
 def autocorrelation(rows: DataFrame, key: str, index: str, value: str, lags: tuple[int, int]) -> DataFrame:
-    """(key, lag, r): sums of products at each lag over that at 0.  A row meets its own lags only, so the join grows with rows times lags."""
-    a = rows.select(key, F.col(index).alias("_i"), F.col(value).alias("_a"), F.explode(F.sequence(F.lit(lags[0]), F.lit(lags[1]))).alias("lag"))
-    b = rows.select(key, F.col(index).alias("_j"), F.col(value).alias("_b"))
-    r = a.join(b, (a[key] == b[key]) & (a["_i"] + a["lag"] == b["_j"])).groupBy(a[key], "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("r"))
-    zero = rows.groupBy(key).agg(F.sum(F.col(value) * F.col(value)).alias("_z"))
-    return r.join(zero.where("_z > 0"), key).select(key, "lag", (F.col("r") / F.col("_z")).alias("r"))
+    """(key, lag, r): sums of products at each lag over that at 0; lags without any pair are absent.
+
+    A key's rows are cut into parts of PART places, to which the last places
+    before them, as many as the longest lag, are added; each part gives its sums
+    by one pass over arrays, and these are added up.
+    """
+    low, high = lags
+    kind = rows.schema[key].dataType.simpleString()
+    own = rows.select(F.col(key).alias("k"), F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("x")).where("k is not null and i is not null and x is not null")
+    part = F.floor(F.col("i") / PART)
+    also = F.floor((F.col("i") + high) / PART)
+    dealt = own.select("k", "i", "x", F.explode(F.sequence(part, also)).alias("p"))
+
+    def sums(i: np.ndarray, x: np.ndarray, begin: int) -> list[tuple[int, float, int]]:
+        new = i >= begin
+        out = [(0, float((x[new] ** 2).sum()), int(new.sum()))]
+        for lag in range(low, high + 1):
+            at = np.searchsorted(i, i[new] - lag)
+            ok = i[np.minimum(at, len(i) - 1)] == i[new] - lag
+            if ok.any():
+                out.append((lag, float(x[at[ok]] @ x[new][ok]), int(ok.sum())))
+        return out
+
+    def meet(keys: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        found = sums(group.column("i").to_numpy(), group.column("x").to_numpy(), keys[1].as_py() * PART)
+        lag, total, pairs = zip(*found, strict=True)
+        return pa.table({"k": pa.array([keys[0].as_py()] * len(found), group.schema.field("k").type), "lag": pa.array(lag, pa.int32()), "s": pa.array(total, pa.float64()), "n": pa.array(pairs, pa.int64())})
+
+    r = dealt.groupBy("k", "p").applyInArrow(meet, f"k {kind}, lag int, s double, n long").groupBy("k", "lag").agg(F.sum("s").alias("s"))
+    zero = r.where("lag = 0 and s > 0").select("k", F.col("s").alias("z"))
+    return r.where("lag > 0").join(zero, "k").select(F.col("k").alias(key), "lag", (F.col("s") / F.col("z")).alias("r"))
 
 
 def best_local_peak(correlation: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +36,7 @@ def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedd
         schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("sim", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        x, y = np.array(a.column("v").to_pylist()), np.array(b.column("v").to_pylist())
+        x, y = flat(a.column("v")), flat(b.column("v"))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
         qs, ns = a.column("id").to_numpy(), b.column("id").to_numpy()
         order = np.argsort(ns, kind="stable")
@@ -100,12 +102,70 @@ def masked_pool(frames: Column, n: Column, *, with_spread: bool = False) -> Colu
     return unit(F.concat(out, F.transform(at, spread)) if with_spread else out)
 
 
+#: Prompts in a block.
+PROMPTS = 4096
+#: Numbers in a batch's product with the prompts, at most.
+_PRODUCT = 1 << 22
+
+
+def flat(vectors: pa.ListArray) -> np.ndarray:
+    """Lists of one width as rows, without an object for each number."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def class_scores(items: DataFrame, prompts: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(id, class, score): an item's best cosine over each class's prompts.  prompts: class, vector; a table of fixed, small size, which is broadcast."""
-    if prompts.limit(10_001).count() > 10_000:
-        raise ValueError("prompts are a small table")
-    both = items.select(id_, F.col(vector).alias("_v")).crossJoin(F.broadcast(prompts.select("class", F.col("vector").alias("_p"))))
-    return both.groupBy(id_, "class").agg(F.max(dot(F.col("_v"), F.col("_p"))).alias("score"))
+    """(id, class, score): an item's best inner product over each class's prompts; missing for an item of another width.
+
+    prompts: class, vector.  Up to PROMPTS of them go to the tasks, and each batch
+    of items is one matrix product with them, in slices of bounded size: items
+    aren't copied and nothing is shuffled.  More prompts are dealt into blocks of
+    about that many, whose best scores are aggregated.  Prompts of another width
+    than the widest are left out.
+    """
+    own = prompts.select("class", F.col("vector").cast("array<double>").alias("v")).where("class is not null and v is not null")
+    own = own.where(F.size("v") == (own.agg(F.max(F.size("v"))).first()[0] or 0))
+    blocks = -(-own.count() // PROMPTS)
+    if blocks > 1:
+        dealt = own.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
+        scores = [_block_scores(items, dealt.where(F.col("b") == b), id_, vector) for b in range(blocks)]
+        return functools.reduce(DataFrame.unionByName, scores).groupBy(id_, "class").agg(F.max("score").alias("score"))
+    return _block_scores(items, own, id_, vector)
+
+
+def _block_scores(items: DataFrame, prompts: DataFrame, id_: str, vector: str) -> DataFrame:
+    own = prompts.select("class", "v").toArrow()
+    names = sorted(set(own.column("class").to_pylist()))
+    vectors = own.column("v").to_pylist()
+    width = len(vectors[0]) if vectors else 0
+    # prompts in order of class: a class is a range of columns
+    order = np.argsort([names.index(c) for c in own.column("class").to_pylist()], kind="stable")
+    matrix = np.array([vectors[i] for i in order], dtype=float).reshape(len(vectors), width)
+    starts = np.searchsorted([names.index(own.column("class")[int(i)].as_py()) for i in order], np.arange(len(names)))
+    held = items.sparkSession.sparkContext.broadcast(matrix)
+    kind = items.schema[id_].dataType.simpleString()
+    x = F.col(vector).cast("array<double>")
+
+    def run(batches):
+        m = held.value
+        for batch in batches:
+            step = max(1, _PRODUCT // max(1, len(m)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                if not part.num_rows:
+                    continue
+                best = np.maximum.reduceat(flat(part.column("v")) @ m.T, starts, axis=1)
+                scores = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, len(names)), pa.int32()), pa.array(best.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), scores], ["id", "scores"])
+
+    if not names:
+        return items.select(id_, F.lit(None).cast("string").alias("class"), F.lit(None).cast("double").alias("score")).where("false")
+    fits = x.isNotNull() & (F.size(x) == width) & F.forall(x, lambda c: c.isNotNull())
+    scored = items.where(fits).select(F.col(id_).alias("id"), x.alias("v")).mapInArrow(run, f"id {kind}, scores array<double>")
+    others = items.where(~F.coalesce(fits, F.lit(False))).select(F.col(id_).alias("id"), F.lit(None).cast("array<double>").alias("scores"))
+    each = F.explode(F.transform(F.array(*map(F.lit, names)), lambda c, i: F.struct(c.alias("class"), F.try_element_at("scores", i + 1).alias("score")))).alias("e")
+    return scored.unionByName(others).select(F.col("id").alias(id_), each).select(id_, "e.class", "e.score")
 
 
 def zero_shot(scores: DataFrame, id_: str, classes: list[str], scale: float, *, harmonic: Column | None = None, threshold: float = CLASS_CONFIDENCE) -> DataFrame:

@@ -60,9 +60,8 @@ def strong_events(t: Tables) -> DataFrame:
     f"WITH a AS (SELECT user_id, list({{'t': CAST({_US} AS DOUBLE), 's': value}} ORDER BY {_US}) AS l FROM events GROUP BY user_id), r AS (SELECT user_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, e: CASE WHEN e[1].t - acc[len(acc)].t < 36000000000 THEN list_concat(acc[1:len(acc) - 1], [{{'t': acc[len(acc)].t, 's': greatest(acc[len(acc)].s, e[1].s)}}]) ELSE list_concat(acc, e) END) AS m FROM a) SELECT user_id, CAST(len(m) AS BIGINT) AS n, round(list_sum(list_transform(m, lambda x: x.s)), 4) AS total, CAST(m[len(m)].t AS BIGINT) AS last FROM r",
 )
 def merge_close(t: Tables) -> DataFrame:
-    rows = _events(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("us").cast("double").alias("t"), F.col("value").alias("s")))).alias("l"))
-    m = rows.select("user_id", I.merged_close(F.col("l"), 36000000000.0).alias("m"))
-    return m.select("user_id", F.size("m").cast("long").alias("n"), F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x["s"]), 4).alias("total"), F.element_at("m", -1)["t"].cast("long").alias("last"))
+    m = I.merged_close(_events(t), "user_id", "us", "value", 36000000000.0)
+    return m.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("s"), 4).alias("total"), F.max("t").cast("long").alias("last"))
 
 
 @query("dominant_onsets", "E4", _FRAMES + ", m AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS top, max(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM f) SELECT user_id, us FROM m WHERE value >= top * 0.3 AND (top <= 0 OR near >= top * 0.2)")

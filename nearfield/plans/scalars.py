@@ -17,12 +17,12 @@ def tag_names(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", S.normalised_tag(text).alias("tag"))
 
 
-_BPM = "CASE WHEN TRY_CAST(nullif(regexp_extract(lower({n}), '(?:^|[^0-9])([0-9]{{2,3}})[ _-]?bpm', 1), '') AS DOUBLE) BETWEEN 40 AND 240 THEN TRY_CAST(nullif(regexp_extract(lower({n}), '(?:^|[^0-9])([0-9]{{2,3}})[ _-]?bpm', 1), '') AS DOUBLE) END"
-_NAME = "p_name || '_' || CAST(p_size * 7 AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN ' BPM' WHEN 1 THEN '_bpm' ELSE '' END"
+_BPM = "CASE WHEN TRY_CAST(nullif(regexp_extract(lower({n}), '(?:^|[^0-9])([0-9]{{2,3}})\\s*[-_ ]?\\s*bpm', 1), '') AS DOUBLE) BETWEEN 40 AND 240 THEN TRY_CAST(nullif(regexp_extract(lower({n}), '(?:^|[^0-9])([0-9]{{2,3}})\\s*[-_ ]?\\s*bpm', 1), '') AS DOUBLE) END"
+_NAME = "p_name || '_' || CAST(p_size * 7 AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN ' - BPM' WHEN 1 THEN '_bpm' ELSE '' END"
 
 
 def _named(t: Tables) -> DataFrame:
-    end = F.when(F.col("p_partkey") % 3 == 0, " BPM").when(F.col("p_partkey") % 3 == 1, "_bpm").otherwise("")
+    end = F.when(F.col("p_partkey") % 3 == 0, " - BPM").when(F.col("p_partkey") % 3 == 1, "_bpm").otherwise("")
     return t.part.withColumn("name", F.concat("p_name", F.lit("_"), (F.col("p_size") * 7).cast("string"), end))
 
 

@@ -1,5 +1,7 @@
 """Operators on inline tables: ranking, filters, intervals, vectors, state, ingestion."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,9 +143,36 @@ def test_bad_rules():
 
 
 def test_merging_compares_with_the_first_of_a_run(spark):
-    events = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in [(0.0, 0.5), (0.06, 0.9), (0.1, 0.2), (0.12, 0.7)]))
-    got = spark.range(1).select(intervals.merged_close(events, 0.08).alias("m")).first()["m"]
-    assert [(e.t, e.s) for e in got] == [(0.0, 0.9), (0.1, 0.7)]
+    rows = [("a", t, s) for t, s in [(0.0, 0.5), (0.06, 0.9), (0.1, 0.2), (0.12, 0.7)]] + [("b", 5.0, None), ("b", 5.0, 0.1), ("b", 5.1, 0.3), (None, 1.0, 1.0), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, at double, w double")
+    assert rows_of(intervals.merged_close(df, "k", "at", "w", 0.08)) == [("a", 0.0, 0.9), ("a", 0.1, 0.7), ("b", 5.0, 0.1), ("b", 5.1, 0.3)]
+    assert intervals.merged_close(df.where("false"), "k", "at", "w", 0.08).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0.3, 3.0, 300.0])
+def test_merging_over_many_parts_as_in_one_pass(spark, dense):
+    rng = random.Random(1)
+    times = sorted(rng.uniform(0, 3000 * dense) for _ in range(3000))
+    df = spark.createDataFrame([(rng.choice([1, 1, 1, 2]), t, rng.random()) for t in times], "k long, t double, s double")
+    want, held = [], {}
+    for k, t, s in sorted(map(tuple, df.collect())):
+        if k in held and t - held[k][1] < 2.0:
+            held[k][2] = max(held[k][2], s)
+        else:
+            held[k] = [k, t, s]
+            want.append(held[k])
+    assert sorted(map(tuple, intervals.merged_close(df, "k", "t", "s", 2.0).collect())) == sorted(map(tuple, want))
+
+
+def test_autocorrelation_over_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    series = {k: {i: rng.random() for i in range(200) if rng.random() < 0.9} for k in "ab"} | {"z": {0: 0.0, 2: 0.0}}
+    df = spark.createDataFrame([(k, i, x) for k, s in series.items() for i, x in s.items()], "k string, i long, x double")
+    want = {(k, lag): sum(x * s[i + lag] for i, x in s.items() if i + lag in s) / sum(x * x for x in s.values()) for k, s in series.items() if k != "z" for lag in range(2, 7)}
+    for part in (1 << 16, 10, 3):
+        monkeypatch.setattr(intervals, "PART", part)
+        got = {(r.k, r.lag): r.r for r in intervals.autocorrelation(df, "k", "i", "x", (2, 6)).collect()}
+        assert got == pytest.approx(want)
 
 
 @pytest.mark.parametrize(("n", "want"), [(5, [(0, 5)]), (25, [(0, 10), (10, 20), (20, 25)]), (20, [(0, 10), (10, 20)]), (0, [(0, 0)])])

@@ -54,7 +54,7 @@ def test_gated_logs(spark):
     assert one(spark, S.decibels(lit(0.0))) == -120.0 and one(spark, S.decibels(lit(0.1))) == pytest.approx(-20)
 
 
-@pytest.mark.parametrize(("name", "bpm"), [("loop 120 BPM.wav", 120.0), ("x_95bpm", 95.0), ("x1200bpm", None), ("30 bpm", None), ("bpm 120", None), ("120_bpm_2", 120.0)])
+@pytest.mark.parametrize(("name", "bpm"), [("loop 120 BPM.wav", 120.0), ("x_95bpm", 95.0), ("x1200bpm", None), ("30 bpm", None), ("bpm 120", None), ("120_bpm_2", 120.0), ("120  bpm", 120.0), ("a 120 - bpm", 120.0), ("120 -- bpm", None)])
 def test_tempo_in_names(spark, name, bpm):
     assert one(spark, S.bpm_in_name(lit(name))) == bpm
 
