@@ -1,8 +1,9 @@
 """Ranking a parent/child population against an anchor, and vector search.
 
 Statistics of the whole population (medians, spreads, 95th percentiles) are a
-handful of numbers; they are computed in two passes and put into later plans as
-literals, so that ranking itself is one scan without a shuffle before the fold.
+handful of numbers; each kind is computed in two passes for all columns and put
+into later plans as literals, so that ranking itself is one scan without a
+shuffle before the fold.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.arrays import dot
 from nearfield.functions.scalars import clip, known
 from nearfield.operators.quantiles import quantiles
+from nearfield.working import stored
 
 MAD_FACTOR, Z_LIMIT, SPREAD_FLOOR, SCALE_SHARE = 1.4826, 4.0, 1e-9, 0.95
 
@@ -111,7 +113,7 @@ class Ranker:
 
     def __post_init__(self) -> None:
         # every pass over statistics and every ranking reads it
-        self.items = self.items.persist()
+        self.items = stored(self.items)
         self.axes = self.axes.fitted(self.items)
         self.z = self.axes.standardised(self.items)
         self._anchor: tuple[tuple[str, int], DataFrame] | None = None

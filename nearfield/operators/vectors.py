@@ -188,7 +188,8 @@ def zero_shot(scores: DataFrame, id_: str, classes: list[str], scale: float, *,
 
 def stretched(values: DataFrame, value: str, out: str = "t") -> DataFrame:
     """A value between its 5th and 95th percentile as 0..1; missing stays missing."""
-    low, high = (quantiles(values, {"v": F.col(value)}, share)["v"] for share in (0.05, 0.95))
+    found = quantiles(values, {"low": F.col(value), "high": F.col(value)}, {"low": 0.05, "high": 0.95})
+    low, high = found["low"], found["high"]
     if low is None:
         return values.withColumn(out, F.lit(None).cast("double"))
     span = max(high - low, 1e-9)

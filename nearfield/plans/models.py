@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield import working
 from nearfield.functions import encoders, signal
 from nearfield.io import Tables
 from nearfield.plans._registry import query
@@ -84,6 +83,6 @@ def stream_ingest(t: Tables) -> DataFrame:
     """Event files in micro-batches; each batch is counted once."""
     rows: list[tuple[int, int]] = []
     schema = t.events.schema
-    checkpoint = (t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + "/stream-" + next(tempfile._get_candidate_names())
+    checkpoint = working.fresh(t.spark, "stream")
     incremental.new_files(t.spark, t.folder, schema, checkpoint, lambda df, n: rows.append((n, df.count())), glob="events.parquet")
     return t.spark.createDataFrame(rows, "batch long, n long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +29,9 @@ def items(t: Tables) -> DataFrame:
     return similarity.population(parents(t), children(t), AXES.features)
 
 
-@lru_cache(maxsize=8)
-def _ranker(spark, folder: str) -> similarity.Ranker:
-    # statistics depend on the index alone, so they are kept with it
-    return similarity.Ranker(items(Tables(spark, folder)), AXES)
-
-
 def ranker(t: Tables) -> similarity.Ranker:
-    return _ranker(t.spark, t.folder)
+    """The index of the tables as they are now; whoever asks several times keeps it."""
+    return similarity.Ranker(items(t), AXES)
 
 
 def anchor(t: Tables) -> int:

@@ -64,11 +64,13 @@ def test_quantiles_of_many_values_are_exact(spark, share):
 
     from nearfield.operators.quantiles import quantiles
 
-    df = spark.range(40_000).selectExpr("id", "cast(hash(id) as double) x", "case when id % 3 > 0 then 7.0 else id * 1.0 end y", "cast(null as double) z", "case when id < 9 then sqrt(id) end w")
-    got = quantiles(df, {c: F.col(c) for c in "xyzw"}, share, small=50)
-    want = quantiles(df, {c: F.col(c) for c in "xyzw"}, share)
-    assert got == pytest.approx(want) and got["z"] is None
-    assert want["x"] == pytest.approx(np.quantile(df.toPandas()["x"], share))
+    df = spark.range(40_000).selectExpr("id", "cast(hash(id) as double) x", "case when id % 3 > 0 then 7.0D else id * 1.0D end y", "cast(null as double) z", "case when id < 9 then sqrt(id) end w")
+    for held in (20_000, 20, 3):
+        got = quantiles(df, {c: F.col(c) for c in "xyzw"}, share, held=held)
+        assert got.pop("z") is None
+        for c, value in got.items():
+            assert value == pytest.approx(np.quantile(df.select(c).dropna().toPandas()[c], share))
+    assert quantiles(df.where("false"), {"x": F.col("x")}, share) == {"x": None}
 
 
 def test_search_normalises_the_query_alone(spark):
