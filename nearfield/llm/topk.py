@@ -5,9 +5,10 @@ are numbered anew, like ones next to each other, and cut into ranges, the
 blocks.  A block keeps a forward index (its vectors) and, by dimension, its
 largest and smallest component: the maxima of the terms "+d" and "-d".  For a
 query the sum of q_d times the maximum (or the minimum, if q_d < 0) bounds every
-score of the block.  Blocks are visited in falling order of that bound, one at a
-time, and a query stops when its next bound is below its k-th score: an equal
-one goes on, since a tie goes to the smaller id.
+score of the block.  Blocks are visited in falling order of that bound, in steps
+that double, and a query stops when its next bound is below its k-th score (an
+equal one goes on, since a tie goes to the smaller id); within a step, too, only
+blocks are scored whose bound reaches the k-th score so far.
 
 Groups and chunks of queries meet pairwise in tasks of bounded size (fewer rows
 of wider vectors); each pair returns k rows a query at most, and these are
@@ -74,10 +75,14 @@ def _digits(x: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two matrices of whole doubles, as the nearest longs."""
-    most = lambda m: int(np.abs(m).max(initial=0.0))
-    top = most(q) * most(x) * max(1, x.shape[1])
+def _largest(x: np.ndarray) -> np.ndarray:
+    """By row, its largest component without sign."""
+    return np.abs(x).max(axis=1, initial=0.0)
+
+
+def products(q: np.ndarray, x: np.ndarray, most_q: float, most_x: float) -> np.ndarray:
+    """Inner products of the rows of two matrices of whole doubles, none above these, as the nearest longs."""
+    top = int(most_q) * int(most_x) * max(1, x.shape[1])
     if top < 1 << 53:
         return (q @ x.T).astype(np.int64)
     bits = (53 - max(1, x.shape[1]).bit_length()) // 2
@@ -116,6 +121,7 @@ class Blocks:
         self.cuts = np.append(cuts, len(ids))
         self.most = np.maximum.reduceat(self.x, cuts, axis=0) if x.shape[1] else np.zeros((len(cuts), 0))
         self.least = np.minimum.reduceat(self.x, cuts, axis=0) if x.shape[1] else np.zeros((len(cuts), 0))
+        self.top_of = np.maximum.reduceat(_largest(self.x), cuts)
         self.scored = 0
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -130,33 +136,40 @@ class Blocks:
     def top(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, score) of the k best of each query."""
         q = q.astype(np.float64)
-        bound = self.bounds(q)
+        bound, most = self.bounds(q), _largest(q)
         order = np.argsort(-bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, order, axis=1)
         score, best = np.full((len(q), k), _LEAST), np.full((len(q), k), _MOST)
         # candidates seen, and the k-th score as a double no larger (none: minus infinity)
         seen, kth = np.zeros(len(q), dtype=np.int64), np.full(len(q), -np.inf)
-        live = np.arange(len(q))
-        for step in range(order.shape[1]):
-            live = live[bound[live, step] >= kth[live]]
+        at, width = 0, 1
+        while at < order.shape[1]:
+            live = np.flatnonzero(bound[:, at] >= kth)
             if not len(live):
                 break
-            visit = order[live, step]
+            # the next blocks of every query, block by block; twice as many each time, so that at most half of the visits are in vain
+            visit, due = order[live, at : at + width], bound[live, at : at + width]
+            query, limit, visit = np.repeat(live, visit.shape[1]), due.ravel(), visit.ravel()
+            at, width = at + width, width * 2
             by = np.argsort(visit, kind="stable")
             starts = np.flatnonzero(np.r_[True, visit[by][1:] != visit[by][:-1]])
             for a, b in zip(starts, np.r_[starts[1:], len(by)], strict=True):
-                rows, n = live[by[a:b]], visit[by[a]]
+                own_ = by[a:b]
+                own_ = own_[limit[own_] >= kth[query[own_]]]
+                if not len(own_):
+                    continue
+                rows, n = query[own_], visit[own_[0]]
                 part = slice(self.cuts[n], self.cuts[n + 1])
-                got = products(q[rows], self.x[part])
+                got = products(q[rows], self.x[part], most[rows].max(), self.top_of[n])
                 own = np.broadcast_to(self.ids[part], got.shape)
                 self.scored += got.size
-                self_ = own == qids[rows][:, None]
-                got = np.where(self_, _LEAST, got)
-                own = np.where(self_, _MOST, own)
+                itself = own == qids[rows][:, None]
+                if itself.any():
+                    got, own = np.where(itself, _LEAST, got), np.where(itself, _MOST, own)
+                seen[rows] += own.shape[1] - itself.sum(axis=1)
                 s, i = np.concatenate([score[rows], got], axis=1), np.concatenate([best[rows], own], axis=1)
                 keep = np.lexsort((i, ~s), axis=1)[:, :k]
                 score[rows], best[rows] = np.take_along_axis(s, keep, axis=1), np.take_along_axis(i, keep, axis=1)
-                seen[rows] += (~self_).sum(axis=1)
                 low = score[rows, -1].astype(np.float64)
                 low = np.where(np.abs(low) < 2.0**53, low, np.nextafter(low, -np.inf))
                 kth[rows] = np.where(seen[rows] >= k, low, -np.inf)
