@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, jaccard, linededup, mixing, quality
-from nearfield.llm._io import stored, table
+from nearfield.llm._io import dropped, stored, table
 
 #: The mixture takes this share of the tokens that reach it, by the weights below.
 MIX_PERCENT = 60
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, last = stored(stage(spark, docs, sf_dir)), before
+        # a stage's output goes once the next one is written
+        if last is not None:
+            dropped(last)
+        before = docs
     return docs

@@ -73,8 +73,8 @@ def formatted(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", tur
 
 
 def with_swapped_answer(turns: DataFrame) -> DataFrame:
-    """Each conversation with its last assistant turn's text taken from that of its neighbour (conv_id with the last bit turned); without one it stays."""
-    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m"))
+    """Each conversation with its last assistant turn's text taken from that of its neighbour (conv_id with the last bit turned), a null one as an empty text; without one it stays."""
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
     mine = last.select("conv_id", F.col("m.turn").alias("last_turn"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("m.text").alias("other"))
     swapped = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.coalesce("other", "text")).otherwise(F.col("text"))

@@ -14,7 +14,8 @@ Neighbouring documents of one order (for edits that bring in the next text) are
 found without one global sort: documents are dealt into ranges of ids, and each
 range is also sent the first document of the next one.
 
-Defined cases: a null text is empty; the signature of an empty text is all 0;
+Defined cases: a null text is empty; the signature of an empty text is all 0, so
+two empty texts have likeness 1, and an empty one next to none with others;
 texts shorter than k are one k-mer; equal texts have equal signatures; rows of
 one doc_id are ordered by text; the only document is its own next; an empty table
 gives an empty result; rows with a null id are left out; further columns are

@@ -19,7 +19,9 @@ so that a leaf that holds a third of all documents isn't gathered anywhere.
 Defined cases: a null level counts as ''; a null text has no tokens; documents
 without tokens come with the prefix they lie in; a weight that isn't given is
 1, and at most 0 keeps a branch empty; rows that repeat a doc_id have equal keys
-and come or go together; an empty table gives an empty result.
+and come or go together, and so do all rows of a leaf without a doc_id, which
+count as one; columns named like `copies` or `tokens` are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,17 +54,30 @@ def _weight(level: str, column: Column, weights: dict[str, dict[str, float]]) ->
     return F.coalesce(F.element_at(table, column), F.lit(1.0))
 
 
+#: Parts of an octave in which siblings are ordered by how soon they are full.
+STEPS = 256
+
+
 def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """nodes: parent's columns, name, weight, capacity, budget (the parent's). Adds `own`, the node's budget."""
-    live = nodes.withColumn("ratio", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")))
-    by = Window.partitionBy(*parent).orderBy("ratio", name) if parent else Window.orderBy("ratio", name)
-    everyone = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    live = live.where("ratio is not null")
-    live = live.withColumn("used", F.coalesce(F.sum("capacity").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    live = live.withColumn("open", F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    """nodes: parent's columns, name, weight, capacity, budget (the parent's). Adds `own`, the node's budget.
+
+    Siblings are ordered by capacity over weight.  Sums go over parts of that
+    order first, so that the many children of one parent are sorted within parts.
+    """
+    live = nodes.where("weight > 0").withColumn("ratio", F.col("capacity") / F.col("weight")).withColumn("step", F.floor(F.coalesce(F.log2("ratio"), F.lit(-1e6)) * STEPS))
+    over = lambda by, order: Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    steps = live.groupBy(*parent, "step").agg(F.sum("capacity").alias("_c"), F.sum("weight").alias("_w"))
+    by = over(parent, ["step"])
+    steps = steps.withColumn("full", F.coalesce(F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    steps = steps.withColumn("wide", F.sum("_w").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))).drop("_c", "_w")
+    live = live.join(steps, [*parent, "step"])
+    within = over([*parent, "step"], ["ratio", name]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0.0))
+    live = live.withColumn("used", F.col("full") + before("capacity")).withColumn("open", F.col("wide") - before("weight"))
     live = live.withColumn("level", (F.col("budget") - F.col("used")) / F.col("open"))
-    level = F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(everyone)
-    return live.withColumn("water", level).withColumn("own", F.when(F.col("level") < F.col("ratio"), F.greatest(F.lit(0.0), F.col("weight") * F.col("water"))).otherwise(F.col("capacity"))).drop("ratio", "used", "open", "level", "water")
+    water = live.groupBy(*parent).agg(F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).alias("water"))
+    live = live.join(water, parent) if parent else live.crossJoin(F.broadcast(water))  # one row
+    return live.withColumn("own", F.when(F.col("level") < F.col("ratio"), F.greatest(F.lit(0.0), F.col("weight") * F.col("water"))).otherwise(F.col("capacity"))).drop("ratio", "step", "full", "wide", "used", "open", "level", "water")
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], percent: float, max_epochs: int) -> DataFrame:
@@ -130,7 +145,7 @@ def mixed(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     dropped(narrow)
     taken = held.join(_small(plan), inner)
     taken = taken.withColumn("_copies", F.col("full") + F.when(order_key(seed, F.col("full"), F.col(id_)) <= F.col("last"), 1).otherwise(0)).where("_copies > 0")
-    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(cols)]
+    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(cols) if c not in (copies, tokens)]
     out += [F.col(i).alias(n) for i, n in zip(inner, names, strict=True) if n not in cols]
     out += [tokens_of(text_).alias(tokens)] if tokens else []
     return taken.select(*out, *[F.col("_copies").alias(copies)] if copies else [])

@@ -16,9 +16,13 @@ scoring reads every document.  The weights' size is a constant.
 
 Defined cases: a null or empty text has no words and only the three levels; a
 rated document that is missing is left out; of several ratings of a doc_id the
-lowest grade counts; null ratings are left out; without rated rows, or with one
-grade alone, every document gets the best grade with probability 1; rows repeat
-as they came; other columns pass through, whatever their names.
+lowest grade counts; null ratings are left out; without rated rows, with one
+grade alone, or if no feature tells grades apart, every document gets the best
+grade with probability 1; with few rated rows, of which few features can be told,
+a document that shows none of them gets the share of the best grade, so that a
+selection at MIN_TAIL takes all such documents or none; rows repeat as they came;
+other columns pass through, but for those named like the two results, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -136,6 +140,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float
     # by a correlation alone a feature would need a fixed share of the rows, however many there are; its effect by occurrence doesn't depend on that
     effect = z * np.sqrt((1 - df / len(rows)) / df)
     told = (z >= least_z) & ((z >= least_r * len(rows) ** 0.5) | (effect >= least_effect))
+    if not told.any():
+        return CumulativeLink(np.zeros(WIDTH), np.full(n_grades - 1, -40.0))
     keep = told[at]
     index = np.cumsum(told) - 1
     at, row, w = index[at[keep]], row[keep], np.zeros(int(told.sum()))
@@ -192,7 +198,7 @@ def scored(df: DataFrame, model: CumulativeLink, text: str = "text", *, names: t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*inner, "expected", "tail"])
 
     out = df.toDF(*inner).mapInArrow(run, schema)
-    return out.select(*(F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True)), F.col("expected").alias(names[0]), F.col("tail").alias(names[1]))
+    return out.select(*(F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True) if c not in names), F.col("expected").alias(names[0]), F.col("tail").alias(names[1]))
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ only receives.  Old versions stay readable.
 The law that holds is `bytes`: shards' sizes are near equal.
 
 Defined cases: a null text has no bytes (a row's size is 8 then, its checksum
-0); a null id is a value like others and has the slot 0; rows that repeat an id
-share its slot; an empty table gives an empty map with all slots on shard 0 ..,
+0); rows without an id have the slot of a hash of their text; rows that repeat an
+id share its slot; an empty table gives an empty map with all slots on shard 0 ..,
 in turn; one record of more bytes than a shard's share makes its shard the
 heaviest, as records aren't cut; further columns are ignored.
 """
@@ -31,8 +31,9 @@ SLOTS = 8192
 ROW_BYTES = 8
 
 
-def slot_of(doc: Column, slots: int = SLOTS) -> Column:
-    return F.when(doc.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(doc), F.lit(slots))).cast("int")
+def slot_of(doc: Column, text: Column, slots: int = SLOTS) -> Column:
+    """By the id; rows without one are dealt by their texts."""
+    return F.pmod(F.when(doc.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(doc)), F.lit(slots)).cast("int")
 
 
 def size_of(text: Column) -> Column:
@@ -130,7 +131,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
 
 def slot_totals(df: DataFrame, doc: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows by slot: SLOTS pairs of numbers."""
-    totals = df.select(slot_of(df[doc], slots).alias("s"), size_of(df[text]).alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect()
+    totals = df.select(slot_of(df[doc], df[text], slots).alias("s"), size_of(df[text]).alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect()
     sizes, rows = [0] * slots, [0] * slots
     for r in totals:
         sizes[r["s"]], rows[r["s"]] = r["b"], r["n"]
@@ -153,7 +154,7 @@ def sharded(df: DataFrame, shards: int, doc: str = "doc_id", text: str = "text",
         seen[shard] += rows[slot]
     # `slots` rows of three numbers, whatever the corpus
     places = F.broadcast(spark.createDataFrame(list(zip(range(slots), slot_map.shard_of, begin, strict=True)), "virtual_slot int, shard int, begin long"))
-    out = df.select(df[doc].alias("doc_id"), size_of(df[text]).alias("size"), F.crc32(F.coalesce(df[text], F.lit("")).cast("binary")).alias("text_crc32"), slot_of(df[doc], slots).alias("virtual_slot"))
+    out = df.select(df[doc].alias("doc_id"), size_of(df[text]).alias("size"), F.crc32(F.coalesce(df[text], F.lit("")).cast("binary")).alias("text_crc32"), slot_of(df[doc], df[text], slots).alias("virtual_slot"))
     at = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     out = out.withColumn("at", at).join(places, "virtual_slot")
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("at")).alias("slot"), "virtual_slot", F.lit(slot_map.version).alias("map_version"))

@@ -33,6 +33,24 @@ def test_preference_pairs(spark):
     assert chat.formatted(chosen.where("false"), rejected.where("false")).count() == 0
 
 
+def test_repeated_tied_and_long_turns(spark):
+    long = "x" * 400_000
+    schema = "pair_id long, turn long, role string, text string"
+    chosen = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", long), (2, 5, "user", "q"), (2, 5, "user", "q")], schema)
+    rejected = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "y" + long), (2, 5, "user", "q")], schema)
+    got = {r.pair_id: r for r in chat.formatted(chosen, rejected).collect()}
+    turn = "<|im_start|>user\n{}<|im_end|>\n".format
+    assert got[1].prompt == turn("a") * 2 + turn("b") and got[1].prompt_turns == 3
+    begin, end = map(int, got[1].chosen_mask.split("-"))
+    assert got[1].chosen[begin:end] == long + "<|im_end|>\n" and got[1].rejected == f"<|im_start|>assistant\ny{long}<|im_end|>\n"
+    assert (got[2].prompt, got[2].chosen, got[2].rejected, got[2].tie) == (turn("q"), turn("q"), "", False)
+
+
+def test_null_last_answer_is_swapped_in_as_empty(spark):
+    turns = spark.createDataFrame([(0, 0, "assistant", "own"), (1, 0, "assistant", None), (2, 0, "assistant", "alone")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.text for r in chat.with_swapped_answer(turns).collect()} == {0: "", 1: "own", 2: "alone"}
+
+
 def test_main_path_is_native(spark):
     turns = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "assistant", "c")], "conv_id long, turn long, role string, text string")
     out = chat.formatted(turns.withColumnRenamed("conv_id", "pair_id"), chat.with_swapped_answer(turns).withColumnRenamed("conv_id", "pair_id"))
@@ -243,6 +261,51 @@ def test_quality_of_odd_rows(spark):
     assert few.weights.shape == model.weights.shape
 
 
+def plain_fit(x, grades, l2):
+    """Penalised maximum likelihood by plain descent with halved steps, on the likelihood as it is written: weights and thresholds."""
+    n, width = x.shape
+
+    def loss(p):
+        w, t = p[:width], np.concatenate([[p[width]], p[width] + np.cumsum(np.exp(p[width + 1 :]))])
+        tail = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + t)), np.zeros((n, 1))], axis=1)
+        chance = tail[np.arange(n), grades] - tail[np.arange(n), grades + 1]
+        return -np.log(chance).sum() + l2 / 2 * w @ w
+
+    p, rate = np.zeros(width + 2), 0.01
+    for _ in range(4000):
+        slope = np.array([(loss(p + h) - loss(p - h)) / 2e-5 for h in np.eye(len(p)) * 1e-5])
+        while rate > 1e-12 and loss(p - rate * slope) > loss(p):
+            rate /= 2
+        p, rate = p - rate * slope, rate * 1.5
+        if np.abs(slope).max() < 1e-3:
+            break
+    return p[:width], np.array([p[width], p[width] + np.exp(p[width + 1])])
+
+
+def test_fit_as_by_plain_maximum_likelihood():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 4)) < [0.5, 0.4, 0.3, 0.2]
+    z = x @ np.array([2.0, -1.5, 1.0, -2.5]) + rng.logistic(size=400)
+    grades = (z > -0.5).astype(int) + (z > 1.0)
+    model = quality.fit([np.flatnonzero(r) for r in x], grades, 3, least_z=0.0, least_r=0.0, steps=2000)
+    w, t = plain_fit(x.astype(float), grades, 0.3)
+    assert model.weights[:4] == pytest.approx(w, abs=0.02) and model.thresholds == pytest.approx(t, abs=0.02)
+    assert model.tails(x @ model.weights[:4]) == pytest.approx(1 / (1 + np.exp(-(x @ w)[:, None] + t)), abs=0.01)
+    # the steps that the operator takes come near it, too
+    usual = quality.fit([np.flatnonzero(r) for r in x], grades, 3, least_z=0.0, least_r=0.0)
+    assert usual.tails(x @ usual.weights[:4]) == pytest.approx(model.tails(x @ model.weights[:4]), abs=0.03)
+    nothing = quality.fit([np.array([1, 2])] * 400, grades, 3)
+    assert nothing.tails(np.zeros(1))[0, -1] > 0.99
+
+
+def test_names_of_results_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some text", "old", "x")], "doc_id long, text string, expected_grade string, copies string")
+    out = quality.scored(df, quality.CumulativeLink(np.zeros(quality.WIDTH), np.zeros(2)))
+    assert out.columns == ["doc_id", "text", "copies", "expected_grade", "tail_probability"] and out.first().expected_grade == 1.0
+    mix = mixing.mixed(df, {"lang": F.lit("en")}, {}, percent=100, copies="copies")
+    assert mix.columns == ["doc_id", "text", "expected_grade", "lang", "copies"] and mix.first().copies == 1
+
+
 @pytest.mark.parametrize("sf", ["sf0.1"])
 def test_keeps_clean_documents_of_the_tables(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -287,6 +350,26 @@ def test_budgets_as_by_plain_filling(spark):
         assert not any(k[1] == "q" for k in got)
 
 
+def test_many_children_of_one_parent_are_filled_in_parts(spark):
+    rng = random.Random(9)
+    leaves = {f"host{i}": rng.choice([0, 1, 7, 7, rng.randint(1, 10**6)]) for i in range(3000)}
+    df = spark.createDataFrame(list(leaves.items()), "d string, supply long")
+    got = {r.d: r.own for r in mixing.budgets(df, ["d"], {}, 30, 1).collect()}
+    want = plain_fill(sum(leaves.values()) * 30 // 100, {d: (1.0, s) for d, s in leaves.items()})
+    assert set(got) == set(leaves) and all(abs(got[d] - want[d]) <= 1 for d in leaves)
+
+
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_small_and_large_leaf_tables_agree(spark, monkeypatch, few):
+    """On both sides of the size up to which leaves are broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", few)
+    df = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 5}") for i in range(400)], "doc_id long, text string, source string")
+    got = sorted(r.doc_id for r in mixing.mixed(df, {"source": F.col("source")}, {"source": {"s1": 3.0}}, percent=40).collect())
+    assert len(got) > 100 and zlib.crc32(repr(got).encode()) == zlib.crc32(repr(sorted(set(got))).encode())
+    monkeypatch.undo()
+    assert got == sorted(r.doc_id for r in mixing.mixed(df, {"source": F.col("source")}, {"source": {"s1": 3.0}}, percent=40).collect())
+
+
 def test_mixture_is_a_seeded_prefix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", None]), rng.choice(["s1", "s2"]), "x", "y") for i in range(1500)] + [(5, "w w", "en", "s1", "x", "y"), (2000, None, "en", "s1", "x", "y")]

@@ -287,21 +287,43 @@ def test_encoding_of_odd_documents(spark):
 # Fingerprints
 
 
-def plain_signature(text):
-    """Every k-mer numbered, and for each point of the ring the next ones looked for among all."""
-    import numpy as np
+ODD1, ODD2, ODD3, ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 2**64 - 1
+
+
+def plain_mix(h):
+    h = (h ^ h >> 32) * ODD2 & ALL
+    h = (h ^ h >> 29) * ODD3 & ALL
+    return h ^ h >> 32
+
 
-    h = fingerprint._kmers(text).tolist()
-    if not h:
+def plain_hash(kmer):
+    """A k-mer's hash from the hashes of its halves, in Python's integers."""
+    if len(kmer) == 1:
+        return plain_mix(kmer[0] + ODD1 & ALL)
+    half = len(kmer) // 2
+    return plain_mix(plain_hash(kmer[:half]) * ODD1 + plain_hash(kmer[half:]) & ALL)
+
+
+def plain_signature(text):
+    """Every k-mer hashed and numbered by itself, and for each point of the ring the next ones looked for among all."""
+    if not text:
         return [0] * fingerprint.M
+    code = [ord(c) for c in text] + [0x110000] * (fingerprint.K - len(text))
+    known, seen, h = {}, {}, []
+    for i in range(len(code) - fingerprint.K + 1):
+        kmer = tuple(code[i : i + fingerprint.K])
+        if kmer not in known:
+            known[kmer] = plain_hash(kmer)
+        nth = seen[kmer] = seen.get(kmer, -1) + 1
+        h.append(plain_mix(known[kmer] + nth * ODD1 & ALL) if nth else known[kmer])
     out = []
     for i in range(fingerprint.M):
         point = i * (2**64 // fingerprint.M)
         least = sorted(range(len(h)), key=lambda j: ((h[j] - point) % 2**64, j))[: fingerprint.L]
-        value = np.zeros(1, dtype=np.uint64)
+        value = 0
         for j in sorted(least):
-            value = fingerprint.mix(value * fingerprint._P1 + np.uint64(h[j]))
-        out.append(int(value[0] >> np.uint64(32)))
+            value = plain_mix(value * ODD1 + h[j] & ALL)
+        out.append(value >> 32)
     return out
 
 
@@ -310,6 +332,11 @@ def test_signature_as_by_brute_force(text):
     assert fingerprint.signature(text).tolist() == plain_signature(text)
 
 
+def test_empty_texts_are_alike():
+    none, some = fingerprint.signature(""), fingerprint.signature("some text of some length")
+    assert fingerprint.likeness(none, none) == 1.0 and fingerprint.likeness(none, some) < 0.1
+
+
 def test_occurrences_are_numbered():
     import numpy as np
 
