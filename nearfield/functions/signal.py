@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 RATE, FRAME, HOP, ENV_FRAME, ENV_HOP = 22050, 2048, 512, 512, 64
 PITCH_MIN, PITCH_MAX = 40.0, 2000.0
 _MOST_CHUNK = 1 << 20
+#: Frames of silence before detection, and of context around an excerpt (more than a median's reach).
+LEAD_IN, CONTEXT = 4, 32
 #: Bits of the loop chunk's flags.
 ONE_SHOT, ROOT_SET, STRETCH, ACIDIZED = 1, 2, 4, 16
 
@@ -83,34 +86,68 @@ def header(content: bytes | None) -> tuple[float, int, int] | None:
     return data / fmt[4] / fmt[2], fmt[2], fmt[1]
 
 
+#: Frames of sound, and frames of a spectrum, that are worked on at once.
+SAMPLES, BLOCK = 1 << 16, 128
+#: The last two bytes of a sub-format's first four: what WAVE_FORMAT_EXTENSIBLE stands for.
+_EXTENSIBLE = 0xFFFE
+
+
+def _samples(data: bytes, kind: int, bits: int) -> np.ndarray | None:
+    if bits == 16:
+        return np.frombuffer(data, "<i2") / np.float32(32768)
+    if bits == 8:
+        return np.frombuffer(data, "u1") / np.float32(128) - np.float32(1)
+    if bits == 24:
+        raw = np.frombuffer(data, "u1").reshape(-1, 3).astype(np.int32)
+        return ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / np.float32(8388608)
+    if bits == 32:
+        return np.frombuffer(data, "<f4").astype(np.float32) if kind == 3 else (np.frombuffer(data, "<i4") / 2147483648.0).astype(np.float32)
+    if bits == 64 and kind == 3:
+        return np.frombuffer(data, "<f8").astype(np.float32)
+    return None
+
+
+def resampled(x: np.ndarray, own: int, rate: int, reach: int = 16) -> np.ndarray:
+    """One channel at another rate, by a windowed sinc that lets nothing pass above either rate's half; in blocks."""
+    cut = min(1.0, rate / own)
+    taps = np.arange(-int(reach / cut), int(reach / cut) + 1)
+    padded = np.pad(x, len(taps))
+    out = np.empty(int(len(x) * rate / own), dtype=np.float32)
+    for begin in range(0, len(out), SAMPLES):
+        at = np.arange(begin, min(len(out), begin + SAMPLES)) * (own / rate)
+        near = np.floor(at).astype(np.int64)
+        d = (at - near)[:, None] - taps
+        weight = cut * np.sinc(cut * d) * np.cos(np.pi / 2 * np.clip(d / (reach / cut + 1), -1, 1)) ** 2
+        out[begin : begin + len(at)] = (padded[near[:, None] + taps + len(taps)] * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+    return out
+
+
 def decoded(content: bytes | None, rate: int | None = RATE, mono: bool = True) -> np.ndarray | None:
-    """PCM or float samples in -1..1 at a rate (linear interpolation); None for what can't be read."""
-    fmt, data = None, None
+    """PCM or float samples in -1..1 at a rate, read in blocks; None for what can't be read (WAVE files of 8 to 32 bits, or floats, are)."""
+    fmt, data, sub = None, None, 0
     for name, body, _ in riff_chunks(content or b""):
         if name == b"fmt " and len(body) >= 16:
             fmt = struct.unpack_from("<HHIIHH", body)
+            sub = struct.unpack_from("<H", body, 24)[0] if len(body) >= 26 else 0
         elif name == b"data" and data is None:
             data = body
     if fmt is None or data is None or not fmt[1] or not fmt[2]:
         return None
     kind, channels, own, _, align, bits = fmt
-    data = data[: len(data) // max(1, align) * max(1, align)]
-    if bits == 16:
-        x = np.frombuffer(data, "<i2") / 32768.0
-    elif bits == 8:
-        x = np.frombuffer(data, "u1") / 128.0 - 1
-    elif bits == 24:
-        raw = np.frombuffer(data, "u1").reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / 8388608.0
-    elif bits == 32:
-        x = np.frombuffer(data, "<f4").astype(float) if kind == 3 else np.frombuffer(data, "<i4") / 2147483648.0
-    else:
+    kind, align = sub if kind == _EXTENSIBLE else kind, channels * (bits // 8)
+    if bits % 8 or not align:
         return None
-    x = x.reshape(-1, channels)
-    x = x.mean(axis=1, keepdims=True) if mono else x
+    whole = len(data) // align * align
+    parts = []
+    for begin in range(0, max(whole, 1), SAMPLES * align):
+        x = _samples(data[begin : min(whole, begin + SAMPLES * align)], kind, bits)
+        if x is None:
+            return None
+        x = x.reshape(-1, channels)
+        parts.append(x.mean(axis=1, keepdims=True) if mono else x)
+    x = np.concatenate(parts)
     if rate and rate != own and len(x):
-        at = np.arange(int(len(x) * rate / own)) * own / rate
-        x = np.stack([np.interp(at, np.arange(len(x)), c) for c in x.T], axis=1)
+        x = np.stack([resampled(c, own, rate) for c in x.T], axis=1)
     return x[:, 0] if mono else x
 
 
@@ -135,12 +172,9 @@ def frames(y: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(y, size)[::hop]
 
 
-def stft(y: np.ndarray) -> np.ndarray:
-    return np.fft.rfft(frames(y, FRAME, HOP) * np.hanning(FRAME + 1)[:-1], axis=1)
-
-
 def rms_envelope(y: np.ndarray, size: int = ENV_FRAME, hop: int = ENV_HOP) -> np.ndarray:
-    return np.sqrt((frames(y, size, hop) ** 2).mean(axis=1))
+    all_ = frames(y, size, hop)
+    return np.concatenate([np.sqrt((all_[i : i + 4096].astype(float) ** 2).mean(axis=1)) for i in range(0, len(all_), 4096)])
 
 
 def _median(x: np.ndarray, n: int, axis: int) -> np.ndarray:
@@ -156,6 +190,20 @@ def harmonic_percussive(power: np.ndarray, n: int = 31) -> tuple[np.ndarray, np.
     return np.divide(h, total, out=np.full_like(h, 0.5), where=total > 0), np.divide(p, total, out=np.full_like(p, 0.5), where=total > 0)
 
 
+def spectra(y: np.ndarray, context: int = 15) -> Iterator[tuple[np.ndarray, slice]]:
+    """Magnitudes of BLOCK frames at a time, with the frames around that a median reads, and which rows are the block's own.
+
+    A long file's whole spectrum is never held.
+    """
+    all_ = frames(y, FRAME, HOP)
+    window = np.hanning(FRAME + 1)[:-1].astype(np.float32)
+    for begin in range(0, len(all_), BLOCK):
+        end = min(len(all_), begin + BLOCK)
+        # at an end of the file as many rows again, so that they are mirrored there as they would be in the whole
+        first, last = max(0, begin - 2 * context), min(len(all_), end + 2 * context)
+        yield np.abs(np.fft.rfft(all_[first:last] * window, axis=1)), slice(begin - first, end - first)
+
+
 def _mel_bank(n: int = 128) -> np.ndarray:
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(0, mel(RATE / 2), n + 2) / 2595) - 1)
@@ -169,13 +217,46 @@ _DCT = np.cos(np.pi / 128 * (np.arange(128) + 0.5)[None, :] * np.arange(13)[:, N
 _DCT[0] /= np.sqrt(2)
 
 
-def spectral_features(magnitude: np.ndarray) -> dict[str, np.ndarray]:
-    """By frame: cepstra, contrast, centroid, bandwidth, rolloff, flatness."""
+@dataclass
+class Frames:
+    """What is kept of each frame of a buffer."""
+
+    mel: np.ndarray  # levels in dB, without a floor
+    percussive_mel: np.ndarray
+    steady: np.ndarray  # energies of both parts
+    sudden: np.ndarray
+    features: dict[str, np.ndarray]
+
+    def part(self, rows: slice) -> Frames:
+        return Frames(self.mel[rows], self.percussive_mel[rows], self.steady[rows], self.sudden[rows], {k: v[rows] for k, v in self.features.items()})
+
+
+def _level(power: np.ndarray) -> np.ndarray:
+    return (10 * np.log10(np.maximum(1e-10, power @ _MEL.T))).astype(np.float32)
+
+
+def frame_features(y: np.ndarray) -> Frames:
+    """One pass over a buffer's spectrum, block by block."""
+    rows: dict[str, list[np.ndarray]] = {}
+    for magnitude, own in spectra(y):
+        h, p = (m[own] for m in harmonic_percussive(magnitude))
+        m = magnitude[own]
+        found = {"mel": _level(m**2), "percussive_mel": _level((m * p) ** 2), "steady": ((m * h) ** 2).sum(axis=1), "sudden": ((m * p) ** 2).sum(axis=1), **_shape_features(m)}
+        for k, v in found.items():
+            rows.setdefault(k, []).append(v)
+    all_ = {k: np.concatenate(v) for k, v in rows.items()}
+    return Frames(all_.pop("mel"), all_.pop("percussive_mel"), all_.pop("steady"), all_.pop("sudden"), all_)
+
+
+def cepstra(mel: np.ndarray) -> np.ndarray:
+    return np.maximum(mel, mel.max() - 80) @ _DCT.T
+
+
+def _shape_features(magnitude: np.ndarray) -> dict[str, np.ndarray]:
+    """By frame: contrast, centroid, bandwidth, rolloff, flatness."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
     power = magnitude**2
     total = np.maximum(magnitude.sum(axis=1), 1e-12)
-    mel = 10 * np.log10(np.maximum(1e-10, power @ _MEL.T))
-    mel = np.maximum(mel, mel.max() - 80)
     centroid = magnitude @ f / total
     edges = np.concatenate([[0], 200 * 2.0 ** np.arange(7)])
     contrast = []
@@ -185,7 +266,6 @@ def spectral_features(magnitude: np.ndarray) -> dict[str, np.ndarray]:
         level = lambda x: 10 * np.log10(np.maximum(1e-10, x.mean(axis=1) ** 2))
         contrast.append(level(band[:, -n:]) - level(band[:, :n]))
     return {
-        "mfcc": mel @ _DCT.T,
         "contrast": np.stack(contrast, axis=1),
         "centroid": centroid,
         "bandwidth": np.sqrt((magnitude * (f[None, :] - centroid[:, None]) ** 2).sum(axis=1) / total),
@@ -194,14 +274,57 @@ def spectral_features(magnitude: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def onset_strength(magnitude: np.ndarray) -> np.ndarray:
+def onset_strength(mel: np.ndarray) -> np.ndarray:
     """Rises of mel levels over the local maximum of the frame before."""
-    level = 10 * np.log10(np.maximum(1e-10, magnitude**2 @ _MEL.T))
-    level = np.maximum(level, level.max() - 80)
+    level = np.maximum(mel, mel.max() - 80)
     before = np.maximum(np.maximum(level, np.roll(level, 1, axis=1)), np.roll(level, -1, axis=1))
     return np.concatenate([[0.0], np.maximum(0, level[1:] - before[:-1]).mean(axis=1)])
 
 
+def envelopes(y: np.ndarray, profile: str) -> tuple[np.ndarray, np.ndarray]:
+    """(onset, energy) envelopes by frame for detection: `tight` hears rises in the sudden part's spectrum, `loose` rises of energy.
+
+    A few frames of silence come first, so that a sound at the very start rises, too.
+    """
+    y = np.concatenate([np.zeros(LEAD_IN * HOP, dtype=np.float32), y])
+    energy = rms_envelope(y, FRAME, HOP)
+    if profile == "loose":
+        return np.maximum(0.0, np.diff(energy, prepend=energy[:1])), energy
+    found = frame_features(y)
+    return onset_strength(found.percussive_mel), np.sqrt(found.sudden / FRAME)
+
+
+def beats(strength: np.ndarray, tightness: float = 100.0) -> tuple[float | None, np.ndarray]:
+    """(tempo, frames): a chain of frames that are strong and evenly spaced, found by dynamic programming.
+
+    The spacing aimed at is the best autocorrelation weighted towards 120 a
+    minute; the tempo is the median spacing of what was found.
+    """
+    fps = RATE / HOP
+    if len(strength) < 3 * fps * 60 / 240 or strength.max() <= 0:
+        return None, np.zeros(0, dtype=int)
+    x = strength / strength.std()
+    lags = np.arange(round(fps * 60 / 240), min(len(x) - 1, round(fps * 60 / 40)) + 1)
+    ac = np.fft.irfft(np.abs(np.fft.rfft(x - x.mean(), 2 * len(x))) ** 2)[lags]
+    aim = int(lags[np.argmax(np.maximum(ac, 0) * np.exp(-0.5 * np.log2(60 * fps / lags / 120) ** 2))])
+    steps = np.arange(-2 * aim, -aim // 2)
+    cost = -tightness * np.log(-steps / aim) ** 2
+    total, back = x.copy(), np.full(len(x), -1)
+    for i in range(len(x)):
+        ok = i + steps >= 0
+        if ok.any():
+            score = total[i + steps[ok]] + cost[ok]
+            best = int(np.argmax(score))
+            if score[best] > 0:
+                total[i], back[i] = x[i] + score[best], i + steps[ok][best]
+    out, at = [], int(np.argmax(total))
+    while at >= 0:
+        out.append(at)
+        at = int(back[at])
+    out = np.array(out[::-1])
+    return (60 * fps / float(np.median(np.diff(out))) if len(out) > 1 else None), out
+
+
 def onset_frames(strength: np.ndarray, wait: int = 2, reach: int = 3, above: float = 0.07) -> np.ndarray:
     """Frames that are local maxima and stand above the local mean."""
     if not len(strength) or strength.max() <= 0:
@@ -271,34 +394,45 @@ def pitch(y: np.ndarray, threshold: float = 0.1) -> tuple[float | None, float |
 
 def described(y: np.ndarray | None) -> dict | None:
     """Descriptors of a buffer: levels, envelope times, spectrum, onsets, tempo, and pitch where it is harmonic."""
-    if y is None or not len(y):
+    return _described(y, frame_features(y)) if y is not None and len(y) else None
+
+
+def described_window(y: np.ndarray, start_ms: float, end_ms: float) -> dict | None:
+    """Descriptors of a part of a file from an excerpt on the file's own frames, with CONTEXT frames on each side, so that frames inside are what they are in the whole; None for an empty part."""
+    start, end = max(0, int(start_ms * RATE / 1000)), min(len(y), int(end_ms * RATE / 1000))
+    if end <= start:
         return None
-    magnitude = np.abs(stft(y))
-    strength = onset_strength(magnitude)
+    low, high = max(0, start // HOP - CONTEXT) * HOP, min(len(y), (-(-end // HOP) + CONTEXT) * HOP)
+    rows = slice((start - low) // HOP, max((start - low) // HOP + 1, -(-(end - low) // HOP)))
+    return _described(y[start:end], frame_features(y[low:high]).part(rows))
+
+
+def _described(y: np.ndarray, found: Frames) -> dict:
+    strength = onset_strength(found.mel)
     at = onset_frames(strength)
     env = rms_envelope(y)
     loud = [env[max(0, f * 8 - 20) : f * 8 + 21].max(initial=0) >= 0.2 * env.max() for f in at]
     times = [float(f * HOP / RATE) for f, ok in zip(at, loud, strict=True) if ok and strength[f] >= 0.3 * strength[at].max()]
-    h, p = harmonic_percussive(magnitude)
-    eh, ep = ((magnitude * h) ** 2).sum(), ((magnitude * p) ** 2).sum()
-    share = float(eh / (eh + ep)) if eh + ep > 0 else None
+    eh, ep = float(found.steady.sum()), float(found.sudden.sum())
+    share = eh / (eh + ep) if eh + ep > 0 else None
     confidence, tempo = periodicity(strength)
+    beat = beats(strength)[0] if confidence else None
     f0, agreement = pitch(y) if share is not None and share >= 0.7 else (None, None)
-    spectrum = spectral_features(magnitude)
-    peak, rms = float(np.abs(y).max()), float(np.sqrt((y**2).mean()))
+    peak, rms = float(np.abs(y).max()), float(np.sqrt((y.astype(float) ** 2).mean()))
     db = lambda v: max(-120.0, 20 * float(np.log10(v))) if v > 0 else -120.0
     top = int(np.argmax(env))
     before, after = np.flatnonzero(env[:top] < env[top] * 0.1), np.flatnonzero(env[top:] <= env[top] * 0.1)
     ms = ENV_HOP / RATE * 1000
+    mfcc = cepstra(found.mel)
     return {
         "peak_db": db(peak), "rms_db": db(rms), "crest_factor": peak / rms if rms > 0 else None, "attack_ms": (top - (int(before[-1]) + 1 if len(before) else 0)) * ms, "decay_ms": float(after[0]) * ms if len(after) else None,
-        "f0_hz": f0, "pitch_confidence": agreement, "harmonic_ratio": share, "tempo_bpm": tempo, "tempo_confidence": confidence, "onset_count": len(times), "onsets": times,
-        "mfcc_mean": spectrum["mfcc"].mean(axis=0).tolist(), "mfcc_var": spectrum["mfcc"].var(axis=0).tolist(), "spectral_contrast": spectrum["contrast"].mean(axis=0).tolist(),
-        **{f"spectral_{k}": float(spectrum[k].mean()) for k in ("centroid", "bandwidth", "rolloff", "flatness")},
+        "f0_hz": f0, "pitch_confidence": agreement, "harmonic_ratio": share, "tempo_bpm": tempo, "tempo_confidence": confidence, "beat_bpm": beat, "onset_count": len(times), "onsets": times,
+        "mfcc_mean": mfcc.mean(axis=0).tolist(), "mfcc_var": mfcc.var(axis=0).tolist(), "spectral_contrast": found.features["contrast"].mean(axis=0).tolist(),
+        **{f"spectral_{k}": float(found.features[k].mean()) for k in ("centroid", "bandwidth", "rolloff", "flatness")},
     }
 
 
-SCHEMA = "peak_db double, rms_db double, crest_factor double, attack_ms double, decay_ms double, f0_hz double, pitch_confidence double, harmonic_ratio double, tempo_bpm double, tempo_confidence double, onset_count int, onsets array<double>, mfcc_mean array<double>, mfcc_var array<double>, spectral_contrast array<double>, spectral_centroid double, spectral_bandwidth double, spectral_rolloff double, spectral_flatness double"
+SCHEMA = "peak_db double, rms_db double, crest_factor double, attack_ms double, decay_ms double, f0_hz double, pitch_confidence double, harmonic_ratio double, tempo_bpm double, tempo_confidence double, beat_bpm double, onset_count int, onsets array<double>, mfcc_mean array<double>, mfcc_var array<double>, spectral_contrast array<double>, spectral_centroid double, spectral_bandwidth double, spectral_rolloff double, spectral_flatness double"
 _ACID = "one_shot boolean, root_set boolean, stretch boolean, acidized boolean, root_note int, beats long, meter string, tempo double"
 _SMPL = "unity_note long, sample_period long, loops array<struct<id:long,type:long,start:long,end:long,fraction:long,play_count:long>>"
 
@@ -338,12 +472,16 @@ def spectrogram(y: np.ndarray, rows: int, size: int = 2048) -> np.ndarray:
     return np.maximum(db, -90)[:, at]
 
 
-def rendered(content: bytes, start_ms: int, end_ms: int) -> bytes:
-    """A cut at the file's own rate and channels, with short fades; ends with the file; refused if it begins after it."""
+def opened(content: bytes) -> tuple[np.ndarray, int]:
+    """A file's samples at its own rate and channels, and that rate."""
     head, y = header(content), decoded(content, rate=None, mono=False)
     if head is None or y is None:
         raise ValueError("unreadable")
-    rate = head[1]
+    return y, head[1]
+
+
+def cut(y: np.ndarray, rate: int, start_ms: int, end_ms: int) -> bytes:
+    """A part with short fades, as a WAVE file; ends with the whole; refused if it begins after it."""
     part = y[int(start_ms * rate / 1000) : int(end_ms * rate / 1000)].copy()
     if not len(part):
         raise ValueError("the segment lies after the end of the file")
@@ -351,21 +489,32 @@ def rendered(content: bytes, start_ms: int, end_ms: int) -> bytes:
         n = min(int(ms * rate / 1000), len(part) // 2)
         if n:
             side = slice(0, n) if ms == 2 else slice(len(part) - n, None)
-            part[side] *= ramp(n)[:, None]
+            part[side] *= ramp(n)[:, None].astype(part.dtype)
     return wave_bytes(part, rate)
 
 
+def rendered(content: bytes, start_ms: int, end_ms: int) -> bytes:
+    return cut(*opened(content), start_ms, end_ms)
+
+
 def rendered_segments(segments: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, wave, error) of segments (id, path, start_ms, end_ms) cut from files (path, content)."""
+    """(id, wave, error) of segments (id, path, start_ms, end_ms) cut from files (path, content); a file is sent and decoded once for all its segments."""
+    cuts = segments.groupBy("path").agg(F.collect_list(F.struct("id", "start_ms", "end_ms")).alias("cuts"))
+    kind = segments.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, content, start, end in zip(b["id"], b["content"], b["start_ms"], b["end_ms"], strict=True):
+            for content, own in zip(b["content"], b["cuts"], strict=True):
                 try:
-                    out.append((i, rendered(content, start, end), None))
+                    sound = opened(content)
                 except Exception as e:
-                    out.append((i, None, str(e)[:200]))
-            yield pd.DataFrame(out, columns=["id", "wave", "error"])
-
-    return segments.join(files, "path").select("id", "content", F.col("start_ms"), F.col("end_ms")).mapInPandas(run, "id long, wave binary, error string")
+                    yield pd.DataFrame([(c["id"], None, str(e)[:200]) for c in own], columns=["id", "wave", "error"])
+                    continue
+                for c in own:
+                    try:
+                        row = (c["id"], cut(*sound, c["start_ms"], c["end_ms"]), None)
+                    except Exception as e:
+                        row = (c["id"], None, str(e)[:200])
+                    yield pd.DataFrame([row], columns=["id", "wave", "error"])
+
+    return cuts.join(files, "path").select("content", "cuts").mapInPandas(run, f"id {kind}, wave binary, error string")

@@ -112,3 +112,66 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"s_{name}").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(f"s_{name}").count() >= 2
+
+
+def test_extensible_and_wide_samples():
+    import struct
+
+    x = np.array([0.5, -0.25, 0.125], dtype="<f4")
+    fmt = struct.pack("<HHIIHH", 0xFFFE, 1, R, R * 4, 4, 32) + struct.pack("<HHI", 22, 32, 4) + struct.pack("<H", 3) + b"\0" * 14
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", 12) + x.tobytes()
+    wave = b"RIFF" + struct.pack("<I", len(body)) + body
+    assert signal.decoded(wave, rate=None).tolist() == [0.5, -0.25, 0.125]
+    assert signal.decoded(wave.replace(struct.pack("<H", 3) + b"\0" * 14, struct.pack("<H", 1) + b"\0" * 14), rate=None)[0] == pytest.approx(0.492, abs=0.001)
+
+
+def test_resampling_keeps_what_fits_and_no_more():
+    t = np.arange(44100) / 44100
+    low, high = np.sin(2 * np.pi * 440 * t), np.sin(2 * np.pi * 18000 * t)
+    got = signal.resampled(low.astype("float32"), 44100, R)
+    assert len(got) == R and np.abs(got[500:-500] - np.sin(2 * np.pi * 440 * np.arange(R) / R)[500:-500]).max() < 0.01
+    assert np.abs(signal.resampled(high.astype("float32"), 44100, R)[500:-500]).max() < 0.02
+
+
+def test_blocks_give_the_whole_spectrum(monkeypatch):
+    y = (clicks() + np.resize(tone(330), len(clicks()))).astype("float32")
+    one = signal.frame_features(y)
+    monkeypatch.setattr(signal, "BLOCK", 7)
+    many = signal.frame_features(y)
+    for a, b in ((one.mel, many.mel), (one.steady, many.steady), (one.sudden, many.sudden), *((one.features[k], many.features[k]) for k in one.features)):
+        assert a == pytest.approx(b, rel=1e-4, abs=1e-4)
+
+
+def test_a_window_is_described_as_within_the_whole():
+    y = np.concatenate([np.zeros(R), tone(440, 1.0), clicks(), tone(220, 1.0)]).astype("float32")
+    got = signal.described_window(y, 1000, 2000)
+    whole = signal._described(y[R : 2 * R], signal.frame_features(y).part(slice(R // signal.HOP, -(-2 * R // signal.HOP))))
+    for key in ("spectral_centroid", "spectral_rolloff", "spectral_flatness", "harmonic_ratio", "rms_db", "f0_hz"):
+        assert got[key] == pytest.approx(whole[key], rel=1e-3)
+    assert got["f0_hz"] == pytest.approx(440, rel=0.01)
+    assert signal.described_window(y, 2000, 2000) is None and signal.described_window(y, 10**6, 10**7) is None
+
+
+def test_envelopes_by_profile():
+    y = clicks().astype("float32")
+    tight, energy = signal.envelopes(y, "tight")
+    loose, rms = signal.envelopes(y, "loose")
+    assert len(tight) == len(energy) and len(loose) == len(rms)
+    first = signal.envelopes(tone(440).astype("float32"), "loose")[0]
+    assert np.argmax(first) <= signal.LEAD_IN + 1
+    swell = (np.linspace(0, 1, R) * tone(440, 1.0)).astype("float32")
+    assert signal.envelopes(swell, "loose")[0].sum() > 0.2
+
+
+def test_beats_of_a_click_train():
+    d = signal.described(clicks().astype("float32"))
+    ratio = d["beat_bpm"] / d["tempo_bpm"]
+    assert min(abs(ratio - r) for r in (0.5, 1.0, 2.0)) < 0.06
+    assert signal.beats(np.zeros(100))[0] is None
+
+
+def test_segments_of_one_file(spark):
+    files = spark.createDataFrame(pd.DataFrame({"path": ["a", "b"], "content": [signal.wave_bytes(np.ones(R), R), b"broken"]}))
+    cuts = spark.createDataFrame([(1, "a", 0, 100), (2, "a", 100, 300), (3, "a", 2000, 3000), (4, "b", 0, 1)], "id long, path string, start_ms int, end_ms int")
+    got = {r.id: (None if r.wave is None else len(signal.decoded(r.wave, rate=None)), r.error) for r in signal.rendered_segments(cuts, files).collect()}
+    assert got == {1: (int(0.1 * R), None), 2: (int(0.3 * R) - int(0.1 * R), None), 3: (None, "the segment lies after the end of the file"), 4: (None, "unreadable")}
