@@ -81,8 +81,12 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], percent: float, max_epochs: int) -> DataFrame:
-    """leaves: levels' columns and `supply`. Returns them with `own`, whole tokens; branches without weight are left out."""
-    leaves = leaves.withColumn("capacity", (F.col("supply") * max_epochs).cast("double"))
+    """leaves: levels' columns and `supply`. Returns them with `own`, whole tokens; branches without weight are left out.
+
+    A level's table is stored, since the next one reads it several times.
+    """
+    leaves = stored(leaves.withColumn("capacity", (F.col("supply") * max_epochs).cast("double")))
+    used = [leaves]
     total = leaves.agg(F.floor(F.coalesce(F.sum("supply"), F.lit(0)) * percent / 100).cast("double").alias("budget"))
     above = None
     for depth, level in enumerate(levels):
@@ -94,8 +98,12 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, f
         nodes = open_leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(level, F.col(level), weights))
         # the root's budget is one row
         nodes = nodes.join(above, path[:-1]) if above is not None else nodes.crossJoin(F.broadcast(total))
-        above = _fill(nodes, path[:-1], level).select(*path, F.col("own").alias("budget"))
-    return leaves.join(above, levels).withColumn("own", F.round("budget").cast("long")).drop("budget", "capacity")
+        nodes = stored(nodes)
+        above = stored(_fill(nodes, path[:-1], level).select(*path, F.col("own").alias("budget")))
+        used += [nodes, above]
+    out = stored(leaves.join(above, levels).withColumn("own", F.round("budget").cast("long")).drop("budget", "capacity"))
+    dropped(*used)
+    return out
 
 
 def cuts(narrow: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], *, percent: float, max_epochs: int, seed: int) -> DataFrame:
@@ -103,7 +111,7 @@ def cuts(narrow: DataFrame, levels: list[str], weights: dict[str, dict[str, floa
 
     narrow: the levels' columns, doc, tokens.
     """
-    leaves = stored(budgets(narrow.groupBy(*levels).agg(F.sum("tokens").alias("supply")), levels, weights, percent, max_epochs))
+    leaves = budgets(narrow.groupBy(*levels).agg(F.sum("tokens").alias("supply")), levels, weights, percent, max_epochs)
     plan = leaves.withColumn("full", F.when(F.col("supply") > 0, F.floor(F.col("own") / F.col("supply"))).otherwise(F.lit(0)).cast("int"))
     plan = plan.withColumn("rest", F.col("own") - F.col("full") * F.col("supply"))
     keyed = narrow.join(_small(plan.where("rest > 0").select(*levels, "full", "rest")), levels)
