@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from nearfield.functions import signal
 from nearfield.io import session
 from nearfield.sources import ingest
@@ -35,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "scan":
         out = ingest.kinds_of(ingest.listing(spark, args.folder))
     else:
-        out = signal.described_files(ingest.contents(spark, args.folder))
+        out = signal.described_files(ingest.contents(ingest.listing(spark, args.folder).where(F.col("ext").isin(ingest.AUDIO))))
     if args.out:
         out.write.mode("overwrite").parquet(args.out)
     else:

@@ -2,28 +2,148 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.scalars import base_name, extension, folder_of
+from nearfield.functions.scalars import base_name, extension
+from nearfield.working import stored
 
 AUDIO = [".wav", ".flac", ".aif", ".aiff", ".mp3", ".ogg"]
+#: Bytes that are read from a file at once; bytes that fit one value of a row.
+CHUNK, MOST = 1 << 20, (1 << 31) - 1
+
+
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path:
+        return arrow_fs.FileSystem.from_uri(path)
+    return arrow_fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+_ENTRY = pa.schema([("kind", pa.string()), ("path", pa.string()), ("folder", pa.string()), ("real", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("error", pa.string())])
+
+
+def _entries(path: str, folder: str) -> Iterator[tuple]:
+    """A folder's own files and folders, links left out; one row with its error if it can't be listed."""
+    system, inside = opened(path)
+    below = lambda name: f"{folder}/{name}" if folder else name
+    try:
+        if isinstance(system, arrow_fs.LocalFileSystem):
+            for e in os.scandir(inside):
+                if e.is_dir(follow_symlinks=False):
+                    yield "folder", e.path, below(e.name), os.path.realpath(e.path), None, None, None
+                elif e.is_file(follow_symlinks=False):
+                    at = e.stat(follow_symlinks=False)
+                    yield "file", e.path, folder, None, at.st_size, at.st_mtime_ns // 1000, None
+        else:
+            for e in system.get_file_info(arrow_fs.FileSelector(inside)):
+                whole = f"{path.rstrip('/')}/{e.base_name}"
+                if e.type == arrow_fs.FileType.Directory:
+                    yield "folder", whole, below(e.base_name), whole, None, None, None
+                elif e.type == arrow_fs.FileType.File:
+                    yield "file", whole, folder, None, e.size, e.mtime_ns // 1000 if e.mtime_ns else None, None
+    except OSError as e:
+        yield "unread", path, folder, None, None, None, str(e)[:200]
+
+
+def walked(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """All files below a folder, whatever their names, and the folders that couldn't be read.
+
+    files: (path, folder, filename, ext, file_size, file_mtime); unread: (path, error).
+    Level by level: the folders of one level are dealt over tasks and listed there.
+    A folder whose real place was listed already isn't again, so no loop is walked
+    for ever; links aren't followed.  Neither names nor contents reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                for row in _entries(path, folder):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = root.rstrip("/") or "/"
+    real = os.path.realpath(opened(root)[1]) if isinstance(opened(root)[0], arrow_fs.LocalFileSystem) else root
+    due = spark.createDataFrame([(root if "://" in root else opened(root)[1], "", real)], "path string, folder string, real string")
+    seen, found = due.select("real"), None
+    while True:
+        level = stored(due.repartition(tasks).mapInArrow(run, "kind string, path string, folder string, real string, size long, mtime timestamp, error string"))
+        found = level if found is None else found.unionByName(level)
+        due = level.where("kind = 'folder'").select("path", "folder", "real").dropDuplicates(["real"]).join(seen, "real", "left_anti").select("path", "folder", "real")
+        if not due.limit(1).count():
+            break
+        seen = seen.unionByName(level.where("kind = 'folder'").select("real"))
+    name = base_name(F.col("path"))
+    files = found.where("kind = 'file'").select("path", "folder", name.alias("filename"), extension(F.col("path")).alias("ext"), F.col("size").alias("file_size"), F.col("mtime").alias("file_mtime"))
+    return files, found.where("kind = 'unread'").select("path", "error")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, folder, filename, ext, file_size, file_mtime) of all files below a folder; contents aren't read, and hidden names (with a leading dot or underscore) aren't listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    return files.select(path, folder_of(path).alias("folder"), base_name(path).alias("filename"), extension(path).alias("ext"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"))
+    """(path, folder, filename, ext, file_size, file_mtime) of all files below a folder, whatever their names; contents aren't read."""
+    return walked(spark, root)[0]
+
+
+def _read(files: DataFrame, schema: str, one) -> DataFrame:
+    """A row of path, value and error for each file, read where it lies; files are dealt over tasks."""
+    kind = {"string": pa.string(), "binary": pa.large_binary()}[schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                value, error = None, None
+                try:
+                    system, inside = opened(path)
+                    value = one(system, inside)
+                except Exception as e:  # one bad file doesn't end a run
+                    error = f"{type(e).__name__}: {e}"[:200]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([value], kind), pa.array([error], pa.string())], ["path", "value", "error"])
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path").repartition(tasks).mapInArrow(run, f"path string, value {schema}, error string")
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """(path, content, error) of files (path); one of 2 GB and more doesn't fit a row, which its error says."""
+
+    def whole(system: arrow_fs.FileSystem, path: str) -> bytes:
+        size = system.get_file_info(path).size
+        if size is not None and size > MOST:
+            raise ValueError(f"{size} bytes don't fit a row")
+        with system.open_input_stream(path) as f:
+            return f.read()
+
+    return _read(files, "binary", whole).withColumnRenamed("value", "content")
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, hash, error): BLAKE2b of files (path) of any size, read in pieces where they lie."""
+
+    def digest(system: arrow_fs.FileSystem, path: str) -> str:
+        import hashlib
 
+        h = hashlib.blake2b()
+        with system.open_input_stream(path) as f:
+            while piece := f.read(CHUNK):
+                h.update(piece)
+        return h.hexdigest()
 
-def contents(spark: SparkSession, root: str, most_bytes: int = 512 << 20) -> DataFrame:
-    """(path, content) of files up to a size; larger ones have no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+    return _read(files, "string", digest).withColumnRenamed("value", "hash")
 
 
 def content_hash(content: Column) -> Column:
+    """SHA-512 of a value that is a column already; files are hashed by hashed()."""
     return F.sha2(content, 512)
 
 

@@ -322,11 +322,39 @@ def test_eviction(spark):
 
 
 def test_listing(spark, tmp_path):
-    for p in ("a.wav", "sub/b.WAV", "sub/c.flac", "loop.rx2", "._x.wav", "readme"):
+    import hashlib
+    import os
+
+    for p in ("a.wav", "sub/b.WAV", "sub/c.flac", "loop.rx2", "._x.wav", "readme", "_packs/d.wav", ".kits/_e.wav", "sub/_f/g.wav"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
-        (tmp_path / p).write_bytes(b"x")
-    files = ingest.listing(spark, str(tmp_path))  # Spark's sources leave hidden names out
-    assert rows_of(ingest.kinds_of(files)) == [(".flac", 1), (".rx2", 1), (".wav", 2), ("<no-ext>", 1)]
+        (tmp_path / p).write_bytes(p.encode() * 3)
+    os.symlink(tmp_path, tmp_path / "sub" / "loop")
+    files, unread = ingest.walked(spark, str(tmp_path))
+    assert rows_of(ingest.kinds_of(files)) == [("._*", 1), (".flac", 1), (".rx2", 1), (".wav", 5), ("<no-ext>", 1)]
+    assert {(r.folder, r.filename) for r in files.collect()} >= {("_packs", "d.wav"), (".kits", "_e.wav"), ("sub/_f", "g.wav"), ("", "._x.wav")}
+    assert unread.count() == 0 and ingest.walked(spark, f"{tmp_path}/none")[1].count() == 1
+    for root in (f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert ingest.listing(spark, root).count() == 9
+    both = ingest.hashed(files).join(ingest.contents(files).drop("error"), "path").collect()
+    assert len(both) == 9 and all(r.error is None and r.hash == hashlib.blake2b(r.content).hexdigest() for r in both)
+    gone = ingest.hashed(spark.createDataFrame([(f"{tmp_path}/none.wav",)], "path string")).first()
+    assert gone.hash is None and "none.wav" in gone.error
+
+
+def test_layouts_are_kept(spark, tmp_path):
+    from nearfield.sources import layouts
+
+    items = spark.createDataFrame([(i, [float(i), float(i * i % 7), 1.0]) for i in range(20)], "id long, vector array<double>")
+    segments = spark.createDataFrame([(100, 3)], "id long, parent long")
+    folder = str(tmp_path / "layouts")
+    first = {r.id: (r.x, r.y) for r in layouts.fitted(items, folder, 1, {"a": 1.0}).collect()}
+    assert layouts.loaded(spark, folder, 1)[0] == {"a": 1.0}
+    none = spark.createDataFrame([(3, 9.0, 9.0), (4, 9.0, 9.0)], "id long, x double, y double")
+    got = {r.id: (r.x, r.y) for r in layouts.place(none, items, segments, folder, 1, "segment", 100).collect()}
+    assert got[3] == pytest.approx(first[3]) and got[4] == (9.0, 9.0)
+    for bad in (lambda: layouts.fitted(items, folder, 2, {"a": 0.0}), lambda: layouts.fitted(items.limit(2), folder, 2, {"a": 1.0}), lambda: layouts.place(none, items, segments, folder, 1, "segment", 5), lambda: layouts.place(none, items, segments, folder, 1, "sample", 77)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_catalogue_parts(spark):
