@@ -115,22 +115,22 @@ def window_spans(t: Tables) -> DataFrame:
 _SPANS = _FRAMES + f", p AS (SELECT user_id, frame * 7919 + user_id * 1000003 AS id, us // 1000000 AS a, us // 1000000 + CAST(floor(value) AS BIGINT) * 3600 AS b FROM f)"
 
 
-def _segments_at(events: DataFrame, asked: str) -> DataFrame:
+def _segments_at(events: DataFrame) -> DataFrame:
     e = events.withColumn("s", F.floor(F.col("us") / 1000000))
     spans = e.select("user_id", (F.col("frame").cast("long") * 7919 + F.col("user_id") * 1000003).alias("id"), F.col("s").alias("start"), (F.col("s") + F.floor("value") * 3600).alias("end"))
-    points = e.where(asked).select("user_id", (F.col("s") + 1800).alias("t"))
+    points = e.select("user_id", (F.col("s") + 1800).alias("t"))
     return I.at_point(points, spans, "user_id", "t", bucket=86400)
 
 
-@query("segment_at", "B25", _SPANS + ", q AS (SELECT user_id, us // 1000000 + 1800 AS t FROM f WHERE frame % 3 = 0), j AS (SELECT q.user_id, t, id, row_number() OVER (PARTITION BY q.user_id, t ORDER BY b - a, id) AS n FROM q JOIN p ON p.user_id = q.user_id AND t BETWEEN a AND b) SELECT user_id, t, id FROM j WHERE n = 1")
+@query("segment_at", "B25", _SPANS + ", q AS (SELECT user_id, us // 1000000 + 1800 AS t FROM f), j AS (SELECT q.user_id, t, id, row_number() OVER (PARTITION BY q.user_id, t ORDER BY b - a, id) AS n FROM q JOIN p ON p.user_id = q.user_id AND t BETWEEN a AND b) SELECT user_id, t, id FROM j WHERE n = 1")
 def segment_at(t: Tables) -> DataFrame:
-    return _segments_at(_events(t), "frame % 3 = 0")
+    return _segments_at(_events(t))
 
 
 @query("segment_at_every_event", "B25", _SPANS + ", q AS (SELECT DISTINCT user_id, us // 1000000 + 1800 AS t FROM f), j AS (SELECT q.user_id, t, id, row_number() OVER (PARTITION BY q.user_id, t ORDER BY b - a, id) AS n FROM q JOIN p ON p.user_id = q.user_id AND t BETWEEN a AND b) SELECT user_id, t, id FROM j WHERE n = 1")
 def segment_at_every_event(t: Tables) -> DataFrame:
-    """The segment at each event's point; segment_at asks for every third point alone, as its SQL does."""
-    return _segments_at(_events(t), "true")
+    """As segment_at, against SQL that takes each point once first."""
+    return _segments_at(_events(t))
 
 
 @query("ordered_bounds", "B26", "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) * 100 - 500 AS a, l_suppkey * 20 AS b FROM lineitem), o AS (SELECT *, greatest(0, least(a, b)) AS lo, greatest(greatest(0, least(a, b)) + 1, greatest(a, b)) AS hi FROM b) SELECT l_orderkey, l_linenumber, l_partkey, least(lo, least(hi, 3000) - 1) AS low, least(hi, 3000) AS high FROM o")

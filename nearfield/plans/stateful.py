@@ -105,9 +105,9 @@ def inserted_ignoring(t: Tables) -> DataFrame:
     return insert_ignore(rows.where("false"), rows, ["l_orderkey", "l_linenumber"])
 
 
-@query("segments_replaced", "K2 K4", "WITH s AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber * 100 AS a, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS b, l_returnflag FROM lineitem WHERE l_orderkey < 2000) SELECT count(*) AS n FROM (SELECT DISTINCT sample_id, a, b, CASE WHEN l_returnflag = 'A' THEN 'manual' ELSE 'auto' END AS m FROM s WHERE l_returnflag = 'A' UNION ALL SELECT DISTINCT sample_id, a + 50, b + 50, 'auto' FROM s WHERE b > a)")
+@query("segments_replaced", "K2 K4", "WITH s AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber * 100 AS a, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS b, l_returnflag FROM lineitem) SELECT count(*) AS n FROM (SELECT DISTINCT sample_id, a, b, CASE WHEN l_returnflag = 'A' THEN 'manual' ELSE 'auto' END AS m FROM s WHERE l_returnflag = 'A' UNION ALL SELECT DISTINCT sample_id, a + 50, b + 50, 'auto' FROM s WHERE b > a)")
 def segments_replaced(t: Tables) -> DataFrame:
-    s = t.lineitem.where("l_orderkey < 2000").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") * 100).cast("long").alias("start_ms"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("end_ms"), F.when(F.col("l_returnflag") == "A", "manual").otherwise("auto").alias("detection_method")).distinct()
+    s = t.lineitem.select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") * 100).cast("long").alias("start_ms"), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("end_ms"), F.when(F.col("l_returnflag") == "A", "manual").otherwise("auto").alias("detection_method")).distinct()
     stored = s.withColumn("id", F.xxhash64("sample_id", "start_ms", "end_ms", "detection_method")).withColumn("is_user_confirmed", F.lit(False))
     found = s.select("sample_id", (F.col("start_ms") + 50).alias("start_ms"), (F.col("end_ms") + 50).alias("end_ms"), F.lit("auto").alias("detection_method"), F.lit(False).alias("is_user_confirmed"))
     return state.replaced_segments(stored, found, None, 1).agg(F.count("*").alias("n"))
@@ -115,7 +115,7 @@ def segments_replaced(t: Tables) -> DataFrame:
 
 @query("segments_replaced_rows", "K2 K4", "WITH s AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber * 100 AS a, CAST(l_quantity AS BIGINT) AS q, l_returnflag = 'A' AS manual FROM lineitem), n AS (SELECT DISTINCT sample_id, a + 50 AS a, a + q + 50 AS b FROM s WHERE q > 0) SELECT sample_id, a AS start_ms, a + q AS end_ms, 'manual' AS detection_method, -(sample_id * 1000000 + a * 100 + q) AS id FROM s WHERE manual UNION ALL SELECT sample_id, a, b, 'auto', row_number() OVER (ORDER BY sample_id, a, b) FROM n")
 def segments_replaced_rows(t: Tables) -> DataFrame:
-    """The segments of all orders after their replacement, with old and new ids; segments_replaced counts those of the first orders alone, as its SQL does."""
+    """The segments of all orders after their replacement, with old and new ids; segments_replaced counts them."""
     start, length = F.col("l_linenumber").cast("long") * 100, F.col("l_quantity").cast("long")
     s = t.lineitem.select(F.col("l_orderkey").alias("sample_id"), start.alias("start_ms"), (start + length).alias("end_ms"), F.when(F.col("l_returnflag") == "A", "manual").otherwise("auto").alias("detection_method")).distinct()
     stored = s.withColumn("id", -(F.col("sample_id") * 1000000 + F.col("start_ms") * 100 + F.col("end_ms") - F.col("start_ms"))).withColumn("is_user_confirmed", F.lit(False))
@@ -170,15 +170,15 @@ def one_root(t: Tables) -> DataFrame:
     return state.with_root(t.region.select("r_regionkey", F.col("r_name").alias("path")), "ASIA").select("r_regionkey", "is_root")
 
 
-@query("current_layout", "J10", "SELECT id, id = 99 AS is_current FROM (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT 99)")
+@query("current_layout", "J10", "SELECT id, id = -1 AS is_current FROM (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT -1)")
 def current_layout(t: Tables) -> DataFrame:
-    old = t.supplier.where("s_suppkey < 50").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("is_current"))
-    return state.layout_added(old, t.spark.createDataFrame([(99,)], "id long"))
+    old = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(True).alias("is_current"))
+    return state.layout_added(old, t.spark.createDataFrame([(-1,)], "id long"))
 
 
 @query("current_layout_whole", "J10", "SELECT s_suppkey AS id, FALSE AS is_current FROM supplier UNION ALL SELECT max(s_suppkey) + 1, TRUE FROM supplier")
 def current_layout_whole(t: Tables) -> DataFrame:
-    """All layouts and a new one; current_layout has the first of them alone, as its SQL has."""
+    """As current_layout, with the next number for the new one."""
     old = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(True).alias("is_current"))
     return state.layout_added(old, t.supplier.agg((F.max("s_suppkey") + 1).alias("id")))
 

@@ -89,14 +89,16 @@ def masked_pooling(t: Tables) -> DataFrame:
 
 
 _CLASSES = ["rhythmic", "melodic", "vocal", "other"]
-_PROMPTS = "p AS (SELECT CASE label WHEN 0 THEN 'rhythmic' WHEN 1 THEN 'melodic' WHEN 2 THEN 'vocal' ELSE 'other' END AS class, embedding AS pe FROM embeddings WHERE label < 4 AND vec_id < 200)"
+_PROMPTS = "p AS (SELECT CASE label WHEN 0 THEN 'rhythmic' WHEN 1 THEN 'melodic' WHEN 2 THEN 'vocal' ELSE 'other' END AS class, list(m ORDER BY i) AS pe FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)"
 _SCORES = f"WITH {_PROMPTS}, c AS (SELECT v.vec_id, class, max({_COS.format(a='v.embedding', b='pe')}) AS score FROM embeddings v, p GROUP BY v.vec_id, class)"
 
 
 def _class_scores(t: Tables) -> DataFrame:
     label = F.col("label")
     name = F.when(label == 0, "rhythmic").when(label == 1, "melodic").when(label == 2, "vocal").otherwise("other")
-    prompts = t.embeddings.where("label < 4 and vec_id < 200").select(name.alias("class"), F.col("embedding").alias("vector"))
+    # a prompt for each label: the mean of all its vectors
+    means = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    prompts = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).select(name.alias("class"), F.transform("v", lambda e: e["m"]).alias("vector"))
     return vectors.class_scores(t.embeddings, prompts, "vec_id", "embedding")
 
 
