@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.functions import flac
+
 RATE, FRAME, HOP, ENV_FRAME, ENV_HOP = 22050, 2048, 512, 512, 64
 PITCH_MIN, PITCH_MAX = 40.0, 2000.0
 _MOST_CHUNK = 1 << 20
@@ -123,32 +125,46 @@ def resampled(x: np.ndarray, own: int, rate: int, reach: int = 16) -> np.ndarray
 
 
 def decoded(content: bytes | None, rate: int | None = RATE, mono: bool = True) -> np.ndarray | None:
-    """PCM or float samples in -1..1 at a rate, read in blocks; None for what can't be read (WAVE files of 8 to 32 bits, or floats, are)."""
+    """PCM or float samples in -1..1 at a rate, read in blocks; None for what can't be read (WAVE files of 8 to 32 bits or of floats, and FLAC, are)."""
+    x, own = _flac(content or b"", mono) if (content or b"")[:4] == b"fLaC" else _wave(content or b"", mono)
+    if x is None:
+        return None
+    if rate and rate != own and len(x):
+        x = np.stack([resampled(c, own, rate) for c in x.T], axis=1)
+    return x[:, 0] if mono else x
+
+
+def _flac(content: bytes, mono: bool) -> tuple[np.ndarray | None, int]:
+    stream = flac.stream_of(content)
+    if stream is None:
+        return None, 0
+    parts = [(x.mean(axis=1, keepdims=True) if mono else x).astype(np.float32) / np.float32(1 << stream.bits - 1) for x in flac.frames_of(content, stream)]
+    return (np.concatenate(parts) if parts else None), stream.rate
+
+
+def _wave(content: bytes, mono: bool) -> tuple[np.ndarray | None, int]:
     fmt, data, sub = None, None, 0
-    for name, body, _ in riff_chunks(content or b""):
+    for name, body, _ in riff_chunks(content):
         if name == b"fmt " and len(body) >= 16:
             fmt = struct.unpack_from("<HHIIHH", body)
             sub = struct.unpack_from("<H", body, 24)[0] if len(body) >= 26 else 0
         elif name == b"data" and data is None:
             data = body
     if fmt is None or data is None or not fmt[1] or not fmt[2]:
-        return None
-    kind, channels, own, _, align, bits = fmt
+        return None, 0
+    kind, channels, own, _, _, bits = fmt
     kind, align = sub if kind == _EXTENSIBLE else kind, channels * (bits // 8)
     if bits % 8 or not align:
-        return None
+        return None, 0
     whole = len(data) // align * align
     parts = []
     for begin in range(0, max(whole, 1), SAMPLES * align):
         x = _samples(data[begin : min(whole, begin + SAMPLES * align)], kind, bits)
         if x is None:
-            return None
+            return None, 0
         x = x.reshape(-1, channels)
         parts.append(x.mean(axis=1, keepdims=True) if mono else x)
-    x = np.concatenate(parts)
-    if rate and rate != own and len(x):
-        x = np.stack([resampled(c, own, rate) for c in x.T], axis=1)
-    return x[:, 0] if mono else x
+    return np.concatenate(parts), own
 
 
 def wave_bytes(y: np.ndarray, rate: int, extra: dict[bytes, bytes] | None = None) -> bytes:
