@@ -191,3 +191,17 @@ def migrated(name: str, df: DataFrame, version: int, target: int) -> DataFrame:
     for step in range(version + 1, target + 1):
         df = STEPS[step](name, df) if step in STEPS else df
     return df
+
+
+#: What each version added: a table and a column of it.
+ADDED: dict[int, tuple[str, str]] = {2: ("classification", "content_class_confirmed"), 3: ("segments", "needs_review")}
+
+
+def shape_version(tables: dict[str, DataFrame]) -> int:
+    """The version of a store that carries no number: the last of those, in order, whose columns are there."""
+    version = 1
+    for number, (table, column) in sorted(ADDED.items()):
+        if table not in tables or column not in tables[table].columns:
+            break
+        version = number
+    return version

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import threading
 
 import numpy as np
@@ -17,7 +18,7 @@ from nearfield.plans import jobs
 from nearfield.plans._registry import query
 from nearfield.plans.models import _tones
 from nearfield.sources import ingest, layouts
-from nearfield.streaming import serving
+from nearfield.streaming import incremental, serving
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -243,3 +244,81 @@ def correction_targets(t: Tables) -> DataFrame:
     two, one = state.targets(1, [1, 2], True), state.targets(1, [1, 2], False)
     chosen = F.array(*map(F.lit, sorted({*two, *one})))
     return t.customer.select(F.col("c_custkey").alias("id"), F.array_contains(chosen, (F.col("c_custkey") % 3).cast("int")).alias("corrected"))
+
+
+_READ = """SELECT '/f/' || CAST(s_suppkey AS VARCHAR) AS path, CASE k WHEN 2 THEN NULL ELSE 0.1::DOUBLE END AS seconds, CASE k WHEN 1 THEN 44100 WHEN 2 THEN NULL ELSE 22050 END AS rate, CASE k WHEN 1 THEN 2 WHEN 2 THEN NULL ELSE 1 END AS channels,
+CASE k WHEN 0 THEN 100 + s_suppkey % 50 END AS tempo, CASE k WHEN 0 THEN 60 + s_suppkey % 12 END AS note, CASE k WHEN 2 THEN NULL ELSE 2205 END AS samples FROM (SELECT *, s_suppkey % 4 AS k FROM supplier)"""
+
+
+def _file(k: int) -> bytes:
+    """By key: a file with loop and sampler chunks, a stereo one at twice the rate, a broken one, one of floats."""
+    y = 0.5 * np.sin(np.arange(2205) / 7)
+    if k % 4 == 0:
+        acid = struct.pack("<IHHfIHHf", signal.ROOT_SET, k % 12, 0, 0.0, 8, 4, 4, 100 + k % 50)
+        return signal.wave_bytes(y, 22050, {b"acid": acid, b"smpl": struct.pack("<9I", 0, 0, 0, 60 + k % 12, 0, 0, 0, 0, 0)})
+    if k % 4 == 1:
+        return signal.wave_bytes(np.stack([np.repeat(y, 2)] * 2, axis=1), 44100)
+    if k % 4 == 2:
+        return b"broken"
+    fmt = struct.pack("<HHIIHH", 0xFFFE, 1, 22050, 88200, 4, 32) + struct.pack("<HHIH", 22, 32, 4, 3) + bytes(14)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", 8820) + y.astype("<f4").tobytes()
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+@query("read_files", "A5 A7 A8 A9", _READ)
+def read_files(t: Tables) -> DataFrame:
+    """Headers, chunks and decoding of several kinds of file; a broken one gives nulls."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k in b["s_suppkey"]:
+                content = _file(k)
+                head, found, y = signal.header(content), signal.embedded(content), signal.decoded(content)
+                seconds, rate, channels = head or (None, None, None)
+                rows.append((f"/f/{k}", None if seconds is None else round(seconds, 6), rate, channels, int(found["acid"]["tempo"]) if found["acid"] else None, found["smpl"]["unity_note"] if found["smpl"] else None, None if y is None else len(y)))
+            yield pd.DataFrame(rows, columns=["path", "seconds", "rate", "channels", "tempo", "note", "samples"]).astype({c: "Int64" for c in ("rate", "channels", "tempo", "note", "samples")})
+
+    return t.supplier.select("s_suppkey").mapInPandas(run, "path string, seconds double, rate int, channels int, tempo int, note int, samples int")
+
+
+@query("spectrograms", "E11", "SELECT '/tones/' || CAST(s_suppkey AS VARCHAR) || '.wav' AS path, CAST(44 AS INTEGER) AS frames, CAST(40 AS INTEGER) AS bands, TRUE AS tuned FROM supplier")
+def spectrograms(t: Tables) -> DataFrame:
+    """The levels of each tone on log-spaced bands: the loudest is the one that the pitch lies in."""
+    centres = np.geomspace(1, signal.FRAME // 2, 40).round() * signal.RATE / signal.FRAME
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                s = signal.spectrogram(signal.decoded(content), 40)
+                pitch = 220 + 10 * (int(path.split("/")[2].split(".")[0]) % 20)
+                loudest = centres[int(s.mean(axis=0).argmax())]
+                rows.append((path, len(s), s.shape[1], bool(abs(loudest - pitch) <= 2 * signal.RATE / signal.FRAME + 0.1 * pitch)))
+            yield pd.DataFrame(rows, columns=["path", "frames", "bands", "tuned"])
+
+    return _tones(t.supplier).mapInPandas(run, "path string, frames int, bands int, tuned boolean")
+
+
+_SHAPES = [("first", 1), ("with facets", 2), ("with reviews", 3)]
+
+
+@query("stored_shapes", "M10", _values(_SHAPES, "store, version"))
+def stored_shapes(t: Tables) -> DataFrame:
+    """The version of a store without a number, by the columns that its tables have."""
+    classes = t.labels.select("doc_id", (F.col("toxic") == 1).alias("is_user_confirmed"))
+    segments = t.labels.select(F.col("doc_id").alias("id"))
+    facets = state.migrated("classification", classes, 1, 2)
+    stores = [{"classification": classes, "segments": segments}, {"classification": facets, "segments": segments}, {"classification": facets, "segments": state.migrated("segments", segments, 2, 3)}]
+    return t.spark.createDataFrame([(name, state.shape_version(s)) for (name, _), s in zip(_SHAPES, stores, strict=True)], "store string, version int")
+
+
+@query("delivered_batches", "L2", _values([(0, 2), (1, 2), (2, 1)], "batch, files"))
+def delivered_batches(t: Tables) -> DataFrame:
+    """Five files delivered two at a time, at intervals."""
+    folder = working.fresh(t.spark, "results")
+    for n in range(5):
+        t.spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(folder)
+    rows: list[tuple[int, int]] = []
+    incremental.new_files(t.spark, folder, t.spark.range(0).schema, working.fresh(t.spark, "stream"), lambda df, n: rows.append((n, df.count())), most=2, every="1 second")
+    return t.spark.createDataFrame(rows, "batch int, files int")

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def new_files(spark: SparkSession, folder: str, schema: T.StructType, checkpoint: str, apply: Callable[[DataFrame, int], None], *, most: int = 500, glob: str | None = None) -> int:
-    """Apply a function to batches of files that no earlier run has seen; the number of batches. What is seen is kept in the checkpoint."""
+def new_files(spark: SparkSession, folder: str, schema: T.StructType, checkpoint: str, apply: Callable[[DataFrame, int], None], *, most: int = 500, glob: str | None = None, every: str | None = None) -> int:
+    """Apply a function to batches of files that no earlier run has seen; the number of batches. What is seen is kept in the checkpoint.
+
+    A batch has `most` files at most, each of which gives a row of results.  every:
+    an interval, such as "2 seconds", at which what has come is delivered until
+    nothing is left; without one, batches follow each other at once.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", most)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -21,8 +26,15 @@ def new_files(spark: SparkSession, folder: str, schema: T.StructType, checkpoint
         count += 1
         apply(df, batch)
 
-    query = reader.parquet(folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = reader.parquet(folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return count
+    query = writer.trigger(processingTime=every).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return count
 
 
