@@ -322,3 +322,34 @@ def delivered_batches(t: Tables) -> DataFrame:
     rows: list[tuple[int, int]] = []
     incremental.new_files(t.spark, folder, t.spark.range(0).schema, working.fresh(t.spark, "stream"), lambda df, n: rows.append((n, df.count())), most=2, every="1 second")
     return t.spark.createDataFrame(rows, "batch int, files int")
+
+
+@query("tone_descriptors", "I1 I3 I5 I7 I9", f"SELECT '/tones/' || CAST(s_suppkey AS VARCHAR) || '.wav' AS path, {_PITCH} AS f0, TRUE AS steady, -6.0::DOUBLE AS peak_db, 1.4::DOUBLE AS crest, TRUE AS near, CAST(13 AS INTEGER) AS cepstra FROM supplier")
+def tone_descriptors(t: Tables) -> DataFrame:
+    """What one pass over each tone finds: its pitch, that it is steady, its levels, and a spectrum whose centre is near the pitch."""
+    d = signal.described_files(_tones(t.supplier)).where("error is null")
+    near = F.abs(F.col("d.spectral_centroid") - F.col("d.f0_hz")) < 150
+    return d.select("path", F.round("d.f0_hz", -1).cast("long").alias("f0"), (F.col("d.harmonic_ratio") > 0.9).alias("steady"), F.round("d.peak_db", 1).alias("peak_db"), F.round("d.crest_factor", 1).alias("crest"), near.alias("near"), F.size("d.mfcc_mean").alias("cepstra"))
+
+
+@query("click_tempos", "I6 I8 I9", "SELECT s_suppkey AS id, TRUE AS periodic, TRUE AS beaten, TRUE AS found FROM supplier")
+def click_tempos(t: Tables) -> DataFrame:
+    """Six seconds of clicks at 90 to 162 a minute: both tempo candidates are that, or a third, a half or twice of it, and nearly all clicks are onsets."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k in b["s_suppkey"]:
+                tempo = 90 + 8 * (k % 10)
+                y = np.zeros(6 * signal.RATE, dtype=np.float32)
+                at = (np.arange(0, 6 * tempo / 60 - 0.5) * 60 / tempo * signal.RATE).astype(int) + 2000
+                noise = np.random.default_rng(1).standard_normal(400) * np.exp(-np.arange(400) / 60)
+                for i in at[at < len(y) - 400]:
+                    y[i : i + 400] += 0.5 * noise
+                d = signal.described(y)
+                near = lambda x: x is not None and min(abs(x / tempo - r) for r in (1 / 3, 1 / 2, 1, 2)) < 0.06  # noqa: B023, E731
+                rows.append((k, bool(near(d["tempo_bpm"])), bool(near(d["beat_bpm"])), d["onset_count"] >= 0.8 * len(at)))
+            yield pd.DataFrame(rows, columns=["id", "periodic", "beaten", "found"])
+
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.supplier.select("s_suppkey").repartition(tasks).mapInPandas(run, "id long, periodic boolean, beaten boolean, found boolean")

@@ -14,7 +14,7 @@ from nearfield.sources import ingest
 from nearfield.streaming import incremental
 
 
-@query("encoded_texts", "J1 J2 J5")
+@query("encoded_texts", "J1")
 def encoded_texts(t: Tables) -> DataFrame:
     return encoders.embedded_texts(t.part, encoders.HashingEncoder, "p_partkey", "p_name")
 
@@ -53,7 +53,7 @@ def _tones(suppliers: DataFrame) -> DataFrame:
     return suppliers.select(F.col("s_suppkey").alias("k")).repartition(tasks).mapInPandas(make, "path string, content binary")
 
 
-@query("described_tones", "A5 A7 A8 A9 I1 I3 I4 I5 I6 I7 I8 I9 E11 E13 K11")
+@query("described_tones", "I1 I3 I5 I7 I9")
 def described_tones(t: Tables) -> DataFrame:
     d = signal.described_files(_tones(t.supplier))
     return d.select("path", "duration_s", "sample_rate", "channels", F.round("d.f0_hz", 1).alias("f0_hz"), F.round("d.harmonic_ratio", 3).alias("harmonic_ratio"), "error")

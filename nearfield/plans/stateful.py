@@ -183,7 +183,7 @@ def current_layout_whole(t: Tables) -> DataFrame:
     return state.layout_added(old, t.supplier.agg((F.max("s_suppkey") + 1).alias("id")))
 
 
-@query("manual_edits", "K5 M10", "SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_orderkey * 100 + l_linenumber = (SELECT min(l_orderkey * 100 + l_linenumber) FROM lineitem) THEN 'manual' ELSE 'auto' END AS detection_method, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT -1, 'manual', 1")
+@query("manual_edits", "K5", "SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_orderkey * 100 + l_linenumber = (SELECT min(l_orderkey * 100 + l_linenumber) FROM lineitem) THEN 'manual' ELSE 'auto' END AS detection_method, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT -1, 'manual', 1")
 def manual_edits(t: Tables) -> DataFrame:
     """The first segment moved, one added, and one that was added taken away again."""
     s = t.lineitem.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("sample_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(9).cast("long").alias("end_ms"), F.lit("auto").alias("detection_method"), F.lit(False).alias("is_user_confirmed"), F.lit(False).alias("needs_review"), F.lit("x").alias("cache_path"))

@@ -171,6 +171,6 @@ def pair_cosine(t: Tables) -> DataFrame:
     return t.embeddings.join(b, "vec_id").select("vec_id", F.round(dot(F.col("embedding"), F.col("e")), 6).alias("cosine"))
 
 
-@query("pca_layout", "J8 J9 J10 A20")
+@query("pca_layout", "J8 J9")
 def pca_layout(t: Tables) -> DataFrame:
     return vectors.principal_plane(t.embeddings, "vec_id", "embedding")[0]
