@@ -69,7 +69,7 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_na
 def catalogue_list(t: Tables) -> DataFrame:
     samples = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("folder"), "o_custkey")
     classes = samples.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("id", F.col("c_mktsegment").alias("content_class"), "c_nationkey")
-    analysis = classes.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("id", F.col("n_name").alias("key"))
+    analysis = classes.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("id", F.col("n_name").alias("key"))
     lines = t.lineitem.withColumnRenamed("l_orderkey", "id")
     tags = catalog.top_joined(lines.groupBy("id", "l_returnflag").agg(F.sum("l_quantity").alias("q")), "id", "l_returnflag", "q", 3)
     counts = catalog.child_counts(lines, "id", F.col("l_linestatus") == "O", F.col("l_discount") > 0.08)
