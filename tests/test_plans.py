@@ -38,5 +38,11 @@ def test_top_lists_are_heaps(spark):
 
 
 def test_no_python_in_relational_queries(spark):
-    for name in ("rank_fold", "catalogue_list", "topk_tags", "segments_boundaries", "merge_close", "vector_search", "scan_diff", "evict_lru"):
+    for name in ("rank_fold", "catalogue_list", "topk_tags", "segments_boundaries", "vector_search", "scan_diff", "evict_lru"):
         assert not re.search("Python|Arrow|Pandas", plan(spark, name)), name
+
+
+def test_merging_streams_and_gathers_nothing(spark):
+    """A fold in order of time that no expression states in linear time: one pass over sorted rows, no arrays of a key's events."""
+    found = plan(spark, "merge_close")
+    assert len(set(re.findall(r"\(\d+\) MapInArrow", found))) == 1 and not re.search("(?i)collect_list|FlatMapGroups|BatchEvalPython|ArrowEvalPython", found)
