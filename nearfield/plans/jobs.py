@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield import working
 from nearfield.io import upsert
 
 
@@ -33,14 +34,11 @@ def run_stage(work: DataFrame, do: Callable[[DataFrame], DataFrame], stored: Dat
         work = work.where(F.col(key).isin(ids) if ids else F.lit(False))
     if limit is not None:
         work = work.orderBy(key).limit(limit)
-    # results are read three times, and the work is the dear part
-    done = do(work).persist()
-    try:
-        report = Report({r["outcome"]: r["count"] for r in done.groupBy(F.when(F.col("error").isNull(), "done").otherwise("failed").alias("outcome")).count().collect()})
-        report.errors = [r["error"] for r in done.where("error is not null").orderBy(key).limit(5).select("error").collect()]
-        return upsert(stored, done.where("error is null").select(*stored.columns), [key]), report
-    finally:
-        done.unpersist()
+    # results are read several times, and the work is the dear part
+    done = working.stored(do(work))
+    report = Report({r["outcome"]: r["count"] for r in done.groupBy(F.when(F.col("error").isNull(), "done").otherwise("failed").alias("outcome")).count().collect()})
+    report.errors = [r["error"] for r in done.where("error is not null").orderBy(key).limit(5).select("error").collect()]
+    return upsert(stored, done.where("error is null").select(*stored.columns), [key]), report
 
 
 def run_plan(steps: list[tuple[str, Callable[[], Report]]], *, scope: list[str] | None = None) -> Report:
