@@ -353,3 +353,17 @@ def click_tempos(t: Tables) -> DataFrame:
 
     tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     return t.supplier.select("s_suppkey").repartition(tasks).mapInPandas(run, "id long, periodic boolean, beaten boolean, found boolean")
+
+
+@query("exported_vectors", "A14 A13", "SELECT CASE WHEN label < 5 THEN 'sample' ELSE 'segment' END AS kind, vec_id AS id, CASE WHEN label >= 5 THEN 'auto' END AS method, '/lib/' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) || '.wav' AS path, CASE WHEN label >= 5 THEN vec_id * 10 END AS start_ms, CASE WHEN label >= 5 THEN vec_id * 10 + 250 END AS end_ms, len(embedding) AS width, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings WHERE embedding IS NOT NULL")
+def exported_vectors(t: Tables) -> DataFrame:
+    """Every vector written beside what it stands for (kind, id, method, path, bounds), and read back."""
+    segment = F.col("label") >= 5
+    path = F.concat(F.lit("/lib/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".wav"))
+    bound = lambda more: F.when(segment, F.col("vec_id") * 10 + more)
+    rows = t.embeddings.where("embedding is not null").select(F.when(segment, "segment").otherwise("sample").alias("kind"), F.col("vec_id").alias("id"), F.when(segment, "auto").alias("method"), path.alias("path"), bound(0).alias("start_ms"), bound(250).alias("end_ms"), F.col("embedding").cast("array<float>").alias("vector"))
+    folder = working.fresh(t.spark, "vectors")
+    rows.write.partitionBy("kind").parquet(folder)
+    back = t.spark.read.parquet(folder)
+    end = lambda place: F.round(F.element_at("vector", place).cast("double"), 6)
+    return back.select("kind", "id", "method", "path", "start_ms", "end_ms", F.size("vector").cast("long").alias("width"), end(1).alias("first"), end(-1).alias("last"))
