@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat, fingerprint, jaccard, linededup, mixing, quality, sharding, topk, urlfilter
+from nearfield.llm import bpe, chat, fingerprint, jaccard, linededup, merkle, mixing, quality, runs, sharding, simhash, topk, urlfilter
 from nearfield.llm._io import table
 
 
@@ -74,9 +75,28 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, and whether it still proves after some texts were tampered with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.when(tampered, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    return merkle.verified(docs, merkle.leaf_of(*fields, F.col("text")), merkle.leaf_of(*fields, text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text (one in ten made periodic), the longest one, and what is left without repeats."""
+    return runs.described(table(spark, sf_dir, "documents"), periodic=True)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHash fingerprints differ in 4 bits at most."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_preference_format, op2_jaccard_join, op3_slot_sharding, op4_exact_topk, op5_bpe_round_trip, op6_order_minhash, op7_temporal_url_filter, op8_ordinal_quality, op9_line_dedup, op10_mix_sources)
+    for f in (op1_preference_format, op2_jaccard_join, op3_slot_sharding, op4_exact_topk, op5_bpe_round_trip, op6_order_minhash, op7_temporal_url_filter, op8_ordinal_quality, op9_line_dedup, op10_mix_sources, op11_merkle_manifest, op12_periodic_runs, op13_simhash)
 }
 
 _OP1 = """
@@ -205,4 +225,60 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs + CASE WHEN rest
 FROM ordered WHERE full_epochs > 0 OR (rest > 0 AND before < rest)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_preference_format": _OP1, "op2_jaccard_join": _OP2, "op4_exact_topk": _OP4, "op7_temporal_url_filter": _OP7, "op9_line_dedup": _OP9, "op10_mix_sources": _OP10}
+#: CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+_OP11 = f"""
+WITH RECURSIVE seen AS (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown FROM documents),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, sha256({_HEAD} || {_field("text")}) AS leaf, sha256({_HEAD} || {_field("shown")}) AS claimed FROM seen)),
+nodes AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, any_value(lvl) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, pos // 8),
+kept AS MATERIALIZED (SELECT * FROM nodes),
+upper_ AS (
+  SELECT 0 AS lvl, tree AS pos, count(*) OVER () AS n, h FROM kept WHERE n = 1
+  UNION ALL SELECT any_value(lvl) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM upper_ WHERE n > 1 GROUP BY pos // 8),
+over AS MATERIALIZED (SELECT * FROM upper_),
+low AS (
+  SELECT tree, pos AS own, 0 AS lvl, pos, n, claimed AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.tree, f.own, any_value(f.lvl) + 1, any_value(f.pos // 8), any_value((f.n + 7) // 8), sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.h ELSE s.h END, '' ORDER BY s.pos)),
+    any_value(f.proof) || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos <> f.pos), '')
+  FROM low f JOIN kept s ON s.tree = f.tree AND s.lvl = f.lvl AND s.pos // 8 = f.pos // 8 WHERE f.n > 1 GROUP BY f.tree, f.own),
+high AS (
+  SELECT tree, own, 0 AS lvl, tree AS pos, (SELECT any_value(n) FROM over WHERE lvl = 0) AS n, h, proof FROM low WHERE n = 1
+  UNION ALL
+  SELECT f.tree, f.own, any_value(f.lvl) + 1, any_value(f.pos // 8), any_value((f.n + 7) // 8), sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.h ELSE s.h END, '' ORDER BY s.pos)),
+    any_value(f.proof) || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos <> f.pos), '')
+  FROM high f JOIN over s ON s.lvl = f.lvl AND s.pos // 8 = f.pos // 8 WHERE f.n > 1 GROUP BY f.tree, f.own)
+SELECT l.doc_id, l.leaf, k.h AS subroot, o.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = o.h AS verified
+FROM leaves l JOIN kept k ON k.tree = l.tree AND k.n = 1 JOIN over o ON o.n = 1 JOIN high g ON g.tree = l.tree AND g.own = l.pos AND g.n = 1
+"""
+
+_OP12 = rf"""
+WITH split AS (SELECT doc_id, {_CRC} AS h, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ruled AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM split),
+made AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM ruled),
+words AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM made),
+pairs AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i),
+enough AS (SELECT * FROM pairs QUALIFY count(*) OVER (PARTITION BY doc_id, q) >= greatest(q, 12 - q)),
+streaks AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM enough) GROUP BY doc_id, q, g HAVING count(*) >= greatest(q, 12 - q)),
+runs AS MATERIALIZED (SELECT doc_id, s, e - s AS len, min(q) AS q FROM streaks GROUP BY doc_id, s, e),
+listed AS (SELECT doc_id, count(*) AS n_runs, arg_max(struct_pack(s := s, len := len, q := q), (len, -s, -q)) AS best, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS shown FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM words w WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.len) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, CAST(l.best.s AS BIGINT) AS start, CAST(l.best.len AS BIGINT) AS length, CAST(l.best.q AS BIGINT) AS period, CAST(1000 * l.best.len // l.best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(l.shown, '')) AS runs_sha256, sha256(coalesce(k.rest, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_preference_format": _OP1, "op2_jaccard_join": _OP2, "op4_exact_topk": _OP4, "op7_temporal_url_filter": _OP7, "op9_line_dedup": _OP9, "op10_mix_sources": _OP10, "op11_merkle_manifest": _OP11, "op12_periodic_runs": _OP12}
