@@ -11,7 +11,7 @@ HELD = 20_000
 ACCURACY = 10_000
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], share: float | dict[str, float], *, held: int | None = None) -> dict[str, float | None]:
+def quantiles(df: DataFrame, columns: dict[str, Column], share: float | dict[str, float], *, held: int | None = None, within: dict[str, tuple[float, float, int]] | None = None) -> dict[str, float | None]:
     """The `share` quantile of each column (or each its own) over its values; None without any.
 
     Two aggregations over all columns at once.  A sketch gives each column two
@@ -20,13 +20,18 @@ def quantiles(df: DataFrame, columns: dict[str, Column], share: float | dict[str
     thousandth of the rows, are gathered in order: a frequent value is never among
     them, as it would be one of the two.  Where more than `held` of them are
     expected, a sketch of the values between narrows the range further first.
+
+    within: by column, two values that a kept sketch or sample puts round the
+    quantile, and how many values may lie between them.  They spare the first
+    aggregation; should they be wrong, the counts show it, and a sketch follows.
     """
+    within = within or {}
     held = HELD if held is None else held
     share = share if isinstance(share, dict) else dict.fromkeys(columns, share)
     slack = 2.0 / ACCURACY
     # by column: values, those below the range, those in it, and the range, whose ends may be part of it
     seen: dict[str, tuple[int, int, int]] = {}
-    limits: dict[str, tuple] = {}
+    limits: dict[str, tuple] = {n: (low, high) for n, (low, high, _) in within.items()}
 
     def inside(n: str) -> Column:
         low, high = limits.get(n, (None, None))
@@ -60,22 +65,29 @@ def quantiles(df: DataFrame, columns: dict[str, Column], share: float | dict[str
             low, high = limits[n]
             c = columns[n].cast("double")
             between = (c > low) & (c < high)
+            out += [] if n in seen else [F.count(columns[n]).alias(f"{n} count")]
             out += [F.count_if(c < low).alias(f"{n} less"), F.count_if(c == low).alias(f"{n} low"), F.count_if(c == high).alias(f"{n} high")]
             out.append(F.array_sort(F.collect_list(F.when(between, c))).alias(f"{n} between") if gather else F.count_if(between).alias(f"{n} between"))
         return df.agg(*out).first().asDict() if out else {}
 
-    sketched(list(columns))
+    if set(columns) - set(within):
+        sketched([n for n in columns if n not in within])
     result: dict[str, float | None] = dict.fromkeys(columns)
-    due = [n for n in columns if seen[n][0]]
+    due = [n for n in columns if n in within or seen[n][0]]
     # values strictly between, where they have been counted
     sizes: dict[str, int] = {}
     while due:
         # a sketch's two ranks lie this far apart, with its error on both sides
-        narrow = [n for n in due if sizes.get(n, seen[n][2] * 4 * slack) <= held]
+        narrow = [n for n in due if sizes.get(n, seen[n][2] * 4 * slack if n in seen else within[n][2]) <= held]
         wide = [n for n in due if n not in narrow]
         got = counted(narrow, True) | counted(wide, False)
         for n in list(due):
             low, high = limits[n]
+            if n not in seen:
+                seen[n] = (got[f"{n} count"], 0, got[f"{n} count"])
+                if not seen[n][0]:
+                    due.remove(n)
+                    continue
             less, on_low, on_high = (got[f"{n} {x}"] for x in ("less", "low", "high"))
             on_high = 0 if low == high else on_high
             between = got[f"{n} between"]

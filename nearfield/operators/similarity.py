@@ -8,6 +8,7 @@ shuffle before the fold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -75,9 +76,9 @@ def vector_distance(vector: Column, anchor: Column) -> Column:
     return 1 - dot(vector, anchor)
 
 
-def scaled(distances: DataFrame, axes: list[str]) -> DataFrame:
-    """Each axis over its 95th percentile over all items, within 0..1; as it is where that is 0."""
-    p = quantiles(distances, {a: F.col(f"d_{a}") for a in axes}, SCALE_SHARE)
+def scaled(distances: DataFrame, axes: list[str], within: dict[str, tuple[float, float, int]] | None = None) -> DataFrame:
+    """Each axis over its 95th percentile over all items, within 0..1; as it is where that is 0.  within: as in quantiles."""
+    p = quantiles(distances, {a: F.col(f"d_{a}") for a in axes}, SCALE_SHARE, within=within)
     return distances.withColumns({f"d_{a}": clip(F.col(f"d_{a}") / p[a], 0.0, 1.0) if p[a] is not None and p[a] > 0 else F.col(f"d_{a}") for a in axes})
 
 
@@ -110,11 +111,14 @@ class Ranker:
 
     items: DataFrame
     axes: Axes
+    #: Where a kept index puts the scales of distances from an anchor (see quantiles).
+    near: Callable[[dict[str, float | None]], dict[str, tuple[float, float, int]]] | None = None
 
     def __post_init__(self) -> None:
-        # every pass over statistics and every ranking reads it
-        self.items = stored(self.items)
-        self.axes = self.axes.fitted(self.items)
+        if not self.axes.centre:
+            # every pass over statistics and every ranking reads it
+            self.items = stored(self.items)
+            self.axes = self.axes.fitted(self.items)
         self.z = self.axes.standardised(self.items)
         self._anchor: tuple[tuple[str, int], DataFrame] | None = None
 
@@ -128,7 +132,8 @@ class Ranker:
         row = self.z.where((F.col("kind") == kind) & (F.col("id") == item)).select(*self.axes.features).first()
         if row is None:
             raise ValueError(f"no {kind} {item}")
-        return scaled(self.axes.distances(self.z, row.asDict()), list(self.axes.columns))
+        anchor = row.asDict()
+        return scaled(self.axes.distances(self.z, anchor), list(self.axes.columns), self.near(anchor) if self.near else None)
 
     def ranked(self, kind: str, item: int, weights: dict[str, float], scope: DataFrame | None = None) -> DataFrame:
         """Parents by similarity, folded; scope: a table of sample ids in `parent`, which restricts the result, not the scales."""

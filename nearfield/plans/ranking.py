@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield import files, working
 from nearfield.functions.scalars import ln_positive, log1p_nonnegative
 from nearfield.io import Tables
-from nearfield.operators import catalog, filters, similarity
+from nearfield.operators import catalog, filters, index, similarity
 from nearfield.plans._registry import query
 
 AXES = similarity.Axes({"level": ["price", "amount"], "rate": ["discount", "tax"]})
@@ -29,9 +32,27 @@ def items(t: Tables) -> DataFrame:
     return similarity.population(parents(t), children(t), AXES.features)
 
 
+def sources(t: Tables) -> dict[str, index.Source]:
+    """Orders and line items as parts of the population, by the versions of their files."""
+    none = parents(t).where("false")
+    only = lambda p, c: lambda: similarity.population(p, c, AXES.features)
+    return {
+        "orders": index.Source(files.version(t.spark, f"{t.folder}/orders.parquet"), only(parents(t), children(t).where("false"))),
+        "lineitem": index.Source(files.version(t.spark, f"{t.folder}/lineitem.parquet"), only(none, children(t))),
+    }
+
+
+def kept_index(t: Tables) -> index.Index:
+    """The index of a folder's tables in the working folder: made by the first ranking, refreshed when files have changed."""
+    name = hashlib.blake2b(t.folder.encode(), digest_size=8).hexdigest()
+    return index.Index(t.spark, f"{working.folder(t.spark)}/nearfield/index-{name}", AXES)
+
+
 def ranker(t: Tables) -> similarity.Ranker:
-    """The index of the tables as they are now; whoever asks several times keeps it."""
-    return similarity.Ranker(items(t), AXES)
+    """What ranks the tables as they are now."""
+    kept, now = kept_index(t), sources(t)
+    kept.refresh(now)
+    return kept.ranker(now)
 
 
 def anchor(t: Tables) -> int:
