@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import resolved
+from nearfield.working import dropped, stored
 
 
 @dataclass(frozen=True)
@@ -88,36 +89,119 @@ def _stretches(events: DataFrame, key: str, time: str, gap: float) -> DataFrame:
     return rows.withColumn("_from", F.coalesce(F.last("_begin", ignorenulls=True).over(by), F.col("_open"))).drop("_part", "_before", "_begin", "_open")
 
 
+def _carried(rows: DataFrame, key: str, time: str, part: str, mark: str, out: str) -> DataFrame:
+    """Rows with `out`, the last `mark` at or before each of its key, carried over parts; a key's rows are sorted within parts alone."""
+    by, parts = Window.partitionBy(key, part).orderBy(time), Window.partitionBy(key).orderBy(part)
+    latest = rows.groupBy(key, part).agg(F.max(mark).alias("_latest"))
+    latest = latest.withColumn("_open", F.max("_latest").over(parts.rowsBetween(Window.unboundedPreceding, -1))).drop("_latest")
+    return rows.join(latest, [key, part]).withColumn(out, F.coalesce(F.last(mark, ignorenulls=True).over(by), F.col("_open"))).drop("_open")
+
+
+def following(events: DataFrame, key: str, time: str, gap: float) -> DataFrame:
+    """(key, time, next): by event the first one at least `gap` later, missing if there is none.
+
+    An as-of step without a join by inequality: each event also asks at its own
+    time plus the gap; events and questions are sorted together within parts of
+    many gaps, and a question without an event after it in its part takes the
+    first one of the next part.
+    """
+    size = F.lit(float(gap) * 256)
+    both = events.select(key, F.col(time).alias("_at"), F.col(time).alias("_event"), F.lit(None).cast("double").alias("_asks"))
+    both = both.unionByName(events.select(key, (F.col(time) + gap).alias("_at"), F.lit(None).cast("double").alias("_event"), F.col(time).alias("_asks")))
+    both = both.withColumn("_part", F.floor(F.col("_at") / size))
+    # at one time events stand after questions, so that a question finds the event at its own time
+    by = Window.partitionBy(key, "_part").orderBy("_at", F.col("_event").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = both.groupBy(key, "_part").agg(F.min("_event").alias("_first")).withColumn("_later", F.min("_first").over(parts)).drop("_first")
+    found = both.withColumn("_own", F.first("_event", ignorenulls=True).over(by)).where("_asks is not null")
+    return found.join(later, [key, "_part"]).select(key, F.col("_asks").alias(time), F.coalesce("_own", "_later").alias("next"))
+
+
 def merged_close(events: DataFrame, key: str, time: str, strength: str, gap: float) -> DataFrame:
     """(key, t, s): events nearer than `gap` to the *first* of a run become one: its time, the run's greatest strength.
 
-    A pause of `gap` begins a run whatever came before, so the stretches between
-    pauses are dealt over tasks; each is read once in order of time, with nothing
-    held but the run that is open.  Events without key or time are left out.
+    A pause of `gap` begins a run whatever came before.  Inside the stretches
+    between pauses, each event points to the one that would begin the next run if
+    it began one itself; these jumps are composed to 2, 4, 8 .. of them, and the
+    events that a stretch's first one reaches begin runs.  So a stretch of n runs
+    takes log2(n) rounds, each a join by equality, and a key that holds all events
+    is dealt over tasks like any other.  Events without key or time (or with NaN)
+    are left out; a strength that is missing counts for nothing.
+    """
+    own = events.where(F.col(key).isNotNull()).select(F.col(key), F.col(time).cast("double").alias("t"), F.col(strength).cast("double").alias("s")).where("t is not null and not isnan(t)")
+    own = own.groupBy(key, "t").agg(F.max("s").alias("s"))
+    rows = stored(_stretches(own, key, "t", gap))
+    # only stretches longer than the gap hold a second run
+    long = rows.groupBy(key, "_from").agg(F.max("t").alias("_to")).where(F.col("_to") - F.col("_from") >= gap).drop("_to")
+    inside = rows.join(long, [key, "_from"], "left_semi")
+    jumps = following(inside.select(key, "t"), key, "t", gap).join(inside.select(key, "t", "_from"), [key, "t"])
+    # a jump that leaves its stretch ends there
+    ends = inside.select(key, F.col("t").alias("next"), F.col("_from").alias("_of"))
+    jumps = stored(jumps.join(ends, [key, "next"]).where(F.col("_from") == F.col("_of")).select(key, "t", "next"))
+    begins = rows.where(F.col("t") == F.col("_from")).select(key, "t")
+    used = [rows, jumps]
+    while jumps.limit(1).count():
+        reached = begins.join(jumps, [key, "t"]).select(key, F.col("next").alias("t"))
+        begins = stored(begins.unionByName(reached))
+        jumps = stored(jumps.select(key, "t", F.col("next").alias("_via")).join(jumps.select(key, F.col("t").alias("_via"), "next"), [key, "_via"]).select(key, "t", "next"))
+        used += [begins, jumps]
+    marked = rows.join(begins.withColumn("_begin", F.col("t")), [key, "t"], "left")
+    marked = marked.withColumn("_part", F.floor(F.col("t") / F.lit(float(gap) * 256)))
+    runs = _carried(marked, key, "t", "_part", "_begin", "_run").groupBy(key, F.col("_run")).agg(F.max("s").alias("s"))
+    out = stored(runs.select(key, F.col("_run").alias("t"), "s"))
+    dropped(*used)
+    return out
+
+
+def prefix_sums(frames: DataFrame, key: str, frame: str, values: list[str]) -> DataFrame:
+    """(key, frame, part, n, count_<v>, sum_<v>, squares_<v>, and each of them again as carry_..): sums from the part's begin up to each frame, and those of the parts before.
+
+    Frames are cut into parts of PART numbers, so that a key's frames are sorted
+    within parts alone; only the parts' totals go over the parts' order.
     """
-    own = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key), F.col(time).cast("double").alias("t"), F.col(strength).cast("double").alias("s"))
-    kind = events.schema[key].dataType.simpleString()
-
-    def run(batches):
-        held, at, top = None, 0.0, None
-        for batch in batches:
-            out = []
-            for k, begin, t, s in zip(*(batch.column(c).to_pylist() for c in ("k", "b", "t", "s")), strict=True):
-                if held != (k, begin) or t - at >= gap:
-                    if held is not None:
-                        out.append((held[0], at, top))
-                    held, at, top = (k, begin), t, s
-                elif s is not None and (top is None or s > top):
-                    top = s
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field("k").type, pa.float64(), pa.float64()), strict=True)], ["k", "t", "s"])
-            kept = batch.schema.field("k").type
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], kept), pa.array([at], pa.float64()), pa.array([top], pa.float64())], ["k", "t", "s"])
-
-    rows = _stretches(own, key, "t", gap).select(F.col(key).alias("k"), F.col("_from").alias("b"), "t", "s")
-    runs = rows.repartition("k", "b").sortWithinPartitions("k", "b", "t").mapInArrow(run, f"k {kind}, t double, s double")
-    return runs.withColumnRenamed("k", key)
+    given = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
+    sums = {"n": F.lit(1).cast("double")}
+    for v, x in given.items():
+        sums |= {f"count_{v}": F.col(v).isNotNull().cast("double"), f"sum_{v}": x, f"squares_{v}": x * x}
+    rows = frames.select(key, F.col(frame).cast("long").alias(frame), F.floor(F.col(frame) / PART).alias("part"), *(c.alias(n) for n, c in sums.items()))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(key, "part").agg(*(F.sum(n).alias(n) for n in sums)).select(key, "part", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"carry_{n}") for n in sums))
+    upto = Window.partitionBy(key, "part").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({n: F.sum(n).over(upto) for n in sums}).join(carry, [key, "part"])
+
+
+def span_moments(frames: DataFrame, spans: DataFrame, key: str, frame: str, values: list[str], *, hop: int) -> DataFrame:
+    """(key, id, frames, mean_<v>, variance_<v>) of the frames that each span covers on its key's own grid.
+
+    spans: key, id, start, end, in units of which a frame has `hop`.  A span has
+    the frames from that of its start to the last one that begins before its end,
+    within the key's frames and one at least; spans that end before they begin,
+    begin after the last frame or have no frames at all have 0 and no moments.
+    A key's frames are numbered 0, 1, .. without gaps.  Sums up to a frame are made
+    once (see prefix_sums); a span is two lookups by equality, one before its first
+    frame and one at its last, and their difference, whatever its length.  Missing values count
+    as 0.
+    """
+    names = ["n", *(f"{x}_{v}" for v in values for x in ("count", "sum", "squares"))]
+    sums = prefix_sums(frames, key, frame, values)
+    counts = frames.groupBy(key).agg((F.max(F.col(frame).cast("long")) + 1).alias("_n"))
+    asked = spans.select(key, "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).join(counts, key, "left")
+    first = F.floor(F.greatest(F.lit(0), F.col("start")) / hop)
+    past = F.greatest(first + 1, F.least(F.col("_n"), F.ceil(F.col("end") / hop)))
+    sound = F.col("start").isNotNull() & (F.col("end") > F.greatest(F.lit(0), F.col("start"))) & (first < F.col("_n"))
+    asked = asked.select(key, "id", F.when(sound, first).alias("_first"), F.when(sound, past).alias("_past"))
+    ends = F.array(F.struct((F.col("_first") - 1).alias("at"), F.lit(-1.0).alias("sign")), F.struct((F.col("_past") - 1).alias("at"), F.lit(1.0).alias("sign")))
+    looked = asked.select(key, "id", F.explode(ends).alias("_e")).select(key, "id", F.col("_e.at").alias(frame), F.col("_e.sign").alias("_sign"))
+    met = looked.join(sums, [key, frame], "left")
+    # sums within a part and those carried are added up apart: of a span inside one part the latter cancel exactly
+    total = lambda n: F.coalesce(F.sum(F.col("_sign") * F.col(n)), F.lit(0.0)) + F.coalesce(F.sum(F.col("_sign") * F.col(f"carry_{n}")), F.lit(0.0))
+    by = met.groupBy(key, "id").agg(*(total(n).alias(n) for n in names))
+    out = []
+    for v in values:
+        count = F.col(f"count_{v}")
+        mean = F.when(count > 0, F.col(f"sum_{v}") / count)
+        out += [mean.alias(f"mean_{v}"), F.when(count > 0, F.greatest(F.lit(0.0), F.col(f"squares_{v}") / count - mean * mean)).alias(f"variance_{v}")]
+    return by.select(key, "id", F.col("n").cast("long").alias("frames"), *out)
 
 
 def dominant(rows: DataFrame, key: str, order: str, strength: str, loudness: str, *, share: float = 0.3, loud_share: float = 0.2, reach: int = 2) -> DataFrame:
@@ -211,12 +295,46 @@ def window_spans(n: Column, limit: int, least: int, most: int = 24) -> Column:
     return F.when(n <= limit, spans).when(F.size(kept) > 0, kept).otherwise(F.slice(spans, 1, 1))
 
 
-def at_point(points: DataFrame, spans: DataFrame, key: str, t: str, *, bucket: int) -> DataFrame:
-    """For each point the shortest closed span of its key that holds it (of equals the least id).  Spans are listed by the buckets of time they touch, so the join is by equality."""
-    held = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    asked = points.withColumn("_b", F.floor(F.col(t) / bucket))
-    both = asked.join(held, [key, "_b"]).where((F.col(t) >= F.col("start")) & (F.col(t) <= F.col("end")))
-    return both.groupBy(key, t).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("length"), "id")).alias("m")).select(key, t, F.col("m.id").alias("id"))
+def _up(c: Column, levels: Column) -> Column:
+    """The place of a whole number at a level of the tree: an arithmetic shift, so that negative ones round down too."""
+    return F.call_function("shiftright", c, levels)
+
+
+def tree_nodes(start: Column, end: Column) -> Column:
+    """The nodes (level, place) of a binary tree over whole numbers that make up a closed span: two by level at most, whatever its length.
+
+    Level i has a node for each 2^i numbers.  Seen from below, the left end gives a
+    node if it is a right child and the right end if it is a left child, as long
+    as they haven't met.
+    """
+    start, past = start.cast("long"), end.cast("long") + 1
+
+    def at(i: Column) -> Column:
+        left = _up(start + F.call_function("shiftleft", F.lit(1).cast("long"), i) - 1, i)
+        right = _up(past, i)
+        apart, odd = left < right, lambda c: c.bitwiseAND(F.lit(1)) == 1
+        nodes = F.array(F.when(apart & odd(left), left), F.when(apart & odd(right), right - 1))
+        return F.transform(F.filter(nodes, lambda p: p.isNotNull()), lambda p: F.struct(i.alias("level"), p.alias("place")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.log2((past - start).cast("double")).cast("int") + 1), at))
+
+
+def at_point(points: DataFrame, spans: DataFrame, key: str, t: str) -> DataFrame:
+    """For each point the shortest closed span of its key that holds it (of equals the least id).
+
+    Bounds and points are whole numbers.  A span is listed at the nodes of a
+    segment tree that it is made of, two by level at most, so that its rows grow
+    with the logarithm of its length; of each node the shortest span alone
+    counts.  A point looks up the nodes that hold it, at those levels that any
+    span of its key has, so the join is by equality.  Spans without a bound, or that end before they begin, hold nothing.
+    """
+    held = spans.where("start <= end").select(key, "id", (F.col("end") - F.col("start")).alias("length"), F.explode(tree_nodes(F.col("start"), F.col("end"))).alias("_n"))
+    best = held.groupBy(key, "_n").agg(F.min(F.struct("length", "id")).alias("m")).select(key, "_n.level", "_n.place", "m")
+    levels = best.groupBy(key).agg(F.collect_set("level").alias("_levels"))
+    asked = points.select(key, t).where(F.col(t).isNotNull()).distinct().join(levels, key)
+    asked = asked.select(key, t, F.explode("_levels").alias("level")).select(key, t, "level", _up(F.col(t).cast("long"), F.col("level")).alias("place"))
+    both = asked.join(best, [key, "level", "place"])
+    return both.groupBy(key, t).agg(F.min("m").alias("m")).select(key, t, F.col("m.id").alias("id"))
 
 
 def ordered_bounds(a: Column, b: Column, limit: Column | None = None, least: int = 1) -> tuple[Column, Column]:

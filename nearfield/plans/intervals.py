@@ -119,7 +119,7 @@ def _segments_at(events: DataFrame) -> DataFrame:
     e = events.withColumn("s", F.floor(F.col("us") / 1000000))
     spans = e.select("user_id", (F.col("frame").cast("long") * 7919 + F.col("user_id") * 1000003).alias("id"), F.col("s").alias("start"), (F.col("s") + F.floor("value") * 3600).alias("end"))
     points = e.select("user_id", (F.col("s") + 1800).alias("t"))
-    return I.at_point(points, spans, "user_id", "t", bucket=86400)
+    return I.at_point(points, spans, "user_id", "t")
 
 
 @query("segment_at", "B25", _SPANS + ", q AS (SELECT user_id, us // 1000000 + 1800 AS t FROM f), j AS (SELECT q.user_id, t, id, row_number() OVER (PARTITION BY q.user_id, t ORDER BY b - a, id) AS n FROM q JOIN p ON p.user_id = q.user_id AND t BETWEEN a AND b) SELECT user_id, t, id FROM j WHERE n = 1")
@@ -133,6 +133,14 @@ def segment_at_every_event(t: Tables) -> DataFrame:
     return _segments_at(_events(t))
 
 
+@query("segment_at_wide", "B25", _FRAMES + ", p AS (SELECT user_id, frame * 7919 + user_id * 1000003 AS id, us AS a, us + (CAST(floor(value) AS BIGINT) % 7) * 5184000000000 AS b FROM f), q AS (SELECT DISTINCT user_id, us + 1800000000 AS t FROM f), j AS (SELECT q.user_id, t, id, row_number() OVER (PARTITION BY q.user_id, t ORDER BY b - a, id) AS n FROM q JOIN p ON p.user_id = q.user_id AND t BETWEEN a AND b) SELECT user_id, t, id FROM j WHERE n = 1")
+def segment_at_wide(t: Tables) -> DataFrame:
+    """Spans of up to a year, in microseconds: a few dozen nodes each."""
+    e = _events(t)
+    spans = e.select("user_id", (F.col("frame").cast("long") * 7919 + F.col("user_id") * 1000003).alias("id"), F.col("us").alias("start"), (F.col("us") + F.floor("value") % 7 * 5184000000000).alias("end"))
+    return I.at_point(e.select("user_id", (F.col("us") + 1800000000).alias("t")), spans, "user_id", "t")
+
+
 @query("ordered_bounds", "B26", "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) * 100 - 500 AS a, l_suppkey * 20 AS b FROM lineitem), o AS (SELECT *, greatest(0, least(a, b)) AS lo, greatest(greatest(0, least(a, b)) + 1, greatest(a, b)) AS hi FROM b) SELECT l_orderkey, l_linenumber, l_partkey, least(lo, least(hi, 3000) - 1) AS low, least(hi, 3000) AS high FROM o")
 def ordered_bounds(t: Tables) -> DataFrame:
     low, high = I.ordered_bounds(F.col("l_quantity").cast("long") * 100 - 500, F.col("l_suppkey") * 20, F.lit(3000).cast("long"))
@@ -160,7 +168,20 @@ def energy_share(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.round(F.when(total > 0, F.sum(F.when(F.col("event_type") == "click", e).otherwise(0.0)) / total), 6).alias("share"))
 
 
-@query("frame_moments", "D21 E12", "SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance FROM events GROUP BY user_id")
+_GRID = _FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM f), w AS (SELECT user_id, frame AS id, n, frame * 16 + 5 AS a, frame * 16 + 5 + CAST(floor(value * 7) AS BIGINT) AS b FROM n), g AS (SELECT *, a // 16 AS first, greatest(a // 16 + 1, least(n, CAST(ceil(b / 16.0) AS BIGINT))) AS past FROM w)"
+
+
+@query("span_moments", "E12 D21", _GRID + " SELECT g.user_id, g.id, count(f.value) AS frames, round(avg(f.value) + 1e-9, 6) AS mean_value, round(var_pop(f.value) + 1e-8, 5) AS variance_value FROM g LEFT JOIN f ON f.user_id = g.user_id AND g.b > g.a AND f.frame >= g.first AND f.frame < g.past GROUP BY g.user_id, g.id")
+def span_moments(t: Tables) -> DataFrame:
+    """A window from within every event's frame, as long as its value says, measured on the frames of its user."""
+    f = _events(t)
+    start = F.col("frame").cast("long") * 16 + 5
+    spans = f.select("user_id", F.col("frame").cast("long").alias("id"), start.alias("start"), (start + F.floor(F.col("value") * 7)).alias("end"))
+    out = I.span_moments(f, spans, "user_id", "frame", ["value"], hop=16)
+    return out.select("user_id", "id", "frames", F.round(F.col("mean_value") + 1e-9, 6).alias("mean_value"), F.round(F.col("variance_value") + 1e-8, 5).alias("variance_value"))
+
+
+@query("frame_moments", "D21", "SELECT user_id, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance FROM events GROUP BY user_id")
 def frame_moments(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 6).alias("variance"))
 

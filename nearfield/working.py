@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield import files
+
 
 def folder(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; where that is unset a temporary folder, in local mode only (tests)."""
@@ -28,4 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     """`df`, written and read back: what reads it doesn't compute it again, and a lost executor loses none of it."""
     path = fresh(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.nearfield_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for frames that nothing reads any more."""
+    for df in frames:
+        files.delete(df.sparkSession, df.nearfield_path)

@@ -191,7 +191,7 @@ def test_many_windows_are_spread(spark):
 def test_containment_and_edges(spark):
     spans = frame(spark, [(1, 1, 0, 10), (1, 2, 5, 8), (1, 3, 6, 9)], "k int, id long, start long, end long")
     points = frame(spark, [(1, 7), (1, 10), (1, 50)], "k int, t long")
-    assert rows_of(intervals.at_point(points, spans, "k", "t", bucket=4)) == [(1, 10, 1), (1, 7, 2)]
+    assert rows_of(intervals.at_point(points, spans, "k", "t")) == [(1, 10, 1), (1, 7, 2)]
     assert rows_of(intervals.nearest_edge(spans, 5.4, 1.0)) == [(2, "start")]
     assert rows_of(intervals.nearest_edge(spans, 20.0, 1.0)) == []
 

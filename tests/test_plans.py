@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from nearfield.operators import intervals
 from nearfield.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -42,7 +44,10 @@ def test_no_python_in_relational_queries(spark):
         assert not re.search("Python|Arrow|Pandas", plan(spark, name)), name
 
 
-def test_merging_streams_and_gathers_nothing(spark):
-    """A fold in order of time that no expression states in linear time: one pass over sorted rows, no arrays of a key's events."""
-    found = plan(spark, "merge_close")
-    assert len(set(re.findall(r"\(\d+\) MapInArrow", found))) == 1 and not re.search("(?i)collect_list|FlatMapGroups|BatchEvalPython|ArrowEvalPython", found)
+def test_merging_and_containment_stay_in_the_jvm(spark):
+    """Neither joins by inequality nor gathers a key's events; what merging stores between its rounds comes from such plans."""
+    events = spark.createDataFrame([(1, 2.0, 3.0)], "k long, t double, s double")
+    spans = spark.createDataFrame([(1, 1, 2, 3)], "k long, id long, start long, end long")
+    for df in (intervals.following(events, "k", "t", 1.0), intervals._stretches(events, "k", "t", 1.0), intervals.at_point(spans.select("k", F.col("start").alias("t")), spans, "k", "t"), intervals.span_moments(events.withColumn("f", F.lit(0)), spans, "k", "f", ["s"], hop=1)):
+        found = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("(?i)collect_list|Python|Arrow|Pandas|NestedLoop|Cartesian", found)
