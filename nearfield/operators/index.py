@@ -27,6 +27,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,9 @@ from nearfield.operators.quantiles import quantiles
 from nearfield.operators.similarity import MAD_FACTOR, SCALE_SHARE, SPREAD_FLOOR, Axes, Ranker
 
 #: Size of a KLL sketch, and the ranks read off the merged one.
-SKETCH, GRID = 4096, 2000
+SKETCH, GRID = 4096, 1000
+#: Parts written at a time.
+WRITERS = 4
 #: Items of least hash that stand for the population where a bracket is looked for.
 SAMPLE = 20_000
 #: Shares of the rows by which brackets are wider than what sketch or sample says.
@@ -123,8 +126,11 @@ class Index:
         if before is not None and parts == before.parts:
             return []
         new = {p: own for p, (_, own) in parts.items() if held.get(p, ("", ""))[1] != own}
-        for p, own in new.items():
-            self._write(own, sources[p].items())
+        rows = {own: self._selected(sources[p].items()) for p, own in new.items()}
+        for df in list(rows.values())[:1]:
+            self._declare(df)
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(lambda x: self._write(*x), rows.items()))
         folders = [own for _, own in parts.values()]
         rows, centre, spread = self._statistics(folders)
         name = uuid.uuid4().hex
@@ -147,15 +153,13 @@ class Index:
 
     # what is kept of a part
 
-    def _write(self, own: str, items: DataFrame) -> None:
-        features = [known(F.col(f).cast("double")).alias(f) for f in self.axes.features]
-        rows = items.select(*(F.col(c) for c in _KEPT), *features, F.lit(own).alias("part"))
-        self._declare(rows)
-        rows.createOrReplaceTempView(f"{self.table}_new")
-        columns = ", ".join(f"`{c}`" for c in rows.columns if c != "part")
+    def _selected(self, items: DataFrame) -> DataFrame:
+        return items.select(*_KEPT, *(known(F.col(f).cast("double")).alias(f) for f in self.axes.features))
+
+    def _write(self, own: str, rows: DataFrame) -> None:
+        columns = ", ".join(f"`{c}`" for c in rows.columns)
         # rows of a parent are written by one task, so a bucket is one file
-        self.spark.sql(f"INSERT OVERWRITE {self.table} PARTITION (part = '{own}') SELECT {columns} FROM (SELECT /*+ REPARTITION({self.buckets}, parent) */ * FROM {self.table}_new)")
-        self.spark.catalog.dropTempView(f"{self.table}_new")
+        self.spark.sql(f"INSERT OVERWRITE {self.table} PARTITION (part = '{own}') SELECT {columns} FROM (SELECT /*+ REPARTITION({self.buckets}, parent) */ * FROM {{rows}})", rows=rows)
         kept = self.spark.table(self.table).where(F.col("part") == own)
         sketches = kept.agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(f, SKETCH).alias(f) for f in self.axes.features))
         sketches.write.mode("overwrite").parquet(f"{self.path}/sketches/part={own}")
@@ -198,7 +202,7 @@ class Index:
         names = self.axes.features
         if not folders:
             return 0, dict.fromkeys(names), dict.fromkeys(names, 1.0)
-        ranks = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+        ranks = F.lit([i / GRID for i in range(GRID + 1)])
         merged = self._of("sketches", folders).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(f).alias(f) for f in names))
         count = lambda f: F.kll_sketch_get_n_double(f)
         got = merged.select("rows", *(F.when(count(f) > 0, F.kll_sketch_get_quantile_double(f, ranks)).alias(f) for f in names), *(count(f).alias(f"n {f}") for f in names)).first().asDict()

@@ -138,13 +138,16 @@ def merged_close(events: DataFrame, key: str, time: str, strength: str, gap: flo
     # a jump that leaves its stretch ends there
     ends = inside.select(key, F.col("t").alias("next"), F.col("_from").alias("_of"))
     jumps = stored(jumps.join(ends, [key, "next"]).where(F.col("_from") == F.col("_of")).select(key, "t", "next"))
+    none = F.lit(None).cast("double")
     begins = rows.where(F.col("t") == F.col("_from")).select(key, "t")
     used = [rows, jumps]
     while jumps.limit(1).count():
         reached = begins.join(jumps, [key, "t"]).select(key, F.col("next").alias("t"))
-        begins = stored(begins.unionByName(reached))
-        jumps = stored(jumps.select(key, "t", F.col("next").alias("_via")).join(jumps.select(key, F.col("t").alias("_via"), "next"), [key, "_via"]).select(key, "t", "next"))
-        used += [begins, jumps]
+        twice = jumps.select(key, "t", F.col("next").alias("_via")).join(jumps.select(key, F.col("t").alias("_via"), "next"), [key, "_via"]).select(key, "t", "next")
+        # one table a round: run starts so far, and the jumps that are left
+        state = stored(begins.unionByName(reached).withColumn("next", none).unionByName(twice))
+        begins, jumps = state.where("next is null").select(key, "t"), state.where("next is not null")
+        used.append(state)
     marked = rows.join(begins.withColumn("_begin", F.col("t")), [key, "t"], "left")
     marked = marked.withColumn("_part", F.floor(F.col("t") / F.lit(float(gap) * 256)))
     runs = _carried(marked, key, "t", "_part", "_begin", "_run").groupBy(key, F.col("_run")).agg(F.max("s").alias("s"))

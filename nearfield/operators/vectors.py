@@ -7,49 +7,179 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dot, norm, softmax, unit
 from nearfield.operators.quantiles import quantiles
+from nearfield.working import dropped, stored
 
 TIE_MARGIN, MELODIC_SHARE, RHYTHMIC_SHARE, CLASS_CONFIDENCE = 0.15, 0.7, 0.3, 0.5
-#: Rows of a block of the all-pairs product.
+#: Rows of a block of a product, and of a cell on average.
 BLOCK = 4096
+#: Numbers in the table of pivots, at most: 32 MB.
+PIVOT_NUMBERS = 1 << 22
+#: Cells that a query visits after its own before those that are left: the k-th distance gets small first.
+NEAREST = 3
+#: Bounds are widened by more than the error of distances of unit vectors.
+_ERROR = 1e-7
 
 
-def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; rows of length 0 point along a dimension of their own."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.hstack([x / np.where(length > 0, length, 1.0), (length == 0).astype(float)])
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances between unit vectors."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
+
+
+def sound_vectors(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(id, v): rows with an id and a vector of the most frequent width (of equals the greater) without null and non-finite components."""
+    v = F.col(vector).cast("array<double>")
+    whole = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.when(whole, v).alias("v")).where("id is not null and v is not null and size(v) > 0")
+    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
+    return rows.where(F.size("v") == (widths["w"] if widths else 0))
+
+
+def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", *, block: int | None = None, products: Accumulator | None = None) -> DataFrame:
     """(q, n, sim, rank): the k best other rows of every row by cosine, ties to the smaller id.
 
-    Rows are dealt into blocks; every pair of blocks is one matrix product of
-    bounded size, which returns k rows for each of its queries, so what is
-    shuffled after it is rows * blocks * k, never all pairs.
+    An exact join with pivots.  Different vectors are dealt into cells by their
+    nearest pivot; a cell's radius is its farthest vector's distance.  By the
+    triangle inequality no vector of a cell is nearer to a query than the query's
+    distance to the pivot less that radius.  Each query first meets its own cell,
+    then the NEAREST ones by that bound, then those whose bound is still below its
+    k-th distance.  A cell is cut into blocks; a block and the queries that visit
+    it are a matrix product of bounded size, which returns k rows for each query.
+    Where data have no clusters every query visits every block, and what is
+    shuffled is rows * blocks: no more than all pairs of blocks.
+
+    Equal vectors are one, with its k + 1 least ids; copies make no pairs.
+
+    Defined cases: a null id, a null or empty vector, one with a null or
+    non-finite component, or of another width than most, takes no part; a vector of
+    length 0 has cosine 0 with every other; of the rows that repeat an id the least
+    vector counts; with less than k others there are less than k rows.
+    products: counts the inner products made, if given.
     """
-    count = df.count()
-    blocks = max(1, -(-count // BLOCK))
-    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", F.col("b").alias("i"), every.alias("j"))
-    right = rows.select("id", "v", F.col("b").alias("j"), every.alias("i"))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+    spark, block = df.sparkSession, block or BLOCK
+    rows = sound_vectors(df, id_, vector).groupBy("id").agg(F.min("v").alias("v"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    whose = stored(rows.withColumn("place", place))
+    one = whose.where("place = 1")
+    count, width = one.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, PIVOT_NUMBERS // ((width or 0) + 1))
+    # rows of least hash stand for all: about one for each block
+    chosen = one.orderBy(F.xxhash64("id"), "id").limit(min(most, max(1, -(-count // block)))).select("v").toArrow()
+    if not chosen.num_rows:
+        return whose.select(F.col("id").alias("q"), F.col("id").alias("n"), F.lit(0.0).alias("sim"), F.lit(1).alias("rank")).where("false")
+    pivots = spark.sparkContext.broadcast(_directions(flat(chosen.column("v"))))
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(_directions(flat(batch.column("v"))), pivots.value)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "cell", "far"])
+
+    cells = stored(one.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int, far double"))
+    known = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()
+    radius = np.full(chosen.num_rows, -np.inf)
+    blocks = np.zeros(chosen.num_rows, dtype=np.int64)
+    for r in known:
+        radius[r.cell], blocks[r.cell] = r.radius, -(-r.n // block)
+    parts = F.array(*(F.lit(int(n)) for n in blocks))
+    held = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int").alias("part"))
+
+    def visits(last: int):
+        """Rows of (cell, part, id, v) for the blocks that a query visits in this round; kth: its k-th distance so far."""
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                d = _distances(_directions(flat(batch.column("v"))), pivots.value)
+                own = batch.column("cell").to_numpy()
+                if last == 0:
+                    q, c = np.arange(len(own)), own.astype(np.int64)
+                else:
+                    bound = d - radius
+                    bound[np.arange(len(own)), own] = np.inf
+                    order = np.argsort(bound, axis=1, kind="stable")
+                    due = np.take_along_axis(bound, order, axis=1) <= batch.column("kth").to_numpy()[:, None] + _ERROR
+                    due[:, NEAREST:] &= last == 2
+                    due[:, :NEAREST] &= last == 1
+                    q, at = np.nonzero(due)
+                    c = order[q, at]
+                times = blocks[c]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                q, c = np.repeat(q, times), np.repeat(c, times)
+                for a in range(0, len(q), block):
+                    at = pa.array(q[a : a + block])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + block].astype(np.int32)), pa.array(part[a : a + block].astype(np.int32)), batch.column("id").take(at), batch.column("v").take(at)], ["cell", "part", "id", "v"])
+
+        return run
+
+    def meet(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("sim", pa.float64())])
-        if not a.num_rows or not b.num_rows:
+        if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        x, y = flat(a.column("v")), flat(b.column("v"))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        qs, ns = a.column("id").to_numpy(), b.column("id").to_numpy()
-        order = np.argsort(ns, kind="stable")
-        ns, sim = ns[order], np.round(x @ y[order].T, 12)
-        sim[qs[:, None] == ns[None, :]] = -np.inf
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        s = np.take_along_axis(sim, top, axis=1)
-        ok = np.isfinite(s)
-        return pa.Table.from_arrays([pa.array(np.repeat(qs, ok.sum(axis=1))), pa.array(ns[top][ok]), pa.array(s[ok])], schema=schema)
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "q long, n long, sim double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+        ns, order = right.column("id").to_numpy(), np.argsort(right.column("id").to_numpy(), kind="stable")
+        ns, y = ns[order], _directions(flat(right.column("v")))[order, :-1]
+        out = []
+        # a popular block is met by slices of its queries
+        for at in range(0, left.num_rows, block):
+            part = left.slice(at, block)
+            qs, x = part.column("id").to_numpy(), _directions(flat(part.column("v")))[:, :-1]
+            sim = np.round(x @ y.T, 12)
+            if products is not None:
+                products.add(sim.size)
+            sim[qs[:, None] == ns[None, :]] = -np.inf
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            s = np.take_along_axis(sim, top, axis=1)
+            ok = np.isfinite(s)
+            out.append(pa.Table.from_arrays([pa.array(np.repeat(qs, ok.sum(axis=1))), pa.array(ns[top][ok]), pa.array(s[ok])], schema=schema))
+        return pa.concat_tables(out)
+
+    # a vector's copies are as near as can be: they fill up its list at first
+    copies = whose.groupBy("v").agg(F.min("id").alias("q"), F.count("*").alias("copies")).select("q", "copies")
+    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    queries, met, used = cells, None, [whose, cells]
+    rounds = 1 + (len(known) > 1) + (len(known) > NEAREST + 1)
+    for last in range(rounds):
+        # queries that visit a block are salted, so that a block of many visitors is several groups
+        dealt = stored(queries.mapInArrow(visits(last), "cell int, part int, id long, v array<double>"))
+        crowds = dealt.groupBy("cell", "part").agg((F.floor((F.count("*") - 1) / (4 * block)) + 1).cast("int").alias("salts"))
+        asked = dealt.join(crowds, ["cell", "part"]).select("cell", "part", "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), "salts").cast("int").alias("salt"))
+        blocks_of = held.join(crowds, ["cell", "part"]).select("cell", "part", "id", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        group = ("cell", "part", "salt")
+        found = asked.groupBy(*group).cogroup(blocks_of.groupBy(*group)).applyInArrow(meet, "q long, n long, sim double")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
+        met = stored((found if met is None else met.unionByName(found)).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+        used += [dealt, met]
+        if last < rounds - 1:
+            kth = met.groupBy("q").agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
+            # without k others yet every cell may hold one; rows that copies fill up need no other
+            distance = F.when((F.col("copies") > k) & (length > 0), F.lit(-1.0)).when(F.col("least").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least")))).otherwise(F.lit(9.0))
+            queries = cells.join(kth.withColumnRenamed("q", "id"), "id", "left").join(copies.withColumnRenamed("q", "id"), "id").select("id", "v", "cell", distance.alias("kth"))
+
+    # back to ids: each different vector stands for its k + 1 least ids, and its copies are neighbours of each other
+    some = whose.where(F.col("place") <= k + 1).join(one.select("v", F.col("id").alias("n")), "v").select("n", F.col("id").alias("other"))
+    ask = whose.join(one.select("v", F.col("id").alias("q")), "v").select("q", F.col("id").alias("own"))
+    alike = one.join(copies.where("copies > 1").withColumnRenamed("q", "id"), "id").select(F.col("id").alias("q"), F.col("id").alias("n"), F.when(length > 0, 1.0).otherwise(0.0).alias("sim"))
+    near = met.unionByName(alike).join(some, "n").select("q", F.col("other").alias("n"), "sim")
+    # of a vector's list k + 1 are enough for each of its copies
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))
+    near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).drop("rank").join(ask, "q").where("own <> n")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("sim"), "n"))
+    out = stored(near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("own").alias("q"), "n", "sim", "rank"))
+    dropped(*used)
+    return out
 
 
 def precision(near: DataFrame, labels: DataFrame, id_: str, label: str) -> DataFrame:
