@@ -11,7 +11,7 @@ from nearfield.functions import encoders, signal
 from nearfield.io import Tables
 from nearfield.plans._registry import query
 from nearfield.sources import ingest
-from nearfield.streaming import incremental
+from nearfield.streaming import delivery, incremental
 
 
 @query("encoded_texts", "J1")
@@ -86,3 +86,17 @@ def stream_ingest(t: Tables) -> DataFrame:
     checkpoint = working.fresh(t.spark, "stream")
     incremental.new_files(t.spark, t.folder, schema, checkpoint, lambda df, n: rows.append((n, df.count())), glob="events.parquet")
     return t.spark.createDataFrame(rows, "batch long, n long")
+
+
+@query("delivered_in_time", "L2", """WITH o AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_type IS NOT NULL AND event_id IS NOT NULL)
+SELECT event_type AS run, (n - 1) // 500 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last, max(n) AS done, CASE WHEN count(*) = 500 THEN 'count' ELSE 'time' END AS reason FROM o GROUP BY 1, 2""")
+def delivered_in_time(t: Tables) -> DataFrame:
+    """All events as a stream of results, a run for each type: batches of 500, and the rest of each run after two seconds."""
+    own = Tables(delivery.with_store(t.spark), t.folder)
+    events = own.events
+    # the table's own files, in whatever folder they lie
+    stream = own.spark.readStream.schema(events.schema).parquet(f"{t.folder}/events.parquet*")
+    path = working.fresh(t.spark, "delivered")
+    delivery.drained(delivery.delivered(stream, "event_type", "event_id"), path, working.fresh(t.spark, "delivery"), events.where("event_type is not null and event_id is not null").count())
+    out = t.spark.read.parquet(path)
+    return out.select("run", "batch", F.size("items").cast("long").alias("n"), F.array_min("items").alias("first"), F.array_max("items").alias("last"), "done", "reason")
