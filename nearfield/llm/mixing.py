@@ -19,8 +19,8 @@ so that a leaf that holds a third of all documents isn't gathered anywhere.
 Defined cases: a null level counts as ''; a null text has no tokens; documents
 without tokens come with the prefix they lie in; a weight that isn't given is
 1, and at most 0 keeps a branch empty; rows that repeat a doc_id have equal keys
-and come or go together, and so do all rows of a leaf without a doc_id, which
-count as one; columns named like `copies` or `tokens` are replaced; an empty
+and come or go together, and so do rows of a leaf without a doc_id that have
+equal texts; columns named like `copies` or `tokens` are replaced; an empty
 table gives an empty result.
 """
 
@@ -46,6 +46,11 @@ def order_key(seed: int, epoch: Column, doc: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit(""))))
 
 
+def document_key(doc: Column, text: Column) -> Column:
+    """What tells documents apart: the id, or a digest of the text without one."""
+    return F.coalesce(doc.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def _weight(level: str, column: Column, weights: dict[str, dict[str, float]]) -> Column:
     given = weights.get(level, {})
     if not given:
@@ -148,11 +153,11 @@ def mixed(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     held = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)), *(F.coalesce(v.cast("string"), F.lit("")).alias(i) for v, i in zip(levels.values(), inner, strict=True)))
     named = {i: weights.get(n, {}) for n, i in zip(names, inner, strict=True)}
     id_, text_ = f"c{cols.index(doc)}", F.col(f"c{cols.index(text)}")
-    narrow = stored(held.select(*inner, F.col(id_).alias("doc"), tokens_of(text_).alias("tokens")))
+    narrow = stored(held.select(*inner, document_key(F.col(id_), text_).alias("doc"), tokens_of(text_).alias("tokens")))
     plan = cuts(narrow, inner, named, percent=percent, max_epochs=max_epochs, seed=seed).where("full > 0 or last <> ''").select(*inner, "full", "last")
     dropped(narrow)
     taken = held.join(_small(plan), inner)
-    taken = taken.withColumn("_copies", F.col("full") + F.when(order_key(seed, F.col("full"), F.col(id_)) <= F.col("last"), 1).otherwise(0)).where("_copies > 0")
+    taken = taken.withColumn("_copies", F.col("full") + F.when(order_key(seed, F.col("full"), document_key(F.col(id_), text_)) <= F.col("last"), 1).otherwise(0)).where("_copies > 0")
     out = [F.col(f"c{i}").alias(c) for i, c in enumerate(cols) if c not in (copies, tokens)]
     out += [F.col(i).alias(n) for i, n in zip(inner, names, strict=True) if n not in cols]
     out += [tokens_of(text_).alias(tokens)] if tokens else []

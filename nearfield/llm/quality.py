@@ -11,12 +11,15 @@ times at least, runs of punctuation, and coarse levels of the shares of words in
 capitals, words that repeat the one before, and punctuation.
 
 The fit reads a bounded sample of rated rows, those of least hash of doc_id
-(`max_train` at most, so the driver holds max_train rows of hashed features);
-scoring reads every document.  The weights' size is a constant.
+(`max_train` at most).  Their features are counted by grade in Spark first; from these
+counts, a row for each hash value, follows which features can get a weight, and
+the driver then holds those of the rows alone, some dozens each however long a
+text is; scoring reads every document.  The weights' size is a constant.
 
 Defined cases: a null or empty text has no words and only the three levels; a
 rated document that is missing is left out; of several ratings of a doc_id the
-lowest grade counts; null ratings are left out; without rated rows, with one
+lowest grade counts; null ratings, and grades below 0 or not below `n_grades`,
+are left out; without rated rows, with one
 grade alone, or if no feature tells grades apart, every document gets the best
 grade with probability 1; with few rated rows, of which few features can be told,
 a document that shows none of them gets the share of the best grade, so that a
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import _text
+from nearfield.llm._io import dropped, stored
 
 #: Values of a hashed feature.
 BITS = 18
@@ -115,31 +119,50 @@ def _negative_slopes(z: np.ndarray, t: np.ndarray, grades: np.ndarray) -> tuple[
     return -(dhi - dlo) / chance, gt
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.3, least_z: float = 3.5, least_r: float = 0.08, least_effect: float = 1.0, steps: int = 300, rate: float = 0.05) -> CumulativeLink:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model.
+def telling(counts: np.ndarray, grades: np.ndarray, *, least_z: float = 3.5, least_r: float = 0.08, least_effect: float = 1.0) -> np.ndarray:
+    """Which features get a weight, by how many rows of each grade have them; counts: a row for each feature; grades: rows of each grade.
 
-    Only features that the score test against a model of thresholds alone finds
-    far from chance (`least_z` standard deviations) and not too weak (a
-    correlation of `least_r`, or a mean slope by occurrence of `least_effect`
-    standard deviations, which a rare but pure feature has) get weights: of a hundred thousand beginnings of
-    words a few hundred tell grades apart, and the others would only learn the
-    sample by heart.
+    Only those that the score test against a model of thresholds alone finds far
+    from chance (`least_z` standard deviations) and not too weak (a correlation of
+    `least_r`, or a mean slope by occurrence of `least_effect` standard deviations,
+    which a rare but pure feature has): of a hundred thousand beginnings of words
+    a few hundred tell grades apart, and the others would only learn the sample by heart.
     """
+    n = grades.sum()
+    start = _thresholds(grades)
+    null, _ = _negative_slopes(np.zeros(len(grades)), start, np.arange(len(grades)))
+    mean = (null * grades).sum() / n
+    df = counts.sum(axis=1)
+    # the sum of a feature's slopes has, by chance, the variance of a sample without replacement
+    spread = ((null - mean) ** 2 * grades).sum() / n * df * (1 - df / n) + 1e-9
+    z = np.abs(counts @ (null - mean)) / np.sqrt(spread)
+    # by a correlation alone a feature would need a fixed share of the rows, however many there are; its effect by occurrence doesn't depend on that
+    effect = z * np.sqrt((1 - df / n) / np.maximum(df, 1))
+    return (z >= least_z) & ((z >= least_r * n**0.5) | (effect >= least_effect))
+
+
+def _thresholds(grades: np.ndarray) -> np.ndarray:
+    """Those of a model without features."""
+    share = np.clip(np.cumsum(grades[::-1])[::-1][1:] / grades.sum(), 1e-3, 1 - 1e-3)
+    return -np.log(share / (1 - share))
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float = 0.3, steps: int = 300, rate: float = 0.05, told: np.ndarray | None = None, **gate: float) -> CumulativeLink:
+    """Maximum likelihood with an L2 penalty, by full-batch Adam; the same rows give the same model.  told: by feature number, whether it gets a weight; found from the rows if it isn't given, by `gate` (see telling)."""
+    if len(grades) and (grades.min() < 0 or grades.max() >= n_grades):
+        raise ValueError(f"grades must lie in 0 to {n_grades - 1}")
     if not len(grades) or grades.min() == grades.max():
         return CumulativeLink(np.zeros(WIDTH), np.full(n_grades - 1, -40.0))
-    size = np.array([len(x) for x in rows])
+    by_grade = np.bincount(grades, minlength=n_grades)
     used, at = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), size)
-    share = np.clip([(grades >= j).mean() for j in range(1, n_grades)], 1e-3, 1 - 1e-3)
-    start = -np.log(share / (1 - share))
-    null, _ = _negative_slopes(np.zeros(len(rows)), start, grades)
-    df = np.bincount(at)
-    # the sum of a feature's slopes has, by chance, the variance of a sample without replacement
-    spread = null.var() * df * (1 - df / len(rows)) + 1e-9
-    z = np.abs(np.bincount(at, weights=(null - null.mean())[row])) / np.sqrt(spread)
-    # by a correlation alone a feature would need a fixed share of the rows, however many there are; its effect by occurrence doesn't depend on that
-    effect = z * np.sqrt((1 - df / len(rows)) / df)
-    told = (z >= least_z) & ((z >= least_r * len(rows) ** 0.5) | (effect >= least_effect))
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    start = _thresholds(by_grade)
+    if told is None:
+        counts = np.zeros((len(used), n_grades), dtype=np.int64)
+        np.add.at(counts, (at, grades[row]), 1)
+        told = telling(counts, by_grade, **gate)
+    else:
+        told = told[used.astype(np.int64)]
     if not told.any():
         return CumulativeLink(np.zeros(WIDTH), np.full(n_grades - 1, -40.0))
     keep = told[at]
@@ -165,7 +188,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, l2: float
 
 def fit_rated(docs: DataFrame, ratings: DataFrame, *, doc: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int, max_train: int = MAX_TRAIN) -> CumulativeLink:
     """A model of the rated documents of least hash; at most max_train of them reach the driver."""
-    rated = ratings.select(ratings[doc].cast("long").alias("rid"), ratings[grade].cast("int").alias("grade")).where("rid is not null and grade is not null")
+    rated = ratings.select(ratings[doc].cast("long").alias("rid"), ratings[grade].cast("int").alias("grade")).where(f"rid is not null and grade between 0 and {n_grades - 1}")
     rated = rated.groupBy("rid").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("rid"), "rid").limit(max_train)
     own = docs.select(docs[doc].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     # the rated side has max_train rows of two numbers at most
@@ -177,8 +200,44 @@ def fit_rated(docs: DataFrame, ratings: DataFrame, *, doc: str = "doc_id", text:
                 rows = [x.astype(np.int32).tobytes() for x in features(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), pa.array(rows, pa.binary())], ["id", "grade", "at"])
 
-    got = both.mapInArrow(run, "id long, grade int, at binary").orderBy(F.xxhash64("id"), "id", "at").limit(max_train).collect()
-    return fit([np.frombuffer(r["at"], dtype=np.int32) for r in got], np.array([r["grade"] for r in got], dtype=np.int64), n_grades)
+    rows = stored(both.mapInArrow(run, "id long, grade int, at binary").withColumn("digest", F.md5("at")))
+    used = [rows]
+    if rows.count() > max_train:
+        # ids that repeat among the documents
+        least = rows.select("id", "digest").orderBy(F.xxhash64("id"), "id", "digest").limit(max_train).select("id", "digest").distinct()
+        rows = stored(rows.join(F.broadcast(least), ["id", "digest"]).dropDuplicates(["id", "digest"]))
+        used.append(rows)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((WIDTH, n_grades), dtype=np.int64)
+        for batch in batches:
+            for g, at in zip(batch.column("grade").to_pylist(), batch.column("at"), strict=True):
+                counts[np.frombuffer(at.as_py(), dtype=np.int32), g] += 1
+        at, g = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(counts[at, g])], ["feature", "grade", "n"])
+
+    # WIDTH rows of each grade at most, however many documents there are
+    found = rows.select("grade", "at").mapInArrow(counted, "feature int, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((WIDTH, n_grades), dtype=np.int64)
+    counts[found.column("feature").to_numpy(), found.column("grade").to_numpy()] = found.column("n").to_numpy()
+    by_grade = np.zeros(n_grades, dtype=np.int64)
+    for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect():
+        by_grade[r.grade] = r.n
+    told = telling(counts, by_grade) if (by_grade > 0).sum() > 1 else np.zeros(WIDTH, dtype=bool)
+    bits = docs.sparkSession.sparkContext.broadcast(told)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column("at")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), batch.column("digest"), pa.array([x[bits.value[x]].tobytes() for x in own], pa.binary())], ["id", "grade", "digest", "at"])
+
+    got = rows.select("id", "grade", "digest", "at").mapInArrow(narrowed, "id long, grade int, digest string, at binary").toArrow()
+    dropped(*used)
+    # the sums of the fit don't depend on how rows came
+    order = np.lexsort((np.array(got.column("digest").to_pylist(), dtype=str), got.column("id").to_numpy()))
+    at = got.column("at").to_pylist()
+    grades_ = got.column("grade").to_numpy().astype(np.int64)[order]
+    return fit([np.frombuffer(at[i], dtype=np.int32) for i in order], grades_, n_grades, told=told)
 
 
 def scored(df: DataFrame, model: CumulativeLink, text: str = "text", *, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

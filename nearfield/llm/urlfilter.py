@@ -18,8 +18,8 @@ never blocked; scheme, port and user are left out, of captures and of patterns;
 hosts are compared in lower case, without a dot at either end or "*." before
 them; empty segments, query and fragment are left out; a date is the midnight it
 begins with; at one time a removal comes after an addition; entries that repeat
-change nothing; entries with a null field, of another kind or without a host are
-left out; rows repeat as they came, and all their columns pass through, but for
+change nothing; entries with a null field, of another kind, with an action other
+than add and remove, or without a host are left out; rows repeat as they came, and all their columns, of any type, pass through, but for
 those named `blocked` and `lists`, which are replaced; empty tables block nothing.
 """
 
@@ -61,7 +61,7 @@ def _bare(host: Column) -> Column:
 def validity(entries: DataFrame, at: str = "day") -> DataFrame:
     """Timed entries (list, kind, pattern, action, `at`) as intervals (list, kind, pattern, since, until); until is null while it holds."""
     own = entries.select("list", "kind", normalised(F.col("kind"), F.col("pattern")).alias("pattern"), "action", F.col(at).cast("timestamp").alias("at"))
-    sound = own.dropna().distinct()
+    sound = own.dropna().where(F.col("action").isin("add", "remove")).distinct()
     by = Window.partitionBy("list", "kind", "pattern").orderBy("at", "action")
     ended = sound.withColumn("until", F.lead("at").over(by))
     return ended.where("action = 'add' and (until is null or until > at)").select("list", "kind", "pattern", F.col("at").alias("since"), "until")
@@ -81,11 +81,11 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     patterns = stored(validity(entries, entry_time).groupBy("kind", "pattern").agg(F.collect_list(one).alias("spans")))
     domains, prefixes = _depths(patterns)
     address, at = captures[url].cast("string"), captures[day].cast("timestamp")
-    # rows that ask nothing are dealt by their other columns
     asks = address.isNotNull() & at.isNotNull()
-    everything = [captures[c] for c in captures.columns]
-    key = [F.when(asks, F.xxhash64(F.lit(seed), address)).otherwise(F.xxhash64(F.lit(seed), *everything)).alias(f"_h{seed}") for seed in (1, 2)]
-    asked = captures.where(asks).select(*key, at.alias("_at"), _bare(host_of(address)).alias("host"), segments_of(address).alias("segs")).where("host <> ''").dropDuplicates(["_h1", "_h2", "_at"])
+    hashes = {f"_h{seed}": F.xxhash64(F.lit(seed), address) for seed in (1, 2)}
+    # rows that ask nothing are dealt by their place
+    key = [F.when(asks, h).otherwise(F.xxhash64(F.monotonically_increasing_id())).alias(n) for n, h in hashes.items()]
+    asked = captures.where(asks).select(*(h.alias(n) for n, h in hashes.items()), at.alias("_at"), _bare(host_of(address)).alias("host"), segments_of(address).alias("segs")).where("host <> ''").dropDuplicates(["_h1", "_h2", "_at"])
     labels = F.split("host", r"\.")
     hosts = F.transform(F.filter(domains, lambda n: n <= F.size(labels)), lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("pattern")))
     paths = F.transform(F.filter(prefixes, lambda n: n <= F.size("segs")), lambda n: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice("segs", 1, n), "/")).alias("pattern")))
