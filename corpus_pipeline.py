@@ -17,10 +17,15 @@ from nearfield.llm._io import dropped, stored, table
 MIX_PERCENT = 60
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, or one with further marks that no column has."""
+    return name if name not in taken else _free(name + "_", taken)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the rated ones, doesn't reject."""
     model = quality.fit_rated(docs, quality.grades(table(spark, sf_dir, "labels")), n_grades=quality.N_GRADES)
-    names = ("_expected", "_tail")
+    names = tuple(_free(n, docs.columns) for n in ("_expected", "_tail"))
     return quality.scored(docs, model, names=names).where(F.col(names[1]) >= quality.MIN_TAIL).drop(*names)
 
 
