@@ -214,14 +214,65 @@ def dominant(rows: DataFrame, key: str, order: str, strength: str, loudness: str
     return out.where((F.col(strength) >= F.col("_s") * share) & ((F.col("_l") <= 0) | (F.col("_n") >= F.col("_l") * loud_share))).drop("_s", "_l", "_n")
 
 
-def attack_decay(rows: DataFrame, key: str, frame: str, level: str, threshold: float = 0.1) -> DataFrame:
-    """(key, peak, attack, decay) in frames: from the last frame below the threshold before the peak, and to the first at or below it after; decay is missing if there is none, both if nothing sounds."""
-    peak = rows.groupBy(key).agg(F.max_by(F.struct(F.col(frame).alias("f"), F.col(level).alias("v")), F.struct(level, -F.col(frame))).alias("p")).where("p.v > 0").select(key, F.col("p.f").alias("peak"), (F.col("p.v") * threshold).alias("_t"))
+def loud_near(onsets: DataFrame, levels: DataFrame, key: str, time: str, strength: str, level: str, *, within: float, share: float = 0.3, loud_share: float = 0.2) -> DataFrame:
+    """Onsets of at least `share` of their key's greatest strength near which, at most `within` before or after, a level of at least `loud_share` of the key's greatest was measured.
+
+    Levels are a series of their own, with their own times.  A key without levels,
+    or without one above 0, asks for strength alone.  Time is cut into parts of many
+    windows; a level is also in the parts that its window reaches, so that each part
+    is sorted for itself and no key is one task.  Onsets without key, time or
+    strength are left out.
+    """
+    size = float(within) * 256 or 1.0
+    part = lambda c: F.floor(c / size)
+    tops = onsets.groupBy(key).agg(F.max(strength).alias("_s"))
+    loudest = levels.groupBy(key).agg(F.max(level).alias("_l"))
+    own = onsets.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(strength).isNotNull()).join(tops, key).join(loudest, key, "left").where(F.col(strength) >= F.col("_s") * share)
+    asked = own.withColumns({"_part": part(F.col(time)), "_at": F.col(time).cast("double"), "_v": F.lit(None).cast("double"), "_asks": F.lit(True)})
+    heard = levels.select(key, F.col(time).cast("double").alias("_at"), F.col(level).cast("double").alias("_v")).where("_at is not null and _v is not null")
+    heard = heard.select(key, F.explode(F.sequence(part(F.col("_at") - within), part(F.col("_at") + within))).alias("_part"), "_at", "_v", F.lit(False).alias("_asks"))
+    reach = f"CAST({float(within)!r} AS DOUBLE)"
+    near = F.expr(f"max(_v) OVER (PARTITION BY `{key}`, _part ORDER BY _at RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)")
+    met = asked.unionByName(heard, allowMissingColumns=True).withColumn("_near", near).where("_asks")
+    quiet = F.coalesce(F.col("_l"), F.lit(0.0)) <= 0
+    return met.where(quiet | (F.col("_near") >= F.col("_l") * loud_share)).select(*onsets.columns)
+
+
+def attack_decay(rows: DataFrame, key: str, frame: str, level: str, threshold: float = 0.1, *, first: DataFrame | None = None, before: int = 0, after: int = 0) -> DataFrame:
+    """(key, peak, attack, decay) in frames: from the last frame below the threshold before the peak, and to the first at or below it after; decay is missing if there is none, both if nothing sounds.
+
+    The peak is the greatest level, the earlier of equals.  first: (key, first), the
+    frame of each key's first onset; then it is the greatest from `before` frames before it
+    to `after` frames after it, and only keys without an onset, or without a frame
+    in that window, take the greatest of all.
+    """
+    best = lambda where: F.max_by(F.struct(F.col(frame).alias("f"), F.col(level).alias("v")), F.when(where, F.struct(level, -F.col(frame))))
+    if first is None:
+        peak = rows.groupBy(key).agg(best(F.lit(True)).alias("p"))
+    else:
+        near = F.col(frame).between(F.col("first") - before, F.col("first") + after)
+        peak = rows.join(first.select(key, "first"), key, "left").groupBy(key).agg(F.coalesce(best(near), best(F.lit(True))).alias("p"))
+    peak = peak.where("p.v > 0").select(key, F.col("p.f").alias("peak"), (F.col("p.v") * threshold).alias("_t"))
     both = rows.join(peak, key)
     below = F.max(F.when((F.col(frame) < F.col("peak")) & (F.col(level) < F.col("_t")), F.col(frame)))
-    after = F.min(F.when((F.col(frame) >= F.col("peak")) & (F.col(level) <= F.col("_t")), F.col(frame)))
-    first = F.min(frame)
-    return both.groupBy(key, "peak").agg((F.col("peak") - F.coalesce(below + 1, first)).alias("attack"), (after - F.col("peak")).alias("decay"))
+    under = F.min(F.when((F.col(frame) >= F.col("peak")) & (F.col(level) <= F.col("_t")), F.col(frame)))
+    return both.groupBy(key, "peak").agg((F.col("peak") - F.coalesce(below + 1, F.min(frame))).alias("attack"), (under - F.col("peak")).alias("decay"))
+
+
+def framed_rms(rows: DataFrame, key: str, index: str, value: str, *, frame: int, hop: int) -> DataFrame:
+    """(key, frame, rms): the root mean square of `frame` values round every hop-th one, from 0 to the last; what lies outside counts as 0.
+
+    Values are summed by hop first; each sum then goes to the frames that hold it.
+    So nothing is sorted, and frames that overlap cost a row for each hop and frame.
+    """
+    half = frame // (2 * hop)
+    if frame != 2 * half * hop:
+        raise ValueError("a frame must have an even number of hops")
+    hops = rows.where(F.col(key).isNotNull() & F.col(index).isNotNull()).groupBy(key, F.floor(F.col(index) / hop).alias("_b")).agg(F.sum(F.col(value).cast("double") * F.col(value)).alias("_s"), F.max(index).alias("_i"))
+    last = hops.groupBy(key).agg(F.floor((F.max("_i") + 1) / hop).alias("_last"))
+    at = F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - half + 1), F.least(F.col("_last"), F.col("_b") + half)))
+    held = hops.join(last, key).where(F.col("_last") >= F.greatest(F.lit(0), F.col("_b") - half + 1))
+    return held.select(key, at.alias("frame"), "_s").groupBy(key, "frame").agg(F.sqrt(F.coalesce(F.sum("_s"), F.lit(0.0)) / frame).alias("rms"))
 
 
 def rises(rows: DataFrame, key: str, order: str, value: str, out: str = "rise") -> DataFrame:
@@ -239,32 +290,37 @@ def detrended(rows: DataFrame, key: str, order: str, value: str, reach: int, out
 def autocorrelation(rows: DataFrame, key: str, index: str, value: str, lags: tuple[int, int]) -> DataFrame:
     """(key, lag, r): sums of products at each lag over that at 0; lags without any pair are absent.
 
-    A key's rows are cut into parts of PART places, to which the last places
-    before them, as many as the longest lag, are added; each part gives its sums
-    by one pass over arrays, and these are added up.
+    Overlap-add: a key's places are cut into parts of PART, to which the last
+    places before them, as many as the longest lag, are added; each part gives its
+    sums for all lags at once, by a product of Fourier transforms, and these are
+    added up.  A key's parts are dealt over tasks.  Of the rows that repeat a place
+    the values are added up.
     """
     low, high = lags
     kind = rows.schema[key].dataType.simpleString()
     own = rows.select(F.col(key).alias("k"), F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("x")).where("k is not null and i is not null and x is not null")
+    own = own.groupBy("k", "i").agg(F.sum("x").alias("x"))
     part = F.floor(F.col("i") / PART)
     also = F.floor((F.col("i") + high) / PART)
     dealt = own.select("k", "i", "x", F.explode(F.sequence(part, also)).alias("p"))
 
-    def sums(i: np.ndarray, x: np.ndarray, begin: int) -> list[tuple[int, float, int]]:
-        new = i >= begin
-        out = [(0, float((x[new] ** 2).sum()), int(new.sum()))]
-        for lag in range(low, high + 1):
-            at = np.searchsorted(i, i[new] - lag)
-            ok = i[np.minimum(at, len(i) - 1)] == i[new] - lag
-            if ok.any():
-                out.append((lag, float(x[at[ok]] @ x[new][ok]), int(ok.sum())))
-        return out
+    def products(late: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        """By lag from 0 to high, the sum of late[i] * all[i - lag]."""
+        size = 1 << int(len(late) + high).bit_length()
+        return np.fft.irfft(np.fft.rfft(late, size) * np.conj(np.fft.rfft(all_, size)), size)[: high + 1]
 
     def meet(keys: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("i")
-        found = sums(group.column("i").to_numpy(), group.column("x").to_numpy(), keys[1].as_py() * PART)
-        lag, total, pairs = zip(*found, strict=True)
-        return pa.table({"k": pa.array([keys[0].as_py()] * len(found), group.schema.field("k").type), "lag": pa.array(lag, pa.int32()), "s": pa.array(total, pa.float64()), "n": pa.array(pairs, pa.int64())})
+        i, x = group.column("i").to_numpy(), group.column("x").to_numpy()
+        begin = keys[1].as_py() * PART
+        base = min(int(i.min()), begin)
+        there, value = np.zeros((2, int(i.max()) - base + 1))
+        there[i - base], value[i - base] = 1.0, x
+        new = np.arange(len(there)) >= begin - base
+        total, pairs = products(np.where(new, value, 0.0), value), np.rint(products(np.where(new, there, 0.0), there))
+        total[0] = (x[i >= begin] ** 2).sum()
+        lag = np.concatenate([[0], np.arange(low, high + 1)])
+        lag = lag[(pairs[lag] > 0) | (lag == 0)]
+        return pa.table({"k": pa.array([keys[0].as_py()] * len(lag), group.schema.field("k").type), "lag": pa.array(lag, pa.int32()), "s": pa.array(total[lag]), "n": pa.array(pairs[lag].astype(np.int64))})
 
     r = dealt.groupBy("k", "p").applyInArrow(meet, f"k {kind}, lag int, s double, n long").groupBy("k", "lag").agg(F.sum("s").alias("s"))
     zero = r.where("lag = 0 and s > 0").select("k", F.col("s").alias("z"))
@@ -272,10 +328,14 @@ def autocorrelation(rows: DataFrame, key: str, index: str, value: str, lags: tup
 
 
 def best_local_peak(correlation: DataFrame, key: str) -> DataFrame:
-    """(key, lag, confidence): the highest lag that stands above both neighbours; a window's edge never counts."""
+    """(key, lag, confidence, refined): the highest lag that stands above both neighbours; a window's edge never counts.  refined: where the parabola through the three has its top, half a lag away at most."""
     w = Window.partitionBy(key).orderBy("lag")
     peaks = correlation.withColumns({"_p": F.lag("r").over(w), "_n": F.lead("r").over(w)}).where((F.col("r") > F.col("_p")) & (F.col("r") > F.col("_n")) & (F.col("r") >= 0))
-    return peaks.groupBy(key).agg(F.max(F.struct("r", (-F.col("lag")).alias("l"))).alias("m")).select(key, (-F.col("m.l")).alias("lag"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m.r"))).alias("confidence"))
+    best = peaks.groupBy(key).agg(F.max(F.struct("r", (-F.col("lag")).alias("l"), "_p", "_n")).alias("m"))
+    # above both neighbours, so the bend is never 0
+    bend = F.col("m._p") - 2 * F.col("m.r") + F.col("m._n")
+    shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (F.col("m._p") - F.col("m._n")) / 2 / bend))
+    return best.select(key, (-F.col("m.l")).alias("lag"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m.r"))).alias("confidence"), (shift - F.col("m.l")).alias("refined"))
 
 
 def backtracked(rows: DataFrame, key: str, order: str, value: str, reach: int = 2) -> DataFrame:

@@ -69,6 +69,40 @@ def dominant_onsets(t: Tables) -> DataFrame:
     return I.dominant(_events(t), "user_id", "frame", "value", "value").select("user_id", "us")
 
 
+@query(
+    "loud_onsets",
+    "E4",
+    f"WITH e AS (SELECT user_id, {_US} / 1000000.0::DOUBLE AS t, event_type, value FROM events), o AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM e WHERE event_type = 'click'), l AS (SELECT user_id, t, value AS level FROM e WHERE event_type <> 'click'), m AS (SELECT user_id, max(level) AS loudest FROM l GROUP BY user_id), "
+    "n AS (SELECT o.user_id, o.t, o.value, any_value(loudest) AS loudest, max(level) AS near FROM o LEFT JOIN m ON m.user_id = o.user_id LEFT JOIN l ON l.user_id = o.user_id AND l.t BETWEEN o.t - 43200 AND o.t + 43200 WHERE o.value >= o.top * 0.3 GROUP BY o.user_id, o.t, o.value) "
+    "SELECT user_id, t, value FROM n WHERE coalesce(loudest, 0) <= 0 OR near >= loudest * 0.2",
+)
+def loud_onsets(t: Tables) -> DataFrame:
+    """Clicks as onsets, all other events as a series of levels: half a day round each click counts."""
+    e = t.events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"), "event_type", "value")
+    levels = e.where("event_type <> 'click'").select("user_id", "t", F.col("value").alias("level"))
+    return I.loud_near(e.where("event_type = 'click'").select("user_id", "t", "value").distinct(), levels, "user_id", "t", "value", "level", within=43200.0)
+
+
+@query(
+    "attack_decay_of_onset",
+    "E5",
+    _FRAMES + ", m AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM f), o AS (SELECT user_id, min(frame) AS first FROM m WHERE value >= top * 0.6 GROUP BY user_id), j AS (SELECT f.user_id, frame, value, frame BETWEEN first - 1 AND first + 20 AS near FROM f LEFT JOIN o USING (user_id)), p AS (SELECT user_id, coalesce(max(value) FILTER (near), max(value)) AS v FROM j GROUP BY user_id), q AS (SELECT j.user_id, min(frame) AS peak, any_value(v) AS v FROM j JOIN p USING (user_id) WHERE value = v AND (near OR NOT EXISTS (SELECT 1 FROM j k WHERE k.user_id = j.user_id AND k.near)) GROUP BY j.user_id HAVING any_value(v) > 0) "
+    "SELECT f.user_id, peak, peak - coalesce(max(CASE WHEN frame < peak AND value < v * 0.1 THEN frame END) + 1, min(frame)) AS attack, min(CASE WHEN frame >= peak AND value <= v * 0.1 THEN frame END) - peak AS decay FROM f JOIN q USING (user_id) GROUP BY f.user_id, peak",
+)
+def attack_decay_of_onset(t: Tables) -> DataFrame:
+    """Round the first strong event, not the loudest of all."""
+    f = _events(t).withColumn("frame", F.col("frame").cast("long"))
+    top = f.withColumn("top", F.max("value").over(Window.partitionBy("user_id"))).where(F.col("value") >= F.col("top") * 0.6)
+    first = top.groupBy("user_id").agg(F.min("frame").alias("first"))
+    return I.attack_decay(f, "user_id", "frame", "value", first=first, before=1, after=20).select("user_id", "peak", "attack", "decay")
+
+
+@query("framed_levels", "I2", _FRAMES + ", n AS (SELECT user_id, count(*) AS n FROM f GROUP BY user_id), g AS (SELECT user_id, unnest(range(0, 1 + n // 2)) AS frame FROM n) SELECT g.user_id, g.frame, round(sqrt(coalesce(sum(value * value), 0) / 8), 6) AS rms FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.frame >= g.frame * 2 - 4 AND f.frame < g.frame * 2 + 4 GROUP BY g.user_id, g.frame")
+def framed_levels(t: Tables) -> DataFrame:
+    """Frames of eight values every two."""
+    return I.framed_rms(_events(t), "user_id", "frame", "value", frame=8, hop=2).select("user_id", "frame", F.round("rms", 6).alias("rms"))
+
+
 @query(
     "attack_decay",
     "E5",
@@ -93,7 +127,15 @@ def detrend_local_peaks(t: Tables) -> DataFrame:
     return I.best_local_peak(r, "user_id").select("user_id", "lag", F.round("confidence", 6).alias("confidence"))
 
 
-@query("envelope_buckets", "A21 D26 I2", _FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM f) SELECT user_id, CAST(least(frame * 4 // n, 3) AS INTEGER) AS bucket, min(value) AS low, max(value) AS high, round(sqrt(avg(value * value)), 6) AS rms FROM n GROUP BY 1, 2")
+@query("refined_periods", "E6", _AC + ", p AS (SELECT *, lag(r) OVER w AS a, lead(r) OVER w AS b FROM r WINDOW w AS (PARTITION BY user_id ORDER BY lag)), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, lag) AS n FROM p WHERE r > a AND r > b AND r >= 0) SELECT user_id, CAST(lag AS INTEGER) AS lag, round(lag + greatest(-0.5, least(0.5, 0.5 * (a - b) / (a - 2 * r + b))), 5)::DOUBLE AS refined FROM q WHERE n = 1")
+def refined_periods(t: Tables) -> DataFrame:
+    """Periods between whole lags, where the parabola through a peak and its neighbours is highest."""
+    x = I.detrended(_events(t), "user_id", "frame", "value", 3)
+    r = I.autocorrelation(x, "user_id", "frame", "x", (2, 12)).withColumn("r", F.round("r", 9))
+    return I.best_local_peak(r, "user_id").select("user_id", "lag", F.round("refined", 5).alias("refined"))
+
+
+@query("envelope_buckets", "A21 D26", _FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM f) SELECT user_id, CAST(least(frame * 4 // n, 3) AS INTEGER) AS bucket, min(value) AS low, max(value) AS high, round(sqrt(avg(value * value)), 6) AS rms FROM n GROUP BY 1, 2")
 def envelope_buckets(t: Tables) -> DataFrame:
     rows = _events(t).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
     return I.envelope(rows, ["user_id"], F.col("frame"), "value", F.col("n"), 4).select("user_id", "bucket", "low", "high", F.round("rms", 6).alias("rms"))

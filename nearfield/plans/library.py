@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import threading
 
@@ -45,11 +46,81 @@ def _written(t: Tables) -> str:
     return root
 
 
-@query("walked_files", "A1 A3 A6", "SELECT CASE s_suppkey % 4 WHEN 0 THEN '_packs' WHEN 1 THEN '.kits' WHEN 2 THEN 'drums/loops' ELSE '' END AS folder, CASE WHEN s_suppkey % 7 = 0 THEN '._' ELSE '' END || CAST(s_suppkey AS VARCHAR) || '.wav' AS filename, CAST(10 + s_suppkey % 50 AS BIGINT) AS file_size, CAST(128 AS INTEGER) AS hash_length FROM supplier")
+def _digest(content: bytes) -> str:
+    return hashlib.blake2b(content).hexdigest()
+
+
+#: BLAKE2b of the fifty contents that _written() makes.
+_DIGESTS = "CASE s_suppkey % 50 " + " ".join(f"WHEN {n} THEN '{_digest(b'x' * (10 + n))}'" for n in range(50)) + " END"
+
+
+@query("walked_files", "A1 A3 A6", f"SELECT CASE s_suppkey % 4 WHEN 0 THEN '_packs' WHEN 1 THEN '.kits' WHEN 2 THEN 'drums/loops' ELSE '' END AS folder, CASE WHEN s_suppkey % 7 = 0 THEN '._' ELSE '' END || CAST(s_suppkey AS VARCHAR) || '.wav' AS filename, CAST(10 + s_suppkey % 50 AS BIGINT) AS file_size, {_DIGESTS} AS hash FROM supplier")
 def walked_files(t: Tables) -> DataFrame:
     """Every file below a folder, whatever its name, hashed where it lies."""
     files = ingest.listing(t.spark, _written(t))
-    return files.join(ingest.hashed(files).where("error is null"), "path").select("folder", "filename", "file_size", F.length("hash").alias("hash_length"))
+    return files.join(ingest.hashed(files).where("error is null"), "path").select("folder", "filename", "file_size", "hash")
+
+
+def _changed(t: Tables, root: str) -> None:
+    """Of each six suppliers' files: one is written anew, one moved, one removed, one written again as it was, and two stay; each ninth gets a new neighbour."""
+
+    def work(batches):
+        system, inside = ingest.opened(root)
+        for b in batches:
+            for k in b["s_suppkey"]:
+                path = f"{inside}/{k % 3}/{k}.wav"
+                if k % 6 == 1:
+                    system.move(path, f"{inside}/moved/{k}.wav")
+                elif k % 6 == 2:
+                    system.delete_file(path)
+                elif k % 6 in (3, 4):
+                    with system.open_output_stream(path) as f:
+                        f.write(b"other %d" % k if k % 6 == 3 else b"file %d" % k)
+                if k % 9 == 0:
+                    with system.open_output_stream(f"{inside}/{k % 3}/new{k}.wav") as f:
+                        f.write(b"new %d" % k)
+            yield b
+
+    _per_supplier(t, work)
+
+
+def _per_supplier(t: Tables, work) -> None:
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    t.supplier.select("s_suppkey").repartition(tasks).mapInPandas(work, "s_suppkey long").count()
+
+
+@query(
+    "rescanned_files",
+    "A2 L1 C13 C14 G2",
+    """WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey % 3 AS VARCHAR) || '/' || CAST(s_suppkey AS VARCHAR) || '.wav' AS path FROM supplier),
+was AS (SELECT k, row_number() OVER (ORDER BY path) AS id, path FROM s),
+new AS (SELECT CAST(k % 3 AS VARCHAR) || '/new' || CAST(k AS VARCHAR) || '.wav' AS path FROM s WHERE k % 9 = 0)
+SELECT CASE WHEN k % 6 = 1 THEN 'moved/' || CAST(k AS VARCHAR) || '.wav' ELSE path END AS path, id, CASE k % 6 WHEN 1 THEN 'moved' WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' WHEN 4 THEN 'same' ELSE 'same' END AS change, CASE WHEN k % 6 = 1 THEN path END AS old_path FROM was
+UNION ALL SELECT path, (SELECT count(*) FROM supplier) + row_number() OVER (ORDER BY path), 'added', NULL FROM new""",
+)
+def rescanned_files(t: Tables) -> DataFrame:
+    """A folder with a file for each supplier is scanned, changed, and scanned again: what the second run found."""
+    root = working.fresh(t.spark, "rescan")
+
+    def write(batches):
+        system, inside = ingest.opened(root)
+        for b in batches:
+            for k in b["s_suppkey"]:
+                for folder in (f"{inside}/{k % 3}", f"{inside}/moved"):
+                    system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{inside}/{k % 3}/{k}.wav") as f:
+                    f.write(b"file %d" % k)
+            yield b
+
+    _per_supplier(t, write)
+    nothing = t.spark.createDataFrame([], "id long, path string, size long, mtime timestamp, hash string")
+    _, known = ingest.rescanned(t.spark, root, nothing)
+    _changed(t, root)
+    changes, _ = ingest.rescanned(t.spark, root, known)
+    below = lambda c: F.regexp_extract(c, "/rescan-[0-9a-f]+/(.*)$", 1)
+    # a file written again as it was is unchanged if its time is still the same, else identical
+    same = F.when(F.col("change").isin("unchanged", "identical"), "same").otherwise(F.col("change"))
+    return changes.select(below("path").alias("path"), "id", same.alias("change"), F.when(F.col("old_path").isNotNull(), below("old_path")).alias("old_path"))
 
 
 _PITCH = "CAST(220 + 10 * (s_suppkey % 20) AS BIGINT)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.io import Tables
-from nearfield.operators import catalog, filters
+from nearfield.operators import catalog, filters, places
 from nearfield.plans._registry import query
 
 # Tags
@@ -280,3 +280,9 @@ def staged_edits(t: Tables) -> DataFrame:
 def positions_in_scope(t: Tables) -> DataFrame:
     scope = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("vec_id"))
     return t.embeddings.join(scope, "vec_id").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+
+
+@query("list_positions", "F1", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_name, p_partkey) AS place FROM part")
+def list_positions(t: Tables) -> DataFrame:
+    """Every part with its place in the whole list."""
+    return places.in_order(t.part.select("p_partkey", "p_retailprice", "p_name"), [F.desc("p_retailprice"), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "place")

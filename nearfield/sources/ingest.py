@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import base_name, extension
-from nearfield.working import stored
+from nearfield.operators import places
+from nearfield.working import dropped, stored
 
 AUDIO = [".wav", ".flac", ".aif", ".aiff", ".mp3", ".ogg"]
 #: Bytes that are read from a file at once; bytes that fit one value of a row.
@@ -240,3 +241,49 @@ def scan_roots(samples: DataFrame) -> DataFrame:
     tail = F.when(F.col("folder") == "", F.concat(F.lit("/"), F.col("filename"))).otherwise(F.concat(F.lit("/"), F.col("folder"), F.lit("/"), F.col("filename")))
     fits = samples.withColumn("_t", tail).where(F.endswith("filepath", F.col("_t")))
     return fits.select(F.expr("left(filepath, length(filepath) - length(_t))").alias("path")).distinct()
+
+
+def rescanned(spark: SparkSession, root: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One run over a folder that was scanned before: (changes, catalogue).
+
+    known: id, path, size, mtime, hash.  The folder is walked; only files that are
+    new or whose size or time has changed are read and hashed; those that went and
+    those that came are paired by their contents, so that a file that moved keeps
+    its id; new files get ids after the greatest one, in order of their paths.
+
+    changes: path, id, change (unchanged, identical, changed, added, moved, removed,
+    protected), old_path of moved ones.  catalogue: known's columns as of now;
+    removed files are gone, protected ones (below a folder that couldn't be read)
+    stay.  A file that can't be read is left as it was known, or out.
+    """
+    files, unread = walked(spark, root)
+    top = root.rstrip("/")
+    found = files.select("path", F.col("file_size").alias("size"), F.col("file_mtime").alias("mtime"))
+    key = known.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), F.col("hash").alias("_h"))
+    both = stored(found.join(key, "path", "left").withColumn("same", F.coalesce((F.col("size") == F.col("_s")) & (F.col("mtime") == F.col("_m")), F.lit(False))))
+    read = stored(hashed(both.where("not same")))
+    now = both.where("same").select("path", "size", "mtime", F.col("_h").alias("hash")).unionByName(both.where("not same").join(read.where("error is null"), "path").select("path", "size", "mtime", "hash"))
+    failed = read.where("error is not null").select("path")
+    # a folder's own error protects what is known below it; few folders can't be read
+    shut = [r.path for r in unread.select("path").limit(1000).collect()]
+    if len(shut) == 1000:
+        raise ValueError("a thousand folders can't be read: nothing is taken as removed")
+    change = compared(now, known, unread=shut, root=top).join(failed.withColumn("failed", F.lit(True)), "path", "left").withColumn("change", F.when(F.col("failed") & (F.col("change") == "removed"), "protected").otherwise(F.col("change"))).drop("failed")
+    change = stored(change)
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = [base_name(F.col("path")).alias("name"), "size", none("double").alias("duration"), none("int").alias("rate"), none("int").alias("channels"), "hash"]
+    gone = known.join(change.where("change = 'removed'").select("path"), "path", "left_semi").select("id", "path", *shape)
+    came = now.join(change.where("change = 'added'").select("path"), "path", "left_semi").select("path", *shape)
+    pairs = stored(moved(gone, came))
+    greatest = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
+    fresh_ = places.in_order(came.select("path").join(pairs.select(F.col("new_path").alias("path")), "path", "left_anti"), [F.col("path")])
+    new = fresh_.select("path", (F.col("place") + greatest).alias("new_id"))
+    to = pairs.select(F.col("new_path").alias("path"), F.col("id").alias("moved_id"), "old_path")
+    left = change.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti")
+    named = left.join(to, "path", "left").join(new, "path", "left")
+    changes = stored(named.select("path", F.coalesce("id", "moved_id", "new_id").alias("id"), F.when(F.col("moved_id").isNotNull(), "moved").otherwise(F.col("change")).alias("change"), "old_path"))
+    live = changes.where("change not in ('removed', 'protected', 'outside')").select("id", "path").join(now, "path").select(*known.columns)
+    kept = known.join(changes.where("change in ('protected', 'outside')").select("path"), "path", "left_semi")
+    catalogue = stored(live.unionByName(kept))
+    dropped(both, read, change, pairs, fresh_)
+    return changes, catalogue

@@ -73,3 +73,65 @@ def test_points_in_spans_by_definition(spark):
             held[k, t] = min(inside)[1]
     got = intervals.at_point(spark.createDataFrame(points, "k string, t long"), spark.createDataFrame(spans, "k string, id long, start long, end long"), "k", "t").collect()
     assert {(r.k, r.t): r.id for r in got} == held and len(got) == len(held)
+
+
+def test_loudness_near_onsets_by_time(spark):
+    rng = random.Random(4)
+    onsets = [(k, rng.uniform(0, 500), rng.random()) for k in "ab" for _ in range(80)] + [("c", 1.0, 0.5), ("c", 2.0, 0.1), (None, 1.0, 1.0), ("a", None, 1.0), ("d", 1.0, 0.4)]
+    levels = [(k, rng.uniform(-5, 505), rng.random() ** 6) for k in "ab" for _ in range(120)] + [("d", 0.0, 0.0), ("a", None, 9.0), ("b", 3.0, None)]
+    levels += [("b", t, 5.0) for k, t, s in onsets[80:90]]
+    o, v = spark.createDataFrame(onsets, "k string, t double, s double"), spark.createDataFrame(levels, "k string, t double, level double")
+    for within in (0.5, 300.0):
+        want = []
+        for k, t, s in onsets:
+            if k is None or t is None:
+                continue
+            own = [x for x in levels if x[0] == k and x[2] is not None]
+            loudest = max((x[2] for x in own), default=0)
+            near = max((x[2] for x in own if x[1] is not None and abs(x[1] - t) <= within), default=None)
+            if s >= 0.3 * max(x[2] for x in onsets if x[0] == k) and (loudest <= 0 or (near is not None and near >= 0.2 * loudest)):
+                want.append((k, t, s))
+        got = intervals.loud_near(o, v, "k", "t", "s", "level", within=within)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["k", "t", "s"]
+
+
+def test_frames_that_overlap(spark):
+    rng = random.Random(5)
+    series = {"a": [rng.gauss(0, 1) for _ in range(203)], "b": [2.0], "c": [1.0] * 16}
+    df = spark.createDataFrame([(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)], "k string, i long, x double")
+    want = {}
+    for k, xs in series.items():
+        for f in range(1 + len(xs) // 4):
+            own = xs[max(0, 4 * f - 8) : 4 * f + 8]
+            want[k, f] = (sum(x * x for x in own) / 16) ** 0.5
+    got = {(r.k, r.frame): r.rms for r in intervals.framed_rms(df, "k", "i", "x", frame=16, hop=4).collect()}
+    assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        intervals.framed_rms(df, "k", "i", "x", frame=10, hop=4)
+
+
+def test_decay_round_the_first_onset(spark):
+    levels = [0.0, 0.3, 0.5, 0.04, 0.0, 0.0, 0.2, 1.0, 0.9, 0.05]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(levels)] + [("b", i, x) for i, x in enumerate(levels)] + [("z", 0, 0.0)], "k string, f long, x double")
+    first = spark.createDataFrame([("a", 1), ("z", 0)], "k string, first long")
+    got = {r.k: (r.peak, r.attack, r.decay) for r in intervals.attack_decay(df, "k", "f", "x", first=first, before=1, after=3).collect()}
+    assert got == {"a": (2, 1, 1), "b": (7, 1, 2)}
+    far = spark.createDataFrame([("a", 50)], "k string, first long")
+    assert {r.k: r.peak for r in intervals.attack_decay(df, "k", "f", "x", first=far, before=1, after=3).collect()} == {"a": 7, "b": 7}
+
+
+@pytest.mark.parametrize("part", [1 << 16, 64])
+def test_periods_between_whole_lags(spark, monkeypatch, part):
+    import math
+
+    monkeypatch.setattr(intervals, "PART", part)
+    period = 17.3
+    xs = [math.cos(2 * math.pi * i / period) for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(xs)), "i long, x double").withColumn("k", F.lit("a"))
+    r = intervals.autocorrelation(df, "k", "i", "x", (8, 30))
+    zero = sum(x * x for x in xs)
+    want = {lag: sum(xs[i] * xs[i - lag] for i in range(lag, len(xs))) / zero for lag in range(8, 31)}
+    assert {x.lag: x.r for x in r.collect()} == pytest.approx(want, abs=1e-10)
+    found = intervals.best_local_peak(r, "k").first()
+    a, b, c = (want[lag] for lag in (16, 17, 18))
+    assert found.lag == 17 and found.refined == pytest.approx(17 + 0.5 * (a - c) / (a - 2 * b + c), abs=1e-6) and abs(found.refined - period) < 0.05
