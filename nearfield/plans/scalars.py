@@ -188,6 +188,20 @@ def fades(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", *((F.round(y[i], 6) + 0.0).alias(n) for i, n in ((0, "first"), (1, "second"), (63, "last"))))
 
 
+@query("fade_ramps", "A16", "SELECT vec_id, round(embedding[4]::DOUBLE * (3 / 9.0::DOUBLE), 7) AS rising, round(embedding[21]::DOUBLE, 7) AS whole, round(embedding[41]::DOUBLE * (1 - 8 / 31.0::DOUBLE), 7) AS falling, round(embedding[63]::DOUBLE * (1 - 30 / 31.0::DOUBLE), 7) AS last FROM embeddings")
+def fade_ramps(t: Tables) -> DataFrame:
+    """At 5000 Hz the rise takes ten values and the fall half the signal."""
+    y = arrays.faded(F.col("embedding").cast("array<double>"), 5000)
+    return t.embeddings.select("vec_id", *(F.round(y[i], 7).alias(n) for i, n in ((3, "rising"), (20, "whole"), (40, "falling"), (62, "last"))))
+
+
+@query("uneven_grid", "D25", "WITH o AS (SELECT vec_id, unnest(range(0, 8)) AS i FROM embeddings), p AS (SELECT vec_id, (i * 0.5 + CASE WHEN i < vec_id % 5 THEN 0.05 ELSE 0 END) / 0.125 % 1.0 AS p FROM o), m AS (SELECT vec_id, atan2(avg(sin(p * 2 * pi())), avg(cos(p * 2 * pi()))) / (2 * pi()) AS m FROM p GROUP BY vec_id) SELECT p.vec_id, round(avg((abs((p - m + 1.5) % 1.0 - 0.5) <= 0.15)::INT), 6) AS fit FROM p JOIN m USING (vec_id) GROUP BY p.vec_id")
+def uneven_grid(t: Tables) -> DataFrame:
+    """Eight clicks of which some come late: the share on the grid of best phase."""
+    onsets = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i * 0.5 + F.when(i < F.col("vec_id") % 5, 0.05).otherwise(0.0))
+    return t.embeddings.select("vec_id", F.round(S.grid_fit(onsets, F.lit(120.0)), 6).alias("fit"))
+
+
 @query("beat_grid", "D25 H15", "WITH o AS (SELECT vec_id, list_transform(range(0, 8), lambda i: i * 0.5 + 0.01 * (vec_id % 5)) AS o FROM embeddings) SELECT vec_id, 1.0::DOUBLE AS fit, round(120.0, 6)::DOUBLE AS tempo FROM o")
 def beat_grid(t: Tables) -> DataFrame:
     """Clicks of even distance lie on their grid whatever their phase; four seconds of them are 120 beats a minute."""
