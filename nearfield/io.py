@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield import files
+
 
 def session(name: str = "nearfield", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that results depend on: UTC, AQE with skew joins, Arrow."""
@@ -52,16 +56,30 @@ def overwrite_partition(df: DataFrame, path: str, column: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replace a table that `df` may itself read: write beside it, then rename."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    beside, old = fs_path(path + ".new"), fs_path(path + ".old")
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), old)
-    fs.rename(beside, fs_path(path))
-    fs.delete(old, True)
+def publish(df: DataFrame, path: str) -> None:
+    """Replace a published table, which `df` may itself read: a new version is written, and then one pointer moved.
+
+    Readers have the old version or the new one at any time, also if the writer is
+    lost between the two steps.  Older versions stay for those who read them, until
+    retired() deletes them.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/versions/{version}")
+    files.write_text(spark, f"{path}/current", version)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    version = files.read_text(spark, f"{path}/current")
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/versions/{version}")
+
+
+def retired(spark: SparkSession, path: str) -> list[str]:
+    """Delete all versions of a published table but the current one; their names."""
+    current = files.read_text(spark, f"{path}/current")
+    old = [v for v in files.names(spark, f"{path}/versions") if v != current]
+    for v in old:
+        files.delete(spark, f"{path}/versions/{v}")
+    return old

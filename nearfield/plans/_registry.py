@@ -12,14 +12,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Query -> the operators of the inventory that it runs.
 COVERS: dict[str, str] = {}
+#: Rules over fixed values, which read no table: not registered, but tested against their SQL like the others.
+FIXED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+#: What these run.
+FIXED_COVERS: dict[str, str] = {}
 
 
-def query(name: str, covers: str, sql: str | None = None):
-    """Register a function of Tables under a name; without SQL only its rows are checked."""
+def query(name: str, covers: str, sql: str | None = None, *, fixed: bool = False):
+    """Register a function of Tables under a name; without SQL only its rows are checked.  fixed: it reads no table, and is kept for its test alone."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        if name in QUERIES:
+        if name in QUERIES or name in FIXED:
             raise ValueError(name)
+        if fixed:
+            FIXED[name], FIXED_COVERS[name] = (lambda spark, folder: f(Tables(spark, folder)), sql), covers
+            return f
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         COVERS[name] = covers
         if sql:

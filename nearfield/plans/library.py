@@ -207,7 +207,7 @@ def embedded_samples(t: Tables) -> DataFrame:
 _PROMPTS = [(c, p) for c, own in prompts.CLASS_PROMPTS.items() for p in own] + [("tag", prompts.TAG_PROMPT.format(g)) for g in prompts.TAGS]
 
 
-@query("prompts", "J3", _values(_PROMPTS, "kind, prompt"))
+@query("prompts", "J3", _values(_PROMPTS, "kind, prompt"), fixed=True)
 def all_prompts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(_PROMPTS, "kind string, prompt string")
 
@@ -241,7 +241,7 @@ def kept_layout(t: Tables) -> DataFrame:
 _REPORTS = [("all", "3 done", 2), ("broken", "1 done; second failed: no model", 1), ("nothing", "nothing to do", 0), ("no scope", "the scope is empty", 0)]
 
 
-@query("run_reports", "H26 M12 K12", _values(_REPORTS, "run, report, steps"))
+@query("run_reports", "H26 M12 K12", _values(_REPORTS, "run, report, steps"), fixed=True)
 def run_reports(t: Tables) -> DataFrame:
     """Plans that end well, that break off at a step, that have none, and that have an empty scope."""
     ran: list[str] = []
@@ -266,7 +266,7 @@ def run_reports(t: Tables) -> DataFrame:
 _RULES = [("sensitivity", True), ("most", True), ("min_length", True), ("profile", True), ("min_unit", True), ("boundary", True), ("none", False)]
 
 
-@query("settings_rules", "H27", _values(_RULES, "setting, refused"))
+@query("settings_rules", "H27", _values(_RULES, "setting, refused"), fixed=True)
 def settings_rules(t: Tables) -> DataFrame:
     bad = {"sensitivity": 2, "most": 0, "min_length": 3.0, "profile": "x", "min_unit": "m", "boundary": "x"}
     rows = []
@@ -282,7 +282,7 @@ def settings_rules(t: Tables) -> DataFrame:
 _SERVED = [("batch in order", "first,second"), ("stale result", "dropped"), ("fresh result", "3"), ("superseded query", "dropped"), ("newest query", "2")]
 
 
-@query("served_queries", "L3 L4 L5", _values(_SERVED, '"case", result'))
+@query("served_queries", "L3 L4 L5", _values(_SERVED, '"case", result'), fixed=True)
 def served_queries(t: Tables) -> DataFrame:
     """Batches one at a time, a result of an older index, and a query that a newer one supersedes."""
     rows = [("batch in order", ",".join(serving.OneWriter().run([lambda: "first", lambda: "second"])))]
@@ -374,7 +374,7 @@ def spectrograms(t: Tables) -> DataFrame:
 _SHAPES = [("first", 1), ("with facets", 2), ("with reviews", 3)]
 
 
-@query("stored_shapes", "M10", _values(_SHAPES, "store, version"))
+@query("stored_shapes", "M10", _values(_SHAPES, "store, version"), fixed=True)
 def stored_shapes(t: Tables) -> DataFrame:
     """The version of a store without a number, by the columns that its tables have."""
     classes = t.labels.select("doc_id", (F.col("toxic") == 1).alias("is_user_confirmed"))
@@ -384,7 +384,7 @@ def stored_shapes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(name, state.shape_version(s)) for (name, _), s in zip(_SHAPES, stores, strict=True)], "store string, version int")
 
 
-@query("delivered_batches", "L2", _values([(0, 2), (1, 2), (2, 1)], "batch, files"))
+@query("delivered_batches", "L2", _values([(0, 2), (1, 2), (2, 1)], "batch, files"), fixed=True)
 def delivered_batches(t: Tables) -> DataFrame:
     """Five files delivered two at a time, at intervals."""
     folder = working.fresh(t.spark, "results")

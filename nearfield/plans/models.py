@@ -19,14 +19,14 @@ def encoded_texts(t: Tables) -> DataFrame:
     return encoders.embedded_texts(t.part, encoders.HashingEncoder, "p_partkey", "p_name")
 
 
-@query("prompt_table", "J3", "SELECT class || ' ' || CAST(n AS VARCHAR) AS prompt, class FROM (SELECT unnest(['rhythmic', 'melodic', 'vocal', 'other']) AS class), (SELECT unnest(range(0, 3)) AS n)")
+@query("prompt_table", "J3", "SELECT class || ' ' || CAST(n AS VARCHAR) AS prompt, class FROM (SELECT unnest(['rhythmic', 'melodic', 'vocal', 'other']) AS class), (SELECT unnest(range(0, 3)) AS n)", fixed=True)
 def prompt_table(t: Tables) -> DataFrame:
     """Each class has the same number of prompts."""
     classes = t.spark.createDataFrame([(c,) for c in ("rhythmic", "melodic", "vocal", "other")], "class string")
     return classes.select("class", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")).select(F.concat_ws(" ", "class", F.col("n").cast("string")).alias("prompt"), "class")
 
 
-@query("latent_variants", "M11", "SELECT layer, pooling FROM (SELECT unnest([8, 16, 24]) AS layer), (SELECT unnest(['mean', 'mean-std']) AS pooling)")
+@query("latent_variants", "M11", "SELECT layer, pooling FROM (SELECT unnest([8, 16, 24]) AS layer), (SELECT unnest(['mean', 'mean-std']) AS pooling)", fixed=True)
 def latent_variants(t: Tables) -> DataFrame:
     layers = t.spark.createDataFrame([(8,), (16,), (24,)], "layer int")
     return layers.select("layer", F.explode(F.array(F.lit("mean"), F.lit("mean-std"))).alias("pooling"))

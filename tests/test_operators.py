@@ -287,9 +287,15 @@ def test_keyed_writes(spark, tmp_path):
     assert rows_of(io.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     assert rows_of(io.insert_ignore(old, new, ["k"])) == [(1, "a"), (2, "b"), (3, "d")]
     path = str(tmp_path / "t")
-    old.write.parquet(path)
-    io.swap(io.upsert(spark.read.parquet(path), new, ["k"]), path)
-    assert rows_of(spark.read.parquet(path)) == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(FileNotFoundError):
+        io.published(spark, path)
+    io.publish(old, path)
+    before = io.published(spark, path)
+    # the new version is made from the old one, which its readers keep until it is retired
+    io.publish(io.upsert(before, new, ["k"]), path)
+    assert rows_of(io.published(spark, path)) == [(1, "a"), (2, "c"), (3, "d")] and rows_of(before) == [(1, "a"), (2, "b")]
+    assert len(io.retired(spark, path)) == 1 and io.retired(spark, path) == []
+    assert rows_of(io.published(spark, path)) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_schemas():
