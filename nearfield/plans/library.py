@@ -18,7 +18,7 @@ from nearfield.operators import intervals, state, vectors
 from nearfield.plans import jobs
 from nearfield.plans._registry import query
 from nearfield.plans.models import _tones
-from nearfield.sources import ingest, layouts
+from nearfield.sources import folders, ingest, layouts
 from nearfield.streaming import incremental, serving
 
 
@@ -61,6 +61,13 @@ def walked_files(t: Tables) -> DataFrame:
     return files.join(ingest.hashed(files).where("error is null"), "path").select("folder", "filename", "file_size", "hash")
 
 
+@query("folder_source", "A1 A3", "SELECT CASE s_suppkey % 4 WHEN 0 THEN '_packs' WHEN 1 THEN '.kits' WHEN 2 THEN 'drums/loops' ELSE '' END AS folder, CAST(s_suppkey AS VARCHAR) || '.wav' AS filename, CAST(10 + s_suppkey % 50 AS BIGINT) AS file_size FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 4 IN (0, 2)")
+def folder_source(t: Tables) -> DataFrame:
+    """The same files read as a source; the condition on folders is met while they are listed."""
+    files = folders.registered(t.spark).read.format(folders.FORMAT).option("tasks", t.spark.conf.get("spark.sql.shuffle.partitions")).load(_written(t))
+    return files.where(F.col("folder").isin("_packs", "drums/loops") & (F.col("ext") == ".wav") & ~F.col("filename").startswith("._")).select("folder", "filename", "file_size")
+
+
 def _changed(t: Tables, root: str) -> None:
     """Of each six suppliers' files: one is written anew, one moved, one removed, one written again as it was, and two stay; each ninth gets a new neighbour."""
 

@@ -30,7 +30,7 @@ def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
 _ENTRY = pa.schema([("kind", pa.string()), ("path", pa.string()), ("folder", pa.string()), ("real", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("error", pa.string())])
 
 
-def _entries(path: str, folder: str) -> Iterator[tuple]:
+def listed_entries(path: str, folder: str) -> Iterator[tuple]:
     """A folder's own files and folders, links left out; one row with its error if it can't be listed."""
     system, inside = opened(path)
     below = lambda name: f"{folder}/{name}" if folder else name
@@ -66,7 +66,7 @@ def walked(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
-                for row in _entries(path, folder):
+                for row in listed_entries(path, folder):
                     rows.append(row)
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
