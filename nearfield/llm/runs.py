@@ -19,11 +19,6 @@ that is the longest one at its place.  So for either order:
 Both passes compare single words only: no suffix array or tree, no hash of a
 stretch.  The steps are linear in the number of words (tests count them).
 
-A text is first cut where it can't hold a run: in a run of 12 words or more, at
-most 3 successive sequences of 4 words occur once in the text (those over the
-middle of a square), so longer such stretches part it.  No run is lost, and
-running prose leaves little.
-
 Each text is one row, its words and runs are held together; texts of a batch
 are worked on one after the other.
 
@@ -48,8 +43,6 @@ from nearfield.llm._text import slices
 
 #: Words of the shortest run.
 LEAST = 12
-#: Words of the sequences that show where a text holds no run.
-GRAM = 4
 
 Run = tuple[int, int, int]
 
@@ -104,8 +97,8 @@ def edges(x: list[int]) -> tuple[list[int], list[int], int]:
     return nxt, right, steps
 
 
-def of_order(x: list[int]) -> tuple[set[Run], int]:
-    """(start, end, period) of the runs whose Lyndon words are those of this order, and the comparisons made."""
+def of_order(x: list[int], least: int = 0) -> tuple[set[Run], int]:
+    """(start, end, period) of the runs of `least` words and more whose Lyndon words are those of this order, and the comparisons made."""
     n = len(x) - 1
     nxt, right, steps = edges(x)
     left = [-1] * n
@@ -137,37 +130,19 @@ def of_order(x: list[int]) -> tuple[set[Run], int]:
                 if i - length <= first:
                     here, there, first = i, j, i - length
         left[i] = length
-        if length < period <= length + reach:
+        if length < period <= length + reach and period + length + reach >= least:
             found.add((i - length, j + reach, period))
     return found, steps
 
 
-def runs_of(ranks: list[int]) -> list[Run]:
-    """(start, end, period) of all runs of any length, given the words' places in some order."""
+def runs_of(ranks: list[int], least: int = 0) -> list[Run]:
+    """(start, end, period) of all runs of `least` words and more, given the words' places in some order."""
     top = max(ranks, default=0)
-    up, _ = of_order([*(r + 1 for r in ranks), 0])
-    down, _ = of_order([*(top + 1 - r for r in ranks), 0])
+    up, _ = of_order([*(r + 1 for r in ranks), 0], least)
+    down, _ = of_order([*(top + 1 - r for r in ranks), 0], least)
     return sorted(up | down)
 
 
-def pieces(ranks: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches that hold every run of LEAST words and more."""
-    n = len(ranks)
-    if n < LEAST:
-        return []
-    gram, width = ranks.astype(np.int64), 1
-    while width < GRAM:
-        _, gram = np.unique(gram[:-width] * (n + 1) + gram[width:], return_inverse=True)
-        width *= 2
-    again = np.flatnonzero(np.bincount(gram)[gram] > 1)
-    if not len(again):
-        return []
-    cut = np.flatnonzero(np.diff(again) > GRAM)
-    starts, ends = again[np.r_[0, cut + 1]], again[np.r_[cut, len(again) - 1]] + GRAM
-    long = ends - starts >= LEAST
-    return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
-
-
 def ranked(words: list[bytes]) -> np.ndarray:
     """The words' places among the different ones in bytewise order, from 0."""
     coded = pa.array(words, pa.large_binary()).dictionary_encode()
@@ -182,12 +157,7 @@ def runs(words: list[bytes]) -> list[Run]:
     """(start, length, period) of the runs of LEAST words and more, by start, then period."""
     if len(words) < LEAST:
         return []
-    ranks = ranked(words)
-    out = []
-    for a, b in pieces(ranks):
-        _, own = np.unique(ranks[a:b], return_inverse=True)
-        out += [(a + s, e - s, p) for s, e, p in runs_of(own.tolist()) if e - s >= LEAST]
-    return sorted(out, key=lambda r: (r[0], r[2]))
+    return sorted(((s, e - s, p) for s, e, p in runs_of(ranked(words).tolist(), LEAST)), key=lambda r: (r[0], r[2]))
 
 
 def collapsed(words: list[bytes], found: list[Run]) -> list[bytes]:
