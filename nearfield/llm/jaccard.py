@@ -241,15 +241,33 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "token long, class long, n int, pos int, prev long")
 
 
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """(token, main, rest, most) of the posting lists that still hold several components: the component of most postings (of equals the least), and the postings of the others and of it."""
+    by = lists.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("top")
+    return by.groupBy("token").agg(top, F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1").select("token", (-F.col("top.c")).alias("main"), (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.n").alias("most"))
+
+
+def _dealt(lists: DataFrame) -> DataFrame:
+    """Postings in groups (token, i, j) of two blocks of BLOCK or one, with their own block.
+
+    The postings of a list's largest component need no partner among themselves:
+    they meet the blocks of the others alone, and these all blocks.  So a list of n
+    in which few stragglers are left is copied about n times, not n^2 / BLOCK.
+    """
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rest, most, inside = parts("rest"), parts("most"), F.col("comp") == F.col("main")
+    rows = lists.withColumn("own", F.when(inside, rest + F.pmod(F.xxhash64("class"), most)).otherwise(F.pmod(F.xxhash64("class"), rest)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, rest - 1).otherwise(rest + most - 1))))
+    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "odd1", "odd2")
+
+
 def _crossing(lists: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs (a, b) of classes of one posting list in different components that pass the length, positional and suffix filters; with a seed, one for each posting.
 
-    lists: token, class, n, pos, odd1, odd2, comp, size.  A list of over BLOCK postings is cut into blocks, and each pair of blocks is a group of its own.
+    lists: token, class, n, pos, odd1, odd2, comp, and of the token main, rest, most (see _open_lists).  A list of over BLOCK postings is cut into blocks, and pairs of blocks are groups of their own.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "odd1", "odd2")
+    rows = _dealt(lists)
 
     def pairs_of(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         token, i, j, own, cls, n, pos, comp, odd1, odd2 = g
@@ -378,8 +396,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", *, k
     for seed in (1, None):
         comp = sets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("class", "odd1", "odd2", F.coalesce("component", "doc").alias("comp"))
         lists = lists_of.drop("prev").join(comp, "class")
-        mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
-        pairs = stored(_crossing(lists.join(mixed, "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(_crossing(lists.join(_open_lists(lists), "token"), percent, seed).join(tested, ["a", "b"], "left_anti"))
         used.append(pairs)
         if not pairs.limit(1).count():
             continue

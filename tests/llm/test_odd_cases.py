@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearfield.llm import mixing, quality, urlfilter
+from nearfield.llm import jaccard, mixing, quality, urlfilter
 
 
 def test_captures_keep_columns_of_any_type(spark):
@@ -105,3 +105,28 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_list_with_one_straggler_is_copied_about_once(spark):
+    """Twenty thousand postings of one component and one of another: rows grow with the list, not with its square."""
+    n = 20_000
+    rows = spark.range(n + 1).select(F.lit(1).cast("long").alias("token"), F.col("id").alias("class"), F.lit(50).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("odd1"), F.lit(0).cast("long").alias("odd2"), F.when(F.col("id") == n, n).otherwise(0).alias("comp"))
+    # a list of one component alone is closed
+    rows = rows.unionByName(rows.where("comp = 0 and class < 100").withColumn("token", F.lit(2).cast("long")))
+    dealt = jaccard._dealt(rows.join(jaccard._open_lists(rows), "token"))
+    assert dealt.count() < 1.01 * n and dealt.where("token = 2").count() == 0
+    # every pair across components meets in one group
+    met = dealt.alias("a").join(dealt.alias("b"), ["token", "i", "j"]).where("a.comp < b.comp and (a.own <> b.own or i = j)")
+    assert met.count() == n
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_blocks_of_lists_meet_each_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(1)
+    lists = [(t, c, rng.choice([0, 0, 0, 1, 2, c])) for t in range(4) for c in range(40)]
+    rows = spark.createDataFrame([(t, c, 9, 0, 0, 0, m) for t, c, m in lists], "token long, class long, n int, pos int, odd1 long, odd2 long, comp long")
+    dealt = jaccard._dealt(rows.join(jaccard._open_lists(rows), "token"))
+    met = dealt.alias("a").join(dealt.alias("b"), ["token", "i", "j"]).where("a.class < b.class and a.comp <> b.comp and (i = j or a.own <> b.own)")
+    got = sorted((r[0], r[1], r[2]) for r in met.select("token", F.col("a.class").alias("x"), F.col("b.class").alias("y")).collect())
+    assert got == sorted((t, a, b) for t, a, x in lists for u, b, y in lists if t == u and a < b and x != y)
