@@ -257,7 +257,9 @@ def rescanned(spark: SparkSession, root: str, known: DataFrame) -> tuple[DataFra
     stay.  A file that can't be read is left as it was known, or out.
     """
     files, unread = walked(spark, root)
-    top = root.rstrip("/")
+    # local files are listed by their paths, also where the root has a scheme
+    system, inside = opened(root)
+    top = (inside if isinstance(system, arrow_fs.LocalFileSystem) else root).rstrip("/")
     found = files.select("path", F.col("file_size").alias("size"), F.col("file_mtime").alias("mtime"))
     key = known.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), F.col("hash").alias("_h"))
     both = stored(found.join(key, "path", "left").withColumn("same", F.coalesce((F.col("size") == F.col("_s")) & (F.col("mtime") == F.col("_m")), F.lit(False))))

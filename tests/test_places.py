@@ -53,7 +53,7 @@ def test_a_rescan_reads_only_what_changed(spark, tmp_path, monkeypatch):
     (tmp_path / "a/twin1.wav").rename(tmp_path / "b/twin1.wav")
     (tmp_path / "a/twin2.wav").rename(tmp_path / "b/twin2.wav")
     put("b/0.wav", "brand new", 1000)
-    changes, now = ingest.rescanned(spark, str(tmp_path), known)
+    changes, now = ingest.rescanned(spark, f"file://{tmp_path}", known)
     got = sorted((os.path.relpath(r.path, tmp_path), r.id, r.change, r.old_path and os.path.relpath(r.old_path, tmp_path)) for r in changes.collect())
     assert got == [
         ("a/0.wav", 1, "unchanged", None), ("a/1.wav", 2, "changed", None), ("a/2.wav", 3, "identical", None), ("a/3.wav", 4, "removed", None), ("a/5.wav", 6, "unchanged", None),
