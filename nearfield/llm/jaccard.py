@@ -253,12 +253,14 @@ def _dealt(lists: DataFrame) -> DataFrame:
 
     The postings of a list's largest component need no partner among themselves:
     they meet the blocks of the others alone, and these all blocks.  So a list of n
-    in which few stragglers are left is copied about n times, not n^2 / BLOCK.
+    in which few stragglers are left is copied about n times, not n^2 / BLOCK.  A
+    list of BLOCK or less is one group.
     """
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rest, most, inside = parts("rest"), parts("most"), F.col("comp") == F.col("main")
-    rows = lists.withColumn("own", F.when(inside, rest + F.pmod(F.xxhash64("class"), most)).otherwise(F.pmod(F.xxhash64("class"), rest)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, rest - 1).otherwise(rest + most - 1))))
+    short = F.col("rest") + F.col("most") <= BLOCK
+    rows = lists.withColumn("own", F.when(short, 0).when(inside, rest + F.pmod(F.xxhash64("class"), most)).otherwise(F.pmod(F.xxhash64("class"), rest)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(short, 0).when(inside, rest - 1).otherwise(rest + most - 1))))
     return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "pos", "comp", "odd1", "odd2")
 
 

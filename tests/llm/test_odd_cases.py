@@ -120,7 +120,7 @@ def test_a_list_with_one_straggler_is_copied_about_once(spark):
     assert met.count() == n
 
 
-@pytest.mark.parametrize("block", [2, 7])
+@pytest.mark.parametrize("block", [2, 7, 15, 40])
 def test_blocks_of_lists_meet_each_pair_once(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(1)
