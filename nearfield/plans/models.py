@@ -73,9 +73,10 @@ def described_changes(t: Tables) -> DataFrame:
 
 @query("rendered_cuts", "A15")
 def rendered_cuts(t: Tables) -> DataFrame:
-    files = _tones(t.supplier)
-    segments = files.select("path", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("id")).select("id", "path", F.lit(100).alias("start_ms"), F.lit(300).alias("end_ms"))
-    return signal.rendered_segments(segments, files).select("id", F.length("wave").alias("bytes"), "error")
+    k = F.col("s_suppkey")
+    path = F.concat(F.lit("/tones/"), k.cast("string"), F.lit(".wav"))
+    segments = t.supplier.select(k.alias("id"), path.alias("path"), F.lit(100).alias("start_ms"), F.lit(300).alias("end_ms"))
+    return signal.rendered_segments(segments, _tones(t.supplier)).select("id", F.length("wave").alias("bytes"), "error")
 
 
 @query("stream_ingest", "L1 L2")
