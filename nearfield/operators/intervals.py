@@ -382,21 +382,57 @@ def tree_nodes(start: Column, end: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.log2((past - start).cast("double")).cast("int") + 1), at))
 
 
-def at_point(points: DataFrame, spans: DataFrame, key: str, t: str) -> DataFrame:
+def _numbered(points: DataFrame, spans: DataFrame, key: str, t: str, most: int) -> DataFrame:
+    """A stored table of both: points (key, t) with `first`, their number in their key, from 1; spans (key, id, length) with the numbers of the first and the last point in them, those without any left out.
+
+    Equal points have numbers of their own, that lie in the same spans.  Rows are
+    sorted by key; where a key has more than `most` rows, times are cut into parts
+    that hold about so many of the most crowded key's, rows are sorted within parts
+    alone, and only the parts' counts go over the parts' order.
+    """
+    none = F.lit(None).cast
+    rows = points.where(F.col(key).isNotNull() & F.col(t).isNotNull()).select(key, F.col(t).cast("long").alias("_start"), F.col(t).cast("long").alias("_end"), F.lit(1).alias("_point"), none(spans.schema["id"].dataType).alias("id"), F.col(t).alias(t))
+    rows = rows.unionByName(spans.where(F.col(key).isNotNull() & (F.col("start") <= F.col("end"))).select(key, F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.lit(0).alias("_point"), "id", none(points.schema[t].dataType).alias(t)))
+    crowded = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("_start").alias("low"), F.max("_end").alias("high")).where(F.col("n") > most)
+    width = crowded.agg(F.min((F.col("high").cast("double") - F.col("low") + 1) * most / F.col("n"))).first()[0]
+
+    def counted(rows: DataFrame, at: str, order: Column, out: str) -> DataFrame:
+        """Rows with `out`, the points up to each in order of (at, order)."""
+        if width is None:
+            return rows.withColumn(out, F.sum("_point").over(Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("_part", F.floor(F.col(at) / max(1.0, width))).repartition(key, "_part")
+        before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carry = rows.groupBy(key, "_part").agg(F.sum("_point").alias("_n")).select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+        own = F.sum("_point").over(Window.partitionBy(key, "_part").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn(out, own).join(carry, [key, "_part"]).withColumn(out, F.col(out) + F.col("_carry")).drop("_part", "_carry")
+
+    # at one time spans begin before its points and end after them
+    rows = counted(counted(rows, "_start", F.col("_point").asc(), "first"), "_end", F.col("_point").desc(), "last")
+    first = F.when(F.col("_point") == 1, F.col("first")).otherwise(F.col("first") + 1)
+    rows = rows.select(key, "_point", t, "id", (F.col("_end") - F.col("_start")).alias("length"), first.alias("first"), "last")
+    return stored(rows.where((F.col("_point") == 1) | (F.col("first") <= F.col("last"))))
+
+
+def at_point(points: DataFrame, spans: DataFrame, key: str, t: str, *, most: int = PART) -> DataFrame:
     """For each point the shortest closed span of its key that holds it (of equals the least id).
 
-    Bounds and points are whole numbers.  A span is listed at the nodes of a
-    segment tree that it is made of, two by level at most, so that its rows grow
-    with the logarithm of its length; of each node the shortest span alone
-    counts.  A point looks up the nodes that hold it, at those levels that any
-    span of its key has, so the join is by equality.  Spans without a bound, or that end before they begin, hold nothing.
+    Bounds and points are whole numbers.  A key's points are numbered in order, and
+    a span is the range of numbers that it holds.  It is listed at the nodes of a
+    segment tree over the numbers that it is made of, two by level at most, so that
+    its rows grow with the logarithm of the points in it, whatever its length; of each
+    node the shortest span alone counts.  A point looks up the nodes that hold it,
+    at those levels that any span of its key has, so the join is by equality.  Both
+    sides are many times as large as a plan takes them for, and neither is
+    broadcast.  Spans without a bound, or that end before they begin, hold nothing.
     """
-    held = spans.where("start <= end").select(key, "id", (F.col("end") - F.col("start")).alias("length"), F.explode(tree_nodes(F.col("start"), F.col("end"))).alias("_n"))
-    best = held.groupBy(key, "_n").agg(F.min(F.struct("length", "id")).alias("m")).select(key, "_n.level", "_n.place", "m")
-    levels = best.groupBy(key).agg(F.collect_set("level").alias("_levels"))
-    asked = points.select(key, t).where(F.col(t).isNotNull()).distinct().join(levels, key)
-    asked = asked.select(key, t, F.explode("_levels").alias("level")).select(key, t, "level", _up(F.col(t).cast("long"), F.col("level")).alias("place"))
-    both = asked.join(best, [key, "level", "place"])
+    numbered = _numbered(points, spans, key, t, most)
+    held = numbered.where("_point = 0")
+    nodes = held.select(key, "id", "length", F.explode(tree_nodes(F.col("first"), F.col("last"))).alias("_n"))
+    best = nodes.groupBy(key, F.col("_n.level").alias("level"), F.col("_n.place").alias("place")).agg(F.min(F.struct("length", "id")).alias("m"))
+    levels = held.groupBy(key).agg(F.max(F.log2((F.col("last") - F.col("first") + 1).cast("double")).cast("int")).alias("_top"))
+    asked = numbered.where("_point = 1").select(key, t, "first").hint("merge").join(levels, key)
+    asked = asked.select(key, t, "first", F.explode(F.sequence(F.lit(0), "_top")).alias("level")).select(key, t, "level", _up(F.col("first"), F.col("level")).alias("place"))
+    both = asked.hint("merge").join(best, [key, "level", "place"])
     return both.groupBy(key, t).agg(F.min("m").alias("m")).select(key, t, F.col("m.id").alias("id"))
 
 

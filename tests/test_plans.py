@@ -39,6 +39,13 @@ def test_top_lists_are_heaps(spark):
     assert "TakeOrderedAndProject" in plan(spark, "sorted_list") and "TakeOrderedAndProject" in plan(spark, "worklist_limited")
 
 
+@pytest.mark.parametrize("name", ["segment_at", "segment_at_every_event", "segment_at_wide", "rendered_cuts"])
+def test_what_outgrows_its_estimate_is_not_broadcast(spark, name):
+    """A span's nodes and a file's contents are many times as large as plans take them for."""
+    found = plan(spark, name)
+    assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
+
+
 def test_no_python_in_relational_queries(spark):
     for name in ("rank_fold", "catalogue_list", "topk_tags", "segments_boundaries", "vector_search", "scan_diff", "evict_lru"):
         assert not re.search("Python|Arrow|Pandas", plan(spark, name)), name

@@ -75,6 +75,30 @@ def test_points_in_spans_by_definition(spark):
     assert {(r.k, r.t): r.id for r in got} == held and len(got) == len(held)
 
 
+@pytest.mark.parametrize("most", [7, 1 << 16])
+def test_points_in_spans_of_a_key_that_is_cut_into_parts(spark, most):
+    rng = random.Random(8)
+    spans = [("ab"[i % 9 == 0], i, s, s + rng.choice([0, 3, 90, 10**6, 10**13])) for i in range(300) for s in [rng.choice([rng.randrange(-60, 60), rng.randrange(10**6), 10**12 + rng.randrange(50)])]]
+    points = [("ab"[i % 9 == 0], rng.choice([rng.randrange(-60, 90), rng.randrange(10**6), 10**12 + rng.randrange(60)])) for i in range(400)]
+    held = {}
+    for k, t in points:
+        inside = [(e - s, i) for j, i, s, e in spans if j == k and s <= t <= e]
+        if inside:
+            held[k, t] = min(inside)[1]
+    got = intervals.at_point(spark.createDataFrame(points, "k string, t long"), spark.createDataFrame(spans, "k string, id long, start long, end long"), "k", "t", most=most).collect()
+    assert {(r.k, r.t): r.id for r in got} == held and len(got) == len(held)
+
+
+def test_a_span_costs_nodes_by_the_points_in_it(spark):
+    """Not by its length: three points are two nodes at most of each of two levels, whatever lies between them."""
+    year = 31_536_000_000_000
+    points = spark.createDataFrame([("a", i * year) for i in range(3)], "k string, t long")
+    spans = spark.createDataFrame([("a", 1, -5 * year, 9 * year), ("a", 2, year - 1, 2 * year), ("a", 3, 5, 6)], "k string, id long, start long, end long")
+    rows = intervals._numbered(points, spans, "k", "t", 1 << 16).where("_point = 0").collect()
+    assert sorted((r.id, r.first, r.last) for r in rows) == [(1, 1, 3), (2, 2, 3)]
+    assert sorted(tuple(r) for r in intervals.at_point(points, spans, "k", "t").collect()) == [("a", 0, 1), ("a", year, 2), ("a", 2 * year, 2)]
+
+
 def test_loudness_near_onsets_by_time(spark):
     rng = random.Random(4)
     onsets = [(k, rng.uniform(0, 500), rng.random()) for k in "ab" for _ in range(80)] + [("c", 1.0, 0.5), ("c", 2.0, 0.1), (None, 1.0, 1.0), ("a", None, 1.0), ("d", 1.0, 0.4)]
