@@ -158,8 +158,14 @@ class Index:
 
     def _write(self, own: str, rows: DataFrame) -> None:
         columns = ", ".join(f"`{c}`" for c in rows.columns)
+        # each part is written by a table of its own, in the part's folder: writers of one folder would clear each other's unfinished files
+        table = f"nearfield_part_{own}"
+        self.spark.sql(f"CREATE TABLE {table} ({self._typed(rows)}) USING parquet CLUSTERED BY (parent) SORTED BY (parent) INTO {self.buckets} BUCKETS LOCATION '{self.path}/items/part={own}'")
         # rows of a parent are written by one task, so a bucket is one file
-        self.spark.sql(f"INSERT OVERWRITE {self.table} PARTITION (part = '{own}') SELECT {columns} FROM (SELECT /*+ REPARTITION({self.buckets}, parent) */ * FROM {{rows}})", rows=rows)
+        self.spark.sql(f"INSERT OVERWRITE {table} SELECT {columns} FROM (SELECT /*+ REPARTITION({self.buckets}, parent) */ * FROM {{rows}})", rows=rows)
+        # the files stay
+        self.spark.sql(f"DROP TABLE {table}")
+        self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS PARTITION (part = '{own}')")
         kept = self.spark.table(self.table).where(F.col("part") == own)
         sketches = kept.agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(f, SKETCH).alias(f) for f in self.axes.features))
         sketches.write.mode("overwrite").parquet(f"{self.path}/sketches/part={own}")
@@ -175,11 +181,14 @@ class Index:
             return
         if like is None:
             like = self.spark.read.parquet(f"{self.path}/items")
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name != "part")
-        self.spark.sql(f"CREATE TABLE {self.table} ({columns}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (parent) SORTED BY (parent) INTO {self.buckets} BUCKETS LOCATION '{self.path}/items'")
+        self.spark.sql(f"CREATE TABLE {self.table} ({self._typed(like)}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (parent) SORTED BY (parent) INTO {self.buckets} BUCKETS LOCATION '{self.path}/items'")
         if files.names(self.spark, f"{self.path}/items"):
             self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
+    @staticmethod
+    def _typed(like: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name != "part")
+
     def _of(self, kind: str, folders: list[str]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.path}/{kind}/part={own}" for own in folders))
 

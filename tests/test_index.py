@@ -40,6 +40,23 @@ def under(path):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(top) for f in fs if f.endswith(".parquet")}
 
 
+def test_parts_that_are_written_at_once_keep_their_files(spark, path):
+    """Another writer's unfinished files, below the items, outlast a refresh."""
+    kept = index.Index(spark, path, AXES, buckets=4)
+    kept.refresh({"p": source(spark, 1, 300, 0)})
+    other = path.removeprefix("file://") + "/items/_temporary/0/unfinished"
+    os.makedirs(other)
+    kept.refresh({"p": source(spark, 1, 300, 0), "q": source(spark, 2, 50, 3000)})
+    assert os.path.isdir(other) and kept.items().count() == 350
+
+
+def test_many_parts_at_once_are_whole(spark, path):
+    kept = index.Index(spark, path, AXES, buckets=4)
+    sizes = [4000, 10, 3000, 20, 2000, 30, 1000, 40]
+    kept.refresh({f"p{i}": source(spark, i, n, 10_000 * i) for i, n in enumerate(sizes)})
+    assert kept.state.rows == kept.items().count() == sum(sizes)
+
+
 def test_statistics_are_those_of_all_items_and_a_new_part_is_merged(spark, path):
     kept, asked = index.Index(spark, path, AXES, buckets=4), []
     parts = {"p": source(spark, 1, 3000, 0, asked), "q": source(spark, 2, 50, 3000, asked)}
