@@ -31,6 +31,34 @@ def test_tones(f):
     assert len(d["mfcc_mean"]) == 13 and len(d["spectral_contrast"]) == 7
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 31, 33])
+def test_running_medians_are_medians(n):
+    rng = np.random.default_rng(n)
+    for x in (rng.standard_normal((1, 5)), rng.standard_normal((61, 83)).astype("f4"), rng.integers(0, 3, (130, 40)).astype("f4")):
+        for axis in (0, 1):
+            pad = [(0, 0), (0, 0)]
+            pad[axis] = (n // 2, n // 2)
+            padded = np.pad(x, pad, mode="reflect" if x.shape[axis] > n // 2 else "edge")
+            want = np.median(np.lib.stride_tricks.sliding_window_view(padded, n, axis=axis), axis=-1)
+            assert np.array_equal(signal._median(x, n, axis), want)
+
+
+def test_medians_order_what_windows_share_once(monkeypatch):
+    """Steps over whole arrays are by a window's width, not by the number of windows."""
+    calls, plain = [], np.median
+    monkeypatch.setattr(np, "median", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    signal.frame_features(tone(330))
+    assert not calls
+
+
+def test_directions_of_words_are_made_once(monkeypatch):
+    made, plain = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: made.append(seed) or plain(seed))
+    encoder = encoders.HashingEncoder()
+    a, b = encoder.texts(["onceword otherword", "otherword onceword onceword"])
+    assert len(made) == 2 and not np.allclose(a, b)
+
+
 def test_clicks_have_a_tempo():
     d = signal.described(clicks())
     ratio = d["tempo_bpm"] / 120
