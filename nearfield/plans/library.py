@@ -357,7 +357,9 @@ def read_files(t: Tables) -> DataFrame:
                 rows.append((f"/f/{k}", None if seconds is None else round(seconds, 6), rate, channels, int(found["acid"]["tempo"]) if found["acid"] else None, found["smpl"]["unity_note"] if found["smpl"] else None, None if y is None else len(y)))
             yield pd.DataFrame(rows, columns=["path", "seconds", "rate", "channels", "tempo", "note", "samples"]).astype({c: "Int64" for c in ("rate", "channels", "tempo", "note", "samples")})
 
-    return t.supplier.select("s_suppkey").mapInPandas(run, "path string, seconds double, rate int, channels int, tempo int, note int, samples int")
+    # keys of many files lie in one small file
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.supplier.select("s_suppkey").repartition(tasks).mapInPandas(run, "path string, seconds double, rate int, channels int, tempo int, note int, samples int")
 
 
 @query("spectrograms", "E11", "SELECT '/tones/' || CAST(s_suppkey AS VARCHAR) || '.wav' AS path, CAST(44 AS INTEGER) AS frames, CAST(40 AS INTEGER) AS bands, TRUE AS tuned FROM supplier")

@@ -58,3 +58,8 @@ def test_merging_and_containment_stay_in_the_jvm(spark):
     for df in (intervals.following(events, "k", "t", 1.0), intervals._stretches(events, "k", "t", 1.0), intervals.at_point(spans.select("k", F.col("start").alias("t")), spans, "k", "t"), intervals.span_moments(events.withColumn("f", F.lit(0)), spans, "k", "f", ["s"], hop=1)):
         found = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("(?i)collect_list|Python|Arrow|Pandas|NestedLoop|Cartesian", found)
+
+
+@pytest.mark.parametrize("name", ["read_files", "encoded_texts"])
+def test_rows_of_one_small_file_are_dealt_over_tasks(spark, name):
+    assert catalogue.QUERIES[name](spark, DIR).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
