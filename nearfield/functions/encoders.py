@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -21,6 +22,14 @@ class Encoder(Protocol):
     def signals(self, signals: list[np.ndarray]) -> np.ndarray: ...
 
 
+@functools.lru_cache(maxsize=1 << 15)
+def _direction(key: str, width: int) -> np.ndarray:
+    """A seeded direction; those of frequent words are kept."""
+    out = np.random.default_rng(int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "little")).standard_normal(width)
+    out.flags.writeable = False
+    return out
+
+
 class HashingEncoder:
     """A stand-in that needs no model: seeded directions of words, or of coarse spectra."""
 
@@ -30,7 +39,7 @@ class HashingEncoder:
         self.width = width
 
     def _direction(self, key: str) -> np.ndarray:
-        return np.random.default_rng(int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "little")).standard_normal(self.width)
+        return _direction(key, self.width)
 
     def _unit(self, v: np.ndarray) -> np.ndarray:
         return v / (np.linalg.norm(v) or 1.0)
@@ -47,14 +56,15 @@ class HashingEncoder:
 
 
 def embedded_texts(df: DataFrame, make: Callable[[], Encoder], key: str, text: str) -> DataFrame:
-    """(key, vector): the encoder is made once by worker and called by batch."""
+    """(key, vector): the encoder is made once by worker and called by batch; texts are dealt over tasks, as those of many lie in one file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make()
         for b in batches:
             yield pd.DataFrame({key: b[key], "vector": list(encoder.texts(b[text].fillna("").tolist()).astype("float32")) if len(b) else []})
 
-    return df.select(key, text).mapInPandas(run, f"{key} long, vector array<float>")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, text).repartition(tasks).mapInPandas(run, f"{key} long, vector array<float>")
 
 
 def captioned(df: DataFrame, make: Callable[[], Callable[[bytes], str]], key: str, content: str) -> DataFrame:
