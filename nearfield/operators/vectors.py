@@ -16,8 +16,12 @@ from nearfield.operators.quantiles import quantiles
 from nearfield.working import dropped, stored
 
 TIE_MARGIN, MELODIC_SHARE, RHYTHMIC_SHARE, CLASS_CONFIDENCE = 0.15, 0.7, 0.3, 0.5
-#: Rows of a block of a product, and of a cell on average.
-BLOCK = 4096
+#: Rows of a block, and of a cell on average: larger ones move fewer copies of rows, smaller ones make more tasks.
+BLOCK, LARGEST, BLOCKS = 4096, 1 << 15, 16
+#: Rows and columns of a product.
+_ROWS, _COLUMNS = 1024, 4096
+#: Pairs whose exact product is made at once.
+_PAIRS = 1 << 16
 #: Numbers in the table of pivots, at most: 32 MB.
 PIVOT_NUMBERS = 1 << 22
 #: Cells that a query visits after its own before those that are left: the k-th distance gets small first.
@@ -37,6 +41,39 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def _best(x: np.ndarray, y: np.ndarray, qs: np.ndarray, ns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine to 12 places) of each x's k best other y, of equals the first.
+
+    x and y are of length 1 or 0; ns ascend.  Products in single precision tell which pairs may
+    be among the best: those that fall short of the k-th by less than twice their
+    error.  These alone are multiplied exactly.
+    """
+    slack = np.float32(4 * (x.shape[1] + 2) * np.finfo(np.float32).eps)
+    x4, y4 = x.astype(np.float32), y.astype(np.float32)
+    least = np.full(len(x), -np.inf, np.float32)
+    at = np.minimum(np.searchsorted(ns, qs), len(ns) - 1)
+    own = np.where(ns[at] == qs, at, -1)
+    r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for begin in range(0, len(y), _COLUMNS):
+        near = x4 @ y4[begin : begin + _COLUMNS].T
+        here = np.flatnonzero((own >= begin) & (own < begin + near.shape[1]))
+        near[here, own[here] - begin] = -np.inf
+        if begin == 0 and near.shape[1] > k:
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, -k] - slack
+        a, b = np.nonzero(near >= least[:, None])
+        b = b + begin
+        a, b = a[own[a] != b], b[own[a] != b]
+        exact = [np.einsum("ij,ij->i", x[a[i : i + _PAIRS]], y[b[i : i + _PAIRS]]) for i in range(0, len(a), _PAIRS)]
+        r, c, s = np.concatenate([r, a]), np.concatenate([c, b]), np.concatenate([s, np.round(np.concatenate([*exact, np.zeros(0)]), 12)])
+        order = np.lexsort((c, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, s, place = (v[place < k] for v in (r, c, s, place))
+        full = place == k - 1
+        least[r[full]] = s[full].astype(np.float32) - slack
+    return r, c, s
+
+
 def sound_vectors(df: DataFrame, id_: str, vector: str) -> DataFrame:
     """(id, v): rows with an id and a vector of the most frequent width (of equals the greater) without null and non-finite components."""
     v = F.col(vector).cast("array<double>")
@@ -55,9 +92,11 @@ def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedd
     distance to the pivot less that radius.  Each query first meets its own cell,
     then the NEAREST ones by that bound, then those whose bound is still below its
     k-th distance.  A cell is cut into blocks; a block and the queries that visit
-    it are a matrix product of bounded size, which returns k rows for each query.
+    it are matrix products of bounded size, which return k rows for each query.
     Where data have no clusters every query visits every block, and what is
-    shuffled is rows * blocks: no more than all pairs of blocks.
+    shuffled is rows * blocks: no more than all pairs of blocks.  Blocks grow with
+    the table, so that up to half a million rows there are some BLOCKS of them, and from
+    then on they have LARGEST rows.
 
     Equal vectors are one, with its k + 1 least ids; copies make no pairs.
 
@@ -67,12 +106,13 @@ def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedd
     vector counts; with less than k others there are less than k rows.
     products: counts the inner products made, if given.
     """
-    spark, block = df.sparkSession, block or BLOCK
+    spark = df.sparkSession
     rows = sound_vectors(df, id_, vector).groupBy("id").agg(F.min("v").alias("v"))
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     whose = stored(rows.withColumn("place", place))
     one = whose.where("place = 1")
     count, width = one.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = block or min(LARGEST, max(BLOCK, -(-count // BLOCKS)))
     most = max(1, PIVOT_NUMBERS // ((width or 0) + 1))
     # rows of least hash stand for all: about one for each block
     chosen = one.orderBy(F.xxhash64("id"), "id").limit(min(most, max(1, -(-count // block)))).select("v").toArrow()
@@ -133,17 +173,13 @@ def neighbours(df: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedd
         ns, y = ns[order], _directions(flat(right.column("v")))[order, :-1]
         out = []
         # a popular block is met by slices of its queries
-        for at in range(0, left.num_rows, block):
-            part = left.slice(at, block)
+        for at in range(0, left.num_rows, _ROWS):
+            part = left.slice(at, _ROWS)
             qs, x = part.column("id").to_numpy(), _directions(flat(part.column("v")))[:, :-1]
-            sim = np.round(x @ y.T, 12)
             if products is not None:
-                products.add(sim.size)
-            sim[qs[:, None] == ns[None, :]] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            s = np.take_along_axis(sim, top, axis=1)
-            ok = np.isfinite(s)
-            out.append(pa.Table.from_arrays([pa.array(np.repeat(qs, ok.sum(axis=1))), pa.array(ns[top][ok]), pa.array(s[ok])], schema=schema))
+                products.add(len(x) * len(y))
+            r, c, sim = _best(x, y, qs, ns, k)
+            out.append(pa.Table.from_arrays([pa.array(qs[r]), pa.array(ns[c]), pa.array(sim)], schema=schema))
         return pa.concat_tables(out)
 
     # a vector's copies are as near as can be: they fill up its list at first

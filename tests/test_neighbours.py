@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from nearfield.operators import vectors
@@ -67,3 +68,20 @@ def test_odd_vectors_take_no_part(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert found(df, 5) == plain({2: [0.0, 1.0], 4: [1.0, 1.0], 10: [2.0, 1.0]}, 5)
     assert found(df.where("id = 5"), 5) == [] and found(df.where("false"), 5) == [] and found(df.where("id = 2"), 5) == []
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_best_of_a_block_by_definition(monkeypatch, columns):
+    """Near copies, which single precision can't tell apart, included; nothing is sorted whole."""
+    monkeypatch.setattr(vectors, "_COLUMNS", columns)
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.standard_normal((40, 8)), 1 + 1e-8 * rng.standard_normal((40, 8)), np.zeros((3, 8))])
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    ns, qs, k = np.arange(len(y)) * 2, np.concatenate([np.arange(30, 90), [7]]), 5
+    x = np.concatenate([y[qs[:-1] // 2], y[3:4]])
+    sim = np.round(x @ y.T, 12)
+    sim[qs[:, None] == ns[None, :]] = -np.inf
+    r, c, s = vectors._best(x, y, qs, ns, k)
+    want = np.sort(-sim, axis=1)[:, :k] * -1
+    assert np.bincount(r).tolist() == [k] * len(x) and np.allclose(s.reshape(-1, k), want, rtol=0, atol=2e-12)
+    assert all(qs[a] != ns[b] for a, b in zip(r, c))
