@@ -4,11 +4,13 @@ The population is cut into parts (a table each, or a file each), every part with
 version of its source.  What is kept in the index's folder:
 
 * the items, in one table by part, bucketed and sorted by parent, so that a fold to
-  parents needs no exchange;
+  parents needs no exchange; buckets are as many as the items ask for, so that a task
+  sorts BUCKET_ROWS of them or so at any size, and in memory;
 * of each part a KLL sketch of every feature, and the SAMPLE items of least hash;
 * one manifest by state: the parts it is made of, and the statistics of all of them.
 
-A refresh writes only parts whose source has changed.  The parts' sketches are
+A refresh writes only parts whose source has changed, unless buckets would hold more
+than twice what they should: then all parts are written anew, in more of them.  The parts' sketches are
 merged, which brackets each feature's median and, as the share of values within d
 of the median follows from the same sketch, its median deviation; one pass over the
 items for each of the two then makes them exact.  A distance's 95th percentile depends on
@@ -41,6 +43,8 @@ from nearfield.operators.similarity import MAD_FACTOR, SCALE_SHARE, SPREAD_FLOOR
 
 #: Size of a KLL sketch, and the ranks read off the merged one.
 SKETCH, GRID = 4096, 1000
+#: Items that a bucket is made for: those that a task sorts at a time.
+BUCKET_ROWS = 500_000
 #: Parts written at a time.
 WRITERS = 4
 #: Items of least hash that stand for the population where a bracket is looked for.
@@ -57,17 +61,24 @@ class StaleIndex(ValueError):
 
 @dataclass(frozen=True)
 class Source:
-    """A part of the population: the version of what it is made from, and its items, which are asked for only if they aren't kept."""
+    """A part of the population: the version of what it is made from, and its items, which are asked for only if they aren't kept.
+
+    dealt: the same items for a number of tasks, dealt by hash of their parent over so
+    many already, for a source that must bring children of a parent together itself;
+    they aren't moved again.
+    """
 
     version: str
     items: Callable[[], DataFrame]
+    dealt: Callable[[int], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
 class State:
-    """A manifest: parts by name with version and folder name, rows, and statistics by feature."""
+    """A manifest: parts by name with version and folder name, buckets of each, rows, and statistics by feature."""
 
     parts: dict[str, tuple[str, str]]
+    buckets: int
     rows: int
     centre: dict[str, float | None]
     spread: dict[str, float]
@@ -92,11 +103,10 @@ def _deviation_bracket(grid: list[float], centre: float, slack: float) -> tuple[
 
 
 class Index:
-    """The index in a folder that driver and executors share."""
+    """The index in a folder that driver and executors share.  buckets: a fixed number of them; else they follow the items."""
 
     def __init__(self, spark: SparkSession, path: str, axes: Axes, *, buckets: int | None = None) -> None:
-        self.spark, self.path, self.axes = spark, path.rstrip("/"), Axes(axes.columns)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path, self.axes, self.buckets = spark, path.rstrip("/"), Axes(axes.columns), buckets
         held = files.read_text(spark, f"{self.path}/layout.json")
         layout = {"buckets": self.buckets, "features": self.axes.features}
         if held is None:
@@ -105,7 +115,6 @@ class Index:
             raise ValueError("the index has other features")
         else:
             self.buckets = json.loads(held)["buckets"]
-        self.table = "nearfield_index_" + hashlib.blake2b(self.path.encode(), digest_size=8).hexdigest()
 
     # states
 
@@ -116,7 +125,7 @@ class Index:
         if name is None:
             return None
         held = json.loads(files.read_text(self.spark, f"{self.path}/states/{name}.json"))
-        return State({p: tuple(v) for p, v in held["parts"].items()}, held["rows"], held["centre"], held["spread"])
+        return State({p: tuple(v) for p, v in held["parts"].items()}, held.get("buckets") or self.buckets, held["rows"], held["centre"], held["spread"])
 
     def refresh(self, sources: dict[str, Source]) -> list[str]:
         """Bring the index up to the sources; the parts that were written."""
@@ -125,18 +134,33 @@ class Index:
         parts = {p: held[p] if p in held and held[p][0] == s.version else (s.version, uuid.uuid4().hex) for p, s in sources.items()}
         if before is not None and parts == before.parts:
             return []
-        new = {p: own for p, (_, own) in parts.items() if held.get(p, ("", ""))[1] != own}
-        rows = {own: self._selected(sources[p].items()) for p, own in new.items()}
-        for df in list(rows.values())[:1]:
-            self._declare(df)
+        changed = {p: sources[p].items() for p, v in parts.items() if held.get(p) != v}
+        buckets = self._fitting(before, list(changed.values()), [own for p, (_, own) in parts.items() if p not in changed])
+        if before is not None and buckets != before.buckets:
+            parts = {p: (s.version, uuid.uuid4().hex) for p, s in sources.items()}
+            changed |= {p: s.items() for p, s in sources.items() if p not in changed}
+        rows = {parts[p][1]: (df, sources[p].dealt) for p, df in changed.items()}
+        for df, _ in list(rows.values())[:1]:
+            self._declare(buckets, self._selected(df))
         with ThreadPoolExecutor(WRITERS) as pool:
-            list(pool.map(lambda x: self._write(*x), rows.items()))
+            list(pool.map(lambda x: self._write(x[0], buckets, *x[1]), rows.items()))
         folders = [own for _, own in parts.values()]
-        rows, centre, spread = self._statistics(folders)
+        rows, centre, spread = self._statistics(buckets, folders)
         name = uuid.uuid4().hex
-        files.write_text(self.spark, f"{self.path}/states/{name}.json", json.dumps({"parts": parts, "rows": rows, "centre": centre, "spread": spread}))
+        files.write_text(self.spark, f"{self.path}/states/{name}.json", json.dumps({"parts": parts, "buckets": buckets, "rows": rows, "centre": centre, "spread": spread}))
         files.write_text(self.spark, f"{self.path}/current", name)
-        return sorted(new)
+        return sorted(changed)
+
+    def _fitting(self, before: State | None, new: list[DataFrame], kept: list[str]) -> int:
+        """Buckets for these items and those of the kept folders: as before, while they hold them."""
+        if self.buckets:
+            return self.buckets
+        rows = sum(df.count() for df in new)
+        if kept:
+            rows += self._of("sketches", kept).agg(F.sum("rows")).first()[0]
+        if before is not None and rows <= 2 * BUCKET_ROWS * before.buckets:
+            return before.buckets
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
     def vacuum(self) -> None:
         """Delete all but the current state; older readers fail from then on."""
@@ -156,34 +180,50 @@ class Index:
     def _selected(self, items: DataFrame) -> DataFrame:
         return items.select(*_KEPT, *(known(F.col(f).cast("double")).alias(f) for f in self.axes.features))
 
-    def _write(self, own: str, rows: DataFrame) -> None:
+    def _write(self, own: str, buckets: int, items: DataFrame, dealt: Callable[[int], DataFrame] | None) -> None:
+        rows = self._selected(dealt(buckets) if dealt else items)
         columns = ", ".join(f"`{c}`" for c in rows.columns)
         # each part is written by a table of its own, in the part's folder: writers of one folder would clear each other's unfinished files
         table = f"nearfield_part_{own}"
-        self.spark.sql(f"CREATE TABLE {table} ({self._typed(rows)}) USING parquet CLUSTERED BY (parent) SORTED BY (parent) INTO {self.buckets} BUCKETS LOCATION '{self.path}/items/part={own}'")
+        self.spark.sql(f"CREATE TABLE {table} ({self._typed(rows)}) USING parquet CLUSTERED BY (parent) SORTED BY (parent) INTO {buckets} BUCKETS LOCATION '{self.path}/items/part={own}'")
         # rows of a parent are written by one task, so a bucket is one file
-        self.spark.sql(f"INSERT OVERWRITE {table} SELECT {columns} FROM (SELECT /*+ REPARTITION({self.buckets}, parent) */ * FROM {{rows}})", rows=rows)
+        hint = "" if dealt else f"/*+ REPARTITION({buckets}, parent) */ "
+        self.spark.sql(f"INSERT OVERWRITE {table} SELECT {columns} FROM (SELECT {hint}* FROM {{rows}})", rows=rows)
         # the files stay
         self.spark.sql(f"DROP TABLE {table}")
-        self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS PARTITION (part = '{own}')")
-        kept = self.spark.table(self.table).where(F.col("part") == own)
+        self.spark.sql(f"ALTER TABLE {self._table(buckets)} ADD IF NOT EXISTS PARTITION (part = '{own}')")
+        kept = self._rows(buckets, [own])
         sketches = kept.agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(f, SKETCH).alias(f) for f in self.axes.features))
         sketches.write.mode("overwrite").parquet(f"{self.path}/sketches/part={own}")
-        self._least(kept).write.mode("overwrite").parquet(f"{self.path}/sample/part={own}")
-
-    def _least(self, rows: DataFrame) -> DataFrame:
-        """The SAMPLE rows of least hash: a bounded heap in each task."""
-        return rows.withColumn("h", F.xxhash64("kind", "id")).orderBy("h").limit(SAMPLE).select("h", *self.axes.features)
-
-    def _declare(self, like: DataFrame | None = None) -> None:
-        """Make the table known to the session, with the parts that lie in its folder."""
-        if self.spark.catalog.tableExists(self.table):
+        count = self._of("sketches", [own]).first()["rows"]
+        sample = f"{self.path}/sample/part={own}"
+        # a threshold leaves some three times the rows: else each task would send SAMPLE of them
+        self._least(kept, 3 * SAMPLE / max(1, count)).write.mode("overwrite").parquet(sample)
+        if self.spark.read.parquet(sample).count() < min(SAMPLE, count):
+            # equal ids have equal hashes
+            self._least(kept).write.mode("overwrite").parquet(sample)
+
+    def _least(self, rows: DataFrame, share: float = 1.0) -> DataFrame:
+        """The SAMPLE rows of least hash, looked for in this share of the hashes: a bounded heap in each task."""
+        hashed = rows.withColumn("h", F.xxhash64("kind", "id"))
+        if share < 1:
+            hashed = hashed.where(F.col("h") <= int(share * 2**64) - 2**63)
+        return hashed.orderBy("h").limit(SAMPLE).select("h", *self.axes.features)
+
+    def _table(self, buckets: int) -> str:
+        """The session's name for the items of states with so many buckets."""
+        return f"nearfield_index_{hashlib.blake2b(self.path.encode(), digest_size=8).hexdigest()}_{buckets}"
+
+    def _declare(self, buckets: int, like: DataFrame | None = None) -> None:
+        """Make the table known to the session, with the parts that lie in its folder; those of other numbers of buckets are never read by it."""
+        table = self._table(buckets)
+        if self.spark.catalog.tableExists(table):
             return
         if like is None:
             like = self.spark.read.parquet(f"{self.path}/items")
-        self.spark.sql(f"CREATE TABLE {self.table} ({self._typed(like)}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (parent) SORTED BY (parent) INTO {self.buckets} BUCKETS LOCATION '{self.path}/items'")
+        self.spark.sql(f"CREATE TABLE {table} ({self._typed(like)}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (parent) SORTED BY (parent) INTO {buckets} BUCKETS LOCATION '{self.path}/items'")
         if files.names(self.spark, f"{self.path}/items"):
-            self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
 
     @staticmethod
     def _typed(like: DataFrame) -> str:
@@ -195,19 +235,20 @@ class Index:
     def items(self, state: State | None = None) -> DataFrame:
         """The items of a state, the current one if none is given."""
         state = state or self.state
-        self._declare()
-        missing = {own for _, own in state.parts.values()} - {r[0].removeprefix("part=") for r in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()}
+        self._declare(state.buckets)
+        table = self._table(state.buckets)
+        missing = {own for _, own in state.parts.values()} - {r[0].removeprefix("part=") for r in self.spark.sql(f"SHOW PARTITIONS {table}").collect()}
         if missing:
             # another session wrote them
-            self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
-        return self._rows([own for _, own in state.parts.values()])
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        return self._rows(state.buckets, [own for _, own in state.parts.values()])
 
-    def _rows(self, folders: list[str]) -> DataFrame:
-        return self.spark.table(self.table).where(F.col("part").isin(*folders)).drop("part")
+    def _rows(self, buckets: int, folders: list[str]) -> DataFrame:
+        return self.spark.table(self._table(buckets)).where(F.col("part").isin(*folders)).drop("part")
 
     # statistics
 
-    def _statistics(self, folders: list[str]) -> tuple[int, dict[str, float | None], dict[str, float]]:
+    def _statistics(self, buckets: int, folders: list[str]) -> tuple[int, dict[str, float | None], dict[str, float]]:
         names = self.axes.features
         if not folders:
             return 0, dict.fromkeys(names), dict.fromkeys(names, 1.0)
@@ -215,7 +256,7 @@ class Index:
         merged = self._of("sketches", folders).agg(F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(f).alias(f) for f in names))
         count = lambda f: F.kll_sketch_get_n_double(f)
         got = merged.select("rows", *(F.when(count(f) > 0, F.kll_sketch_get_quantile_double(f, ranks)).alias(f) for f in names), *(count(f).alias(f"n {f}") for f in names)).first().asDict()
-        items = self._rows(folders)
+        items = self._rows(buckets, folders)
         value = {f: F.col(f) for f in names if got[f]}
         between = lambda f: int(6 * SLACK * got[f"n {f}"])
         near = {f: (*_bracket(got[f], 0.5, SLACK), between(f)) for f in value}

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield import files, working
+from nearfield.io import Tables
 from nearfield.operators import index, similarity
 from nearfield.operators.quantiles import quantiles
+from nearfield.plans import ranking
 
 AXES = similarity.Axes({"a": ["x", "y"], "b": ["w"], "none": ["v"]})
 SCHEMA = "kind string, id long, parent long, start long, end long, window boolean, x double, y double, w double, v double"
@@ -119,6 +121,59 @@ def test_empty_parts(spark, path):
         kept.ranker().ranked("segment", 1, {"a": 1.0})
 
 
+def buckets_of(path, own):
+    """The bucket of each file of a part."""
+    return [f.split("_")[-1].split(".")[0] for f in os.listdir(path.removeprefix("file://") + f"/items/part={own}") if f.endswith(".parquet")]
+
+
+def test_buckets_follow_the_items(spark, path, monkeypatch):
+    """A task sorts no more of a large population than of a small one, also of one that has grown."""
+    monkeypatch.setattr(index, "BUCKET_ROWS", 100)
+    kept = index.Index(spark, path, AXES)
+    parts = {"p": source(spark, 1, 3000, 0), "q": source(spark, 2, 30, 3000)}
+    kept.refresh(parts)
+    assert kept.state.buckets == 31 and len(buckets_of(path, kept.state.parts["p"][1])) == 31
+    reader, own = kept.ranker(parts), kept.state.parts["p"]
+    parts["r"] = source(spark, 3, 2000, 6000)
+    assert kept.refresh(parts) == ["r"] and kept.state.buckets == 31 and kept.state.parts["p"] == own
+    parts["s"] = source(spark, 4, 2000, 9000)
+    assert kept.refresh(parts) == ["p", "q", "r", "s"] and kept.state.buckets == 71
+    assert kept.state.rows == kept.items().count() == 7030 and reader.items.count() == 3030
+    whole = items(spark, 1, 3000, 0).unionByName(items(spark, 2, 30, 3000)).unionByName(items(spark, 3, 2000, 6000)).unionByName(items(spark, 4, 2000, 9000))
+    shown = lambda r: sorted((x.sample_id, round(x.score, 9), x.hit_id) for x in r.ranked("segment", 1, {"a": 1.0, "b": 0.7}).collect())
+    assert shown(index.Index(spark, path, AXES).ranker(parts)) == shown(similarity.Ranker(whole, AXES))
+    kept.vacuum()
+    assert kept.items().count() == 7030
+
+
+def test_lines_are_moved_once_into_buckets(spark, path):
+    """What brings an order's lines together deals them into buckets too."""
+    lines = ranking.sources(Tables(spark, "/root/testdata/sf0.001"))["lineitem"]
+    kept = index.Index(spark, path, ranking.AXES, buckets=5)
+    kept.refresh({"lineitem": lines})
+    dealt = kept._selected(lines.dealt(5))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(l_orderkey" in plan and ", 5)" in plan
+    found = buckets_of(path, kept.state.parts["lineitem"][1])
+    assert len(found) == len(set(found)) == 5
+    want = kept._selected(lines.items())
+    assert kept.items().exceptAll(want).isEmpty() and want.exceptAll(kept.items()).isEmpty()
+
+
+def test_the_sample_is_that_of_least_hash(spark, path, monkeypatch):
+    """Tasks send few rows for it, and it is whole where hashes are equal."""
+    monkeypatch.setattr(index, "SAMPLE", 50)
+    same = items(spark, 2, 900, 3000).withColumn("id", F.lit(7).cast("long"))
+    kept = index.Index(spark, path, AXES, buckets=8)
+    kept.refresh({"p": source(spark, 1, 3000, 0), "q": index.Source("same", lambda: same), "r": source(spark, 3, 20, 9000)})
+    held = {p: sorted(r.h for r in spark.read.parquet(f"{path}/sample/part={own}").collect()) for p, (_, own) in kept.state.parts.items()}
+    assert [len(held[p]) for p in "pqr"] == [50, 50, 20]
+    assert held["p"] == sorted(r.h for r in items(spark, 1, 3000, 0).select(F.xxhash64("kind", "id").alias("h")).collect())[:50]
+    # some three times the rows asked for pass a threshold, and of them alone a task sends its least
+    plan = kept._least(kept.items(), 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= -83010" in plan
+
+
 def test_quantiles_within_given_brackets(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_007).cast("double").alias("x"), F.lit(None).cast("double").alias("n"))
     value = {"x": F.col("x"), "n": F.col("n")}
