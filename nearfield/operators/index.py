@@ -5,12 +5,12 @@ version of its source.  What is kept in the index's folder:
 
 * the items, in one table by part, bucketed and sorted by parent, so that a fold to
   parents needs no exchange; buckets are as many as the items ask for, so that a task
-  sorts BUCKET_ROWS of them or so at any size, and in memory;
+  sorts MOST_ROWS of them or so at most at any size, in memory;
 * of each part a KLL sketch of every feature, and the SAMPLE items of least hash;
 * one manifest by state: the parts it is made of, and the statistics of all of them.
 
-A refresh writes only parts whose source has changed, unless buckets would hold more
-than twice what they should: then all parts are written anew, in more of them.  The parts' sketches are
+A refresh writes only parts whose source has changed, unless over twice the
+buckets are called for: then all parts are written anew, in as many.  The parts' sketches are
 merged, which brackets each feature's median and, as the share of values within d
 of the median follows from the same sketch, its median deviation; one pass over the
 items for each of the two then makes them exact.  A distance's 95th percentile depends on
@@ -43,8 +43,9 @@ from nearfield.operators.similarity import MAD_FACTOR, SCALE_SHARE, SPREAD_FLOOR
 
 #: Size of a KLL sketch, and the ranks read off the merged one.
 SKETCH, GRID = 4096, 1000
-#: Items that a bucket is made for: those that a task sorts at a time.
-BUCKET_ROWS = 500_000
+#: Items that a bucket is made for: those that a task sorts at a time; it gets up to MOST_ROWS where that keeps buckets
+#: at UNSORTED, as to more of them Spark's tasks sort what they send, and spill where they read much.
+BUCKET_ROWS, MOST_ROWS, UNSORTED = 500_000, 1_500_000, 200
 #: Parts written at a time.
 WRITERS = 4
 #: Items of least hash that stand for the population where a bracket is looked for.
@@ -93,6 +94,11 @@ def _bracket(grid: list[float] | None, share: float, slack: float) -> tuple[floa
     return grid[max(0, low)], grid[min(n, high)]
 
 
+def _buckets_for(rows: int, least: int) -> int:
+    """Buckets for so many items."""
+    return max(min(least, UNSORTED), min(-(-rows // BUCKET_ROWS), max(UNSORTED, -(-rows // MOST_ROWS))))
+
+
 def _deviation_bracket(grid: list[float], centre: float, slack: float) -> tuple[float, float]:
     """Bounds of the median of |x - centre|, given a grid of quantiles of x."""
     x = np.asarray(grid)
@@ -158,9 +164,8 @@ class Index:
         rows = sum(df.count() for df in new)
         if kept:
             rows += self._of("sketches", kept).agg(F.sum("rows")).first()[0]
-        if before is not None and rows <= 2 * BUCKET_ROWS * before.buckets:
-            return before.buckets
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+        wanted = _buckets_for(rows, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return before.buckets if before is not None and wanted <= 2 * before.buckets else wanted
 
     def vacuum(self) -> None:
         """Delete all but the current state; older readers fail from then on."""

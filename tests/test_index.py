@@ -146,6 +146,12 @@ def test_buckets_follow_the_items(spark, path, monkeypatch):
     assert kept.items().count() == 7030
 
 
+def test_buckets_stay_at_those_that_need_no_sorted_shuffle():
+    """Up to MOST_ROWS items each."""
+    assert [index._buckets_for(n, 12) for n in (0, 750_000, 45_000_000, 99_000_000, 270_000_000, 600_000_000)] == [12, 12, 90, 198, 200, 400]
+    assert [index._buckets_for(n, 600) for n in (0, 45_000_000, 600_000_000)] == [200, 200, 400]
+
+
 def test_lines_are_moved_once_into_buckets(spark, path):
     """What brings an order's lines together deals them into buckets too."""
     lines = ranking.sources(Tables(spark, "/root/testdata/sf0.001"))["lineitem"]
