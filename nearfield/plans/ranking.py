@@ -19,7 +19,7 @@ WEIGHTS = {"level": 1.0, "rate": 0.5}
 
 def children(t: Tables, tasks: int | None = None) -> DataFrame:
     """Line items with an id of their own: the order's number times 1000, and the place in it.  tasks: over how many they are dealt by order; else Spark's setting."""
-    lines = t.lineitem if tasks is None else t.lineitem.repartition(tasks, "l_orderkey")
+    lines = t.lineitem if tasks is None else t.lineitem.hint("repartition", tasks, "l_orderkey")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     start = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     return lines.select((F.col("l_orderkey") * 1000 + place).alias("id"), F.col("l_orderkey").alias("parent"), (start / 1000000).cast("long").alias("start"), ((start / 1000000).cast("long") + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_linestatus") == "O").alias("window"), ln_positive(F.col("l_extendedprice")).alias("price"), log1p_nonnegative(F.col("l_quantity")).alias("amount"), F.when(F.col("l_quantity") > 10, F.col("l_discount")).alias("discount"), F.when(F.col("l_quantity") > 10, F.col("l_tax")).alias("tax"))
